@@ -30,7 +30,8 @@ def prob_to_odds(p) -> Column:
 
 
 def clamp(c, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(c)))
+    c = _c(c)
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def logit(p, eps: float = 1e-6) -> Column:

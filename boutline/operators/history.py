@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from boutline.operators.timeline import (mean_of, run_count, run_max, run_sum, signed_run, with_running,
+from boutline.operators.timeline import (first_of_day, mean_of, run_count, run_max, run_sum, signed_run, with_running,
                                          with_trailing)
 
 DAY, TIE = "game_date", ["game_id"]
@@ -67,3 +67,194 @@ def pivot_sides(rows: DataFrame, keep: Sequence[str], features: Sequence[str]) -
         aggs += [F.max(F.when(home, F.col(f))).alias(f"home_{f}"), F.max(F.when(away, F.col(f))).alias(f"away_{f}")]
     return (rows.groupBy(*keep).agg(*aggs)
             .withColumns({f"delta_{f}": F.col(f"home_{f}") - F.col(f"away_{f}") for f in features}))
+
+
+def density(log: DataFrame, keys: Sequence[str], max_rest: int | None = None) -> DataFrame:
+    """Rest days, back-to-back, three-in-four and four-in-six.
+
+    Without ``max_rest`` rest is the number of free days since the last contest (never negative)
+    and a back-to-back has none; with it, rest is the day gap clipped to [0, max_rest] and a
+    back-to-back is a gap of at most one day.
+    """
+    keys = list(keys)
+    rows = with_running(log, keys, DAY, TIE, running={"prev_date": run_max(DAY)})
+    rows = rows.join(day_counts(log, keys, [3, 5]), [*keys, DAY])
+    gap = F.datediff(DAY, "prev_date")
+    if max_rest is None:
+        rest = F.greatest(gap - 1, F.lit(0))
+        b2b = F.when(rest == 0, 1).otherwise(0)
+    else:
+        rest = F.greatest(F.lit(0), F.least(F.lit(max_rest), gap))
+        b2b = F.when(rest.isNotNull(), (rest <= 1).cast("int"))
+    return rows.withColumns({
+        "rest_days": F.when(F.col("prev_date").isNotNull(), rest),
+        "back_to_back": F.when(F.col("prev_date").isNotNull(), b2b).otherwise(0 if max_rest is None else None),
+        "three_in_four": (F.col("games_3d") >= 2).cast("int"),
+        "four_in_six": (F.col("games_5d") >= 3).cast("int")})
+
+
+def travel(log: DataFrame, venues: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Miles and zone shift from the previous venue; the venue is the home side's base."""
+    from boutline.functions.geo import haversine, utc_offset_hours
+
+    host = F.when(F.col("is_home") == 1, F.col("entity")).otherwise(F.col("opponent"))
+    places = venues.select(F.col("entity").alias("host"), "lat", "lon", "tz")
+    rows = (log.withColumn("host", host).join(places, "host", "left")
+            .withColumn("offset", utc_offset_hours("tz", DAY)))
+    rows = with_running(rows, keys, DAY, TIE)
+    rows = with_trailing(rows, keys, {
+        f"last_{c}": (1, lambda w, c=c: F.first(c).over(w)) for c in ("lat", "lon", "offset")})
+    return rows.withColumns({
+        "travel_miles": haversine("last_lat", "last_lon", "lat", "lon"),
+        "zone_shift": F.col("offset") - F.col("last_offset")})
+
+
+def ewm_of(value: str, alpha: float):
+    """Exponentially weighted mean of the window, seeded by its oldest value."""
+    def build(w):
+        kept = F.collect_list(value).over(w)
+        rest = F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(F.size(kept) > 0, F.aggregate(
+            rest, F.try_element_at(kept, F.lit(1)), lambda acc, x: alpha * x + (1.0 - alpha) * acc))
+    return build
+
+
+def h2h_prior(games: DataFrame, strength: float = 8.0) -> DataFrame:
+    """Season-lagged head-to-head rates, smoothed toward the home rate (ordered) and 0.5 (focal)."""
+    home = games.groupBy("season").agg(F.sum("home_win").alias("w"), F.count("home_win").alias("n"))
+    before = Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    base = home.select("season", F.coalesce(F.try_divide(F.sum("w").over(before), F.sum("n").over(before)),
+                                            F.lit(0.5)).alias("home_rate"))
+    pair = Window.partitionBy("me", "foe").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    views = games.select("season", F.inline(F.array(
+        F.struct(F.col("home").alias("me"), F.col("away").alias("foe"), F.col("home_win").alias("won"), F.lit(1).alias("at_home")),
+        F.struct(F.col("away").alias("me"), F.col("home").alias("foe"), (1 - F.col("home_win")).alias("won"), F.lit(0).alias("at_home")))))
+    seasons = views.groupBy("me", "foe", "season").agg(
+        F.sum("won").alias("fw"), F.count("won").alias("fg"),
+        F.sum(F.when(F.col("at_home") == 1, F.col("won"))).alias("ow"),
+        F.count(F.when(F.col("at_home") == 1, F.col("won"))).alias("og"))
+    prior = seasons.select("me", "foe", "season", *[
+        F.coalesce(F.sum(c).over(pair), F.lit(0)).cast("double").alias(c) for c in ("fw", "fg", "ow", "og")])
+    return (games.join(prior, (games.home == prior.me) & (games.away == prior.foe) & (games.season == prior.season))
+            .drop(prior.season).join(base, "season")
+            .withColumns({
+                "ordered_rate": (F.col("ow") + strength * F.col("home_rate")) / (F.col("og") + strength) - 0.5,
+                "ordered_log_games": F.log1p("og"),
+                "focal_rate": (F.col("fw") + strength * 0.5) / (F.col("fg") + strength) - 0.5,
+                "focal_log_games": F.log1p("fg")}))
+
+
+def topk_mean(rows: DataFrame, group: Sequence[str], value: str, ks: Sequence[int], tie: str) -> DataFrame:
+    """Mean of the k largest values per group, and the share held outside the first k."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(value), tie))
+    ranked = rows.withColumn("__r", rank)
+    total = F.sum(value)
+    aggs = [F.avg(F.when(F.col("__r") <= k, F.col(value))).alias(f"top{k}_{value}") for k in ks]
+    first = F.sum(F.when(F.col("__r") <= ks[0], F.col(value)))
+    return ranked.groupBy(*group).agg(*aggs, F.try_divide(total - first, total).alias("depth_share"))
+
+
+def set_continuity(members: DataFrame) -> DataFrame:
+    """Overlap of each entity's member set with its previous contest's, and short histories of it."""
+    keys = ["entity"]
+    sets = (members.groupBy("entity", "season", DAY, "game_id")
+            .agg(F.collect_set("member").alias("roster")))
+    rows = with_running(sets, keys, DAY, TIE)
+    rows = with_trailing(rows, keys, {"prev_roster": (1, lambda w: F.first("roster").over(w))})
+    kept = F.size(F.array_intersect("roster", "prev_roster"))
+    seen = F.col("prev_roster").isNotNull()
+    rows = rows.withColumns({
+        "active": F.size("roster"),
+        "continuity": F.when(seen, kept / F.size("roster")),
+        "turnover": F.when(seen, F.size("roster") + F.size("prev_roster") - 2 * kept).otherwise(0)})
+    return with_trailing(rows, keys, {
+        "stability_last5": (5, mean_of("continuity")), "continuity_ewm": (10, ewm_of("continuity", 0.5)),
+        "change_last5": (5, mean_of(1.0 - F.col("continuity")))}).drop("roster", "prev_roster")
+
+
+def roster_churn(members: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """Share of members seen in the last n days who are absent now.
+
+    Each member appearance is reduced to one row per (entity, member, day) and the days on which it
+    is still remembered are found by joining on the contest's own day bucket, never by a range join.
+    """
+    widest = max(spans)
+    roster = members.select("entity", DAY, "game_id", "member").distinct()
+    contests = members.select("entity", DAY, "game_id").distinct()
+    seen = (members.select("entity", "member", F.col(DAY).alias("seen_on")).distinct()
+            .withColumn(DAY, F.explode(F.sequence(F.date_add("seen_on", 1), F.date_add("seen_on", widest)))))
+    last = seen.groupBy("entity", "member", DAY).agg(F.max("seen_on").alias("seen_on"))
+    here = roster.withColumn("here", F.lit(1))
+    rows = (contests.join(last, ["entity", DAY], "left")
+            .join(here, ["entity", DAY, "game_id", "member"], "left"))
+    age = F.datediff(DAY, "seen_on")
+    aggs = []
+    for n in spans:
+        known = F.count(F.when(age <= n, F.col("member")))
+        gone = F.count(F.when((age <= n) & F.col("here").isNull(), F.col("member")))
+        aggs.append(F.coalesce(F.try_divide(gone, known), F.lit(0.0)).alias(f"churn_{n}d"))
+    return rows.groupBy("entity", DAY, "game_id").agg(*aggs)
+
+
+def season_position(games: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Position of each contest in the whole ordered history, from per-day counts."""
+    daily = games.groupBy(DAY).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    start = daily.select(DAY, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    return (games.join(start, DAY)
+            .withColumn("position", F.col("__start") + F.row_number().over(Window.partitionBy(DAY).orderBy(*order)))
+            .drop("__start"))
+
+
+def recency_weights(games: DataFrame, season_half_life: float, game_half_life: float, floor: float,
+                    mode: str = "hybrid") -> DataFrame:
+    """Half-life weights by season age and game age, floored, scaled to mean one."""
+    placed = season_position(games, ["game_id"])
+    seasons = (games.select("season").distinct()
+               .withColumn("season_age", F.dense_rank().over(Window.orderBy(F.desc("season"))) - 1))
+    size = games.agg(F.count(F.lit(1)).alias("n_rows"))
+    aged = (placed.join(seasons, "season").join(size)
+            .withColumn("game_age", F.col("n_rows") - F.col("position")))
+    by_season = F.pow(F.lit(0.5), F.col("season_age") / season_half_life)
+    by_game = F.pow(F.lit(0.5), F.col("game_age") / game_half_life)
+    raw = {"season": by_season, "game": by_game, "hybrid": by_season * by_game, "none": F.lit(1.0)}[mode]
+    raw_rows = aged.withColumn("raw", F.greatest(F.lit(floor), raw))
+    mean = raw_rows.agg(F.avg("raw").alias("mean_raw"))
+    return raw_rows.join(mean).withColumn("weight", F.col("raw") / F.col("mean_raw"))
+
+
+def regime(games: DataFrame) -> DataFrame:
+    """Early, middle or late third of the season by position in it."""
+    rows = with_running(games, ["season"], DAY, TIE, totals={"season_games": run_count("game_id")})
+    at = F.col("seq") / F.col("season_games")
+    return rows.withColumn("regime", F.when(at <= 1 / 3, "early").when(at <= 2 / 3, "mid").otherwise("late"))
+
+
+def even_sample(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """At most k evenly spaced rows per key, first and last kept; needs seq and n."""
+    i = F.col("seq") - 1
+    # Row i is kept when some j in 0..k-1 has floor(j (n-1) / (k-1)) = i.
+    j = F.ceil(i * (k - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+    return rows.filter((F.col("n") <= k) | (F.floor(j * (F.col("n") - 1) / (k - 1)) == i))
+
+
+def primary_member(members: DataFrame) -> DataFrame:
+    """Main member per entity-contest (most points), change flag, earlier starts and lagged form."""
+    lead = F.row_number().over(Window.partitionBy("game_id", "entity").orderBy(F.desc("points"), "member"))
+    main = members.withColumn("__r", lead).filter("__r = 1").drop("__r")
+    rows = with_running(main, ["entity"], DAY, TIE)
+    rows = with_trailing(rows, ["entity"], {"__prev": (1, lambda w: F.first("member").over(w))}).drop("seq")
+    rows = with_running(rows, ["member"], DAY, [*TIE, "entity"])
+    rows = with_trailing(rows, ["member"], {"points_last8": (8, mean_of("points", 3))})
+    return rows.withColumns({"changed": (F.col("__prev") != F.col("member")).cast("int"),
+                             "prior_starts": F.col("seq") - 1})
+
+
+def member_prior(members: DataFrame) -> DataFrame:
+    """Rolling profile of each member before each contest."""
+    rows = with_running(members, ["member"], DAY, [*TIE, "entity"], running={"source_through": run_max(DAY)})
+    rows = with_trailing(rows, ["member"], {
+        "points_last3": (3, mean_of("points")), "points_last5": (5, mean_of("points")),
+        "points_last10": (10, mean_of("points")), "minutes_last5": (5, mean_of("minutes")),
+        "ewm": (10, ewm_of("points", 0.45))})
+    return rows.withColumn("games_before", F.col("seq") - 1)

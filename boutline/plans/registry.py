@@ -34,7 +34,8 @@ def _out(c: str, kind: str):
     if kind == "b":
         return col.cast("long").alias(c)
     if kind == "d":
-        return (F.round(col.cast("double"), 6) + F.lit(0.0)).alias(c)
+        # Six places; the tie sits just off the exact half so that last-bit noise cannot flip it.
+        return (F.floor(col.cast("double") * F.lit(1e6) + F.lit(0.5001)) / F.lit(1e6)).alias(c)
     if kind == "t":
         return col.cast("date").alias(c)
     if kind == "ts":
@@ -43,7 +44,7 @@ def _out(c: str, kind: str):
 
 
 def _wrap(sql: str, spec) -> str:
-    shape = {"b": "CAST({0} AS BIGINT) AS {0}", "d": "ROUND(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}",
+    shape = {"b": "CAST({0} AS BIGINT) AS {0}", "d": "FLOOR(CAST({0} AS DOUBLE) * 1e6 + 0.5001e0) / 1e6 AS {0}",
              "t": "CAST({0} AS DATE) AS {0}", "ts": "CAST({0} AS TIMESTAMP) AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}"}
     outer = ", ".join(shape[kind].format(c) for c, kind in spec)
     return f"SELECT {outer} FROM (\n{sql.strip()}\n) AS checked"
