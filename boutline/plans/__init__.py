@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from boutline.plans import history, scalars
+from boutline.plans import evaluation, history, scalars, tables
 from boutline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "history", "scalars", "tables"]
