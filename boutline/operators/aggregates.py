@@ -297,6 +297,6 @@ def totals_by(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str], havin
 def date_windows(spark, start: str, end: str, days: int) -> DataFrame:
     """Consecutive windows of n days covering the span; the last one is cut at the end."""
     return spark.sql(
-        "SELECT w AS window_start, least(date_add(w, :d - 1), :e) AS window_end FROM "
+        "SELECT w AS window_start, least(date_add(w, :d - 1), to_date(:e)) AS window_end FROM "
         "(SELECT explode(sequence(to_date(:s), to_date(:e), make_interval(0, 0, 0, :d))) AS w)",
         args={"s": start, "e": end, "d": days})
