@@ -44,8 +44,9 @@ def sigmoid(x) -> Column:
 
 
 def log_loss(p, y, eps: float = 1e-6) -> Column:
-    q, y = clamp(p, eps, 1.0 - eps), _c(y)
-    return -(y * F.log(q) + (1 - y) * F.log(1.0 - q))
+    p, y = _c(p), _c(y)
+    # The probability given to what happened; one logarithm per row.
+    return -F.log(clamp(F.when(y == 1, p).when(y == 0, 1.0 - p), eps, 1.0 - eps))
 
 
 def brier(p, y) -> Column:

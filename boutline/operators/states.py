@@ -22,21 +22,22 @@ def ols_normal_wp(states: DataFrame) -> DataFrame:
     return s.select(mu.alias("mu"), F.sqrt(var).alias("sigma"), "n")
 
 
-def fit_normal_wp(states: DataFrame, objective: str = "log_loss", rounds: int = 3) -> tuple[float, float]:
+def fit_normal_wp(states: DataFrame, objective: str = "log_loss", rounds: int = 5) -> tuple[float, float]:
     """Drift and spread with the lowest loss, by a grid refined around its best point.
 
     States are counted per distinct (margin, time, outcome) first; each round brings one row to the driver.
     """
-    counts = states.groupBy("margin", "frac", F.col("home_won").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    mu, sigma, dmu, ds = 0.0, 10.0, 10.0, 9.0
+    counts = states.groupBy("margin", "frac", F.col("home_won").alias("y")).agg(F.count(F.lit(1)).alias("k")).persist()
+    mu, sigma, dmu, ds = 0.0, 10.0, 9.0, 9.0
     for _ in range(rounds):
-        grid = [{"mu": mu + dmu * i / 5, "sigma": max(0.05, sigma + ds * j / 5)} for i in range(-5, 6) for j in range(-5, 6)]
+        grid = [{"mu": mu + dmu * i / 3, "sigma": max(0.05, sigma + ds * j / 3)} for i in range(-3, 4) for j in range(-3, 4)]
         rows = with_grid(counts, grid)
         rows = rows.withColumn("p", _normal_at(F.col("margin"), F.col("frac"), F.col("mu"), F.col("sigma")))
         loss = log_loss("p", "y") if objective == "log_loss" else brier("p", "y")
         best = (rows.groupBy("mu", "sigma").agg((F.sum(loss * F.col("k")) / F.sum("k")).alias("loss"))
                 .agg(F.min(F.struct("loss", "mu", "sigma")).alias("b")).first()["b"])
-        mu, sigma, dmu, ds = best["mu"], best["sigma"], dmu / 4, ds / 4
+        mu, sigma, dmu, ds = best["mu"], best["sigma"], dmu / 2.5, ds / 2.5
+    counts.unpersist()
     return mu, sigma
 
 

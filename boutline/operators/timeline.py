@@ -158,19 +158,24 @@ def asof_running(requests: DataFrame, log: DataFrame, keys: Sequence[str], day:
     """
     names = list(running)
     facts = log.select(*keys, day, *tie, *[F.col(c).cast("double").alias(n) for n, c in running.items()])
-    daily = (facts.select(*keys, day, *names)
+    daily = (facts.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("__here"), *[F.sum(n).alias(n) for n in names])
              .unionByName(requests.select(*keys, day).distinct(), allowMissingColumns=True)
-             .groupBy(*keys, day).agg(*[F.sum(n).alias(n) for n in names]))
+             .groupBy(*keys, day).agg(F.coalesce(F.sum("__here"), F.lit(0)).alias("__here"), *[F.sum(n).alias(n) for n in names]))
     earlier = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    before = daily.select(*keys, day, *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"__b_{n}") for n in names])
-    both = (facts.withColumn("__req", F.lit(None).cast(requests.select(F.struct(*requests.columns)).schema[0].dataType))
-            .unionByName(requests.select(*keys, day, *tie, F.struct(*requests.columns).alias("__req")),
-                         allowMissingColumns=True))
+    before = daily.select(*keys, day, "__here", *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"__b_{n}") for n in names])
+    asked = requests.join(before, [*keys, day])
+    # Most requests fall on days without log rows of their key: the earlier days are the answer.
+    quiet = asked.filter("__here = 0").select(*requests.columns, *[F.col(f"__b_{n}").alias(n) for n in names])
+    busy = asked.filter("__here > 0").select(*keys, day, *tie, F.struct(
+        *requests.columns, *[f"__b_{n}" for n in names]).alias("__req"))
+    both = busy.unionByName(facts, allowMissingColumns=True)
     in_day = Window.partitionBy(*keys, day).orderBy("__pos").rangeBetween(Window.unboundedPreceding, -1)
     ranked = both.withColumn("__pos", F.dense_rank().over(Window.partitionBy(*keys, day).orderBy(*tie)))
-    summed = ranked.withColumns({n: F.coalesce(F.sum(n).over(in_day), F.lit(0.0)) for n in names})
-    out = summed.filter("__req is not null").join(before, [*keys, day])
-    return out.select("__req.*", *[(F.col(n) + F.col(f"__b_{n}")).alias(n) for n in names])
+    summed = (ranked.withColumns({n: F.coalesce(F.sum(n).over(in_day), F.lit(0.0)) for n in names})
+              .filter("__req is not null"))
+    return quiet.unionByName(summed.select(
+        *[F.col(f"__req.{c}").alias(c) for c in requests.columns],
+        *[(F.col(n) + F.col(f"__req.__b_{n}")).alias(n) for n in names]))
 
 
 def latest_before(left: DataFrame, history: DataFrame, keys: Sequence[str], day: str, tie: Sequence[str],

@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from boutline.plans import evaluation, history, modelling, scalars, tables
+from boutline.plans import context, evaluation, history, modelling, ratings, scalars, tables
 from boutline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "history", "modelling", "scalars", "tables"]
+__all__ = ["ORACLES", "QUERIES", "context", "evaluation", "history", "modelling", "ratings", "scalars", "tables"]
