@@ -27,8 +27,8 @@ def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFr
                         ((F.coalesce("w0", F.lit(0)) + F.col("win")) / F.col("seq")).alias("opp_after"))
     rows = rows.join(after, ["season", "opponent", "game_id"])
     rows = with_trailing(rows, keys, {"met": (past, lambda w: F.collect_list("opponent").over(w)),
-                                      "last_opponent_pct": (1, lambda w: F.first("opp_after").over(w))})
-    rows = with_trailing(rows, keys, {"coming": (ahead, lambda w: F.collect_list("opponent").over(w))}, ahead=True)
+                                      "last_opponent_pct": (1, lambda w: F.first("opp_after").over(w)),
+                                      "coming": (-ahead, lambda w: F.collect_list("opponent").over(w))})
     wanted = rows.select("season", F.col("entity").alias("me"), DAY, "game_id", F.inline(F.concat(
         F.transform("met", lambda x, i: F.struct(x.alias("entity"), (F.size("met") - i).alias("back"))),
         F.transform("coming", lambda x: F.struct(x.alias("entity"), F.lit(0).alias("back"))))))

@@ -135,3 +135,21 @@ def row_envelope(states: DataFrame, extra: Sequence[str], grid: Sequence[float],
     for c in cond[1:]:
         on = on & c
     return states.join(best, on).select(states["*"], best["p_envelope"])
+
+
+def snapshots(plays: DataFrame, league: str) -> DataFrame:
+    """Labelled states from plays: incomplete plays and contests without a winner are dropped.
+
+    ``plays``: game_id, ord, period, clock, home_score, away_score, optional extra columns.
+    """
+    from boutline.functions.clocks import clock_seconds, frac_remaining_clock
+
+    scored = F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
+    final = plays.groupBy("game_id").agg(
+        F.max_by("home_score", F.when(F.col("home_score").isNotNull(), F.col("ord"))).alias("fh"),
+        F.max_by("away_score", F.when(F.col("away_score").isNotNull(), F.col("ord"))).alias("fa"))
+    final = final.filter("fh <> fa").select("game_id", (F.col("fh") > F.col("fa")).cast("int").alias("home_won"))
+    secs = clock_seconds("clock")
+    return plays.filter(scored & F.col("period").isNotNull()).join(final, "game_id").withColumns({
+        "clock_seconds": secs, "frac": frac_remaining_clock(league, F.col("period"), secs),
+        "margin": F.col("home_score") - F.col("away_score")})

@@ -103,25 +103,25 @@ WindowColumn = Callable[[object], Column]
 
 
 def with_trailing(log: DataFrame, keys: Sequence[str], features: Mapping[str, tuple[int, WindowColumn]],
-                  ahead: bool = False, stretch: int = STRETCH) -> DataFrame:
-    """Add features over the n rows before (or after) each row; needs ``seq``.
+                  stretch: int = STRETCH) -> DataFrame:
+    """Add features over the n rows before each row, or the n rows after it when n is negative; needs ``seq``.
 
-    ``features`` maps a name to (n, fn); fn receives the window ROWS n PRECEDING..1 PRECEDING
-    (1..n FOLLOWING when ``ahead``).  Windows never span more than ``stretch`` + n rows.
+    ``features`` maps a name to (n, fn); fn receives the window.  Rows near the end (start) of a stretch
+    are copied to the next (previous) one, so a window never spans more than ``stretch`` + 2n rows.
     """
-    reach = max(n for n, _ in features.values())
-    stretch = max(stretch, reach)
+    back = max([n for n, _ in features.values() if n > 0], default=0)
+    ahead = max([-n for n, _ in features.values() if n < 0], default=0)
+    stretch = max(stretch, back, ahead)
     at = (F.col("seq") - 1) % stretch
     home = F.floor((F.col("seq") - 1) / stretch)
+    copies = [home]
+    if back:
+        copies.append(F.when(at >= stretch - back, home + 1))
     if ahead:
-        copies = F.when((at < reach) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    else:
-        copies = F.when(at >= stretch - reach, F.array(home, home + 1)).otherwise(F.array(home))
+        copies.append(F.when((at < ahead) & (home > 0), home - 1))
     w = Window.partitionBy(*keys, "__stretch").orderBy("seq")
-    cols = {}
-    for name, (n, fn) in features.items():
-        cols[name] = fn(w.rowsBetween(1, n) if ahead else w.rowsBetween(-n, -1))
-    return (log.withColumn("__stretch", F.explode(copies))
+    cols = {name: fn(w.rowsBetween(-n, -1) if n > 0 else w.rowsBetween(1, -n)) for name, (n, fn) in features.items()}
+    return (log.withColumn("__stretch", F.explode(F.array_compact(F.array(*copies))))
             .withColumns(cols)
             .filter(F.col("__stretch") == home)
             .drop("__stretch"))
