@@ -239,7 +239,8 @@ def quota_sample(df: DataFrame, window: str, order: Sequence[str], total: int, w
     for i, w in enumerate(windows):
         quota = F.when(F.col(window) == w, base + (1 if i < extra else 0)).otherwise(quota)
     rank = F.row_number().over(Window.partitionBy(window).orderBy(*order))
-    return df.withColumn("pick", rank).filter(F.col("pick") <= quota)
+    # The literal bound lets Spark drop surplus rows before the shuffle.
+    return df.withColumn("pick", rank).filter(F.col("pick") <= base + 1).filter(F.col("pick") <= quota)
 
 
 def pending(games: DataFrame, done: DataFrame, key: str, per_season: int | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boutline.functions.odds import brier, confidence, hit, log_loss, normal_cdf, wilson
@@ -218,22 +220,31 @@ def block_bootstrap(pred_wide: DataFrame, a: str, b: str, draws: int, block: str
     return attach_row(spread, point)
 
 
-def permutation_check(pred: DataFrame, draws: int, block_rows: int = 2000) -> DataFrame:
+def permutation_check(pred: DataFrame, draws: int, block_rows: int = 50_000_000) -> DataFrame:
     """Accuracy under shuffled labels: mean, maximum, and the share of draws at least as good.
 
-    Labels are permuted inside fixed random blocks of about ``block_rows`` contests, which keeps the
-    label counts and never orders all rows in one task.
+    With fixed picks, a random permutation of the labels only moves how many picked-home contests are
+    home wins, which is hypergeometric.  So the rows are counted once and each draw is one random number
+    per block; labels are shuffled within blocks of limited size, which keeps the label counts.
     """
-    total = pred.agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    rows = attach_row(pred.select("game_id", "y", "p"), total)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("game_id"), F.greatest(F.col("blocks"), F.lit(1))))
-    real = pred.agg(F.avg(hit("p", "y")).alias("accuracy"))
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    fixed = Window.partitionBy("draw", "block").orderBy(F.xxhash64("game_id", F.lit(7)), "game_id")
-    mixed = Window.partitionBy("draw", "block").orderBy(F.xxhash64("game_id", "draw"), "game_id")
-    placed = each.withColumns({"i": F.row_number().over(fixed), "j": F.row_number().over(mixed)})
-    labels = placed.select("draw", "block", F.col("i").alias("j"), F.col("y").alias("y2"))
-    per_draw = placed.join(labels, ["draw", "block", "j"]).groupBy("draw").agg(F.avg(hit("p", "y2")).alias("acc"))
+    picked = (F.col("p") >= 0.5).cast("long")
+    total = pred.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).alias("blocks"))
+    blocks = attach_row(pred.select("game_id", "y", "p"), total).groupBy(
+        F.pmod(F.xxhash64("game_id"), F.col("blocks")).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(picked).alias("picked"), F.sum("y").alias("wins"),
+        F.sum(hit("p", "y")).alias("hits"))
+
+    def shuffled(frames):
+        for pdf in frames:
+            out = []
+            for block, n, k, w in zip(pdf["block"], pdf["n"], pdf["picked"], pdf["wins"]):
+                both = np.random.default_rng([int(block), 20]).hypergeometric(int(w), int(n - w), int(k), draws) if k else np.zeros(draws)
+                out.append(pd.DataFrame({"draw": np.arange(draws), "n": n, "hits": 2.0 * both + n - k - w}))
+            yield pd.concat(out)
+
+    per_draw = (blocks.mapInPandas(shuffled, "draw long, n long, hits double").groupBy("draw")
+                .agg((F.sum("hits") / F.sum("n")).alias("acc")))
+    real = blocks.agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
     out = attach_row(per_draw, real)
     return out.groupBy("accuracy").agg(F.count(F.lit(1)).alias("draws"), F.avg("acc").alias("mean_shuffled"),
                                        F.max("acc").alias("max_shuffled"),

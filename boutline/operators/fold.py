@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from boutline.session import durable
+from boutline.session import durable, scratch_path
 
 MAX_ROWS = 2_000_000
 
@@ -53,8 +53,13 @@ def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, step: FoldStep, o
 
     state_df = spark.createDataFrame([], f"{keys_ddl}, {state}")
     pieces = []
+    if last > 0:
+        # Written once, one folder per stretch, so each step reads only its own rows.
+        path = scratch_path(spark, "fold")
+        rows.join(placed, [*by, day]).write.partitionBy("__chunk").parquet(path)
+        parts = spark.read.parquet(path)
     for chunk in range(last + 1):
-        part = rows if last == 0 else rows.join(placed.filter(F.col("__chunk") == chunk), [*by, day])
+        part = rows if last == 0 else parts.filter(F.col("__chunk") == chunk)
         both_df = part.groupBy(*by).cogroup(state_df.groupBy(*by)).applyInPandas(run, both)
         if last > 0:
             both_df = durable(both_df)

@@ -50,7 +50,7 @@ def split_by_game(games: DataFrame, cuts: Sequence[tuple[str, float]]) -> DataFr
 def split_stratified(games: DataFrame, label: str, share: float, salt: str = "") -> DataFrame:
     """A fixed share of each label held out, chosen by a hash of the contest id."""
     h = F.md5(F.concat(F.col("game_id").cast("string"), F.lit(salt)))
-    rows = games.withColumns({"__h": h, "__b": F.substring(h, 1, 3)})
+    rows = games.withColumns({"__h": h, "__b": F.substring(h, 1, 4)})
     rows = with_running(rows, [label], "__b", ["__h", "game_id"], totals={"__n": run_count("game_id")})
     return rows.withColumn("part", F.when(F.col("seq") <= F.floor(F.col("__n") * share), "validation").otherwise("fit")
                            ).drop("__h", "__b", "__n", "seq")

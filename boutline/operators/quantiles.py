@@ -4,7 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from boutline.session import stored
+
 ACCURACY = 100_000
+BROADCAST_ROWS = 50_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -25,8 +28,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.struct(F.lit(p).alias("prob"),
                  (F.col("lowest") if p - slack <= 0 else F.col("m")[2 * i]).alias("lo"),
                  (F.col("highest") if p + slack >= 1 else F.col("m")[2 * i + 1]).alias("hi")) for i, p in enumerate(probs)])))
+    if by:
+        # The number of groups is not known beforehand: write the brackets and look.
+        brackets = stored(brackets, "brackets")
+        small = brackets.count() <= BROADCAST_ROWS
+    else:
+        small = True  # one row per column and probability
     # Everything below a bracket only matters as a count, so it is folded into one value per bracket.
-    near = (long.join(brackets, [*by, "name"])
+    near = (long.join(F.broadcast(brackets) if small else brackets, [*by, "name"])
             .filter(F.col("v") <= F.col("hi"))
             .withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v")))
             .groupBy(*by, "name", "prob", "n", "v").agg(F.count(F.lit(1)).alias("k")))
@@ -66,7 +75,7 @@ def robust_stats(df: DataFrame, columns: Sequence[str], variant: str = "iqr") ->
     return both.select(F.inline(F.array(*rows)))
 
 
-def auc(pred: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", buckets: int = 4096) -> DataFrame:
+def auc(pred: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", buckets: int = 65_536) -> DataFrame:
     """Exact ROC AUC per group: ties count one half.
 
     Scores are counted per distinct value, then ordered inside score buckets whose lower

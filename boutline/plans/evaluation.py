@@ -185,7 +185,7 @@ def block_bootstrap(t):
 
 @query("permutation_check", "accuracy:d draws:b mean_shuffled:d max_shuffled:d p_value:d")
 def permutation_check(t):
-    return E.permutation_check(t.preds().filter("model_id = 'form'"), 50)
+    return E.permutation_check(t.preds().filter("model_id = 'form'"), 200)
 
 
 @query("robust_stats", "name:s median:d scale:d spread_scale:d", over("games", """

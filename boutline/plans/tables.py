@@ -498,3 +498,18 @@ def date_windows(t):
     w = A.date_windows(t.spark, "1997-01-01", "1997-12-31", 14)
     days = w.select("*", F.explode(F.sequence("window_start", "window_end")).alias("game_date"))
     return days.join(t.games().select("game_date", "game_id"), "game_date", "left").groupBy("window_start", "window_end").agg(F.count("game_id").alias("n"))
+
+
+@query("prediction_merge", "game_id:b p_market:d p_form:d p_prior:d p_mean:d", over("pw", """
+ SELECT game_id, p_market, p_form, CASE WHEN season >= 1997 THEN p_prior ELSE p_form END AS p_prior, (p_market + p_form + CASE WHEN season >= 1997 THEN p_prior ELSE p_form END) / 3e0 AS p_mean
+ FROM pw WHERE game_id % 3 <> 0"""))
+def prediction_merge(t):
+    p = t.preds()
+
+    def model(name):
+        return p.filter(F.col("model_id") == name).select("game_id", "season", F.col("p").alias(f"p_{name}"))
+
+    both = model("market").join(model("form").filter("game_id % 3 <> 0"), ["game_id", "season"])
+    out = both.join(model("prior").filter("season >= 1997"), ["game_id", "season"], "left")
+    out = out.withColumn("p_prior", F.coalesce("p_prior", "p_form"))
+    return out.withColumn("p_mean", (F.col("p_market") + F.col("p_form") + F.col("p_prior")) / 3.0)
