@@ -33,7 +33,8 @@ def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFr
         F.transform("met", lambda x, i: F.struct(x.alias("entity"), (F.size("met") - i).alias("back"))),
         F.transform("coming", lambda x: F.struct(x.alias("entity"), F.lit(0).alias("back"))))))
     facts = won.withColumn("one", F.lit(1))
-    rated = asof_running(wanted, facts, keys, DAY, TIE, {"w": "win", "g": "one"})
+    ends = won.groupBy("season").agg(F.max(DAY).alias("last_day"))
+    rated = asof_running(wanted, facts, keys, DAY, TIE, {"w": "win", "g": "one"}, ends, ["season"])
     pct = F.when(F.col("g") > 0, F.col("w") / F.col("g"))
     met, soon = F.col("back") > 0, F.col("back") == 0
     totals = rated.groupBy("season", F.col("me").alias("entity"), "game_id").agg(

@@ -28,29 +28,36 @@ def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, step: FoldStep, o
     by = list(by)
     spark = rows.sparkSession
     keys_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
-    empty = spark.createDataFrame([], f"{keys_ddl}, {out}")
-    out_cols = [c for c in empty.columns if c not in by]
-    state_cols = [c for c in spark.createDataFrame([], state).columns]
-    both = f"{keys_ddl}, __kind string, o struct<{out}>, s struct<{state}>"
-    both = both.replace("struct<" + out + ">", "struct<" + _typed(out) + ">").replace("struct<" + state + ">", "struct<" + _typed(state) + ">")
+    out_schema, state_schema = (spark.createDataFrame([], ddl).schema for ddl in (out, state))
+    flat = ", ".join([keys_ddl, "__kind string", *_prefixed(out_schema, "o_"), *_prefixed(state_schema, "s_")])
 
     per_day = rows.groupBy(*by, day).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     placed = per_day.select(*by, day, F.floor(F.coalesce(F.sum("__n").over(earlier), F.lit(0)) / max_rows).cast("int").alias("__chunk"))
     last = placed.agg(F.max("__chunk")).first()[0]
     if last is None:
-        return empty, spark.createDataFrame([], f"{keys_ddl}, {state}")
+        return spark.createDataFrame([], f"{keys_ddl}, {out}"), spark.createDataFrame([], f"{keys_ddl}, {state}")
 
     def run(key, pdf, prev):
-        produced, after = step(key, pdf.drop(columns=[c for c in ("__chunk",) if c in pdf]), prev[state_cols])
-        frame = pd.DataFrame({
-            "__kind": ["row"] * len(produced) + ["state"] * len(after),
-            "o": produced[out_cols].to_dict("records") + [None] * len(after),
-            "s": [None] * len(produced) + after[state_cols].to_dict("records")})
+        produced, after = step(key, pdf.drop(columns=[c for c in ("__chunk",) if c in pdf]), prev[state_schema.names])
+        parts = []
+        for frame, schema, kind, prefix in ((produced, out_schema, "row", "o_"), (after, state_schema, "state", "s_")):
+            # Nullable integers, since the other half of the rows has no value in these columns.
+            whole = {f.name: "Int64" for f in schema if f.dataType.typeName() in ("long", "integer")}
+            part = frame[schema.names].astype(whole).add_prefix(prefix)
+            part.insert(0, "__kind", kind)
+            parts.append(part)
+        both = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True).reindex(columns=names)
+        for c in objects:
+            both[c] = both[c].astype(object).where(both[c].notna(), None)
         for name, value in zip(by, key):
-            frame[name] = value
-        return frame[[*by, "__kind", "o", "s"]]
+            both[name] = value
+        return both[[*by, *names]]
 
+    names = ["__kind", *[f"o_{c}" for c in out_schema.names], *[f"s_{c}" for c in state_schema.names]]
+    numbers = ("long", "integer", "double")
+    objects = [p + f.name for p, schema in (("o_", out_schema), ("s_", state_schema))
+               for f in schema if f.dataType.typeName() not in numbers]
     state_df = spark.createDataFrame([], f"{keys_ddl}, {state}")
     pieces = []
     if last > 0:
@@ -60,17 +67,16 @@ def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, step: FoldStep, o
         parts = spark.read.parquet(path)
     for chunk in range(last + 1):
         part = rows if last == 0 else parts.filter(F.col("__chunk") == chunk)
-        both_df = part.groupBy(*by).cogroup(state_df.groupBy(*by)).applyInPandas(run, both)
+        both_df = part.groupBy(*by).cogroup(state_df.groupBy(*by)).applyInPandas(run, flat)
         if last > 0:
             both_df = durable(both_df)
-        pieces.append(both_df.filter("__kind = 'row'").select(*by, "o.*"))
-        state_df = both_df.filter("__kind = 'state'").select(*by, "s.*")
+        pieces.append(both_df.filter("__kind = 'row'").select(*by, *[F.col(f"o_{c}").alias(c) for c in out_schema.names]))
+        state_df = both_df.filter("__kind = 'state'").select(*by, *[F.col(f"s_{c}").alias(c) for c in state_schema.names])
     result = pieces[0]
     for p in pieces[1:]:
         result = result.unionByName(p)
     return result, state_df
 
 
-def _typed(ddl: str) -> str:
-    """``a long, b double`` as struct fields ``a: long, b: double``."""
-    return ", ".join(f"{c.split()[0]}: {' '.join(c.split()[1:])}" for c in ddl.split(", "))
+def _prefixed(schema, prefix: str) -> list[str]:
+    return [f"{prefix}{f.name} {f.dataType.simpleString()}" for f in schema]

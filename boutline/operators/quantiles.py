@@ -18,16 +18,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """
     by = list(by)
     long = df.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))).filter("v is not null")
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("__v")) for c in columns]))).filter("__v is not null")
     slack = 2.0 / ACCURACY
     marks = [m for p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = long.groupBy(*by, "name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
-        F.percentile_approx("v", marks, ACCURACY).alias("m"))
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lowest"), F.max("__v").alias("__highest"),
+        F.percentile_approx("__v", marks, ACCURACY).alias("__m"))
     brackets = sketch.select(*by, "name", "n", F.inline(F.array(*[
         F.struct(F.lit(p).alias("prob"),
-                 (F.col("lowest") if p - slack <= 0 else F.col("m")[2 * i]).alias("lo"),
-                 (F.col("highest") if p + slack >= 1 else F.col("m")[2 * i + 1]).alias("hi")) for i, p in enumerate(probs)])))
+                 (F.col("__lowest") if p - slack <= 0 else F.col("__m")[2 * i]).alias("__lo"),
+                 (F.col("__highest") if p + slack >= 1 else F.col("__m")[2 * i + 1]).alias("__hi")) for i, p in enumerate(probs)])))
     if by:
         # The number of groups is not known beforehand: write the brackets and look.
         brackets = stored(brackets, "brackets")
@@ -36,20 +36,20 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         small = True  # one row per column and probability
     # Everything below a bracket only matters as a count, so it is folded into one value per bracket.
     near = (long.join(F.broadcast(brackets) if small else brackets, [*by, "name"])
-            .filter(F.col("v") <= F.col("hi"))
-            .withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v")))
-            .groupBy(*by, "name", "prob", "n", "v").agg(F.count(F.lit(1)).alias("k")))
-    w = Window.partitionBy(*by, "name", "prob").orderBy(F.asc_nulls_first("v"))
-    upto = near.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .filter(F.col("__v") <= F.col("__hi"))
+            .withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
+            .groupBy(*by, "name", "prob", "n", "__v").agg(F.count(F.lit(1)).alias("__k")))
+    w = Window.partitionBy(*by, "name", "prob").orderBy(F.asc_nulls_first("__v"))
+    upto = near.withColumn("__upto", F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rank = (F.col("n") - 1) * F.col("prob")
 
     def at(k):
-        return F.min(F.when(F.col("upto") > k, F.col("v")))
+        return F.min(F.when(F.col("__upto") > k, F.col("__v")))
 
     low, high = F.floor(rank), F.ceil(rank)
-    return (upto.groupBy(*by, "name", "prob", "n").agg(at(low).alias("a"), at(high).alias("b"))
+    return (upto.groupBy(*by, "name", "prob", "n").agg(at(low).alias("__a"), at(high).alias("__b"))
             .select(*by, "name", "prob", "n",
-                    (F.col("a") + (F.col("b") - F.col("a")) * (rank - low)).alias("value")))
+                    (F.col("__a") + (F.col("__b") - F.col("__a")) * (rank - low)).alias("value")))
 
 
 def quantile_row(df: DataFrame, columns: Sequence[str], probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

@@ -4,12 +4,12 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boutline.functions.odds import clamp, log_loss, logit, sigmoid
 from boutline.operators.aggregates import best_candidate
-from boutline.operators.evaluate import metric_columns
 from boutline.operators.fold import MAX_ROWS, chunked_fold
 from boutline.operators.quantiles import robust_stats
 
@@ -107,21 +107,19 @@ def _per(total: float, n: int, empty: float) -> float:
     return total / n if n else empty
 
 
-def elo(games: DataFrame, params: EloParams | Mapping[int, EloParams], by: Sequence[str] = ("league",),
+def elo(games: DataFrame, params: EloParams, by: Sequence[str] = ("league",),
         max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
     """Pregame ratings and probability of every contest, and the final ratings.
 
-    ``games`` has season, game_date, game_id, home, away, margin (NULL when unplayed) and optionally
-    neutral.  With a mapping the column ``config_id`` (last of ``by``) picks the parameters.
+    ``games`` has season, game_date, game_id, home, away, margin (NULL when unplayed) and optionally neutral.
     """
     cols = [*by, "season", "game_date", "game_id", "home", "away", "margin"]
     if "neutral" in games.columns:
         cols.append("neutral")
-    table = params if isinstance(params, Mapping) else None
 
     def step(key, pdf, state):
         pdf = pdf.sort_values(["season", "game_date", "game_id"])
-        r = Ratings(table[int(key[-1])] if table is not None else params, state)
+        r = Ratings(params, state)
         neutral = pdf["neutral"].fillna(False).tolist() if "neutral" in pdf else [False] * len(pdf)
         done = [r.play(int(s), h, a, float("nan") if m is None else float(m), bool(n)) for s, h, a, m, n in zip(
             pdf["season"].tolist(), pdf["home"].tolist(), pdf["away"].tolist(), pdf["margin"].tolist(), neutral)]
@@ -133,13 +131,64 @@ def elo(games: DataFrame, params: EloParams | Mapping[int, EloParams], by: Seque
     return rated, state.filter("not is_season").drop("is_season")
 
 
+GRID_OUT = "config_id int, n long, accuracy double, log_loss double, brier double"
+GRID_STATE = "entity long, rating array<double>, last_season int, games long, wins double, margin double, is_season boolean"
+
+
+def grid_metrics(games: DataFrame, grid: Sequence[EloParams], by: Sequence[str] = ("league",),
+                 max_rows: int = MAX_ROWS) -> DataFrame:
+    """Metrics of every parameter set; a contest updates all sets at once as one vector.
+
+    Only sums per set leave a task.  The sets share the margin rule, the carry and the mean.
+    """
+    first = grid[0]
+    if any((p.margin, p.carry, p.mean) != (first.margin, first.carry, first.mean) for p in grid):
+        raise ValueError("a grid varies k, home and the form weights only")
+    k, home, form_win, form_margin = (np.array([getattr(p, f) for p in grid]) for f in ("k", "home", "form_win", "form_margin"))
+
+    def step(key, pdf, state):
+        r = Ratings(first, state)
+        for v in r.table.values():
+            v[0] = np.asarray(v[0])
+        total = np.zeros((3, len(grid)))
+        n = 0
+        pdf = pdf.sort_values(["season", "game_date", "game_id"])
+        for s, hid, aid, m in zip(pdf["season"].tolist(), pdf["home"].tolist(), pdf["away"].tolist(), pdf["margin"].tolist()):
+            if not r.seasons or r.seasons[-1] != s:
+                r.seasons.append(s)
+            h, a = r.at(hid, s), r.at(aid, s)
+            gap = (h[0] - a[0] + home + form_win * (_per(h[3], h[2], 0.5) - _per(a[3], a[2], 0.5))
+                   + form_margin * (_per(h[4], h[2], 0.0) - _per(a[4], a[2], 0.0)))
+            p = 1.0 / (1.0 + 10.0 ** (-gap / 400.0))
+            won = 1.0 if m > 0 else 0.0
+            if m != 0:
+                q = np.clip(p if won else 1.0 - p, 1e-6, 1.0 - 1e-6)
+                total += np.stack([(p >= 0.5) == bool(won), -np.log(q), (p - won) ** 2])
+                n += 1
+            actual = won if m else 0.5
+            scale = _k_scale(first, m, 0.0) if first.margin != "log" else np.array(
+                [_k_scale(first, m, g) for g in ((h[0] - a[0]) if m > 0 else (a[0] - h[0])) + np.zeros(len(grid))])
+            change = k * scale * (actual - p)
+            h[0], a[0] = h[0] + change, a[0] - change
+            for v, w, d in ((h, actual, m), (a, 1.0 - actual, -m)):
+                v[2] += 1
+                v[3] += w
+                v[4] += d
+        after = r.state()
+        after["rating"] = [(np.zeros(len(grid)) + x).tolist() for x in after["rating"]]
+        out = pd.DataFrame({"config_id": range(len(grid)), "n": n, "accuracy": total[0], "log_loss": total[1], "brier": total[2]})
+        return out, after
+
+    cols = [*by, "season", "game_date", "game_id", "home", "away", "margin"]
+    sums, _ = chunked_fold(games.filter("margin is not null").select(*cols), by, "game_date", step, GRID_OUT, GRID_STATE, max_rows)
+    n = F.sum("n")
+    return sums.groupBy(*by, F.col("config_id").alias("model_id")).agg(
+        n.alias("n"), *[(F.sum(c) / n).alias(c) for c in ("accuracy", "log_loss", "brier")])
+
+
 def tune_elo(games: DataFrame, grid: Sequence[EloParams], by: Sequence[str] = ("league",)) -> DataFrame:
-    """Metrics of every parameter set (all sets in parallel) and the best one per group."""
-    configs = {i: p for i, p in enumerate(grid)}
-    tried = games.withColumn("config_id", F.explode(F.array(*[F.lit(i) for i in configs])))
-    rated, _ = elo(tried, configs, [*by, "config_id"])
-    scored = rated.filter("y is not null").groupBy(*by, F.col("config_id").alias("model_id")).agg(*metric_columns("prob", "y"))
-    return best_candidate(scored, by)
+    """The best parameter set per group by log loss."""
+    return best_candidate(grid_metrics(games, grid, by), by)
 
 
 def latest_ratings(rated: DataFrame, by: Sequence[str] = ("league",)) -> DataFrame:
