@@ -19,15 +19,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     by = list(by)
     long = df.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("__v")) for c in columns]))).filter("__v is not null")
-    slack = 2.0 / ACCURACY
+    slack = 3.0 / ACCURACY
     marks = [m for p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = long.groupBy(*by, "name").agg(
         F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lowest"), F.max("__v").alias("__highest"),
         F.percentile_approx("__v", marks, ACCURACY).alias("__m"))
+    # Below this size one rank is wider than the bracket, and ordering every value is cheap.
+    few = F.col("n") < 2 * ACCURACY
     brackets = sketch.select(*by, "name", "n", F.inline(F.array(*[
         F.struct(F.lit(p).alias("prob"),
-                 (F.col("__lowest") if p - slack <= 0 else F.col("__m")[2 * i]).alias("__lo"),
-                 (F.col("__highest") if p + slack >= 1 else F.col("__m")[2 * i + 1]).alias("__hi")) for i, p in enumerate(probs)])))
+                 F.when(few, F.col("__lowest")).otherwise(F.col("__m")[2 * i]).alias("__lo"),
+                 F.when(few, F.col("__highest")).otherwise(F.col("__m")[2 * i + 1]).alias("__hi")) for i, p in enumerate(probs)])))
     if by:
         # The number of groups is not known beforehand: write the brackets and look.
         brackets = stored(brackets, "brackets")

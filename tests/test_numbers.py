@@ -30,6 +30,18 @@ def test_quantiles_and_auc(spark):
     assert (all_.n, all_.value) == (3000, pytest.approx(np.median([r[1] for r in rows])))
 
 
+def test_quantiles_by_sketch(spark, monkeypatch):
+    """A coarse sketch on more rows than its limit, so the brackets are really used."""
+    monkeypatch.setattr(Q, "ACCURACY", 500)
+    v = np.random.default_rng(2).normal(size=4001)
+    df = spark.createDataFrame([(float(x),) for x in v], "p double")
+    got = {r.prob: r.value for r in Q.exact_quantiles(df, ["p"], [0.0, 0.013, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for p, value in got.items():
+        assert value == pytest.approx(np.quantile(v, p), abs=1e-12)
+    few = spark.createDataFrame([(float(x),) for x in range(10)], "p double")
+    assert Q.exact_quantiles(few, ["p"], [0.25]).first().value == pytest.approx(2.25)
+
+
 def test_normal_cdf(spark):
     zs = [i / 20 for i in range(-120, 121)]
     got = spark.createDataFrame([(z,) for z in zs], "z double").select(O.normal_cdf("z").alias("p")).collect()
