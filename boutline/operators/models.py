@@ -12,21 +12,37 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from boutline.functions.odds import clamp, hit, log_loss, logit
 from boutline.operators.joins import attach_row
 from boutline.operators.quantiles import quantile_row
+from boutline.session import stored
 
 
-def prep(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Median imputation and standardisation, both learned on the training rows only."""
-    med = quantile_row(train, columns, {"med": 0.5})
+def fold_stats(df: DataFrame, columns: Sequence[str], seasons: Sequence[int]) -> DataFrame:
+    """Median, mean and spread of every column over the seasons before each fold's, one row per fold.
+
+    All folds come from one pass over the rows; a column's mean and spread count a gap as its median.
+    """
+    folds = F.array(*[F.lit(s) for s in seasons])
+    train = df.select(*columns, F.explode(F.filter(folds, lambda s: s > F.col("season"))).alias("fold"))
+    med = quantile_row(train, columns, {"med": 0.5}, ["fold"])
+    rows = train.join(F.broadcast(med), "fold")  # one row per fold
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_med"), F.lit(0.0)) for c in columns}
+    stats = rows.withColumns(filled).groupBy("fold").agg(*[x for c in columns for x in (
+        F.first(f"{c}_med").alias(f"{c}_med"), F.avg(c).alias(f"{c}_mu"), F.stddev_pop(c).alias(f"{c}_sd"))])
+    return stats.withColumns({f"{c}_sd": F.coalesce(F.nullif(F.col(f"{c}_sd"), F.lit(0.0)), F.lit(1.0)) for c in columns})
+
+
+def scale(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fill gaps with the median and standardise, by one row of statistics."""
+    rows = df.join(F.broadcast(stats.limit(1)))
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_med"), F.lit(0.0)) for c in columns}
-    stats = train.join(F.broadcast(med)).withColumns(filled).agg(
-        *[x for c in columns for x in (F.first(f"{c}_med").alias(f"{c}_med"), F.avg(c).alias(f"{c}_mu"), F.stddev_pop(c).alias(f"{c}_sd"))])
-    stats = stats.withColumns({f"{c}_sd": F.coalesce(F.nullif(F.col(f"{c}_sd"), F.lit(0.0)), F.lit(1.0)) for c in columns})
+    rows = rows.withColumns({c: (v - F.col(f"{c}_mu")) / F.col(f"{c}_sd") for c, v in filled.items()})
+    return rows.drop(*stats.columns)
 
-    def apply(df: DataFrame) -> DataFrame:
-        rows = df.join(F.broadcast(stats)).withColumns(filled)
-        return rows.withColumns({c: (F.col(c) - F.col(f"{c}_mu")) / F.col(f"{c}_sd") for c in columns}).drop(*stats.columns)
 
-    return apply(train), apply(test)
+def prep(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Median imputation and standardisation, both learned on the training rows only."""
+    learn = train.select(*columns, F.lit(0).alias("season"))
+    stats = stored(fold_stats(learn, columns, [1]), "scaling")
+    return scale(train, stats, columns), scale(test, stats, columns)
 
 
 def logistic(columns: Sequence[str], label: str, strength: float, weight: str | None = None, intercept: bool = True) -> Pipeline:
@@ -54,13 +70,13 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
 def walk_forward(df: DataFrame, columns: Sequence[str], label: str, seasons: Sequence[int],
                  build: Callable[[int], Pipeline], min_train: int = 2) -> DataFrame:
     """Out-of-fold probabilities: each season scored by a fit on all earlier seasons."""
+    tests = sorted(seasons)[min_train:]
+    stats = stored(fold_stats(df, columns, tests), "scaling")
     out = None
-    for i, season in enumerate(sorted(seasons)):
-        if i < min_train:
-            continue
-        train, test = prep(df.filter(F.col("season") < season), df.filter(F.col("season") == season), columns)
-        train = train.persist()
-        part = predict(build(train.count()).fit(train), test)
+    for season in tests:
+        one = stats.filter(F.col("fold") == season)
+        train = scale(df.filter(F.col("season") < season), one, columns).persist()
+        part = predict(build(train.count()).fit(train), scale(df.filter(F.col("season") == season), one, columns))
         train.unpersist()
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,6 +6,7 @@ when the output is read.
 """
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,12 +23,25 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parque
             .option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(path))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Size a new query's state by the cluster's parallelism: it is fixed at the first start and never coalesced."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_append(stream: DataFrame, path: str) -> DataFrame:
     """Drain an append-mode query into files and read them; a later run on the same path goes on from there."""
     spark = stream.sparkSession
-    query = (stream.writeStream.format("parquet").option("checkpointLocation", path + "-progress")
-             .outputMode("append").trigger(availableNow=True).start(path))
-    query.awaitTermination()
+    with state_partitions(spark):
+        query = (stream.writeStream.format("parquet").option("checkpointLocation", path + "-progress")
+                 .outputMode("append").trigger(availableNow=True).start(path))
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -40,9 +54,10 @@ def run_update(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    query = (stream.writeStream.option("checkpointLocation", path + "-progress").foreachBatch(write)
-             .outputMode("update").trigger(availableNow=True).start())
-    query.awaitTermination()
+    with state_partitions(spark):
+        query = (stream.writeStream.option("checkpointLocation", path + "-progress").foreachBatch(write)
+                 .outputMode("update").trigger(availableNow=True).start())
+        query.awaitTermination()
     rows = spark.read.option("basePath", path).parquet(path)
     values = [c for c in schema.names if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v"))
