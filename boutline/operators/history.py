@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from boutline.operators.joins import attach_row
 from boutline.operators.timeline import (first_of_day, mean_of, run_count, run_max, run_sum, signed_run, with_running,
                                          with_trailing)
 
@@ -213,14 +214,14 @@ def recency_weights(games: DataFrame, season_half_life: float, game_half_life: f
     seasons = (games.select("season").distinct()
                .withColumn("season_age", F.dense_rank().over(Window.orderBy(F.desc("season"))) - 1))
     size = games.agg(F.count(F.lit(1)).alias("n_rows"))
-    aged = (placed.join(seasons, "season").join(size)
+    aged = (attach_row(placed.join(seasons, "season"), size)
             .withColumn("game_age", F.col("n_rows") - F.col("position")))
     by_season = F.pow(F.lit(0.5), F.col("season_age") / season_half_life)
     by_game = F.pow(F.lit(0.5), F.col("game_age") / game_half_life)
     raw = {"season": by_season, "game": by_game, "hybrid": by_season * by_game, "none": F.lit(1.0)}[mode]
     raw_rows = aged.withColumn("raw", F.greatest(F.lit(floor), raw))
     mean = raw_rows.agg(F.avg("raw").alias("mean_raw"))
-    return raw_rows.join(mean).withColumn("weight", F.col("raw") / F.col("mean_raw"))
+    return attach_row(raw_rows, mean).withColumn("weight", F.col("raw") / F.col("mean_raw"))
 
 
 def regime(games: DataFrame) -> DataFrame:
