@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from boutline.session import ship
 from boutline.sources.contests import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,7 @@ def query(name: str, cols: str, sql: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
             return build(Tables(spark, folder)).select(*[_out(c, kind) for c, kind in spec])
 
         QUERIES[name] = run

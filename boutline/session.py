@@ -1,16 +1,33 @@
-"""Session helpers: the reliable checkpoint folder and durable intermediate results."""
+"""Session helpers: the code on the executors, the reliable checkpoint folder and durable intermediate results."""
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_boutline_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="boutline-code-")).resolve() / "boutline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    sc._boutline_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="boutline-")
         spark.conf.set("spark.checkpoint.dir", folder)
