@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from boutline.llm import byte_pairs, toxic_passages
+from boutline.llm.leaked_questions import leaked_questions
 from boutline.llm.near_copies import near_copies
-from boutline.llm.stored import table
+from boutline.llm.repeated_lines import drop_repeated_lines
+from boutline.llm.stored import held_out, table
 from boutline.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +34,38 @@ def query(name: str, sql: str | None = None):
 @query("op9_near_copies")
 def _near_copies(spark, folder):
     return near_copies(table(spark, folder, "documents"))
+
+
+@query("op4_repeated_lines", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ord FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT doc_id, ord, line, coalesce(doc_id <> keeper, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""")
+def _repeated_lines(spark, folder):
+    done = drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op5_toxic_passages")
+def _toxic_passages(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = held_out("doc_id", 4, 2)
+    model = toxic_passages.fit(docs, labels.where(~out))
+    return toxic_passages.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted", "passages")
+
+
+@query("op10_leaked_questions")
+def _leaked_questions(spark, folder):
+    return leaked_questions(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_byte_pairs")
+def _byte_pairs(spark, folder):
+    import public_tokenizers
+
+    return byte_pairs.digests(table(spark, folder, "documents"), byte_pairs.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")))

@@ -21,7 +21,7 @@ def map_arrow(df: DataFrame, task, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for out in task(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+                yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)
 

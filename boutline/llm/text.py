@@ -62,10 +62,15 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarr
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = BLANK, fold: bool = True) -> Words:
-    """Maximal runs of bytes that are no separators, within documents; ``fold`` hashes A-Z as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = BLANK, fold: bool = True, also: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes that are no separators, within documents; ``fold`` hashes A-Z as a-z.
+
+    ``also`` marks positions that belong to words although they hold a separator byte (which does not count in the hash).
+    """
     n = len(data)
     inside = ~separator[data]
+    if also is not None:
+        inside |= also
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = inside.copy(), inside.copy()
