@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boutline.llm import byte_pairs, toxic_passages
+from boutline.llm import byte_pairs, factorization, toxic_passages, url_templates
 from boutline.llm.leaked_questions import leaked_questions
 from boutline.llm.near_copies import near_copies
 from boutline.llm.repeated_lines import drop_repeated_lines
+from boutline.llm.repetition import quality_rules
+from boutline.llm.secret_literals import secrets
 from boutline.llm.stored import held_out, table
 from boutline.session import ship
 
@@ -69,3 +71,45 @@ def _byte_pairs(spark, folder):
     import public_tokenizers
 
     return byte_pairs.digests(table(spark, folder, "documents"), byte_pairs.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op2_factorization")
+def _factorization(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = held_out("doc_id", 5, 0)
+    machine = factorization.fit(docs, labels.where(~out))
+    return factorization.score(docs, machine).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+# The rules that the query is to apply.
+RULES = [url_templates.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+                                          ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
+
+
+@query("op3_url_templates", url_templates.oracle(RULES))
+def _url_templates(spark, folder):
+    return url_templates.judge_urls(table(spark, folder, "pages"), RULES)
+
+
+@query("op6_secret_literals")
+def _secret_literals(spark, folder):
+    return secrets(table(spark, folder, "documents"))
+
+
+@query("op8_repetition", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, coalesce(text, '') AS text FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM i WHERE i + 7 <= len(ws)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM s) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(0, 8) AS t(k) GROUP BY doc_id),
+far AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, md5(array_to_string(ws[i:i + 200], ' ')) AS s FROM i WHERE i + 200 <= len(ws)) GROUP BY doc_id, s HAVING count(*) > 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, far.doc_id IS NOT NULL AS is_far
+  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN far ON far.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= 0.2e0 * n_words AND NOT is_far AS kept FROM b""")
+def _repetition(spark, folder):
+    return quality_rules(table(spark, folder, "documents")).drop("longest_repeat")

@@ -44,6 +44,13 @@ def tokens(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     return found, (found.hash & np.uint64(buckets - 1)).astype(np.int64)
 
 
+def weigh(found, bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each token's weight; one that repeats the token before it says nothing new and has weight 0."""
+    out = weight[bucket].astype(float)
+    out[1:][(bucket[1:] == bucket[:-1]) & (found.doc[1:] == found.doc[:-1])] = 0
+    return out
+
+
 def maximal_segments(left: list[float], right: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments, in linear time, as (first, last, score).
 
@@ -161,7 +168,7 @@ def _scan(rows: DataFrame, weight: np.ndarray, drift: float) -> DataFrame:
                 found, bucket = tokens(data, offsets, len(weight))
                 count = len(offsets) - 1
                 ns.extend(np.bincount(found.doc, minlength=count).tolist())
-                scores.extend([s.score for s in own] for own in document_segments(weight[bucket].astype(float), found.doc, count, drift))
+                scores.extend([s.score for s in own] for own in document_segments(weigh(found, bucket, weight), found.doc, count, drift))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(ns, pa.int64()),
                                               pa.array(scores, pa.list_(pa.float64()))], names=["id", "y", "n", "scores"])
 
@@ -213,7 +220,7 @@ def judge(texts: pa.Array, model: Model) -> list[tuple[float, str]]:
         found, bucket = tokens(data, offsets, len(model.weight))
         count = len(offsets) - 1
         ns = np.bincount(found.doc, minlength=count)
-        for own, n in zip(document_segments(model.weight[bucket].astype(float), found.doc, count, model.drift), ns):
+        for own, n in zip(document_segments(weigh(found, bucket, model.weight), found.doc, count, model.drift), ns):
             x = evidence(own, n, model.rate, model.scale)
             out.append((float(1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))),
                         ",".join(f"{s.first}-{s.last}" for s in own if model.rate * s.score > np.log(model.scale * max(n, 1) / 0.05))))
