@@ -12,6 +12,7 @@ from boutline.llm.near_copies import near_copies
 from boutline.llm.repeated_lines import drop_repeated_lines
 from boutline.llm.repetition import quality_rules
 from boutline.llm.secret_literals import secrets
+from boutline.llm.shared_passages import shared_passages
 from boutline.llm.stored import held_out, table
 from boutline.session import ship
 
@@ -113,3 +114,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= 0.2e0 * n_words AND NOT is_far AS kept FROM b""")
 def _repetition(spark, folder):
     return quality_rules(table(spark, folder, "documents")).drop("longest_repeat")
+
+
+@query("op1_shared_passages")
+def _shared_passages(spark, folder):
+    return shared_passages(table(spark, folder, "documents"))

@@ -13,12 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from boutline.llm.stored import arrow_schema, map_arrow, stored
+from boutline.llm.seen_twice import FILTER_WORDS, seen_twice, suspected
+from boutline.llm.stored import map_arrow, spread_join, stored
 
-#: 64-bit words of each filter: 2^21 words are 2^27 bits, 16 MB.
-FILTER_WORDS = 1 << 21
-#: Parts in which the filters are merged, each by one task.
-SEGMENTS = 64
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -37,70 +34,8 @@ def long_keys(text: bytes, shortest: int) -> set[bytes]:
     return out
 
 
-def _places(keys, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each key's word in the filter, and its three bits there."""
-    h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-    mask = np.zeros(len(h), np.uint64)
-    for shift in (40, 46, 52):
-        mask |= np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
-    return (h % np.uint64(words)).astype(np.int64), mask
-
-
-def _note(once: np.ndarray, twice: np.ndarray, at: np.ndarray, mask: np.ndarray) -> None:
-    """One document's lines, or another task's filter words: what is there already goes to ``twice`` as well."""
-    for i, m in zip(at.tolist(), mask.tolist()):
-        seen = int(once[i])
-        if seen & m:
-            twice[i] |= np.uint64(seen & m)
-        once[i] = seen | m
-
-
-def repeat_filter(docs: DataFrame, text: str, shortest: int, words: int = FILTER_WORDS) -> np.ndarray:
-    """The filter of lines seen at least twice, ``words`` 64-bit words long."""
-    width = max(1, words // SEGMENTS)
-
-    def build(batches):
-        once, twice = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
-        for batch in batches:
-            seen = [k for value in batch.column(0) for k in long_keys(value.as_py() or b"", shortest)]
-            at, mask = _places(seen, words)
-            order = np.argsort(at, kind="stable")
-            at, mask = at[order], mask[order]
-            lone = np.ones(len(at), bool)
-            lone[1:] &= at[1:] != at[:-1]
-            lone[:-1] &= at[1:] != at[:-1]
-            one, bits = at[lone], mask[lone]
-            twice[one] |= once[one] & bits
-            once[one] |= bits
-            _note(once, twice, at[~lone], mask[~lone])
-        for s in range(0, words, width):
-            at = np.flatnonzero(once[s:s + width])
-            if len(at):
-                yield pa.RecordBatch.from_pydict({
-                    "segment": [s // width], "place": [at.astype(np.uint32).tobytes()],
-                    "once": [once[s + at].tobytes()], "twice": [twice[s + at].tobytes()]}, schema=arrow_schema(schema))
-
-    def merge(batches):
-        segments: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                once, twice = segments.setdefault(row["segment"], (np.zeros(width, np.uint64), np.zeros(width, np.uint64)))
-                at = np.frombuffer(row["place"], np.uint32)
-                own = np.frombuffer(row["once"], np.uint64)
-                twice[at] |= np.frombuffer(row["twice"], np.uint64) | (once[at] & own)
-                once[at] |= own
-        for s, (_, twice) in segments.items():
-            at = np.flatnonzero(twice)
-            yield pa.RecordBatch.from_pydict({"segment": [s], "place": [at.astype(np.uint32).tobytes()],
-                                              "twice": [twice[at].tobytes()]}, schema=arrow_schema(merged))
-
-    schema, merged = "segment int, place binary, once binary, twice binary", "segment int, place binary, twice binary"
-    parts = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(build, schema)
-    out = np.zeros(words, np.uint64)
-    # At most the filter itself, whose size is fixed, reaches the driver.
-    for row in parts.repartition(SEGMENTS, "segment").mapInArrow(merge, merged).collect():
-        out[row["segment"] * width + np.frombuffer(row["place"], np.uint32)] = np.frombuffer(row["twice"], np.uint64)
-    return out
+def key_hashes(keys) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
 
 
 def suspects(docs: DataFrame, doc_id: str, text: str, shortest: int, twice: np.ndarray) -> DataFrame:
@@ -114,8 +49,7 @@ def suspects(docs: DataFrame, doc_id: str, text: str, shortest: int, twice: np.n
                 own = long_keys(value.as_py() or b"", shortest)
                 owners.extend([d] * len(own))
                 keys.extend(own)
-        at, mask = _places(keys, len(shared.value))
-        hit = np.flatnonzero((shared.value[at] & mask) == mask)
+        hit = np.flatnonzero(suspected(key_hashes(keys), shared.value))
         yield {"doc_id": [owners[i] for i in hit], "key": [keys[i].decode() for i in hit]}
 
     return map_arrow(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary").alias("t")), task, "doc_id long, key string")
@@ -130,10 +64,14 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     is one empty line. Rows that share an id are one document; a row without an id counts as none and keeps its lines. All
     other columns pass unchanged, whatever their names; ``n_lines`` and ``n_dropped`` replace columns so named.
     """
-    found = stored(suspects(docs, doc_id, text, shortest, repeat_filter(docs, text, shortest, words)), "suspects")
+    def hashes(batch):
+        yield key_hashes([k for value in batch.column(0) for k in long_keys(value.as_py() or b"", shortest)])
+
+    twice = seen_twice(docs.select(F.col(text).cast("binary").alias("t")), hashes, words)
+    found = stored(suspects(docs, doc_id, text, shortest, twice), "suspects")
     repeated = (found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
                 .where(F.col("n") >= least).select("key", "keeper"))
-    drops = (found.join(repeated, "key").where("doc_id <> keeper")
+    drops = (spread_join(found, repeated, ["key"], "doc_id").where("doc_id <> keeper")
              .groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__drop")))
 
     @F.arrow_udf("struct<t string, n_lines bigint, n_dropped bigint>")

@@ -5,15 +5,31 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boutline.session import stored
+from boutline.session import scratch_path, stored
 
-__all__ = ["arrow_schema", "bounded_sample", "held_out", "map_arrow", "stored", "table"]
+__all__ = ["arrow_schema", "bounded_sample", "bucketed", "held_out", "map_arrow", "spread_join", "stored", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write a table in hash buckets below the shared folder and read it back: joins on ``key`` then shuffle the other side only.
+
+    There are as many buckets as shuffle partitions. Nothing is shuffled to write them; the catalog's entry lasts no longer than
+    this call, the files as long as the folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = "boutline_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def map_arrow(df: DataFrame, task, schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one record batch to record batches (or dicts of columns)."""
     kinds = arrow_schema(schema)
@@ -48,3 +64,10 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     share = min(1.0, 1.1 * most / max(1, count))
     near = rows.where(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else rows
     return near.orderBy(place, key).limit(most)
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, salts: int = 8) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row per key: a frequent key's rows of ``many`` go to ``salts`` partitions
+    by their column ``by``, and each of them gets a copy of the key's row. The result is the plain join's."""
+    copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")
