@@ -1,7 +1,7 @@
 """Benchmark decontamination on templates.
 
 A text becomes a sequence of template words: a number, a name, or a unit after a number turns into a typed placeholder, any
-other word stays as it is. Windows of template words are joined by hash with the benchmark's, so a question with other
+other word stays as it is, in small letters. Windows of template words are joined by hash with the benchmark's, so a question with other
 numbers and names still meets its original. What the placeholders stand for must then agree: one value of the question has to
 become one value in the document throughout.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from boutline.llm.stored import arrow_schema, stored
-from boutline.llm.text import PUNCTUATION, pieces, windows, words
+from boutline.llm.text import PUNCTUATION, fold_latin, pieces, windows, words
 
 #: Units that count as such after a number, folded to lower case.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres "
@@ -60,7 +60,7 @@ def template(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> Templa
         also[cut - 1] = False
     else:
         also = None
-    found = words(data, offsets, PUNCTUATION, also=also)
+    found = words(fold_latin(data), offsets, PUNCTUATION, also=also)
     if not len(found.start):
         return Template(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64)))
     head = data[found.start]

@@ -36,6 +36,15 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals À to Þ made small; A-Z are folded by the hashes."""
+    out = data.copy()
+    if len(data) > 1:
+        after = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][after] += 0x20
+    return out
+
+
 class Words(NamedTuple):
     """Words of several documents in order: byte offsets, the document's index, and a 64-bit hash."""
 
