@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.stored import bounded_sample, map_arrow
 from boutline.llm.text import BLANK, PUNCTUATION, pieces, words
+from boutline.session import ship
 
 #: Hashed words.
 BUCKETS = 1 << 14
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str
 
     Labels without an id or value are no examples; several labels of one id are its largest.
     """
+    ship(docs.sparkSession)
     examples = bounded_sample(labelled.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
                               .where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y")), "id", sample)
     chosen = (docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.coalesce(F.col(n_chars).cast("long"), F.lit(-1)).alias("n"))

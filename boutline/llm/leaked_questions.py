@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from boutline.llm.stored import arrow_schema, stored
 from boutline.llm.text import PUNCTUATION, fold_latin, pieces, windows, words
+from boutline.session import ship
 
 #: Units that count as such after a number, folded to lower case.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres "
@@ -89,6 +90,7 @@ def template(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> Templa
 def _windowed(rows: DataFrame, size: int, plain: int, bitmap=None) -> DataFrame:
     """(id, pos, h, slots) of template windows with at least ``plain`` plain words; with a bitmap, of those that it has."""
     schema = "id long, pos int, h long, slots array<long>"
+    ship(rows.sparkSession)
     units = _unit_hashes()
 
     def run(batches):

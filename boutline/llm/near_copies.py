@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.components import components
 from boutline.llm.stored import arrow_schema, stored
+from boutline.session import ship
 
 _LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 _SIGN = 1 << 63
@@ -51,6 +52,7 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(doc_id, fingerprint long) of every row; a text without words, or null, has fingerprint 0."""
     schema = f"{doc_id} long, fingerprint long"
+    ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

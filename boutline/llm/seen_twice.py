@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from boutline.llm.stored import arrow_schema
+from boutline.session import ship
 
 #: 64-bit words of each filter: 2^21 words are 2^27 bits, 16 MB.
 FILTER_WORDS = 1 << 21
@@ -52,6 +53,7 @@ def suspected(hashes: np.ndarray, twice: np.ndarray) -> np.ndarray:
 
 def seen_twice(rows: DataFrame, hashes, words: int = FILTER_WORDS) -> np.ndarray:
     """The filter of hashes seen at least twice; ``hashes`` gives arrays of 64-bit hashes of a record batch of ``rows``."""
+    ship(rows.sparkSession)
     width = max(1, words // SEGMENTS)
     schema, merged = "segment int, place binary, once binary, twice binary", "segment int, place binary, twice binary"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boutline.session import scratch_path, stored
+from boutline.session import scratch_path, ship, stored
 
 __all__ = ["arrow_schema", "bounded_sample", "bucketed", "held_out", "map_arrow", "spread_join", "stored", "table"]
 
@@ -33,6 +33,7 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
 def map_arrow(df: DataFrame, task, schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one record batch to record batches (or dicts of columns)."""
     kinds = arrow_schema(schema)
+    ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:

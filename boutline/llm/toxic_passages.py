@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.stored import arrow_schema, bounded_sample, map_arrow
 from boutline.llm.text import PUNCTUATION, pieces, words
+from boutline.session import ship
 
 #: Hashed tokens; a model is this many 4-byte weights.
 BUCKETS = 1 << 18
@@ -100,6 +101,7 @@ def evidence(segments: list[Segment], n: int, rate: float, scale: float, level:
 
 def _presence(docs: DataFrame, text: str, marks: list, buckets: int) -> DataFrame:
     """(bucket, n...) for each mark (0/1 column): documents that hold the bucket's token; summed by Spark."""
+    ship(docs.sparkSession)
     names = [f"n{i}" for i in range(len(marks))]
     schema = ", ".join(["bucket int", *(f"{n} long" for n in names)])
 
@@ -246,6 +248,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def without_toxic(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", cut: float = 0.3) -> DataFrame:
     """Rows whose score is below ``cut``, scored in place: nothing is shuffled, and all columns pass unchanged."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
