@@ -55,7 +55,7 @@ def split_pair(c) -> tuple[Column, Column]:
 def _accents() -> tuple[str, str]:
     """Every letter whose compatibility decomposition starts with one ASCII letter, and that letter."""
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1 and plain.isalpha():
             pairs.append((chr(code), plain))

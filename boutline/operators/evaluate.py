@@ -1,5 +1,6 @@
 """Forecast evaluation over long predictions (model_id, season, game_id, y, p)."""
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -220,32 +221,51 @@ def block_bootstrap(pred_wide: DataFrame, a: str, b: str, draws: int, block: str
     return attach_row(spread, point)
 
 
-def permutation_check(pred: DataFrame, draws: int, block_rows: int = 50_000_000) -> DataFrame:
-    """Accuracy under shuffled labels: mean, maximum, and the share of draws at least as good.
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! by Stirling's series, exact to rounding."""
+    n = np.asarray(n, float)
+    small = np.cumsum(np.concatenate([[0.0], np.log(np.arange(1.0, 32.0))]))
+    x = np.maximum(n, 31.0)
+    series = (x + 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5)
+    return np.where(n < 32, small[np.minimum(n, 31).astype(int)], series)
 
-    With fixed picks, a random permutation of the labels only moves how many picked-home contests are
-    home wins, which is hypergeometric.  So the rows are counted once and each draw is one random number
-    per block; labels are shuffled within blocks of limited size, which keeps the label counts.
+
+def hypergeometric(good: int, bad: int, taken: int, u: np.ndarray) -> np.ndarray:
+    """Quantiles at ``u`` of the number of good ones among ``taken``; sizes have no upper limit.
+
+    Probabilities are summed over twelve standard deviations around the mean, beyond which nothing is left in double precision.
+    """
+    n = good + bad
+    low, high = max(0, taken - bad), min(good, taken)
+    mean = taken * good / max(n, 1)
+    sd = math.sqrt(max(mean * (bad / max(n, 1)) * (n - taken) / max(n - 1, 1), 0.0))
+    k = np.arange(max(low, int(mean - 12 * sd) - 2), min(high, int(mean + 12 * sd) + 2) + 1)
+    lp = -(log_factorial(k) + log_factorial(good - k) + log_factorial(taken - k) + log_factorial(bad - taken + k))
+    p = np.exp(lp - lp.max())
+    return k[np.minimum(np.searchsorted(np.cumsum(p) / p.sum(), u), len(k) - 1)]
+
+
+def permutation_check(pred: DataFrame, draws: int, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy under shuffled labels, per ``by``: mean, maximum, and the share of draws at least as good.
+
+    With fixed picks, a random permutation of all labels only moves how many picked-home contests are home wins, which is
+    hypergeometric. So the rows are counted once, and each draw is one random number; the same at every size.
     """
     picked = (F.col("p") >= 0.5).cast("long")
-    total = pred.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).alias("blocks"))
-    blocks = attach_row(pred.select("game_id", "y", "p"), total).groupBy(
-        F.pmod(F.xxhash64("game_id"), F.col("blocks")).alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(picked).alias("picked"), F.sum("y").alias("wins"),
-        F.sum(hit("p", "y")).alias("hits"))
+    counts = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(picked).alias("picked"), F.sum("y").cast("long").alias("wins"),
+                                   F.sum(hit("p", "y")).alias("hits"))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*by).schema)
 
     def shuffled(frames):
         for pdf in frames:
             out = []
-            for block, n, k, w in zip(pdf["block"], pdf["n"], pdf["picked"], pdf["wins"]):
-                both = np.random.default_rng([int(block), 20]).hypergeometric(int(w), int(n - w), int(k), draws) if k else np.zeros(draws)
-                out.append(pd.DataFrame({"draw": np.arange(draws), "n": n, "hits": 2.0 * both + n - k - w}))
-            yield pd.concat(out)
-
-    per_draw = (blocks.mapInPandas(shuffled, "draw long, n long, hits double").groupBy("draw")
-                .agg((F.sum("hits") / F.sum("n")).alias("acc")))
-    real = blocks.agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
-    out = attach_row(per_draw, real)
-    return out.groupBy("accuracy").agg(F.count(F.lit(1)).alias("draws"), F.avg("acc").alias("mean_shuffled"),
-                                       F.max("acc").alias("max_shuffled"),
-                                       F.avg((F.col("acc") >= F.col("accuracy")).cast("double")).alias("p_value"))
+            for row in pdf.itertuples(index=False):
+                n, k, w = int(row.n), int(row.picked), int(row.wins)
+                both = hypergeometric(w, n - w, k, np.random.default_rng(20).random(draws))
+                acc = (2.0 * both + n - k - w) / n
+                real = row.hits / n
+                out.append((*[getattr(row, b) for b in by], real, draws, acc.mean(), acc.max(), float((acc >= real).mean())))
+            yield pd.DataFrame(out, columns=[*by, "accuracy", "draws", "mean_shuffled", "max_shuffled", "p_value"])
+
+    return counts.where("n > 0").mapInPandas(shuffled, (keys + ", " if keys else "")
+                                            + "accuracy double, draws long, mean_shuffled double, max_shuffled double, p_value double")

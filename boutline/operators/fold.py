@@ -60,16 +60,13 @@ def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, step: FoldStep, o
                for f in schema if f.dataType.typeName() not in numbers]
     state_df = spark.createDataFrame([], f"{keys_ddl}, {state}")
     pieces = []
-    if last > 0:
-        # Written once, one folder per stretch, so each step reads only its own rows.
-        path = scratch_path(spark, "fold")
-        rows.join(placed, [*by, day]).write.partitionBy("__chunk").parquet(path)
-        parts = spark.read.parquet(path)
+    # Written once, one folder per stretch, so each step reads only its own rows.
+    path = scratch_path(spark, "fold")
+    rows.join(placed, [*by, day]).write.partitionBy("__chunk").parquet(path)
+    parts = spark.read.parquet(path)
     for chunk in range(last + 1):
-        part = rows if last == 0 else parts.filter(F.col("__chunk") == chunk)
-        both_df = part.groupBy(*by).cogroup(state_df.groupBy(*by)).applyInPandas(run, flat)
-        if last > 0:
-            both_df = durable(both_df)
+        part = parts.filter(F.col("__chunk") == chunk)
+        both_df = durable(part.groupBy(*by).cogroup(state_df.groupBy(*by)).applyInPandas(run, flat))
         pieces.append(both_df.filter("__kind = 'row'").select(*by, *[F.col(f"o_{c}").alias(c) for c in out_schema.names]))
         state_df = both_df.filter("__kind = 'state'").select(*by, *[F.col(f"s_{c}").alias(c) for c in state_schema.names])
     result = pieces[0]

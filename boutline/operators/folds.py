@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boutline.functions.odds import brier, clamp, hit, log_loss, logit, sigmoid
-from boutline.operators import aggregates as A
 from boutline.operators.joins import attach_row  # noqa: F401
 from boutline.operators.quantiles import quantile_row
 from boutline.operators.timeline import run_count, with_running
@@ -270,7 +269,3 @@ def recency_grid(games: DataFrame, modes: Sequence[str], season_half_lives: Sequ
     return rows.groupBy("mode", "season_hl", "game_hl", "floor_w").agg(
         F.count(F.lit(1)).alias("n"), F.avg(w).alias("mean_weight"),
         (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"))
-
-
-def best_model(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    return A.best_candidate(metrics, by)

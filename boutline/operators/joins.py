@@ -108,5 +108,7 @@ def reconcile(derived: DataFrame, published: DataFrame, on: Sequence[str], value
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row."""
-    return df.join(F.broadcast(row.limit(1)))
+    """Add the columns of ``row`` to every row; anything but one row in it is an error."""
+    one = row.agg(F.count(F.lit(1)).alias("__k"), F.first(F.struct("*")).alias("__r"))
+    checked = F.when(F.col("__k") == 1, F.col("__r")).otherwise(F.raise_error(F.concat(F.lit("one row expected, not "), F.col("__k").cast("string"))))
+    return df.join(F.broadcast(one.select(checked.alias("__r")))).select("*", "__r.*").drop("__r")

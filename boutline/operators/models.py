@@ -7,11 +7,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import Bucketizer, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boutline.functions.odds import clamp, hit, log_loss, logit
 from boutline.operators.joins import attach_row
 from boutline.operators.quantiles import quantile_row
+from boutline.operators.timeline import with_running
 from boutline.session import stored
 
 
@@ -32,7 +33,7 @@ def fold_stats(df: DataFrame, columns: Sequence[str], seasons: Sequence[int]) ->
 
 def scale(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill gaps with the median and standardise, by one row of statistics."""
-    rows = df.join(F.broadcast(stats.limit(1)))
+    rows = attach_row(df, stats)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_med"), F.lit(0.0)) for c in columns}
     rows = rows.withColumns({c: (v - F.col(f"{c}_mu")) / F.col(f"{c}_sd") for c, v in filled.items()})
     return rows.drop(*stats.columns)
@@ -106,18 +107,21 @@ def beta_calibration(train: DataFrame, test: DataFrame, p: str = "p", label: str
 
 
 def isotonic(train: DataFrame, test: DataFrame, p: str = "p", label: str = "y", weight: str | None = None) -> DataFrame:
-    """Isotonic fit applied as a step function (the value of the last boundary at or below p)."""
-    est = IsotonicRegression(featuresCol=p, labelCol=label)
-    if weight:
-        est = est.setWeightCol(weight)
-    model = est.fit(train)
-    bounds, values = list(model.boundaries), list(model.predictions)
+    """Isotonic fit applied as a step function (the value of the last boundary at or below p, the first one's below all).
+
+    Scores are rounded to 1e-6 first, one weighted row per distinct score, so the fit sees at most a million rows and its
+    boundaries are at most as many, however long the table is.
+    """
+    grid = F.round(F.col(p), 6)
+    w = F.col(weight) if weight else F.lit(1.0)
+    points = train.groupBy(grid.alias("__x")).agg((F.sum(F.col(label) * w) / F.sum(w)).alias("__y"), F.sum(w).alias("__w"))
+    model = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w").fit(points)
     # Both ends of a pooled block carry its value; one boundary per distinct score is enough.
-    table = sorted({b: v for b, v in zip(bounds, values)}.items())
+    table = sorted({b: v for b, v in zip(model.boundaries, model.predictions)}.items())
     splits = [float("-inf"), *[b for b, _ in table[1:]], float("inf")]
     steps = F.array(*[F.lit(float(v)) for _, v in table])
-    at = Bucketizer(splits=splits, inputCol=p, outputCol="__at").transform(test)
-    return at.withColumn("calibrated", F.element_at(steps, F.col("__at").cast("int") + 1)).drop("__at")
+    at = Bucketizer(splits=splits, inputCol="__x", outputCol="__at").transform(test.withColumn("__x", grid))
+    return at.withColumn("calibrated", F.element_at(steps, F.col("__at").cast("int") + 1)).drop("__at", "__x")
 
 
 def stack(train: DataFrame, test: DataFrame, models: Sequence[str], label: str = "y", intercept: bool = True) -> DataFrame:
@@ -148,18 +152,24 @@ def kfold_stack(df: DataFrame, groups: dict[str, Sequence[str]], label: str, k:
     return stack(out, out, list(groups), label)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], label: str, block_rows: int = 2000) -> DataFrame:
-    """Loss increase when one column is shuffled, inside random blocks of limited size."""
-    total = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).alias("blocks"))
-    rows = attach_row(df, total).withColumn("block", F.pmod(F.xxhash64("game_id"), F.col("blocks")))
-    fixed = Window.partitionBy("block").orderBy(F.xxhash64("game_id", F.lit(1)), "game_id")
-    placed = rows.withColumn("i", F.row_number().over(fixed))
+def shuffled_places(df: DataFrame, salt: str, key: str = "game_id") -> DataFrame:
+    """Column ``i``: the row's place, from 1, in the order of a salted hash over all rows.
+
+    Places come from counts of hash prefixes and an order within each prefix, so that no task sorts everything.
+    """
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(salt)))
+    rows = df.withColumns({"__all": F.lit(0), "__h": h, "__b": F.substring(h, 1, 4)})
+    return with_running(rows, ["__all"], "__b", ["__h", key], totals={}).withColumnRenamed("seq", "i").drop("__all", "__h", "__b")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Loss increase when one column is shuffled over all rows."""
+    placed = stored(shuffled_places(df, "fixed"), "placed")
     base = predict(model, df).agg(F.avg(log_loss("p", label)).alias("base"))
     out = None
-    for n, c in enumerate(columns):
-        mixed = Window.partitionBy("block").orderBy(F.xxhash64("game_id", F.lit(100 + n)), "game_id")
-        donor = rows.select("block", F.col(c).alias("__v"), F.row_number().over(mixed).alias("i"))
-        swapped = placed.join(donor, ["block", "i"]).withColumn(c, F.col("__v"))
+    for c in columns:
+        donor = shuffled_places(df.select("game_id", F.col(c).alias("__v")), c).select("__v", "i")
+        swapped = placed.join(donor, "i").withColumn(c, F.col("__v"))
         part = predict(model, swapped).agg(F.avg(log_loss("p", label)).alias("loss"), F.avg(hit("p", label)).alias("accuracy"))
         part = part.select(F.lit(c).alias("feature"), "loss", "accuracy")
         out = part if out is None else out.unionByName(part)

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from boutline.session import stored
 
 ACCURACY = 100_000
-BROADCAST_ROWS = 50_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -30,14 +29,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.struct(F.lit(p).alias("prob"),
                  F.when(few, F.col("__lowest")).otherwise(F.col("__m")[2 * i]).alias("__lo"),
                  F.when(few, F.col("__highest")).otherwise(F.col("__m")[2 * i + 1]).alias("__hi")) for i, p in enumerate(probs)])))
-    if by:
-        # The number of groups is not known beforehand: write the brackets and look.
-        brackets = stored(brackets, "brackets")
-        small = brackets.count() <= BROADCAST_ROWS
-    else:
-        small = True  # one row per column and probability
+    # A row per group, column and probability: Spark sends it to every task if it is small, by its measured size.
     # Everything below a bracket only matters as a count, so it is folded into one value per bracket.
-    near = (long.join(F.broadcast(brackets) if small else brackets, [*by, "name"])
+    near = (long.join(stored(brackets, "brackets"), [*by, "name"])
             .filter(F.col("__v") <= F.col("__hi"))
             .withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
             .groupBy(*by, "name", "prob", "n", "__v").agg(F.count(F.lit(1)).alias("__k")))
@@ -49,7 +43,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         return F.min(F.when(F.col("__upto") > k, F.col("__v")))
 
     low, high = F.floor(rank), F.ceil(rank)
-    return (upto.groupBy(*by, "name", "prob", "n").agg(at(low).alias("__a"), at(high).alias("__b"))
+    found = upto.groupBy(*by, "name", "prob", "n").agg(
+        at(low).alias("__a"), at(high).alias("__b"), F.max(F.when(F.col("__v").isNull(), F.col("__upto"))).alias("__below"), F.max("__upto").alias("__reached"))
+    # Both ranks must stand inside the bracket: above what was folded away below it, and not beyond what was counted.
+    inside = (F.coalesce("__below", F.lit(0)) <= low) & (F.col("__reached") > high)
+    found = found.withColumn("__a", F.when(inside, F.col("__a")).otherwise(F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")))
+    return (found
             .select(*by, "name", "prob", "n",
                     (F.col("__a") + (F.col("__b") - F.col("__a")) * (rank - low)).alias("value")))
 
@@ -62,11 +61,12 @@ def quantile_row(df: DataFrame, columns: Sequence[str], probs: dict[str, float],
     return long.groupBy(*by).agg(*aggs) if by else long.agg(*aggs)
 
 
-def robust_stats(df: DataFrame, columns: Sequence[str], variant: str = "iqr") -> DataFrame:
-    """Median and robust scale per column; ``spread`` also allows half the standard deviation."""
-    wide = quantile_row(df, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    sd = df.agg(*[F.stddev_pop(c).alias(f"{c}_sd") for c in columns])
-    both = wide.join(F.broadcast(sd))
+def robust_stats(df: DataFrame, columns: Sequence[str], variant: str = "iqr", by: Sequence[str] = ()) -> DataFrame:
+    """Median and robust scale per column, and per group ``by``; ``spread`` also allows half the standard deviation."""
+    by = list(by)
+    wide = quantile_row(df, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75}, by)
+    sd = df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"{c}_sd") for c in columns])
+    both = wide.join(sd, by) if by else wide.join(F.broadcast(sd))
     rows = []
     for c in columns:
         scale = (F.col(f"{c}_q3") - F.col(f"{c}_q1")) / 1.349
@@ -74,7 +74,7 @@ def robust_stats(df: DataFrame, columns: Sequence[str], variant: str = "iqr") ->
             scale = F.greatest(scale, F.col(f"{c}_sd") * 0.5)
         rows.append(F.struct(F.lit(c).alias("name"), F.col(f"{c}_med").alias("median"),
                              F.greatest(scale, F.lit(1e-6)).alias("scale")))
-    return both.select(F.inline(F.array(*rows)))
+    return both.select(*by, F.inline(F.array(*rows)))
 
 
 def auc(pred: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", buckets: int = 65_536) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boutline.functions.odds import clamp, log_loss, logit, sigmoid
+from boutline.functions.odds import clamp, logit, sigmoid
 from boutline.operators.aggregates import best_candidate
 from boutline.operators.fold import MAX_ROWS, chunked_fold
 from boutline.operators.quantiles import robust_stats
@@ -206,14 +206,14 @@ HOME_LOGIT, POINTS_WEIGHT, MARGIN_WEIGHT, SHRINK, TEMPERATURE = 0.18, 0.65, 0.35
 
 
 def strength(profiles: DataFrame, season_weights: Mapping[str, float], recent_weights: Mapping[str, float],
-             prior: str = "prior") -> DataFrame:
-    """Weighted robust z-scores per entity, the recent part scaled by how much of it is known."""
-    names = [*season_weights, *recent_weights]
-    stats = robust_stats(profiles, names, "spread")
-    wide = stats.agg(*[x for n in names for x in (
+             prior: str = "prior", by: Sequence[str] = ()) -> DataFrame:
+    """Weighted robust z-scores per entity, among those of the same ``by``; the recent part counts by how much of it is known."""
+    names, by = [*season_weights, *recent_weights], list(by)
+    stats = robust_stats(profiles, names, "spread", by)
+    wide = stats.groupBy(*by).agg(*[x for n in names for x in (
         F.max(F.when(F.col("name") == n, F.col("median"))).alias(f"__m_{n}"),
         F.max(F.when(F.col("name") == n, F.col("scale"))).alias(f"__s_{n}"))])
-    rows = profiles.join(F.broadcast(wide))
+    rows = profiles.join(wide, by) if by else profiles.join(F.broadcast(wide))
 
     def z(n: str) -> Column:
         return clamp((F.coalesce(F.col(n), F.col(f"__m_{n}")) - F.col(f"__m_{n}")) / F.col(f"__s_{n}"), -3.0, 3.0)
@@ -225,18 +225,18 @@ def strength(profiles: DataFrame, season_weights: Mapping[str, float], recent_we
                             "prior_logit": logit(clamp(prior, 0.05, 0.95), 1e-4)})
     return out.withColumn("strength", SEASON_BLEND * F.col("season_score")
                           + RECENT_BLEND_MAX * F.col("coverage") * F.col("recent_score")
-                          + PRIOR_BLEND * F.col("prior_logit")).drop(*wide.columns)
+                          + PRIOR_BLEND * F.col("prior_logit")).drop(*[c for c in wide.columns if c not in by])
 
 
-def pair_probability(pairs: DataFrame, profiles: DataFrame, location: str = "home") -> DataFrame:
-    """Win probability of the first side of each requested pair.
+def pair_probability(pairs: DataFrame, profiles: DataFrame, location: str = "home", by: Sequence[str] = ()) -> DataFrame:
+    """Win probability of the first side of each requested pair, from the profiles of the same ``by``.
 
     ``profiles`` has entity, strength, home_pct, road_pct, home_margin, road_margin; pairs are looked up,
     never generated.
     """
     from boutline.operators.joins import attach_sides
 
-    rows = attach_sides(pairs, profiles.select("entity", "strength", "home_pct", "road_pct", "home_margin", "road_margin"))
+    rows = attach_sides(pairs, profiles.select(*by, "entity", "strength", "home_pct", "road_pct", "home_margin", "road_margin"), by)
     base = F.col("home_strength") - F.col("away_strength")
     if location == "neutral":
         edge = F.lit(0.0)
@@ -248,12 +248,8 @@ def pair_probability(pairs: DataFrame, profiles: DataFrame, location: str = "hom
     return rows.withColumns({"base_diff": base, "location_edge": edge, "p_home": p, "confidence": F.abs(p - 0.5) * 2.0})
 
 
-def with_overrides(profiles: DataFrame, overrides: DataFrame, column: str) -> DataFrame:
+def with_overrides(profiles: DataFrame, overrides: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """What-if: add an adjustment to one profile column of some entities."""
-    adj = overrides.select("entity", F.col("adjust").alias("__adj"))
-    return (profiles.join(adj, "entity", "left")
+    adj = overrides.select(*by, "entity", F.col("adjust").alias("__adj"))
+    return (profiles.join(adj, [*by, "entity"], "left")
             .withColumn(column, F.coalesce(F.col(column), F.lit(0.0)) + F.coalesce("__adj", F.lit(0.0))).drop("__adj"))
-
-
-def rating_loss(rated: DataFrame) -> DataFrame:
-    return rated.filter("y is not null").agg(F.avg(log_loss("prob", "y")).alias("log_loss"), F.count(F.lit(1)).alias("n"))

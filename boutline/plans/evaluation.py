@@ -183,9 +183,9 @@ def block_bootstrap(t):
     return E.block_bootstrap(E.common_sample(t.preds(), MODELS), "form", "market", 200)
 
 
-@query("permutation_check", "accuracy:d draws:b mean_shuffled:d max_shuffled:d p_value:d")
+@query("permutation_check", "model_id:s accuracy:d draws:b mean_shuffled:d max_shuffled:d p_value:d")
 def permutation_check(t):
-    return E.permutation_check(t.preds().filter("model_id = 'form'"), 200)
+    return E.permutation_check(t.preds(), 200, ["model_id"])
 
 
 @query("robust_stats", "name:s median:d scale:d spread_scale:d", over("games", """

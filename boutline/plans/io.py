@@ -59,15 +59,13 @@ def snapshot_provenance(t):
                      F.col("fetched_at").isNotNull().cast("int").alias("has_time"))
 
 
-@query("latest_snapshot", "game_id:b margin:d", over("games", "SELECT game_id, margin + 1 AS margin FROM games WHERE season = 2000"))
+@query("latest_snapshot", "game_id:b margin:d file_name:s", over("games", "SELECT game_id, margin + 1 AS margin, 'taken-2' AS file_name FROM games"))
 def latest_snapshot(t):
     path = scratch_path(t.spark, "snaps")
-    g = t.games().filter("season = 2000").select("game_id", "margin")
-    for name, add in (("a-old", 0), ("b-new", 1)):
-        g.withColumn("margin", F.col("margin") + add).coalesce(1).write.parquet(f"{path}/day={name}")
-    df = t.spark.read.parquet(path)
-    newest = df.agg(F.max("day").alias("day"))
-    return df.join(F.broadcast(newest), "day")
+    g = t.games().select("game_id", "margin")
+    for name, add in (("taken-1", 0), ("taken-2", 1)):
+        g.withColumn("margin", F.col("margin") + add).write.parquet(f"{path}/{name}")
+    return R.latest_snapshot(t.spark, path)
 
 
 # ---------------------------------------------------------------- documents built from the tables
@@ -216,6 +214,38 @@ def snapshots(t):
     return s.withColumn("yards", yards_to_endzone(e % 120, own))
 
 
+@query("situation_documents", "game_id:s play_index:b play_id:b sequence_number:b period:b clock_seconds:d frac:d home_score:b away_score:b margin:b home_won:b "
+       "external_wp:d offense_is_home:b offense_team_id:s down:b distance:b yard_line:b yards_to_endzone:b is_turnover:b play_type:s down_distance_text:s", over("states", f"""
+ SELECT CAST(game_id AS VARCHAR) AS game_id, ROW_NUMBER() OVER (PARTITION BY game_id, day ORDER BY seq) - 1 AS play_index, event_id AS play_id, seq AS sequence_number, period,
+  ((event_id % 12) * 60 + event_id % 60) AS clock_seconds, CASE WHEN period > 4 THEN 0e0 ELSE 1e0 - ((period - 1) * 900e0 + 900e0 - ((event_id % 12) * 60 + event_id % 60)) / 3600e0 END AS frac,
+  hs AS home_score, aws AS away_score, hs - aws AS margin, CASE WHEN game_id % 7 > DAY(day) % 7 THEN 1 ELSE 0 END AS home_won, CASE WHEN event_id % 3 = 0 THEN v / 1000e0 END AS external_wp,
+  CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END END AS offense_is_home, CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 4 = 1 THEN 'H' ELSE 'A' END || game_id END AS offense_team_id,
+  NULLIF(event_id % 5, 0) AS down, event_id % 11 AS distance, event_id % 100 AS yard_line, 100 - event_id % 100 AS yards_to_endzone, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_turnover,
+  event_type AS play_type, CASE WHEN event_id % 6 > 0 THEN 'start ' || event_id ELSE 'end ' || event_id END AS down_distance_text
+ FROM ({PL.replace('event_type FROM', 'event_type, value AS v FROM')}) x WHERE hs IS NOT NULL AND period IS NOT NULL AND game_id % 7 <> DAY(day) % 7"""))
+def situation_documents(t):
+    e, g = F.col("event_id"), F.col("game_id").cast("string")
+    s = t.states().withColumns({"hs": F.when(e % 37 != 0, F.col("home_score")), "period": F.when(e % 41 != 0, 1 + F.col("seq") % 5),
+                                "clock": F.concat((e % 12).cast("string"), F.lit(":"), F.lpad((e % 60).cast("string"), 2, "0"))})
+    own = F.when(e % 4 > 0, F.concat(F.when(e % 4 == 1, "H").otherwise("A"), g))
+    start = F.struct(F.struct(own.alias("id")).alias("team"), F.when(e % 5 != 0, e % 5).cast("int").alias("down"), (e % 11).cast("int").alias("distance"), (e % 100).cast("int").alias("yardLine"),
+                     (100 - e % 100).cast("int").alias("yardsToEndzone"), F.when(e % 6 > 0, F.concat(F.lit("start "), e.cast("string"))).alias("downDistanceText"))
+    play = F.struct(e.cast("string").alias("id"), F.struct(F.col("period").cast("int").alias("number")).alias("period"), F.struct(F.col("clock").alias("displayValue")).alias("clock"),
+                    F.col("hs").cast("int").alias("homeScore"), F.col("away_score").cast("int").alias("awayScore"), F.col("seq").cast("string").alias("sequenceNumber"),
+                    (F.col("event_type") == "error").alias("isTurnover"), F.struct(F.col("event_type").alias("text")).alias("type"), start.alias("start"),
+                    F.struct(F.concat(F.lit("end "), e.cast("string")).alias("downDistanceText")).alias("end"))
+    wp = F.struct(e.cast("string").alias("playId"), (F.col("value") / 1000.0).alias("homeWinPercentage"))
+    day = s.groupBy("game_id", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", play.alias("p")))), lambda x: x["p"]).alias("plays"),
+                                          F.collect_list(F.when(e % 3 == 0, wp)).alias("winprobability"))
+
+    def side(name, score):
+        return F.struct(F.lit(name).alias("homeAway"), F.struct(F.concat(F.lit(name[0].upper()), g).alias("id")).alias("team"), score.cast("string").alias("score"))
+
+    header = F.struct(F.array(F.struct(F.array(side("away", F.dayofmonth("day") % 7), side("home", F.col("game_id") % 7)).alias("competitors"))).alias("competitions"))
+    docs = day.select(F.to_json(F.struct(g.alias("id"), header.alias("header"), "plays", "winprobability")).alias("doc"))
+    return D.situation_snapshots(docs)
+
+
 @query("pivot_box", "game_id:b entity:b points:d minutes:d shots:d", over("members", "SELECT game_id, entity, SUM(points) AS points, SUM(minutes) AS minutes, CASE WHEN entity % 2 = 0 THEN SUM(shots) END AS shots FROM members GROUP BY 1, 2"))
 def pivot_box(t):
     sums = t.members().groupBy("game_id", "entity").agg(*[F.sum(c).alias(c) for c in ("points", "minutes", "shots")])

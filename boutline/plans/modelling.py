@@ -44,7 +44,9 @@ def stratified_split(t):
     return M.split_stratified(t.games().filter("home_win is not null"), "home_win", 0.2)
 
 
-SEASONS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
+def seasons(games):
+    """The seasons there are, in order: a handful of numbers."""
+    return [r.season for r in games.select("season").distinct().orderBy("season").collect()]
 
 
 @query("fold_overlap", "part:s season:b games:b shared:b", over("games", """
@@ -61,7 +63,8 @@ def fold_overlap(t):
     s="SELECT f.season, " + ", ".join(f"QUANTILE_CONT(g.{c}, 0.25) AS {c}_a, QUANTILE_CONT(g.{c}, 0.5) AS {c}_m, QUANTILE_CONT(g.{c}, 0.75) AS {c}_b" for c in ("margin", "home_score"))
       + " FROM (SELECT DISTINCT season FROM games) f JOIN games g ON g.season < f.season GROUP BY 1"))
 def fold_robust_scale(t):
-    return M.robust_scale(t.games(), ["margin", "home_score"], SEASONS)
+    games = t.games()
+    return M.robust_scale(games, ["margin", "home_score"], seasons(games))
 
 
 @query("histogram_binning", "model_id:s season:b game_id:b p:d calibrated:d", over("preds", f"""

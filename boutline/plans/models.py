@@ -7,7 +7,7 @@ from boutline.functions.odds import logit, normal_wp
 from boutline.operators import evaluate as E, history as H, models as M
 from boutline.plans.evaluation import MODELS
 from boutline.plans.history import FORM
-from boutline.plans.modelling import MU, SEASONS, SIGMA
+from boutline.plans.modelling import MU, SIGMA, seasons
 from boutline.plans.oracle import over
 from boutline.plans.registry import query
 from boutline.session import scratch_path, stored
@@ -44,30 +44,34 @@ SCORES = "season:b n:b accuracy:d log_loss:d brier:d"
 def walk_forward_logistic(t):
     rows = H.recency_weights(t.games(), 2.0, 5000.0, 0.05).select("game_id", "weight")
     d = stored(_table(t).join(rows, "game_id"), "weighted")
-    p = M.walk_forward(d, COLUMNS, "y", SEASONS, lambda n: M.logistic(COLUMNS, "y", 1.0 / (0.25 * n), "weight"), 4)
+    p = M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.logistic(COLUMNS, "y", 1.0 / (0.25 * n), "weight"), 4)
     return E.score(p, ["season"])
 
 
 @query("walk_forward_boosted", SCORES)
 def walk_forward_boosted(t):
-    return E.score(M.walk_forward(_table(t), COLUMNS, "y", SEASONS, lambda n: M.trees(COLUMNS, "y"), 5), ["season"])
+    d = _table(t)
+    return E.score(M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.trees(COLUMNS, "y"), 5), ["season"])
 
 
 @query("walk_forward_bagged", SCORES)
 def walk_forward_bagged(t):
-    return E.score(M.walk_forward(_table(t), COLUMNS, "y", SEASONS, lambda n: M.trees(COLUMNS, "y", "bagged"), 5), ["season"])
+    d = _table(t)
+    return E.score(M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.trees(COLUMNS, "y", "bagged"), 5), ["season"])
 
 
-@query("calibrators", "method:s n:b accuracy:d log_loss:d brier:d")
+@query("calibrators", "model_id:s method:s n:b accuracy:d log_loss:d brier:d")
 def calibrators(t):
-    p = stored(t.preds().filter("model_id = 'form'").withColumn("w", 1.0 + (F.col("season") - 1995) / 10.0), "form")
-    a, b = p.filter("season < 2000"), p.filter("season >= 2000")
-    parts = {"platt": M.platt(a, b, weight="w"), "isotonic": M.isotonic(a, b, weight="w"), "beta": M.beta_calibration(a, b)}
+    p = stored(t.preds().withColumn("w", 1.0 + (F.col("season") - 1995) / 10.0), "preds")
     out = None
-    for name, df in parts.items():
-        s = df.select(F.lit(name).alias("method"), "y", F.col("calibrated").alias("p"))
-        out = s if out is None else out.unionByName(s)
-    return E.score(out, ["method"])
+    for model in MODELS:  # a fixed list: three fits for each model
+        own = p.filter(F.col("model_id") == model)
+        a, b = own.filter("season < 2000"), own.filter("season >= 2000")
+        parts = {"platt": M.platt(a, b, weight="w"), "isotonic": M.isotonic(a, b, weight="w"), "beta": M.beta_calibration(a, b)}
+        for name, df in parts.items():
+            s = df.select("model_id", F.lit(name).alias("method"), "y", F.col("calibrated").alias("p"))
+            out = s if out is None else out.unionByName(s)
+    return E.score(out, ["model_id", "method"])
 
 
 @query("stacking", "method:s n:b accuracy:d log_loss:d brier:d")

@@ -18,15 +18,15 @@ def _timed(t):
     return _events(t).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _by_season(t, df, label, build):
-    """Deliver the rows season by season, each to a new run that goes on from the last run's state."""
-    feed, out = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-out")
-    df = stored(df, label)
-    result = None
-    for (season,) in sorted(df.select("season").distinct().collect()):
-        df.filter(F.col("season") == season).write.mode("append").parquet(feed)
-        result = S.run_append(build(S.file_stream(t.spark, feed, df.schema)), out)
-    return result
+def _shuffled_files(t, df, label, files=6, per_batch=2):
+    """A stream of files that each hold contests of every season, in an order that has nothing to do with time."""
+    feed = scratch_path(t.spark, label)
+    part = F.pmod(F.xxhash64("game_id"), F.lit(files))
+    df.withColumn("part", part).repartition(files, "part").write.partitionBy("part").parquet(feed)
+    return S.file_stream(t.spark, feed, df.schema, files_per_batch=per_batch)
+
+
+ANY_DAY = 40_000  # days: no delivery of the given tables is too late
 
 
 @query("stream_win_probability", "event_id:b margin:b frac:d p:d", over("states", """
@@ -41,12 +41,12 @@ def stream_win_probability(t):
 
 
 @query("stream_latest_status", "user_id:b status:s event_id:b", """
- SELECT user_id, status, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY CASE status WHEN 'final' THEN 3 WHEN 'live' THEN 2 WHEN 'postponed' THEN 1 ELSE 0 END DESC, ts DESC) AS r FROM
+ SELECT user_id, status, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY CASE status WHEN 'final' THEN 3 WHEN 'live' THEN 2 WHEN 'postponed' THEN 1 ELSE 0 END DESC, ts DESC, event_id) AS r FROM
  (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'final' WHEN 'click' THEN 'live' WHEN 'error' THEN 'postponed' ELSE 'scheduled' END AS status FROM events) x) y WHERE r = 1""")
 def stream_latest_status(t):
     kind = F.col("event_type")
     rows = _timed(t).select("user_id", "ts", "event_id", F.when(kind == "purchase", "final").when(kind == "click", "live").when(kind == "error", "postponed").otherwise("scheduled").alias("status"))
-    return S.run_update(S.stream_latest(rows, "user_id", "ts", "status", ["event_id"], "400 days"), "latest", ["user_id"])
+    return S.run_latest(rows, "latest", "user_id", "ts", "status", ["event_id"])
 
 
 @query("stream_play_windows", "user_id:b window_start:ts n:b total:d", """
@@ -75,7 +75,7 @@ def stream_bursts(t):
 @query("stream_ratings", "league:s game_id:b home:b away:b home_elo:d away_elo:d prob:d late:b")
 def stream_ratings(t):
     games = t.games().filter("home_win is not null").select("league", "season", "game_date", "game_id", "home", "away", "margin")
-    rated = _by_season(t, games, "finals", lambda feed: S.stream_elo(feed, R.CARRY))
+    rated = S.run_update(S.stream_elo(_shuffled_files(t, games, "finals"), R.CARRY, ANY_DAY), "ratings", ["league", "game_id"], late="late")
     return rated.withColumn("late", F.col("late").cast("int"))
 
 
@@ -84,7 +84,7 @@ def stream_ratings(t):
  WINDOW w AS (PARTITION BY entity ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""))
 def stream_form(t):
     log = t.log().filter("win is not null").select("entity", "season", "game_date", "game_id", "win")
-    return _by_season(t, log, "log", lambda feed: S.stream_form(feed, 10))
+    return S.run_update(S.stream_form(_shuffled_files(t, log, "log"), 10, ANY_DAY), "form", ["entity", "game_id"], late="late")
 
 
 @query("stream_ingest", "game_id:b margin:d delivery:b", over("games", "SELECT game_id, margin + CASE WHEN game_id % 5 = 0 THEN 1 ELSE 0 END AS margin, CASE WHEN game_id % 5 = 0 THEN 2 ELSE 1 END AS delivery FROM games"))
@@ -96,4 +96,4 @@ def stream_ingest(t):
         S.ingest_increment(S.file_stream(t.spark, path, g.schema), land, "game_id", land + "-progress")
     g.filter("game_id % 5 = 0").select("game_id", F.col("margin") + 1, F.lit(2).alias("delivery")).toDF("game_id", "margin", "delivery").coalesce(1).write.mode("append").parquet(path)
     S.ingest_increment(S.file_stream(t.spark, path, g.schema), land, "game_id", land + "-progress")
-    return S.read_ingested(t.spark, land, "game_id")
+    return S.read_ingested(t.spark, land)

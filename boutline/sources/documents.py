@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boutline.functions.cleaning import as_int
-from boutline.functions.clocks import clock_seconds
+from boutline.functions.clocks import clock_seconds, frac_remaining_clock
 from boutline.functions.geo import local_date
 from boutline.functions.status import played_score, status_from_state
 
@@ -21,6 +21,8 @@ SPLITS = "stats array<struct<type string, splits array<struct<season string, gam
 STANDINGS = ("records array<struct<division string, teamRecords array<struct<team struct<id long, name string>, wins int, losses int, "
              "runsScored double, runsAllowed double>>>>")
 PLAY = "struct<id string, period struct<number int, type string>, clock struct<displayValue string>, homeScore int, awayScore int>"
+SITUATION = (PLAY[:-1] + ", sequenceNumber string, isTurnover boolean, type struct<text string>, start struct<team struct<id string>, down int, distance int, "
+             "yardLine int, yardsToEndzone int, downDistanceText string>, end struct<downDistanceText string>>")
 SUMMARY = (f"id string, plays array<{PLAY}>, drives struct<previous array<struct<plays array<{PLAY}>>>, current array<struct<plays array<{PLAY}>>>>, "
            "winprobability array<struct<playId string, homeWinPercentage double>>")
 
@@ -107,10 +109,9 @@ def flatten_standings(docs: DataFrame) -> DataFrame:
                     (F.col("t.runsScored") - F.col("t.runsAllowed")).alias("differential"))
 
 
-def flatten_plays(docs: DataFrame) -> DataFrame:
-    """Plays in document order: the top-level list, else the drives' lists; with the external probability."""
-    j = parse(docs, SUMMARY).select("j.*")
-    nothing = F.array().cast(f"array<{PLAY}>")
+def _plays_and_external(play: str) -> tuple[Column, Column]:
+    """The plays of a parsed summary in document order, and external probabilities by play id."""
+    nothing = F.array().cast(f"array<{play}>")
 
     def drives(which: str) -> Column:
         return F.coalesce(F.flatten(F.transform(F.col(f"drives.{which}"), lambda d: F.coalesce(d["plays"], nothing))), nothing)
@@ -118,12 +119,46 @@ def flatten_plays(docs: DataFrame) -> DataFrame:
     plays = F.when(F.size(F.coalesce("plays", nothing)) > 0, F.col("plays")).otherwise(F.concat(drives("previous"), drives("current")))
     external = F.map_from_entries(F.transform(F.coalesce("winprobability", F.array().cast("array<struct<playId string, homeWinPercentage double>>")),
                                               lambda w: F.struct(w["playId"], w["homeWinPercentage"])))
-    rows = j.select(F.col("id").alias("game_id"), external.alias("wp"), F.posexplode(plays).alias("ord", "p"))
+    return plays, external
+
+
+def flatten_plays(docs: DataFrame) -> DataFrame:
+    """Plays in document order: the top-level list, else the drives' lists; with the external probability."""
+    plays, external = _plays_and_external(PLAY)
+    rows = parse(docs, SUMMARY).select("j.*").select(F.col("id").alias("game_id"), external.alias("wp"), F.posexplode(plays).alias("ord", "p"))
     return rows.select("game_id", "ord", F.col("p.id").alias("play_id"), F.col("p.period.number").alias("period"),
                        F.col("p.clock.displayValue").alias("clock"), F.col("p.homeScore").alias("home_score"),
                        F.col("p.awayScore").alias("away_score"), F.try_element_at("wp", F.col("p.id")).alias("external_wp"))
 
 
+def situation_snapshots(docs: DataFrame, league: str = "nfl") -> DataFrame:
+    """Labelled states with possession, down, distance and field position, one row per usable play.
+
+    A play without a period or a score is skipped, and not counted in ``play_index``. Documents without both final scores, or
+    with a tied one, give nothing. Possession compares the play's team id with the home side's; unknown stays NULL.
+    """
+    schema = (SUMMARY.replace(PLAY, SITUATION) + ", header struct<competitions array<struct<competitors array<struct<homeAway string, id string, "
+              "score string, team struct<id string>>>>>>")
+    plays, external = _plays_and_external(SITUATION)
+    j = parse(docs, schema).select("j.*")
+    sides = F.try_element_at("header.competitions", F.lit(1))["competitors"]
+    home, away = _side(sides, "home"), _side(sides, "away")
+    usable = F.filter(plays, lambda p: p["period"]["number"].isNotNull() & p["homeScore"].isNotNull() & p["awayScore"].isNotNull())
+    rows = j.select(F.col("id").alias("game_id"), F.coalesce(home["team"]["id"], home["id"]).alias("home_id"), as_int(home["score"]).alias("hf"),
+                    as_int(away["score"]).alias("af"), external.alias("wp"), F.posexplode(usable).alias("play_index", "p")).filter("hf <> af")
+    secs = clock_seconds(F.col("p.clock.displayValue"))
+    own = F.col("p.start.team.id")
+    return rows.select(
+        "game_id", "play_index", F.col("p.id").alias("play_id"), as_int("p.sequenceNumber").alias("sequence_number"),
+        F.col("p.period.number").alias("period"), secs.alias("clock_seconds"), frac_remaining_clock(league, F.col("p.period.number"), secs).alias("frac"),
+        F.col("p.homeScore").alias("home_score"), F.col("p.awayScore").alias("away_score"),
+        (F.col("p.homeScore") - F.col("p.awayScore")).alias("margin"), (F.col("hf") > F.col("af")).cast("int").alias("home_won"),
+        F.try_element_at("wp", F.col("p.id")).alias("external_wp"), (own == F.col("home_id")).cast("int").alias("offense_is_home"),
+        own.alias("offense_team_id"), "p.start.down", "p.start.distance", F.col("p.start.yardLine").alias("yard_line"),
+        F.col("p.start.yardsToEndzone").alias("yards_to_endzone"), F.coalesce("p.isTurnover", F.lit(False)).cast("int").alias("is_turnover"),
+        F.col("p.type.text").alias("play_type"), F.coalesce("p.start.downDistanceText", "p.end.downDistanceText").alias("down_distance_text"))
+
+
 def pivot_box(long: DataFrame, keys: list[str], stats: list[str]) -> DataFrame:
     """Long key/value box rows to one column per statistic."""
     return long.groupBy(*keys).pivot("stat", stats).agg(F.first("value", ignorenulls=True))

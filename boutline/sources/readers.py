@@ -37,10 +37,11 @@ def read_table(spark: SparkSession, url: str, table: str, where: str, partition:
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest file by name below a folder."""
-    df = spark.read.parquet(path)
-    named = df.select("*", F.col("_metadata.file_name").alias("file_name"))
-    newest = df.select(F.col("_metadata.file_name").alias("file_name")).agg(F.max("file_name").alias("file_name"))
+    """Rows of the newest snapshot by name below a folder, with its name: a file, or a folder of part files."""
+    df = spark.read.option("recursiveFileLookup", True).parquet(path)
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(/part-[^/]*)?$", 1)
+    named = df.select("*", name.alias("file_name"))
+    newest = df.select(name.alias("file_name")).agg(F.max("file_name").alias("file_name"))
     return named.join(F.broadcast(newest), "file_name", "left_semi")
 
 

@@ -7,6 +7,7 @@ when the output is read.
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boutline.operators.ratings import EloParams, Ratings
 from boutline.operators.states import surface_score
-from boutline.session import scratch_path
+from boutline.session import scratch_path, stored
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -45,10 +46,13 @@ def run_append(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_update(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    """Drain an update-mode query; the newest epoch of each key counts."""
+def run_update(stream: DataFrame, label: str, keys: Sequence[str], path: str | None = None, late: str | None = None) -> DataFrame:
+    """Drain an update-mode query; the newest epoch of each key counts. A later run on the same path goes on from there.
+
+    Rows flagged in column ``late`` are the side output: they count for a key that has no other row.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     schema = stream.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -60,7 +64,7 @@ def run_update(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
         query.awaitTermination()
     rows = spark.read.option("basePath", path).parquet(path)
     values = [c for c in schema.names if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v"))
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct((~F.col(late)).cast("int") if late else F.lit(1), F.col("epoch"))).alias("v"))
     return newest.select(*keys, "v.*")
 
 
@@ -70,12 +74,31 @@ def stream_wp(states: DataFrame, surface: DataFrame, margins: tuple[int, int]) -
     return scored.withColumn("p", F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("p"))))
 
 
-def stream_latest(rows: DataFrame, key: str, ts: str, status: str, values: Sequence[str], late: str = "2 days") -> DataFrame:
-    """Most-progressed row per contest, after exact repeats within the watermark are dropped."""
+def progress(status: str) -> Column:
     # Progress order of the shared statuses.
-    rank = F.when(F.col(status) == "final", 3).when(F.col(status) == "live", 2).when(F.col(status) == "postponed", 1).otherwise(0)
-    unique = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, status, *values])
-    return unique.groupBy(key).agg(F.max_by(F.struct(status, ts, *values), F.struct(rank, F.col(ts))).alias("r")).select(key, "r.*")
+    return F.when(F.col(status) == "final", 3).when(F.col(status) == "live", 2).when(F.col(status) == "postponed", 1).otherwise(0)
+
+
+def run_latest(rows: DataFrame, label: str, key: str, ts: str, status: str, values: Sequence[str]) -> DataFrame:
+    """Most-progressed row per contest, whatever the batches and their order.
+
+    The maximum by (progress, time, values) is the same in any order and for repeated rows, so no state is kept and none has to
+    expire: a batch writes its own maxima, and reading takes the maximum of those. The least values win a tie in time.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+
+    def best(df: DataFrame) -> DataFrame:
+        rank = F.struct(progress(status), F.col(ts), *[-F.col(v) for v in values])
+        return df.groupBy(key).agg(F.max_by(F.struct(status, ts, *values), rank).alias("r")).select(key, "r.*")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        best(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (rows.select(key, ts, status, *values).writeStream.option("checkpointLocation", path + "-progress").foreachBatch(write)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return best(spark.read.option("basePath", path).parquet(path).drop("epoch"))
 
 
 def stream_windows(rows: DataFrame, key: str, ts: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -91,84 +114,136 @@ def stream_bursts(rows: DataFrame, key: str, ts: str, gap: str, late: str = "1 h
             .agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "n"))
 
 
+def _held(arrays: Sequence, columns: Sequence[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: list(a) for c, a in zip(columns, arrays)}, columns=list(columns))
+
+
+def _window(held: pd.DataFrame, new: pd.DataFrame, closed: date | None, late_days: int, order: Sequence[str]):
+    """(rows to fold in order, rows too late, rows of them that close now, new closing day).
+
+    A row is too late if its day is closed. Days more than ``late_days`` before the newest day seen are closed after the batch;
+    repeated rows count once.
+    """
+    late = new[new["game_date"] <= closed] if closed is not None else new.iloc[:0]
+    fresh = new.drop(late.index)
+    rows = (pd.concat([held, fresh], ignore_index=True) if len(held) else fresh).drop_duplicates(list(order)).sort_values(list(order), ignore_index=True)
+    if not len(rows):
+        return rows, late, rows, closed
+    until = rows["game_date"].max() - timedelta(days=late_days)
+    after = until if closed is None else max(until, closed)
+    return rows, late, rows[rows["game_date"] <= after], after
+
+
 ELO_OUT = ("league string, game_id long, game_date date, home long, away long, home_elo double, away_elo double, prob double, "
            "late boolean")
-ELO_STATE = "entities array<long>, ratings array<double>, seasons_of array<int>, games array<long>, wins array<double>, margins array<double>, seen array<int>, last date"
+_ELO_ROW = ["season", "game_date", "game_id", "home", "away", "margin"]
+ELO_STATE = ("entities array<long>, ratings array<double>, seasons_of array<int>, games array<long>, wins array<double>, margins array<double>, "
+             "seen array<int>, closed date, season array<int>, game_date array<date>, game_id array<long>, home array<long>, away array<long>, margin array<double>")
 
 
-def stream_elo(finals: DataFrame, params: EloParams) -> DataFrame:
+def stream_elo(finals: DataFrame, params: EloParams, late_days: int = 400) -> DataFrame:
     """Ratings per league as finals arrive, each contest with its pregame values.
 
-    The fold depends on order: a final dated before the state's last date is passed on flagged
-    ``late`` and leaves the ratings alone, for a rebuild from the full table.
+    The state holds the ratings up to its closed day and the contests after it. Whenever contests arrive, those after the closed
+    day are rated again in order and given out again, so the newest output per contest does not depend on how finals are batched.
+    A final of a closed day, more than ``late_days`` behind the newest one, is given out flagged ``late`` and rates nothing.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         columns = ["entity", "rating", "last_season", "games", "wins", "margin", "is_season"]
-        last = None
-        frame = pd.DataFrame(columns=columns)
+        frame, closed, held = pd.DataFrame(columns=columns), None, pd.DataFrame(columns=_ELO_ROW)
         if state.exists:
-            e, r, s, g, w, m, seen, last = state.get
+            e, r, s, g, w, m, seen, closed, *own = state.get
+            held = _held(own, _ELO_ROW)
             frame = pd.DataFrame({"entity": list(e) + [0] * len(seen), "rating": list(r) + [0.0] * len(seen),
                                   "last_season": list(s) + list(seen), "games": list(g) + [0] * len(seen),
                                   "wins": list(w) + [0.0] * len(seen), "margin": list(m) + [0.0] * len(seen),
                                   "is_season": [False] * len(e) + [True] * len(seen)})
         ratings = Ratings(params, frame)
-        pdf = pd.concat(list(batches)).sort_values(["season", "game_date", "game_id"])
-        out = []
-        for row in pdf.itertuples(index=False):
-            if last is not None and row.game_date < last:
-                out.append((key[0], row.game_id, row.game_date, row.home, row.away, None, None, None, True))
-                continue
+        new = pd.concat(list(batches), ignore_index=True)[_ELO_ROW]
+        rows, late, closing, closed = _window(held, new, closed, late_days, ["season", "game_date", "game_id"])
+        out = [(key[0], row.game_id, row.game_date, row.home, row.away, None, None, None, True) for row in late.itertuples(index=False)]
+        kept = None
+        for i, row in enumerate(rows.itertuples(index=False)):
+            if i == len(closing):
+                kept = {k: list(v) for k, v in ratings.table.items()}, list(ratings.seasons)
             h, a, p, *_ = ratings.play(int(row.season), row.home, row.away, float(row.margin), False)
             out.append((key[0], row.game_id, row.game_date, row.home, row.away, h, a, p, False))
-            last = row.game_date
-        t = ratings.table
-        state.update((list(t), [v[0] for v in t.values()], [v[1] for v in t.values()], [v[2] for v in t.values()],
-                      [float(v[3]) for v in t.values()], [float(v[4]) for v in t.values()], list(ratings.seasons), last))
+        t, seen = kept or (ratings.table, ratings.seasons)
+        left = rows.iloc[len(closing):]
+        state.update((list(t), [float(v[0]) for v in t.values()], [int(v[1]) for v in t.values()], [int(v[2]) for v in t.values()],
+                      [float(v[3]) for v in t.values()], [float(v[4]) for v in t.values()], [int(x) for x in seen], closed,
+                      [int(x) for x in left["season"]], list(left["game_date"]), [int(x) for x in left["game_id"]], [int(x) for x in left["home"]],
+                      [int(x) for x in left["away"]], [float(x) for x in left["margin"]]))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ELO_OUT.split(", ")])
 
-    return finals.groupBy("league").applyInPandasWithState(step, ELO_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)
+    return finals.groupBy("league").applyInPandasWithState(step, ELO_OUT, ELO_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-FORM_OUT = "entity long, game_id long, form double, played long"
-FORM_STATE = "recent array<double>, played long"
+FORM_OUT = "entity long, game_id long, form double, played long, late boolean"
+FORM_STATE = "recent array<double>, played long, closed date, game_date array<date>, game_id array<long>, win array<double>"
 
 
-def stream_form(log: DataFrame, n: int) -> DataFrame:
-    """Mean of the last n results before each contest, per entity."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        recent, played = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["game_date", "game_id"]).itertuples(index=False):
-            out.append((key[0], row.game_id, sum(recent) / len(recent) if recent else None, played))
-            recent = (recent + [float(row.win)])[-n:]
-            played += 1
-        state.update((recent, played))
-        yield pd.DataFrame(out, columns=["entity", "game_id", "form", "played"])
-
-    return log.groupBy("entity").applyInPandasWithState(step, FORM_OUT, FORM_STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_form(log: DataFrame, n: int, late_days: int = 400) -> DataFrame:
+    """Mean of the last n results before each contest, per entity; the newest output per contest counts.
 
+    The state holds the last n results of closed days, and the rows after the closed day, which are gone through again whenever
+    rows arrive. So the answer does not depend on batches; what comes more than ``late_days`` behind the entity's newest day is
+    flagged ``late`` and changes nothing.
+    """
 
-def ingest_increment(stream: DataFrame, path: str, key: str, progress: str) -> None:
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        columns = ["game_date", "game_id", "win"]
+        recent, played, closed, held = [], 0, None, pd.DataFrame(columns=columns)
+        if state.exists:
+            recent, played, closed, *own = state.get
+            recent, held = list(recent), _held(own, columns)
+        new = pd.concat(list(batches), ignore_index=True)[columns]
+        rows, late, closing, closed = _window(held, new, closed, late_days, ["game_date", "game_id"])
+        out = [(key[0], row.game_id, None, None, True) for row in late.itertuples(index=False)]
+        base = recent, played
+        for i, row in enumerate(rows.itertuples(index=False)):
+            out.append((key[0], row.game_id, sum(recent) / len(recent) if recent else None, played, False))
+            recent, played = (recent + [float(row.win)])[-n:], played + 1
+            if i < len(closing):
+                base = recent, played
+        left = rows.iloc[len(closing):]
+        state.update((base[0], int(base[1]), closed, list(left["game_date"]), [int(x) for x in left["game_id"]], [float(x) for x in left["win"]]))
+        yield pd.DataFrame(out, columns=["entity", "game_id", "form", "played", "late"]).astype({"played": "Int64"})
+
+    return log.groupBy("entity").applyInPandasWithState(step, FORM_OUT, FORM_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def ingest_increment(stream: DataFrame, path: str, key: str, progress: str, buckets: int = 16) -> None:
     """Land a stream so that the newest delivery of a contest replaces the older ones.
 
-    A batch owns one folder and rewrites it when repeated; reading keeps, per contest, the rows of its
-    newest batch.
+    The table is cut into buckets by the key's hash. A batch reads and replaces the buckets it touches and no others; a repeated
+    batch finds its own rows and writes the same again. Readers see one table without older deliveries.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch:010d}")
+        spark = batch.sparkSession
+        rows = stored(batch.withColumns({"epoch": F.lit(epoch), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")}), "delivery")
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        if epoch and exists(spark, path):
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)))
+        newest = rows.groupBy(key).agg(F.max("epoch").alias("epoch"))
+        merged = stored(rows.join(newest, [key, "epoch"]).distinct(), "merged")
+        (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
     (stream.writeStream.option("checkpointLocation", progress).foreachBatch(write)
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def read_ingested(spark: SparkSession, path: str, key: str) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(path)
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"]).drop("batch")
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_ingested(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("epoch", "bucket")
 
 
 def live_features(events: DataFrame, margin: Column, frac: Column) -> DataFrame:

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutline.functions import calendar as K, cleaning as L, clocks as C, odds as O
-from boutline.operators import evaluate as E, models as M, quantiles as Q, states as X
+from boutline.operators import evaluate as E, folds as M2, models as M, quantiles as Q, states as X
+from boutline.operators.joins import attach_row
+from boutline.operators.models import shuffled_places
+from boutline.plans.modelling import seasons
 
 
 def one(spark, col):
@@ -116,8 +119,40 @@ def test_bootstrap_and_permutation(tables):
     assert r.low <= r.point <= r.high and abs(r.mean - r["point"]) < (r.high - r.low)
     p = E.permutation_check(tables.preds().filter("model_id = 'form'"), 300).first()
     assert abs(p.mean_shuffled - 0.5) < 0.05 and 0 <= p.p_value <= 1
-    q = E.permutation_check(tables.preds().filter("model_id = 'form'"), 300, block_rows=100).first()
-    assert abs(q.mean_shuffled - 0.5) < 0.05
+    q = {r.model_id: r for r in E.permutation_check(tables.preds(), 300, ["model_id"]).collect()}
+    assert len(q) == 3 and q["form"].mean_shuffled == p.mean_shuffled
+
+
+def test_hypergeometric():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    for good, bad, taken in ((30, 50, 20), (1, 1, 1), (0, 5, 3), (5, 0, 3), (400, 300, 650), (2_000_000_000_000, 1_000_000_000_000, 5_000_000)):
+        got = E.hypergeometric(good, bad, taken, u)
+        n = good + bad
+        mean, var = taken * good / n, taken * good / n * bad / n * (n - taken) / max(n - 1, 1)
+        assert got.min() >= max(0, taken - bad) and got.max() <= min(good, taken)
+        assert abs(got.mean() - mean) <= 0.02 * var ** 0.5 + 1e-9 and abs(got.var() - var) <= 0.02 * var + 1e-9
+
+
+def test_one_row_or_an_error(spark):
+    df = spark.range(3)
+    assert attach_row(df, spark.range(1).select(F.lit(7).alias("v"))).select("v").distinct().collect()[0].v == 7
+    for rows in (0, 2):
+        with pytest.raises(Exception, match="one row expected"):
+            attach_row(df, spark.range(rows).select(F.lit(7).alias("v"))).collect()
+
+
+def test_every_season_is_scaled(tables):
+    games = tables.games()
+    more = games.filter("season = 2000").withColumns({"season": F.lit(2030), "game_id": F.col("game_id") + 10_000_000})
+    both = games.unionByName(more)
+    got = M2.robust_scale(both, ["margin"], seasons(both))
+    assert got.filter("season = 2030").count() == more.count()
+
+
+def test_places_are_a_permutation(spark):
+    rows = spark.range(3000).select(F.col("id").alias("game_id"))
+    a, b = ({r.game_id: r.i for r in shuffled_places(rows, s).collect()} for s in "ab")
+    assert sorted(a.values()) == sorted(b.values()) == list(range(1, 3001)) and sum(a[k] == b[k] for k in a) < 30
 
 
 def test_isotonic_is_a_step(spark, tables):

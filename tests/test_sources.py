@@ -82,13 +82,13 @@ def test_stream_ratings_equal_batch_and_flag_late(spark, tables, tmp_path):
     feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
     for lo, hi in ((1990, 1997), (1998, 2010)):
         g.filter(F.col("season").between(lo, hi)).write.mode("append").parquet(feed)
-        got = live.run_append(live.stream_elo(live.file_stream(spark, feed, g.schema), R.CARRY), out)
+        got = live.run_update(live.stream_elo(live.file_stream(spark, feed, g.schema), R.CARRY), "elo", ["game_id"], out, late="late")
     batch = R.elo(g, R.CARRY)[0]
     both = got.join(batch.select("game_id", F.col("prob").alias("want")), "game_id")
     assert both.count() == g.count() == got.count()
     assert both.filter(F.abs(F.col("prob") - F.col("want")) > 1e-9).count() == 0
     g.filter("season = 1996").limit(5).withColumn("game_id", F.col("game_id") + 10_000_000).write.mode("append").parquet(feed)
-    again = live.run_append(live.stream_elo(live.file_stream(spark, feed, g.schema), R.CARRY), out)
+    again = live.run_update(live.stream_elo(live.file_stream(spark, feed, g.schema), R.CARRY), "elo", ["game_id"], out, late="late")
     assert again.filter("late").count() == 5 and again.count() == g.count() + 5
 
 
@@ -98,7 +98,7 @@ def test_ingest_is_idempotent(spark, tmp_path):
     df.coalesce(1).write.parquet(feed)
     for _ in range(2):
         live.ingest_increment(live.file_stream(spark, feed, df.schema), land, "game_id", land + "-p")
-    assert live.read_ingested(spark, land, "game_id").count() == 3
+    assert live.read_ingested(spark, land).count() == 3
     spark.createDataFrame([(1, 1, 50)], df.schema).coalesce(1).write.mode("append").parquet(feed)
     live.ingest_increment(live.file_stream(spark, feed, df.schema), land, "game_id", land + "-p")
-    assert sorted((r.game_id, r.seq, r.v) for r in live.read_ingested(spark, land, "game_id").collect()) == [(1, 1, 50), (2, 1, 7)]
+    assert sorted((r.game_id, r.seq, r.v) for r in live.read_ingested(spark, land).collect()) == [(1, 1, 50), (2, 1, 7)]
