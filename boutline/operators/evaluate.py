@@ -201,12 +201,17 @@ def slice_override(pred: DataFrame, rule: Column, alternative: Column) -> DataFr
 def block_bootstrap(pred_wide: DataFrame, a: str, b: str, draws: int, block: str = "game_id") -> DataFrame:
     """Bootstrap of the log-loss difference (a minus b), resampling whole contests.
 
-    Contests are summed first; each draw weights a contest by a Poisson(1) count derived from a hash
-    of (contest, draw), so a rerun of any task gives the same draw.
+    Contests are summed first; each draw weights a contest by a Poisson(1) count derived from whole-number
+    arithmetic on (contest, draw), so a rerun of any task, or another engine, gives the same draw.  The
+    draws of a contest are summed in the stage that makes them.
     """
     sums = pred_wide.groupBy(block).agg(
         F.sum(log_loss(f"p_{a}", "y") - log_loss(f"p_{b}", "y")).alias("d"), F.count(F.lit(1)).alias("k"))
-    u = (F.xxhash64(block, "draw").bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
+    prime = F.lit((1 << 31) - 1)
+    mixed = (F.col(block) % prime * F.lit(2654435761) + F.col("draw") * F.lit(40503) + F.lit(12345)) % prime
+    for _ in range(3):
+        mixed = (mixed * F.lit(48271) + F.lit(11)) % prime
+    u = mixed / float((1 << 31) - 1)
     # Cumulative Poisson(1) probabilities for counts 0, 1, 2, ...
     weight, total, term = F.lit(0), 0.0, 2.718281828459045 ** -1
     for k in range(1, 12):

@@ -39,7 +39,7 @@ def split_by_game(games: DataFrame, cuts: Sequence[tuple[str, float]]) -> DataFr
     from boutline.operators.history import season_position
 
     n = games.agg(F.count(F.lit(1)).alias("__all"))
-    rows = attach_row(season_position(games, ["game_id"]), n)
+    rows = attach_row(season_position(games), n)
     part = F.lit(cuts[-1][0])
     for name, upto in reversed(cuts[:-1]):
         part = F.when(F.col("position") <= F.floor(F.col("__all") * upto), name).otherwise(part)
@@ -259,7 +259,7 @@ def recency_grid(games: DataFrame, modes: Sequence[str], season_half_lives: Sequ
     n = games.agg(F.count(F.lit(1)).alias("__all"))
     age = Window.orderBy(F.desc("season"))
     seasons = games.select("season").distinct().withColumn("season_age", F.dense_rank().over(age) - 1)
-    aged = attach_row(season_position(games, ["game_id"]), n).join(seasons, "season")
+    aged = attach_row(season_position(games), n).join(seasons, "season")
     grid = [{"mode": m, "season_hl": float(s), "game_hl": float(g), "floor_w": float(f)}
             for m in modes for s in season_half_lives for g in game_half_lives for f in floors]
     rows = with_grid(aged.select("season", "season_age", (F.col("__all") - F.col("position")).alias("game_age")), grid)

@@ -176,17 +176,29 @@ def set_continuity(members: DataFrame) -> DataFrame:
 def roster_churn(members: DataFrame, spans: Sequence[int]) -> DataFrame:
     """Share of members seen in the last n days who are absent now.
 
-    Each member appearance is reduced to one row per (entity, member, day) and the days on which it
-    is still remembered are found by joining on the contest's own day bucket, never by a range join.
+    Contest days are numbered per entity.  A member's day is the last one seen on the contest days after
+    it up to the member's next day, and no later than the widest span; it is copied to these numbers
+    only, and contests find it by equality.  A member who plays every time is copied once.
     """
     widest = max(spans)
     roster = members.select("entity", DAY, "game_id", "member").distinct()
     contests = members.select("entity", DAY, "game_id").distinct()
-    seen = (members.select("entity", "member", F.col(DAY).alias("seen_on")).distinct()
-            .withColumn(DAY, F.explode(F.sequence(F.date_add("seen_on", 1), F.date_add("seen_on", widest)))))
-    last = seen.groupBy("entity", "member", DAY).agg(F.max("seen_on").alias("seen_on"))
+    by_day = Window.partitionBy("entity").orderBy("__d")
+    numbered = contests.select("entity", DAY).distinct().withColumn("__d", F.datediff(DAY, F.lit("1970-01-01")))
+    numbered = numbered.select("entity", DAY, F.row_number().over(by_day).alias("o"),
+                               F.count(F.lit(1)).over(by_day.rangeBetween(1, widest)).alias("near"))
+    own = members.select("entity", "member", DAY).distinct().join(numbered, ["entity", DAY])
+    stretch = 4096  # contest days between a member's rows that one task orders
+    own = own.withColumn("stretch", F.floor((F.col("o") - 1) / stretch))
+    first = own.groupBy("entity", "member", "stretch").agg(F.min("o").alias("first"))
+    following = first.select("entity", "member", (F.col("stretch") - 1).alias("stretch"), F.col("first").alias("after"))
+    in_stretch = Window.partitionBy("entity", "member", "stretch").orderBy("o")
+    own = (own.join(following, ["entity", "member", "stretch"], "left")
+           .withColumn("next", F.coalesce(F.lead("o").over(in_stretch), "after", F.col("o") + F.col("near"))))
+    seen = (own.withColumn("to", F.least("next", F.col("o") + F.col("near"))).filter("to > o")
+            .select("entity", "member", F.col(DAY).alias("seen_on"), F.explode(F.sequence(F.col("o") + 1, "to")).alias("o")))
     here = roster.withColumn("here", F.lit(1))
-    rows = (contests.join(last, ["entity", DAY], "left")
+    rows = (contests.join(numbered.select("entity", DAY, "o"), ["entity", DAY]).join(seen, ["entity", "o"], "left")
             .join(here, ["entity", DAY, "game_id", "member"], "left"))
     age = F.datediff(DAY, "seen_on")
     aggs = []
@@ -197,20 +209,31 @@ def roster_churn(members: DataFrame, spans: Sequence[int]) -> DataFrame:
     return rows.groupBy("entity", DAY, "game_id").agg(*aggs)
 
 
-def season_position(games: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Position of each contest in the whole ordered history, from per-day counts."""
-    daily = games.groupBy(DAY).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
-    start = daily.select(DAY, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    return (games.join(start, DAY)
-            .withColumn("position", F.col("__start") + F.row_number().over(Window.partitionBy(DAY).orderBy(*order)))
-            .drop("__start"))
+def season_position(games: DataFrame, order: str = "game_id", parts: int = 1024) -> DataFrame:
+    """Position of each contest in the whole history, ordered by day and then by the whole number ``order``.
+
+    Counts per day, and per range of ``order`` within a day, give every range its start, so one task
+    orders one range of one day.
+    """
+    ends = games.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    part = F.floor((F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * parts)
+    rows = attach_row(games, ends).withColumn("__part", part).drop("__lo", "__hi")
+    counts = rows.groupBy(DAY, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    daily = counts.groupBy(DAY).agg(F.sum("__n").alias("__n"))
+    before = Window.orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    start = daily.select(DAY, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    in_day = Window.partitionBy(DAY).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (counts.join(start, DAY)
+              .select(DAY, "__part", (F.col("__start") + F.coalesce(F.sum("__n").over(in_day), F.lit(0))).alias("__start")))
+    return (rows.join(starts, [DAY, "__part"])
+            .withColumn("position", F.col("__start") + F.row_number().over(Window.partitionBy(DAY, "__part").orderBy(order)))
+            .drop("__start", "__part"))
 
 
 def recency_weights(games: DataFrame, season_half_life: float, game_half_life: float, floor: float,
                     mode: str = "hybrid") -> DataFrame:
     """Half-life weights by season age and game age, floored, scaled to mean one."""
-    placed = season_position(games, ["game_id"])
+    placed = season_position(games)
     seasons = (games.select("season").distinct()
                .withColumn("season_age", F.dense_rank().over(Window.orderBy(F.desc("season"))) - 1))
     size = games.agg(F.count(F.lit(1)).alias("n_rows"))

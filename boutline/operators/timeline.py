@@ -150,33 +150,23 @@ def signed_run(last_hit: Column, last_miss: Column) -> Column:
 
 
 def asof_running(requests: DataFrame, log: DataFrame, keys: Sequence[str], day: str, tie: Sequence[str],
-                 running: Mapping[str, str], until: DataFrame, until_on: Sequence[str]) -> DataFrame:
+                 running: Mapping[str, str]) -> DataFrame:
     """Running sums of ``log`` as of each request's (day, tie), earlier log rows only.
 
-    ``running`` maps an output name to a numeric log column; ``until`` gives the last day anything is
-    asked for (column ``last_day``) per ``until_on``, which are some of the keys.  Log rows with the same
-    (day, tie) as the request are not counted.
-
-    A key's sums hold from the day after one of its log days to its next one, so they are laid out per
-    calendar day and looked up by equality.  Only requests on a log day of their key look at single rows.
+    ``running`` maps an output name to a numeric log column.  Log rows with the same (day, tie) as the
+    request are not counted.  The days asked for stand among a key's log days, one row per (key, day),
+    and take the sums of the days before; requests look theirs up by equality.  Only requests on a log
+    day of their key look at single rows.
     """
     names = list(running)
     facts = log.select(*keys, day, *tie, *[F.col(c).cast("double").alias(n) for n, c in running.items()])
-    daily = facts.groupBy(*keys, day).agg(*[F.sum(n).alias(n) for n in names])
-    w = Window.partitionBy(*keys).orderBy(day)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    held = daily.select(*keys, day, *[F.sum(n).over(upto).alias(n) for n in names],
-                        F.lead(day).over(w).alias("__next"), F.lag(day).over(w).isNull().alias("__first"))
-    held = held.join(until, list(until_on)).withColumn("__to", F.coalesce("__next", F.greatest("last_day", F.col(day))))
-    stays = F.struct(F.date_add(day, 1).alias("a"), F.col("__to").alias("b"), *[F.col(n).alias(f"__b_{n}") for n in names])
-    starts = F.struct(F.col(day).alias("a"), F.col(day).alias("b"), *[F.lit(0.0).alias(f"__b_{n}") for n in names])
-    spans = held.select(*keys, "__next", F.col(day).alias("__at"), F.inline(F.when(F.col("__first"), F.array(starts, stays)).otherwise(F.array(stays))))
-    before = spans.filter("a <= b").select(
-        *keys, F.explode(F.sequence("a", "b")).alias(day), "__next", "__at", *[f"__b_{n}" for n in names])
-    before = before.withColumn("__busy", (F.col(day) == F.col("__at")) | F.coalesce(F.col(day) == F.col("__next"), F.lit(False)))
-    asked = requests.join(before.drop("__next", "__at"), [*keys, day], "left")
-    quiet = asked.filter("__busy is null or not __busy").select(
-        *requests.columns, *[F.coalesce(F.col(f"__b_{n}"), F.lit(0.0)).alias(n) for n in names])
+    daily = facts.groupBy(*keys, day).agg(F.lit(True).alias("__busy"), *[F.sum(n).alias(n) for n in names])
+    days = (daily.unionByName(requests.select(*keys, day).distinct(), allowMissingColumns=True)
+            .groupBy(*keys, day).agg(F.max("__busy").alias("__busy"), *[F.sum(n).alias(n) for n in names]))
+    earlier = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(*keys, day, "__busy", *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"__b_{n}") for n in names])
+    asked = requests.join(before, [*keys, day])
+    quiet = asked.filter("__busy is null").select(*requests.columns, *[F.col(f"__b_{n}").alias(n) for n in names])
     busy = asked.filter("__busy").select(*keys, day, *tie, F.struct(*requests.columns, *[f"__b_{n}" for n in names]).alias("__req"))
     both = busy.unionByName(facts, allowMissingColumns=True)
     ranked = both.withColumn("__pos", F.dense_rank().over(Window.partitionBy(*keys, day).orderBy(*tie)))

@@ -1,5 +1,7 @@
 """Forecast evaluation queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from boutline.functions.odds import implied_prob
@@ -178,7 +180,21 @@ def slice_override(t):
     return E.score(E.slice_override(t.preds(), F.abs(F.col("p") - 0.5) < 0.02, F.lit(0.52)))
 
 
-@query("block_bootstrap", "draws:b mean:d low:d high:d point:d")
+def _mixed(times):
+    out = "((game_id % 2147483647) * 2654435761 + draw * 40503 + 12345) % 2147483647"
+    for _ in range(times):
+        out = f"(({out}) * 48271 + 11) % 2147483647"
+    return out
+
+
+POISSON = [sum(2.718281828459045 ** -1 / math.factorial(i) for i in range(k)) for k in range(1, 12)]
+
+
+@query("block_bootstrap", "draws:b mean:d low:d high:d point:d", over("pw", f"""
+ SELECT COUNT(*) AS draws, AVG(diff) AS mean, QUANTILE_CONT(diff, 0.025) AS low, QUANTILE_CONT(diff, 0.975) AS high, (SELECT SUM(d) / COUNT(*) FROM each) AS point
+ FROM (SELECT draw, SUM(w * d) / SUM(w) AS diff FROM (SELECT draw, d, {' + '.join(f'CASE WHEN u >= {c!r}e0 THEN 1 ELSE 0 END' for c in POISSON)} AS w
+  FROM (SELECT draw, d, ({_mixed(3)}) / 2147483647e0 AS u FROM each CROSS JOIN range(200) r(draw)) x) y GROUP BY draw) z""",
+    each=f"SELECT game_id, {log_loss('p_form', 'home_win')} - {log_loss('p_market', 'home_win')} AS d FROM pw"))
 def block_bootstrap(t):
     return E.block_bootstrap(E.common_sample(t.preds(), MODELS), "form", "market", 200)
 

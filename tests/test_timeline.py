@@ -75,8 +75,7 @@ def test_asof_running_and_latest(spark, log, rows):
     rng = random.Random(9)
     asked = [(i, rng.randrange(1, 13), date(2019, 12, 28) + timedelta(days=rng.randrange(64)), rng.randrange(900)) for i in range(400)]
     req = spark.createDataFrame(asked, "i long, entity long, d date, g long")
-    end = spark.createDataFrame([(e, date(2020, 3, 5)) for e in range(1, 13)], "entity long, last_day date")
-    got = {r.i: r for r in T.asof_running(req, log.withColumn("one", F.lit(1)), ["entity"], "d", ["g"], {"s": "v", "n": "one"}, end, ["entity"]).collect()}
+    got = {r.i: r for r in T.asof_running(req, log.withColumn("one", F.lit(1)), ["entity"], "d", ["g"], {"s": "v", "n": "one"}).collect()}
     late = {r.i: r for r in T.latest_before(req, log.select("entity", "d", F.col("g").alias("src"), "v"), ["entity"], "d", ["src"], ["src", "v"]).collect()}
     groups = by_key(rows)
     assert len(got) == len(late) == 400
