@@ -156,8 +156,10 @@ def leaked_questions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_i
            .agg(F.first("n").alias("n"), F.count_distinct("h").alias("matched"), F.min("at").alias("first"), (F.max("at") + size - 1).alias("last"))
            .where(F.col("matched") >= F.col("n") * coverage - 1e-9))
     met = stored(met, "met")
+    # A placeholder counts once for each place in the question and the document, however many windows show it.
     both = (met.select("doc", "id").join(asked, "id").join(hits, ["doc", "h"])
-            .select("doc", "id", F.explode(F.arrays_zip("slots", "given")).alias("s")).where("s.slots <> 0"))
+            .select("doc", "id", "pos", "at", F.posexplode(F.arrays_zip("slots", "given")).alias("i", "s")).where("s.slots <> 0")
+            .select("doc", "id", F.col("pos") + F.col("i"), F.col("at") + F.col("i"), "s").distinct())
     agreed = (both.groupBy("doc", "id", "s.slots", "s.given").count().groupBy("doc", "id", "slots")
               .agg(F.max("count").alias("best"), F.sum("count").alias("all"))
               .groupBy("doc", "id").agg(F.sum("best").alias("best"), F.sum("all").alias("all")))

@@ -75,13 +75,14 @@ def brute(texts, items, size=5, plain=2):
             continue
         own = defaultdict(list)
         for at, w, slots in cut(text):
-            own[w].append(slots)
+            own[w].append((at, slots))
         for i, ws in asked:
             kinds = {w for _, w, _ in ws}
             met = {w for w in kinds if w in own}
             if not kinds or len(met) < 0.8 * len(kinds) - 1e-9:
                 continue
-            pairs = Counter((a, b) for _, w, slots in ws for given in own.get(w, []) for a, b in zip(slots, given) if a)
+            places = {(q + k, p + k, a, b) for q, w, slots in ws for p, given in own.get(w, []) for k, (a, b) in enumerate(zip(slots, given)) if a}
+            pairs = Counter((a, b) for _, _, a, b in places)
             best = Counter()
             for (a, _), n in pairs.items():
                 best[a] = max(best[a], n)
