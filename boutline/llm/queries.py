@@ -102,16 +102,17 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\
 i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 s AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM i WHERE i + 7 <= len(ws)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM s) WHERE c > 1),
-cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(0, 8) AS t(k) GROUP BY doc_id),
+cov AS (SELECT doc_id, count(*) AS n_repeat_words, sum(length(ws[j])) AS repeat_chars
+  FROM (SELECT DISTINCT doc_id, i + k AS j FROM r, range(0, 8) AS t(k)) c JOIN w USING (doc_id) GROUP BY doc_id),
 far AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, md5(array_to_string(ws[i:i + 200], ' ')) AS s FROM i WHERE i + 200 <= len(ws)) GROUP BY doc_id, s HAVING count(*) > 1),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
 d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, far.doc_id IS NOT NULL AS is_far
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(repeat_chars, 0) AS BIGINT) AS repeat_chars, far.doc_id IS NOT NULL AS is_far
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN far ON far.doc_id = w.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= 0.2e0 * n_words AND NOT is_far AS kept FROM b""")
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND repeat_chars <= 0.3e0 * word_chars + 1e-9 AND NOT is_far AS kept FROM b""")
 def _repetition(spark, folder):
     return quality_rules(table(spark, folder, "documents")).drop("longest_repeat")
 

@@ -78,19 +78,19 @@ def _repeated_lines(text: bytes) -> int:
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 8, least_words: int = 20,
-                  base_share: int = 30, cover: float = 0.2, longest: int = 200) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat, base_failed, kept) of every row.
+                  base_share: int = 30, cover: float = 0.3, longest: int = 200) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_chars, longest_repeat, base_failed, kept) of every row.
 
     ``n_repeat_words`` are the words in the union of repeats of ``shortest`` words or more: the words in windows of that size
     which the text holds twice. The base rule fails texts of fewer than ``least_words`` words or with more than ``base_share``
-    percent of such words. The method keeps what passes if the union covers at most the share ``cover`` and no repeat has more
-    than ``longest`` words. Null and empty texts have no words and fail. Repeated rows give repeated results; other columns are
+    percent of such words. The method keeps what passes if the union covers at most the share ``cover`` of the words'
+    characters (``repeat_chars``) and no repeat has more than ``longest`` words. Null and empty texts have no words and fail. Repeated rows give repeated results; other columns are
     ignored.
     """
 
     def task(batch):
         column = batch.column(1)
-        rows = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "longest_repeat")}
+        rows = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "repeat_chars", "longest_repeat")}
         duplicates = [_repeated_lines(v.as_py() or b"") for v in column]
         for _, data, offsets in pieces(column):
             found = words(data, offsets, BLANK, fold=False)
@@ -107,14 +107,17 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             rows["n_words"].append(n)
             rows["word_chars"].append(_sums(~BLANK[data] & _START[data], offsets))
             rows["n_symbols"].append(_sums(_SYMBOL[data], offsets))
-            rows["n_repeat_words"].append(np.bincount(found.doc[np.cumsum(edge[:-1]) > 0], minlength=count))
+            covered = np.cumsum(edge[:-1]) > 0
+            points = np.concatenate([[0], np.cumsum(_START[data])])
+            rows["n_repeat_words"].append(np.bincount(found.doc[covered], minlength=count))
+            rows["repeat_chars"].append(np.bincount(found.doc, (points[found.stop] - points[found.start]) * covered, count).astype(np.int64))
             rows["longest_repeat"].append(most)
         whole = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in rows.items()}
         n, repeated = whole["n_words"], whole["n_repeat_words"]
         failed = (n < least_words) | (100 * repeated > base_share * n)
-        kept = ~failed & (repeated <= cover * n) & (whole["longest_repeat"] <= longest)
+        kept = ~failed & (whole["repeat_chars"] <= cover * whole["word_chars"] + 1e-9) & (whole["longest_repeat"] <= longest)
         yield whole | {doc_id: batch.column(0), "n_dup_lines": duplicates, "base_failed": failed, "kept": kept}
 
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("binary").alias("t")), task,
                      f"{doc_id} long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-                     "longest_repeat long, base_failed boolean, kept boolean")
+                     "repeat_chars long, longest_repeat long, base_failed boolean, kept boolean")

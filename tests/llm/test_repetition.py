@@ -40,8 +40,9 @@ def brute(rows, size=8):
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
         long = [tuple(w[i:i + 201]) for i in range(len(w) - 200)]
-        kept = not failed and len(hit) <= 0.2 * len(w) and len(set(long)) == len(long)
-        out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit), failed, kept))
+        chars = sum(len(w[i]) for i in hit)
+        kept = not failed and chars <= 0.3 * sum(map(len, w)) + 1e-9 and len(set(long)) == len(long)
+        out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit), chars, failed, kept))
     return plain(out)
 
 
