@@ -243,13 +243,14 @@ def quota_sample(df: DataFrame, window: str, order: Sequence[str], total: int, w
     return df.withColumn("pick", rank).filter(F.col("pick") <= base + 1).filter(F.col("pick") <= quota)
 
 
-def pending(games: DataFrame, done: DataFrame, key: str, per_season: int | None = None) -> DataFrame:
-    """Contests not processed yet, at most ``per_season`` per season in date order."""
+def pending(games: DataFrame, done: DataFrame, key: str, per_season: int | None = None, most: int | None = None) -> DataFrame:
+    """Contests not processed yet: a work list of at most ``per_season`` per season in date order, and ``most`` in all."""
     todo = games.join(done.select(key), key, "left_anti")
     if per_season is None:
         return todo
     rank = F.row_number().over(Window.partitionBy("season").orderBy(DAY, key))
-    return todo.withColumn("pick", rank).filter(F.col("pick") <= per_season)
+    todo = todo.withColumn("pick", rank).filter(F.col("pick") <= per_season)
+    return todo if most is None else todo.orderBy("season", "pick").limit(most)
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -85,15 +85,16 @@ def histogram_binning(pred: DataFrame, by: Sequence[str] = ("model_id",), bins:
     return rows.join(table, [*by, "season", "bin"])
 
 
-def grouped_calibration(train: DataFrame, test: DataFrame, key: str, min_rows: int = 5, bins: int = 10) -> DataFrame:
-    """Histogram binning per key with a global table for keys that have too few rows."""
+def grouped_calibration(train: DataFrame, test: DataFrame, key: str, min_rows: int = 5, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """Histogram binning per key, of each ``by``, with a table over all keys for those that have too few rows."""
+    by = list(by)
     t = train.withColumn("bin", bin_of("p", bins))
-    per_key = t.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).filter(F.col("key_rows") >= min_rows)
-    cells = t.groupBy(key, "bin").agg(F.avg(F.col("y").cast("double")).alias("key_rate"))
-    world = t.groupBy("bin").agg(F.avg(F.col("y").cast("double")).alias("all_rate"))
+    per_key = t.groupBy(*by, key).agg(F.count(F.lit(1)).alias("key_rows")).filter(F.col("key_rows") >= min_rows)
+    cells = t.groupBy(*by, key, "bin").agg(F.avg(F.col("y").cast("double")).alias("key_rate"))
+    world = t.groupBy(*by, "bin").agg(F.avg(F.col("y").cast("double")).alias("all_rate"))
     half = F.lit(0.5)
-    return (test.withColumn("bin", bin_of("p", bins)).join(per_key, key, "left").join(cells, [key, "bin"], "left")
-            .join(world, "bin", "left")
+    return (test.withColumn("bin", bin_of("p", bins)).join(per_key, [*by, key], "left").join(cells, [*by, key, "bin"], "left")
+            .join(world, [*by, "bin"], "left")
             .withColumn("calibrated", F.when(F.col("key_rows").isNotNull(), F.coalesce("key_rate", half))
                         .otherwise(F.coalesce("all_rate", half))))
 
@@ -236,10 +237,10 @@ def select_config(metrics: DataFrame, by: Sequence[str], tolerance: float = 0.01
 
 
 def select_shippable(candidates: DataFrame) -> DataFrame:
-    """Lowest log loss among candidates that pass both monotone checks; Brier breaks a tie."""
+    """Lowest log loss among candidates that pass both monotone checks, Brier breaks a tie; no row if none passes."""
     ok = candidates.filter((F.col("margin_ok") == 1) & (F.col("time_ok") == 1))
     cols = candidates.columns
-    return ok.agg(F.min_by(F.struct(*cols), F.struct("log_loss", "brier", "model_id")).alias("c")).select("c.*")
+    return ok.agg(F.min_by(F.struct(*cols), F.struct("log_loss", "brier", "model_id")).alias("c")).filter("c is not null").select("c.*")
 
 
 def weighted_score(df: DataFrame, weights: dict[str, float]) -> Column:

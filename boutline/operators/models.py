@@ -55,9 +55,10 @@ def logistic(columns: Sequence[str], label: str, strength: float, weight: str |
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="x"), lr])
 
 
-def trees(columns: Sequence[str], label: str, kind: str = "boosted", weight: str | None = None) -> Pipeline:
-    cls = {"boosted": lambda: GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=8, stepSize=0.2, seed=7),
-           "bagged": lambda: RandomForestClassifier(featuresCol="x", labelCol=label, maxDepth=4, numTrees=12, seed=7)}[kind]()
+def trees(columns: Sequence[str], label: str, kind: str = "boosted", weight: str | None = None, size: int = 120) -> Pipeline:
+    """Boosted (``size`` rounds) or bagged (``size`` trees) trees; each round of boosting is a pass over the rows."""
+    cls = {"boosted": lambda: GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=size, stepSize=0.2, seed=7),
+           "bagged": lambda: RandomForestClassifier(featuresCol="x", labelCol=label, maxDepth=4, numTrees=size, seed=7)}[kind]()
     if weight:
         cls = cls.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="x"), cls])

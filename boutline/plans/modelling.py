@@ -7,6 +7,7 @@ from boutline.operators import evaluate as E, folds as M, history as H, states a
 from boutline.plans.evaluation import METRICS, MODELS, normal_cdf
 from boutline.plans.oracle import hit, log_loss, over
 from boutline.plans.registry import query
+from boutline.session import stored
 
 PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
@@ -50,9 +51,13 @@ def seasons(games):
 
 
 @query("fold_overlap", "part:s season:b games:b shared:b", over("games", """
- SELECT part, season, COUNT(*) AS games, 0 AS shared FROM (SELECT game_id, season, CASE WHEN ROW_NUMBER() OVER (ORDER BY game_date, game_id) <= FLOOR(COUNT(*) OVER () * 0.8e0) THEN 'train' ELSE 'test' END AS part FROM games) x GROUP BY 1, 2"""))
+ SELECT part, season, COUNT(*) AS games, (SELECT COUNT(*) FROM (SELECT game_id FROM s WHERE part = 'train' INTERSECT SELECT game_id FROM s WHERE part = 'test') b) AS shared FROM s GROUP BY 1, 2""",
+    x="SELECT game_id, season, ROW_NUMBER() OVER (ORDER BY game_date, game_id) <= FLOOR(COUNT(*) OVER () * 0.8e0) AS early FROM games",
+    s="SELECT game_id, season, CASE WHEN early THEN 'train' ELSE 'test' END AS part FROM x UNION ALL SELECT game_id, season, 'test' FROM x WHERE early AND game_id % 50 = 0"))
 def fold_overlap(t):
-    s = M.split_by_game(t.games(), [("train", 0.8), ("test", 1.0)])
+    s = M.split_by_game(t.games(), [("train", 0.8), ("test", 1.0)]).select("game_id", "season", "part")
+    # An overlap made on purpose: the check has to count it.
+    s = s.unionByName(s.filter("part = 'train' and game_id % 50 = 0").withColumn("part", F.lit("test")))
     both = s.filter("part = 'train'").select("game_id").intersect(s.filter("part = 'test'").select("game_id")).agg(F.count(F.lit(1)).alias("shared"))
     return M.attach_row(s.groupBy("part", "season").agg(F.count(F.lit(1)).alias("games")), both)
 
@@ -76,16 +81,16 @@ def histogram_binning(t):
     return M.histogram_binning(t.preds())
 
 
-@query("grouped_calibration", "game_id:b p:d calibrated:d key_rows:b", over("preds", """
- SELECT t.game_id, t.p, k.n AS key_rows, CASE WHEN k.n IS NOT NULL THEN COALESCE(c.r, 0.5e0) ELSE COALESCE(w.r, 0.5e0) END AS calibrated
- FROM (SELECT *, LEAST(FLOOR(p * 10), 9) AS bin FROM preds WHERE model_id = 'form' AND season >= 2000) t
- LEFT JOIN (SELECT home, COUNT(*) AS n FROM tr GROUP BY 1 HAVING COUNT(*) >= 80) k ON k.home = t.home
- LEFT JOIN (SELECT home, bin, AVG(CAST(y AS DOUBLE)) AS r FROM tr GROUP BY 1, 2) c ON c.home = t.home AND c.bin = t.bin
- LEFT JOIN (SELECT bin, AVG(CAST(y AS DOUBLE)) AS r FROM tr GROUP BY 1) w ON w.bin = t.bin""",
-    tr="SELECT *, LEAST(FLOOR(p * 10), 9) AS bin FROM preds WHERE model_id = 'form' AND season < 2000"))
+@query("grouped_calibration", "model_id:s game_id:b p:d calibrated:d key_rows:b", over("preds", """
+ SELECT t.model_id, t.game_id, t.p, k.n AS key_rows, CASE WHEN k.n IS NOT NULL THEN COALESCE(c.r, 0.5e0) ELSE COALESCE(w.r, 0.5e0) END AS calibrated
+ FROM (SELECT *, LEAST(FLOOR(p * 10), 9) AS bin FROM preds WHERE season >= 2000) t
+ LEFT JOIN (SELECT model_id, home, COUNT(*) AS n FROM tr GROUP BY 1, 2 HAVING COUNT(*) >= 80) k ON k.model_id = t.model_id AND k.home = t.home
+ LEFT JOIN (SELECT model_id, home, bin, AVG(CAST(y AS DOUBLE)) AS r FROM tr GROUP BY 1, 2, 3) c ON c.model_id = t.model_id AND c.home = t.home AND c.bin = t.bin
+ LEFT JOIN (SELECT model_id, bin, AVG(CAST(y AS DOUBLE)) AS r FROM tr GROUP BY 1, 2) w ON w.model_id = t.model_id AND w.bin = t.bin""",
+    tr="SELECT *, LEAST(FLOOR(p * 10), 9) AS bin FROM preds WHERE season < 2000"))
 def grouped_calibration(t):
-    p = t.preds().filter("model_id = 'form'")
-    return M.grouped_calibration(p.filter("season < 2000"), p.filter("season >= 2000"), "home", min_rows=80)
+    p = t.preds()
+    return M.grouped_calibration(p.filter("season < 2000"), p.filter("season >= 2000"), "home", min_rows=80, by=["model_id"])
 
 
 def _temp_loss(p, temp):
@@ -163,13 +168,6 @@ def select_config(t):
     return M.select_config(m, ["season"])
 
 
-@query("select_shippable", "model_id:s log_loss:d brier:d", over("preds", f"""
- SELECT model_id, AVG({log_loss()}) AS log_loss, AVG((p - y) * (p - y)) AS brier FROM preds WHERE model_id <> 'form' GROUP BY 1 ORDER BY 2, 3, 1 LIMIT 1"""))
-def select_shippable(t):
-    m = E.score(t.preds()).withColumns({"margin_ok": F.lit(1), "time_ok": (F.col("model_id") != "form").cast("int")})
-    return M.select_shippable(m)
-
-
 @query("weighted_score", "game_id:b p:d", over("pw", """
  SELECT game_id, 1e0 / (1e0 + EXP(-(1.2e0 * LN(p_form / (1 - p_form)) - 0.3e0 * LN(p_prior / (1 - p_prior)) + 0.5e0 * (spread_line)) / 2e0)) AS p FROM pw"""))
 def weighted_score(t):
@@ -251,6 +249,32 @@ def monotone_audit(t):
     return X.monotone_audit(_surface(t), (LO, HI))
 
 
+def _gate_sql(v):
+    """Audit flags and scores of one surface."""
+    steps = f"""SELECT CASE WHEN margin > 0 THEN -dt WHEN margin < 0 THEN dt END AS wrong, dm FROM (SELECT margin, p - LAG(p) OVER (PARTITION BY margin ORDER BY i) AS dt, p - LAG(p) OVER (PARTITION BY i ORDER BY margin) AS dm
+  FROM (SELECT a.m AS margin, b.i, s.{v} AS p FROM range(-25, 26) a(m) CROSS JOIN range(401) b(i) JOIN surf s ON s.margin = a.m AND s.j = CAST(GREATEST(0, CEIL((1e0 - i / 400e0) * 40 - 1e-9)) AS INT)) x) y"""
+    scored = f"SELECT s.{v} AS p, home_won AS y FROM states t JOIN surf s ON s.margin = GREATEST(-25, LEAST(25, t.margin)) AND s.j = CAST(LEAST(40, GREATEST(0, CEIL(t.frac * 40 - 1e-9))) AS INT) WHERE home_won IS NOT NULL"
+    return f"""SELECT '{v}' AS model_id, log_loss, brier, margin_ok, time_ok FROM (SELECT AVG({log_loss()}) AS log_loss, AVG((p - y) * (p - y)) AS brier FROM ({scored}) a) b,
+ (SELECT CASE WHEN COUNT(CASE WHEN dm < -1e-9 THEN 1 END) = 0 THEN 1 ELSE 0 END AS margin_ok, CASE WHEN COUNT(CASE WHEN wrong > 1e-9 THEN 1 END) = 0 THEN 1 ELSE 0 END AS time_ok FROM ({steps}) c) d"""
+
+
+CANDIDATES = ("p", "p_time", "p_mono")
+
+
+@query("select_shippable", "model_id:s log_loss:d brier:d margin_ok:b time_ok:b", over("states", """
+ SELECT * FROM (""" + " UNION ALL ".join(_gate_sql(v) for v in CANDIDATES) + ") c WHERE margin_ok = 1 AND time_ok = 1 ORDER BY log_loss, brier, model_id LIMIT 1", **SURFACE))
+def select_shippable(t):
+    surface = stored(_surface(t), "surface")
+    states = t.states().filter("home_won is not null")
+    parts = []
+    for v in CANDIDATES:
+        one = surface.select("margin", "j", F.col(v).alias("p_mono"))
+        audit = X.monotone_audit(one, (LO, HI)).agg((F.sum("margin_drops") == 0).cast("int").alias("margin_ok"), (F.sum("time_drops") == 0).cast("int").alias("time_ok"))
+        scored = X.surface_score(states, one, (LO, HI)).select(F.lit(v).alias("model_id"), F.col("home_won").alias("y"), "p")
+        parts.append(M.attach_row(E.score(scored), audit))
+    return M.select_shippable(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 @query("bucket_gap", "family:s bucket:s n:b our_brier:d their_brier:d log_loss_gap:d", over("states", f"""
  SELECT family, bucket, COUNT(*) AS n, AVG((p - y) * (p - y)) AS our_brier, AVG((q - y) * (q - y)) AS their_brier, AVG({log_loss('p')}) - AVG({log_loss('q')}) AS log_loss_gap FROM
  (SELECT 'phase' AS family, CASE WHEN frac >= 0.75 THEN '1.00-0.75' WHEN frac >= 0.5 THEN '0.75-0.50' WHEN frac >= 0.25 THEN '0.50-0.25' ELSE '0.25-0.00' END AS bucket, p, q, y FROM b UNION ALL

@@ -14,6 +14,8 @@ from boutline.session import scratch_path, stored
 
 STEMS = ["season_pct", "season_gd", "last10_pct", "home_pct"]
 COLUMNS = [f"delta_{s}" for s in STEMS]
+#: Sizes that the queries fit; the operator's own default is 120.
+TREES = {"boosted": 8, "bagged": 12}
 
 
 def _table(t):
@@ -51,13 +53,13 @@ def walk_forward_logistic(t):
 @query("walk_forward_boosted", SCORES)
 def walk_forward_boosted(t):
     d = _table(t)
-    return E.score(M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.trees(COLUMNS, "y"), 5), ["season"])
+    return E.score(M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.trees(COLUMNS, "y", size=TREES["boosted"]), 5), ["season"])
 
 
 @query("walk_forward_bagged", SCORES)
 def walk_forward_bagged(t):
     d = _table(t)
-    return E.score(M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.trees(COLUMNS, "y", "bagged"), 5), ["season"])
+    return E.score(M.walk_forward(d, COLUMNS, "y", seasons(d), lambda n: M.trees(COLUMNS, "y", "bagged", size=TREES["bagged"]), 5), ["season"])
 
 
 @query("calibrators", "model_id:s method:s n:b accuracy:d log_loss:d brier:d")

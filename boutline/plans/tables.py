@@ -300,9 +300,9 @@ def later_source_wins(t):
 @query("prev_season_lookup", "entity:b season:b prev_win_pct:d prior_win_pct:d", over("elog", """
  SELECT a.entity, a.season, b.p AS prev_win_pct, c.p AS prior_win_pct FROM x a LEFT JOIN (SELECT season, LAG(season) OVER (ORDER BY season) AS prev FROM (SELECT DISTINCT season FROM x) s) l ON l.season = a.season
  LEFT JOIN x b ON b.entity = a.entity AND b.season = l.prev LEFT JOIN x c ON c.entity = a.entity AND c.season = a.season - 1""",
-    x="SELECT entity, season, CAST(COALESCE(SUM(win), 0) AS DOUBLE) / COUNT(*) AS p FROM elog WHERE season <> 1997 GROUP BY 1, 2"))
+    x="SELECT entity, season, CAST(COALESCE(SUM(win), 0) AS DOUBLE) / COUNT(*) AS p FROM elog WHERE season <> 1997 OR entity % 2 = 0 GROUP BY 1, 2"))
 def prev_season_lookup(t):
-    s = A.season_summary(t.log().filter("season <> 1997")).select("entity", "season", "win_pct")
+    s = A.season_summary(t.log().filter("season <> 1997 or entity % 2 = 0")).select("entity", "season", "win_pct")
     a = J.previous_present(s, "entity", "season", ["win_pct"])
     b = J.previous_present(s, "entity", "season", ["win_pct"], step="calendar")
     return a.join(b.select("entity", "season", F.col("prev_win_pct").alias("prior_win_pct")), ["entity", "season"])
@@ -388,15 +388,15 @@ def prediction_lookup(t):
                        (p >= 0.5).cast("int").alias("pick_home"), F.col("home_win").alias("y"))
 
 
-@query("team_documents", "entity:b name:s wins:b rank:b mean_score:d", over("elog dim", f"""
- SELECT d.entity, d.name, s.w AS wins, s.rank, a.score AS mean_score FROM dim d LEFT JOIN (SELECT * FROM ({STAND_SQL}) q WHERE season = 1998) s ON s.entity = d.entity
- LEFT JOIN (SELECT entity, AVG(score) AS score FROM elog WHERE season = 1998 GROUP BY 1) a ON a.entity = d.entity"""))
+@query("team_documents", "entity:b name:s season:b wins:b rank:b mean_score:d", over("elog dim", f"""
+ SELECT d.entity, d.name, s.season, s.w AS wins, s.rank, a.score AS mean_score FROM dim d LEFT JOIN ({STAND_SQL}) s ON s.entity = d.entity
+ LEFT JOIN (SELECT entity, season, AVG(score) AS score FROM elog GROUP BY 1, 2) a ON a.entity = s.entity AND a.season = s.season"""))
 def team_documents(t):
-    log = t.log().filter("season = 1998")
-    st = A.standings(log, t.dim()).select("entity", F.struct(F.col("W").alias("wins"), "rank").alias("standing"))
-    avg = log.groupBy("entity").agg(F.struct(F.avg("score").alias("score")).alias("averages"))
-    doc = t.dim().select("entity", "name").join(st, "entity", "left").join(avg, "entity", "left")
-    return doc.select("entity", "name", "standing.wins", "standing.rank", F.col("averages.score").alias("mean_score"))
+    log = t.log()
+    st = A.standings(log, t.dim()).select("entity", "season", F.struct(F.col("W").alias("wins"), "rank").alias("standing"))
+    avg = log.groupBy("entity", "season").agg(F.struct(F.avg("score").alias("score")).alias("averages"))
+    doc = t.dim().select("entity", "name").join(st, "entity", "left").join(avg, ["entity", "season"], "left")
+    return doc.select("entity", "name", "season", "standing.wins", "standing.rank", F.col("averages.score").alias("mean_score"))
 
 
 @query("duplicate_keys", "l_orderkey:b l_linenumber:b copies:b", "SELECT l_orderkey, l_linenumber, COUNT(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
@@ -479,10 +479,10 @@ def upsert(t):
 
 
 @query("pending_work", "game_id:b season:b pick:b", over("games", """
- SELECT game_id, season, pick FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY season ORDER BY game_date, game_id) AS pick FROM games WHERE game_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) x WHERE pick <= 40"""))
+ SELECT game_id, season, pick FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY season ORDER BY game_date, game_id) AS pick FROM games WHERE game_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) x WHERE pick <= 40 ORDER BY season, pick LIMIT 90"""))
 def pending_work(t):
     done = t.read("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("game_id"))
-    return A.pending(t.games(), done, "game_id", 40)
+    return A.pending(t.games(), done, "game_id", 40, most=90)
 
 
 @query("quota_sample", "game_id:b season:b pick:b", over("games", """
