@@ -1,25 +1,30 @@
 """Byte-pair encoding through a table of distinct words, and decoding through a table of pieces.
 
-1. Each task splits its documents into words and writes them by chunk: the chunk's distinct words once, and each document as
-   positions among them. The table lies in the shared folder, so both readers below see the same chunks.
-2. The words go to Spark's shuffle as (word, chunk, position); each distinct word meets in one task, which encodes it once and
-   sends its ids back to the chunks.
-3. A join by chunk turns positions into ids.
-
-Only distinct words are ever encoded, and texts themselves are never shuffled.
+1. Each task splits its documents into words and writes them by chunk: the chunk's distinct words once, in parts by their
+   hash, and each document as positions among them. The table lies in the shared folder, so both readers below see the same
+   chunks, and it is bucketed by chunk.
+2. The parts are shuffled by that hash. All of a word's occurrences meet in one task, which encodes it once and sends its ids
+   back to the chunks.
+3. A join by chunk turns positions into ids; the positions are read from their buckets and not shuffled.
+
+Only distinct words are ever encoded, and neither texts nor positions are shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
-from boutline.llm.stored import arrow_schema, stored
+from boutline.llm.stored import arrow_schema, bucketed
+from boutline.session import ship
 
 #: Text of one chunk in characters, unless one document is longer. Its distinct words are what a join brings together.
 CHUNK = 32_000_000
@@ -90,107 +95,135 @@ def splitter(form: str, special: list[str]):
     return split
 
 
+def _pack_bytes(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _unpack_bytes(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b""
+
+
 def _pack(values: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+    """Unsigned 32-bit integers, byte planes apart."""
+    return _pack_bytes(np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "little")
-    planes = pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b""
+    planes = _unpack_bytes(blob)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
-def _chunks(docs: DataFrame, form, special: list[str], limit: int) -> DataFrame:
-    """A row for each chunk: its documents' ids and numbers of words, word positions, and distinct words in order."""
-    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()),
-                        ("words", pa.list_(pa.string()))])
+def _pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    raw = [w.encode() for w in words]
+    return _pack_bytes(b"".join(raw)), _pack(np.array([len(w) for w in raw]))
 
-    def run(batches):
-        split = splitter(form.value, special)
-        ids, sizes, places, known, held = [], [], [], {}, 0
 
-        def row():
-            flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
-            return pa.RecordBatch.from_pydict({"chunk": [uuid.uuid4().hex], "ids": [ids], "sizes": [_pack(np.array(sizes, np.uint32))],
-                                               "places": [_pack(flat)], "words": [list(known)]}, schema=schema)
+def _unpack_words(blob: bytes, lengths: bytes) -> list[str]:
+    raw, ends = _unpack_bytes(blob), np.cumsum(_unpack(lengths), dtype=np.int64).tolist()
+    return [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+_PART = pa.struct([("part", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("place", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()),
+                    ("parts", pa.list_(_PART))])
+
+
+class _Chunk:
+    """Documents as positions in a list of distinct words."""
+
+    def __init__(self):
+        self.ids, self.sizes, self.places, self.known, self.held = [], [], [], {}, 0
+
+    def add(self, doc, words: list[str], length: int) -> None:
+        known = self.known
+        place = known.setdefault
+        self.ids.append(doc)
+        self.sizes.append(len(words))
+        self.places.append(np.array([place(w, len(known)) for w in words], np.uint32))
+        self.held += length + 100
+
+    def row(self, parts: int) -> pa.RecordBatch:
+        names = list(self.known)
+        part = np.array([xxhash.xxh3_64_intdigest(w.encode()) % parts for w in names], np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            words, lengths = _pack_words([names[i] for i in order[a:b]])
+            rows.append({"part": int(part[order[a]]), "words": words, "lengths": lengths, "place": _pack(order[a:b])})
+        flat = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
+        return pa.RecordBatch.from_pydict({"chunk": [uuid.uuid4().int >> 65], "ids": [self.ids], "sizes": [_pack(np.array(self.sizes))],
+                                           "places": [_pack(flat)], "parts": [rows]}, schema=_CHUNK)
 
+
+def _chunks(docs: DataFrame, form, special: list[str], limit: int, parts: int) -> DataFrame:
+    """A row for each chunk: its documents' ids and numbers of words, word positions, and distinct words in parts by hash."""
+
+    def run(batches):
+        split = splitter(form.value, special)
+        chunk = _Chunk()
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py() or ""
-                place = known.setdefault
-                found = split(text)
-                ids.append(doc)
-                sizes.append(len(found))
-                places.append(np.array([place(w, len(known)) for w in found], np.uint32))
-                held += len(text) + 100
-                if held >= limit:
-                    yield row()
-                    ids, sizes, places, known, held = [], [], [], {}, 0
-        if ids:
-            yield row()
+                chunk.add(doc, split(text), len(text))
+                if chunk.held >= limit:
+                    yield chunk.row(parts)
+                    chunk = _Chunk()
+        if chunk.ids:
+            yield chunk.row(parts)
 
-    return docs.mapInArrow(run, "chunk string, ids array<long>, sizes binary, places binary, words array<string>")
+    return docs.mapInArrow(run, "chunk long, ids array<long>, sizes binary, places binary, "
+                                "parts array<struct<part int, words binary, lengths binary, place binary>>")
 
 
-def _encoded_words(words: DataFrame, vocabulary) -> DataFrame:
-    """(chunk, place, size, ids): what each task's words become, packed by chunk. Input is sorted by word within each task."""
-    schema = pa.schema([("chunk", pa.string()), ("place", pa.binary()), ("size", pa.binary()), ("ids", pa.binary())])
+def _encoded_words(parts: DataFrame, vocabulary) -> DataFrame:
+    """(chunk, place, size, ids): a chunk's words of one part, encoded. A task keeps the ids of the words it has met."""
+    schema = pa.schema([("chunk", pa.int64()), ("place", pa.binary()), ("size", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_str(vocabulary.value)
         encoder.no_truncation()
         encoder.no_padding()
-        last, own, held, count = None, [], {}, 0
+        codes: dict[str, list[int]] = {}
+        for one in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            for row in one.to_pylist():
+                words = _unpack_words(row["words"], row["lengths"])
+                fresh = [w for w in words if w not in codes]
+                codes.update((w, e.ids) for w, e in zip(fresh, encoder.encode_batch(fresh, add_special_tokens=False)))
+                own = [codes[w] for w in words]
+                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "place": [row["place"]], "size": [_pack(np.array([len(c) for c in own]))],
+                                                  "ids": [_pack(np.array([i for c in own for i in c]))]}, schema=schema)
 
-        def rows():
-            for chunk, (place, size, ids) in held.items():
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "place": [_pack(np.array(place))], "size": [_pack(np.array(size))],
-                                                  "ids": [_pack(np.array(ids))]}, schema=schema)
+    return parts.mapInArrow(run, "chunk long, place binary, size binary, ids binary")
 
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            fresh = [w for w in dict.fromkeys(names) if w != last]
-            codes = {w: e.ids for w, e in zip(fresh, encoder.encode_batch(fresh, add_special_tokens=False))}
-            if last is not None:
-                codes.setdefault(last, own)
-            for word, chunk, at in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                code = codes[word]
-                place, size, ids = held.setdefault(chunk, ([], [], []))
-                place.append(at)
-                size.append(len(code))
-                ids.extend(code)
-            count += len(names)
-            last, own = names[-1], codes[names[-1]]
-            if count >= 1_000_000:
-                yield from rows()
-                held, count = {}, 0
-        yield from rows()
-
-    return words.mapInArrow(run, "chunk string, place binary, size binary, ids binary")
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK) -> DataFrame:
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK,
+           finish=None, schema: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row; null and empty texts have no ids; one result row per input row, repeated ones too.
 
     Special strings of the vocabulary are their own ids wherever they stand in a text; none is added. Other columns are ignored.
+    ``finish`` may turn record batches of that result into others of ``schema`` in the same task.
     """
+    ship(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast
     shared = send(vocabulary.text)
-    chunks = stored(_chunks(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text)), send(vocabulary.pattern), vocabulary.special, limit), "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("at", "word")).select("word", "chunk", "at")
-    back = (_encoded_words(words.repartition("word").sortWithinPartitions("word"), shared)
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = bucketed(_chunks(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text)), send(vocabulary.pattern), vocabulary.special,
+                              limit, parts), "chunk", "chunks")
+    words = chunks.select("chunk", F.explode("parts").alias("p")).select("p.part", "chunk", "p.words", "p.lengths", "p.place")
+    # As many partitions as the chunks have buckets, and no fewer: a chunk is large, and one task should not hold many.
+    back = (_encoded_words(words.repartition("part"), shared).repartition(parts // 4, "chunk")
             .groupBy("chunk").agg(F.collect_list(F.struct("place", "size", "ids")).alias("parts")))
-    schema = arrow_schema(f"{doc_id} long, ids array<int>")
+    plain = arrow_schema(f"{doc_id} long, ids array<int>")
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        # One chunk at a time: several are in a batch, and unpacked they are large.
+        for one in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            for row in one.to_pylist():
                 parts = [tuple(_unpack(p[k]) for k in ("place", "size", "ids")) for p in row["parts"] or []]
                 place, size, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
                 begin = np.zeros(len(place), np.int64)
@@ -200,18 +233,34 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text
                 ends = np.cumsum(sizes, dtype=np.int64)
                 a = 0
                 while a < len(sizes):
-                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 500_000, "right")))
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 200_000, "right")))
                     own = where[(ends[a - 1] if a else 0):ends[b - 1]]
                     n = length[own]
                     stop = np.cumsum(n)
                     ids = flat[np.repeat(begin[own] - (stop - n), n) + np.arange(n.sum())]
                     cuts = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes[a:b], dtype=np.int64)])]
-                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][a:b], pa.int64()),
-                                                      pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))], schema=schema)
+                    done = pa.RecordBatch.from_arrays([pa.array(row["ids"][a:b], pa.int64()),
+                                                       pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))], schema=plain)
+                    yield finish(done) if finish else done
                     a = b
 
     return (chunks.select("chunk", "ids", "sizes", "places").join(back, "chunk", "left").drop("chunk")
-            .mapInArrow(run, f"{doc_id} long, ids array<int>"))
+            .mapInArrow(run, schema or f"{doc_id} long, ids array<int>"))
+
+
+def joined_pieces(column: pa.Array, pieces: list[bytes]) -> list[bytes | None]:
+    """Each list of ids with its pieces put together; ids that are not in the table give nothing."""
+    n = len(pieces)
+    out = []
+    for row in column:
+        if not row.is_valid:
+            out.append(None)
+            continue
+        own = row.values.to_numpy(zero_copy_only=False)
+        if len(own) and (own.min() < 0 or own.max() >= n):
+            own = own[(own >= 0) & (own < n)]
+        out.append(b"".join([pieces[i] for i in own.tolist()]))
+    return out
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -220,37 +269,31 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
     The table of pieces has one row per id of the vocabulary, a fixed number, so every task holds it: a map-side join. Null ids
     give null; an id that the vocabulary does not have gives nothing.
     """
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces())
 
     @F.arrow_udf("string")
     def join(column: pa.Array) -> pa.Array:
-        pieces = shared.value
-        n = len(pieces)
-        out = []
-        for row in column:
-            if not row.is_valid:
-                out.append(None)
-                continue
-            own = row.values.to_numpy(zero_copy_only=False)
-            if len(own) and (own.min() < 0 or own.max() >= n):
-                own = own[(own >= 0) & (own < n)]
-            out.append(b"".join([pieces[i] for i in own.tolist()]).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in joined_pieces(column, shared.value)], pa.string())
 
     return encoded.withColumn(text, join(F.col(ids)))
 
 
-@F.arrow_udf(T.StringType())
-def ids_digest(column: pa.Array) -> pa.Array:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
-    return pa.array([hashlib.sha256(r.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() if r.is_valid else None
-                     for r in column], pa.string())
-
-
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded."""
-    return (decode(encode(docs, vocabulary), vocabulary)
-            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"),
-                    F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded in the task that joins its ids.
+
+    Ids are digested as little-endian unsigned 32-bit integers, decoded texts as UTF-8.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces())
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    kinds = arrow_schema(schema)
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(1)
+        texts = [b.decode("utf-8", "replace").encode() for b in joined_pieces(ids, shared.value)]
+        flat = [r.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for r in ids]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) // 4 for f in flat], pa.int64()),
+                                           pa.array([hashlib.sha256(f).hexdigest() for f in flat]),
+                                           pa.array([hashlib.sha256(t).hexdigest() for t in texts])], schema=kinds)
+
+    return encode(docs, vocabulary, finish=finish, schema=schema)
