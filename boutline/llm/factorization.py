@@ -111,7 +111,7 @@ def train(v: Vectors, label: np.ndarray, rank: int = 8, steps: int = 1500, batch
     bias = float(np.log(share / (1 - share)))
     seen, seen_factors = np.full(FEATURES, 1e-6), np.full((FEATURES, rank), 1e-6)
     bounds = np.append(v.begin, len(v.feature))
-    for _ in range(-(-steps * batch // len(label))):
+    for _ in range(-(-steps // -(-len(label) // batch))):
         order = rng.permutation(len(label))
         for a in range(0, len(order), batch):
             rows = order[a:a + batch]
