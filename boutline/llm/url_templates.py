@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from boutline.llm.stored import stored
+from boutline.llm.stored import spread_join, stored
 
 
 class Rule(NamedTuple):
@@ -57,7 +57,7 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """(host, path, template, purity) of distinct ``urls`` (host, path, label: 1 bad, 0 good, null unknown; a row per page).
 
     ``purity`` is the smoothed share of bad labels. No group is brought together: every step is a sum by key, or a join with
-    one row per key.
+    one row per key that spreads frequent keys.
     """
     parts = F.split("path", "/", -1)
     nodes = (urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
@@ -73,7 +73,7 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
         apart = F.abs(F.col("bad") / F.nullif("known", F.lit(0)) - (F.col("all_bad") - F.col("bad")) / F.nullif(others, F.lit(0)))
         margin = F.lit(tree.bound) * (1 / F.sqrt(F.nullif(F.col("known").cast("double"), F.lit(0.0))) + 1 / F.sqrt(F.nullif(others.cast("double"), F.lit(0.0))))
         literal = child.join(node, ["host", "t"]).where(~varied & (apart >= margin)).select("host", "t", "w", F.lit(True).alias("literal"))
-        joined = own.join(literal, ["host", "t", "w"], "left")
+        joined = spread_join(own, literal, ["host", "t", "w"], "path", how="left")
         step = F.when(F.col("w").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), F.when(F.col("literal"), F.col("w")).otherwise(F.lit("*"))))
         nodes = stored(joined.withColumn("t", step).drop("w", "literal"), "nodes")
     nodes = nodes.withColumn("t", F.when(F.size("parts") > tree.levels + 1, F.concat("t", F.lit("/**"))).otherwise(F.col("t"))).drop("parts")
@@ -83,7 +83,7 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
     kinds = nodes.groupBy("host", "t").agg(F.sum("known").alias("tk"), F.sum("bad").alias("tb"))
     prior = (F.col("hb") + F.lit(tree.weight) * F.lit(base)) / (F.col("hk") + F.lit(tree.weight))
     judged = kinds.join(hosts, "host").select("host", "t", ((F.col("tb") + F.lit(tree.weight) * prior) / (F.col("tk") + F.lit(tree.weight))).alias("purity"))
-    return nodes.select("host", "path", "t").join(judged, ["host", "t"]).select("host", "path", F.concat("host", "t").alias("template"), "purity")
+    return spread_join(nodes.select("host", "path", "t"), judged, ["host", "t"], "path").select("host", "path", F.concat("host", "t").alias("template"), "purity")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, page_id: str = "page_id", url: str = "url",
@@ -105,7 +105,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = N
         rows = rows.join(given, "__id", "left").withColumn("label", F.coalesce("label", "bad")).drop("bad")
     judged = templates(rows.select("host", "path", "label"), tree)
     found = F.when(F.col("purity") >= 0.5 - 1e-9, "block").otherwise("allow")
-    return (rows.join(judged, ["host", "path"], "left")
+    return (spread_join(rows, judged, ["host", "path"], "__id")
             .select(F.col("__id").alias(page_id), "host", "path", "rule", F.coalesce("fixed", found).alias("verdict"), "template"))
 
 
