@@ -86,10 +86,11 @@ def literal_score(name: str, literal: str) -> float:
 
 
 class Constant(NamedTuple):
-    """Literals that a name was given itself, and the constants it took over."""
+    """Literals that a name was given itself, the constants it took over, and its number in the text."""
 
     literals: list[tuple[int, int, str]]
     sources: list
+    number: int
 
 
 def reached(constant: Constant, taken: set[int]) -> tuple[list[tuple[int, int, str]], set[int]]:
@@ -97,8 +98,8 @@ def reached(constant: Constant, taken: set[int]) -> tuple[list[tuple[int, int, s
     literals, through, left = [], set(), [constant]
     while left:
         c = left.pop()
-        if id(c) not in through and id(c) not in taken:
-            through.add(id(c))
+        if c.number not in through and c.number not in taken:
+            through.add(c.number)
             literals += c.literals
             left += c.sources
     return sorted(set(literals)), through
@@ -117,15 +118,15 @@ def literal_spans(text: str, least: float = 4.0) -> list[Span]:
         if "</" in line:
             pairs += [(at + m.start(), at, m) for m in _MARKUP.finditer(line)]
         at += len(line) + 1
-    for _, shift, m in sorted(pairs, key=lambda p: p[0]):
+    for number, (_, shift, m) in enumerate(sorted(pairs, key=lambda p: p[0])):
         name, value, begin = m["name"], m["value"], shift + m.start("value")
         terms = list(_PIECE.finditer(value))
         if value[0] in "\"'`" or value in known or any(t[0][0] in "\"'`" for t in terms):
             quoted = [t for t in terms if t[0][0] in "\"'`"]
             own = Constant([(begin + t.start() + 1, begin + t.end() - 1, t[0][1:-1]) for t in quoted],
-                           [known[t[0]] for t in terms if t[0][0] not in "\"'`" and t[0] in known])
+                           [known[t[0]] for t in terms if t[0][0] not in "\"'`" and t[0] in known], number)
         else:
-            own = Constant([(begin, begin + len(value), value)], [])
+            own = Constant([(begin, begin + len(value), value)], [], number)
         known[name] = own
         if name_weight(name):
             literals, through = reached(own, taken)

@@ -71,3 +71,11 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert secrets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_name_assigned_many_times():
+    """Constants are told apart by more than an address, which a later constant may be given again."""
+    words = [f"Zk3m{i:04}Qpl2xY7" for i in range(400)]
+    assert found("\n".join(f"pwd = '{w}'" for w in words)) == words
+    assert found("\n".join(f"private_key: {w}" for w in words)) == words
+    assert found("\n".join(f"a = '{w}'\nx = a\npwd = x" for w in words)) == words
