@@ -2,19 +2,21 @@
 
 A text becomes a sequence of template words: a number, a name, or a unit after a number turns into a typed placeholder, any
 other word stays as it is, in small letters. Windows of template words are joined by hash with the benchmark's, so a question with other
-numbers and names still meets its original. What the placeholders stand for must then agree: one value of the question has to
-become one value in the document throughout.
+numbers and names still meets its original. Hits of a question in a document are taken by occurrences, so that variants of one
+question do not spoil each other. What the placeholders of one stand for must then agree: one value of the question has to
+become one value in it throughout.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from boutline.llm.stored import arrow_schema, stored
+from boutline.llm.stored import arrow_schema, map_arrow, stored
 from boutline.llm.text import PUNCTUATION, fold_latin, pieces, windows, words
 from boutline.session import ship
 
@@ -129,14 +131,50 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def occurrence(h: np.ndarray, pos: np.ndarray, at: np.ndarray, slots: np.ndarray, given: np.ndarray, n: int, size: int,
+               coverage: float, agreement: float) -> tuple[int, int, float, int, int] | None:
+    """(windows matched, slots, agreement, first, last) of the best occurrence of a question among its hits; None if none passes.
+
+    An occurrence lies about one difference of the places in document and question, off by the question's length at most: of
+    each of the question's windows it takes the hit nearest to that difference.
+    """
+    reach = int(pos.max()) + size - 1
+    shift = at - pos
+    order = np.lexsort((pos, shift))
+    h, pos, at, shift, slots, given = (v[order] for v in (h, pos, at, shift, slots, given))
+    best = None
+    for middle in np.unique(shift).tolist():
+        a, b = np.searchsorted(shift, [middle - reach, middle + reach + 1])
+        near = a + np.argsort(np.abs(shift[a:b] - middle), kind="stable")
+        own = near[np.unique(pos[near], return_index=True)[1]]
+        matched = len(np.unique(h[own]))
+        if matched < n * coverage - 1e-9:
+            continue
+        # A placeholder counts once for each place in the question and the document, however many windows show it.
+        i, k = np.nonzero(slots[own])
+        i = own[i]
+        places = set(zip((pos[i] + k).tolist(), (at[i] + k).tolist(), slots[i, k].tolist(), given[i, k].tolist()))
+        most: dict[int, int] = {}
+        for (s, _), count in Counter((s, g) for *_, s, g in places).items():
+            most[s] = max(most.get(s, 0), count)
+        share = sum(most.values()) / len(places) if places else 1.0
+        if share < agreement - 1e-9:
+            continue
+        if best is None or (matched, share) > (best[0], best[2]):
+            best = matched, len(places), share, int(at[own].min()), int(at[own].max()) + size - 1
+        if best[0] == n and best[2] == 1:
+            break
+    return best
+
+
 def leaked_questions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
                      size: int = 5, coverage: float = 0.8, agreement: float = 0.8, plain: int = 2, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, coverage, n_slots, agreement, first, last) for each document that holds a question.
 
-    A pair is given if the document holds at least ``coverage`` of the question's distinct template windows (``size`` template
-    words with at least ``plain`` plain ones among them), and at least ``agreement`` of the placeholders in these windows
-    stand for the value that the question's value most often becomes in that document. ``first`` and ``last`` are template
-    word numbers. A question with fewer than ``size`` template words has no window and is never found. Rows with a null id or
+    A pair is given if one occurrence in the document holds at least ``coverage`` of the question's distinct template windows
+    (``size`` template words with at least ``plain`` plain ones among them), and at least ``agreement`` of the placeholders in
+    these windows stand for the value that the question's value most often becomes in that occurrence. The figures are those of
+    the best occurrence; ``first`` and ``last`` are template word numbers. A question with fewer than ``size`` template words has no window and is never found. Rows with a null id or
     null or empty text give nothing; rows that share an id count as one text; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -152,22 +190,28 @@ def leaked_questions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_i
     probe = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * coverage - 1e-9) + 1).select("h", "id")
     pairs = hits.select("doc", "h").distinct().join(probe, "h").select("doc", "id").distinct()
     whole = ranked.select("id", "h", "n")
-    met = (pairs.join(whole, "id").join(hits.select("doc", "h", "at"), ["doc", "h"]).groupBy("doc", "id")
-           .agg(F.first("n").alias("n"), F.count_distinct("h").alias("matched"), F.min("at").alias("first"), (F.max("at") + size - 1).alias("last"))
-           .where(F.col("matched") >= F.col("n") * coverage - 1e-9))
-    met = stored(met, "met")
-    # A placeholder counts once for each place in the question and the document, however many windows show it.
-    both = (met.select("doc", "id").join(asked, "id").join(hits, ["doc", "h"])
-            .select("doc", "id", "pos", "at", F.posexplode(F.arrays_zip("slots", "given")).alias("i", "s")).where("s.slots <> 0")
-            .select("doc", "id", F.col("pos") + F.col("i"), F.col("at") + F.col("i"), "s").distinct())
-    agreed = (both.groupBy("doc", "id", "s.slots", "s.given").count().groupBy("doc", "id", "slots")
-              .agg(F.max("count").alias("best"), F.sum("count").alias("all"))
-              .groupBy("doc", "id").agg(F.sum("best").alias("best"), F.sum("all").alias("all")))
-    out = met.join(agreed, ["doc", "id"], "left")
-    share = F.coalesce(F.col("best") / F.col("all"), F.lit(1.0))
-    return out.where(share >= agreement - 1e-9).select(
-        F.col("doc").alias(doc_id), F.col("id").alias(item_id), F.col("n").alias("n_windows"), "matched",
-        (F.col("matched") / F.col("n")).alias("coverage"), F.coalesce("all", F.lit(0)).alias("n_slots"), share.alias("agreement"), "first", "last")
+    # What one occurrence has to hold, the document holds.
+    met = (pairs.join(whole, "id").join(hits.select("doc", "h").distinct(), ["doc", "h"]).groupBy("doc", "id")
+           .agg(F.first("n").alias("n"), F.count("*").alias("matched")).where(F.col("matched") >= F.col("n") * coverage - 1e-9))
+    met = stored(met.drop("matched"), "met")
+    held = (met.join(asked, "id").join(hits, ["doc", "h"]).groupBy("doc", "id")
+            .agg(F.first("n").alias("n"), F.collect_list("h").alias("h"), F.collect_list("pos").alias("pos"), F.collect_list("at").alias("at"),
+                 F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("given")).alias("given")))
+    schema = f"{doc_id} long, {item_id} long, n_windows long, matched long, coverage double, n_slots long, agreement double, first int, last int"
+
+    def task(batch):
+        out = {c.strip().split(" ")[0]: [] for c in schema.split(",")}
+        for i in range(batch.num_rows):
+            doc, item, n = (batch.column(c)[i].as_py() for c in range(3))
+            h, pos, at, slots, given = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(3, 8))
+            found = occurrence(h, pos.astype(np.int64), at.astype(np.int64), slots.reshape(-1, size), given.reshape(-1, size), n, size, coverage, agreement)
+            if found:
+                matched, places, share, first, last = found
+                for c, v in zip(out, (doc, item, n, matched, matched / n, places, share, first, last)):
+                    out[c].append(v)
+        yield out
+
+    return map_arrow(held.select("doc", "id", "n", "h", "pos", "at", "slots", "given"), task, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **limits) -> DataFrame:

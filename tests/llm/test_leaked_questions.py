@@ -105,3 +105,17 @@ def test_units_and_numbers():
     assert [w for w, _ in sequence("it costs 1,000.5 dollars")] == [w for w, _ in sequence("it costs 7 kg")]
     assert sequence("it costs 2.5")[-1] != sequence("it costs 25")[-1]
     assert [w for w, _ in sequence("so Mary Ann Lee ran")] == [w for w, _ in sequence("so Bob ran")]
+
+
+def test_variants_in_one_document(spark):
+    """A worksheet holds a question several times; each occurrence counts by itself, and scattered windows are none."""
+    def sheet(n):
+        return " ".join(f"{a} buys {3 + i} kg of apples for {12 + 5 * i} dollars and {a} gives {2 + 3 * i} kg of them to {b} on the way home."
+                        for i, (a, b) in enumerate([("Anna", "Ben"), ("Carla", "Dora"), ("Emil", "Fritz"), ("Gina", "Hugo"), ("Ida", "Jim")][:n]))
+
+    fox = ITEMS[1][1].split()
+    scattered = f" {' '.join(f'z{i}' for i in range(80))} ".join(" ".join(fox[i:i + 6]) for i in range(0, len(fox) - 4, 2))
+    rows = [(n, "We read: well, " + sheet(n)) for n in range(1, 6)] + [(9, scattered), (10, "It was so. " + ITEMS[1][1] + " " + scattered)]
+    found = {(r.doc_id, r.item_id): r for r in lq.leaked_questions(docs(spark, rows), benchmark(spark, ITEMS[:2])).collect()}
+    assert set(found) == {(n, 1) for n in range(1, 6)} | {(10, 2)}
+    assert all(r.agreement == 1 and r.last - r.first < 30 for r in found.values())
