@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boutline.llm import byte_pairs, factorization, toxic_passages, url_templates
+from boutline.llm import byte_pairs, factorization, merkle_manifest, toxic_passages, url_templates
 from boutline.llm.leaked_questions import leaked_questions
 from boutline.llm.near_copies import near_copies
 from boutline.llm.repeated_lines import drop_repeated_lines
@@ -120,3 +120,41 @@ def _repetition(spark, folder):
 @query("op1_shared_passages")
 def _shared_passages(spark, folder):
     return shared_passages(table(spark, folder, "documents"))
+
+
+def _field(c: str, value: str | None = None) -> str:
+    text = f"CAST({value or c} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+# crc32 is worked out bit by bit, and the trees level by level.
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS c FROM documents),
+own AS (SELECT doc_id, lang, sha256({" || ".join(_field(c) for c in merkle_manifest.FIELDS)}) AS leaf, coalesce(c % 7 = 0, false) AS tampered,
+  sha256({" || ".join(_field(c, "n_chars + 1" if c == "n_chars" else None) for c in merkle_manifest.FIELDS)}) AS altered FROM crc),
+l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, leaf, CASE WHEN tampered THEN altered ELSE leaf END AS claim,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM own),
+t AS (SELECT tree, 0 AS lvl, i, n, leaf AS h FROM l
+  UNION ALL SELECT tree, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, lvl, i // 2, n),
+s AS (SELECT tree, lvl AS height, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, n, h FROM s
+  UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+r AS (SELECT lvl AS height, h AS root FROM u WHERE n = 1),
+step AS (SELECT l.tree, l.i, k.lvl, (l.i >> k.lvl) & 1 AS side, t.h FROM l JOIN s USING (tree) JOIN range(0, 64) AS k(lvl) ON k.lvl < s.height
+    LEFT JOIN t ON t.tree = l.tree AND t.lvl = k.lvl AND t.i = xor(l.i >> k.lvl, 1)
+  UNION ALL SELECT l.tree, l.i, s.height + k.lvl, (s.i >> k.lvl) & 1, u.h FROM l JOIN s USING (tree) CROSS JOIN r JOIN range(0, 64) AS k(lvl) ON k.lvl < r.height
+    LEFT JOIN u ON u.lvl = k.lvl AND u.i = xor(s.i >> k.lvl, 1)),
+way AS (SELECT tree, i, string_agg(h, '' ORDER BY lvl) AS joined FROM step GROUP BY tree, i),
+f AS (SELECT tree, i, 0 AS lvl, claim AS h FROM l
+  UNION ALL SELECT f.tree, f.i, f.lvl + 1, sha256(CASE WHEN step.side = 1 THEN coalesce(step.h, '') || f.h ELSE f.h || coalesce(step.h, '') END)
+  FROM f JOIN step ON step.tree = f.tree AND step.i = f.i AND step.lvl = f.lvl)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.root, sha256(coalesce(way.joined, '')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM l JOIN s USING (tree) CROSS JOIN r LEFT JOIN way ON way.tree = l.tree AND way.i = l.i
+JOIN f ON f.tree = l.tree AND f.i = l.i AND f.lvl = s.height + r.height""")
+def _merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    altered = F.when(held_out("doc_id", 7, 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claim = merkle_manifest.leaf("doc_id", "source", "lang", altered, "text")
+    return merkle_manifest.proofs(merkle_manifest.build_manifest(docs, claim))
