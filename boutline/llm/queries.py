@@ -13,6 +13,7 @@ from boutline.llm.repeated_lines import drop_repeated_lines
 from boutline.llm.repetition import quality_rules
 from boutline.llm.secret_literals import secrets
 from boutline.llm.shared_passages import shared_passages
+from boutline.llm.source_divergence import source_divergence
 from boutline.llm.stored import held_out, table
 from boutline.session import ship
 
@@ -158,3 +159,26 @@ def _merkle_manifest(spark, folder):
     altered = F.when(held_out("doc_id", 7, 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
     claim = merkle_manifest.leaf("doc_id", "source", "lang", altered, "text")
     return merkle_manifest.proofs(merkle_manifest.build_manifest(docs, claim))
+
+
+@query("op12_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY lang, source, term),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(any_value(l.v), 0) AS v, any_value(l.total) AS lang_total FROM d LEFT JOIN l ON l.lang = d.lang GROUP BY d.lang, d.source),
+o AS (SELECT c.lang, c.source, CAST(sum(c.n) AS BIGINT) AS total FROM c JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY c.lang, c.source),
+s AS (SELECT g.lang, g.source, g.v, g.lang_total, coalesce(o.total, 0) AS total FROM g LEFT JOIN o ON o.lang = g.lang AND o.source = g.source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (s.total + s.v) AS p,
+  1 + 1000000000 * (k.n + 1) // (s.lang_total + s.v) AS q FROM s JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p AS a
+  JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM s AS a JOIN s AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM t WHERE part = 'pair' OR rank <= 200""")
+def _source_divergence(spark, folder):
+    return source_divergence(table(spark, folder, "documents"))
