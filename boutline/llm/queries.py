@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boutline.llm import byte_pairs, factorization, merkle_manifest, toxic_passages, url_templates
+from boutline.llm import byte_pairs, factorization, license_diagonals, merkle_manifest, toxic_passages, url_templates
 from boutline.llm.leaked_questions import leaked_questions
 from boutline.llm.near_copies import near_copies
 from boutline.llm.repeated_lines import drop_repeated_lines
@@ -182,3 +182,46 @@ t AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM t WHERE part = 'pair' OR rank <= 200""")
 def _source_divergence(spark, folder):
     return source_divergence(table(spark, folder, "documents"))
+
+
+def _license_rows() -> str:
+    """The templates as rows of SQL."""
+    both = [(t, "true", license_diagonals.PHRASE_RUN) for t in license_diagonals.PHRASES] + [(t, "false", license_diagonals.NOTICE_RUN) for t in license_diagonals.NOTICES]
+    return ", ".join(f"({i}, '{t.label}', {exact}, {size}, '{t.text}')" for i, (t, exact, size) in enumerate(both))
+
+
+def _likeness(span: str) -> str:
+    plain = f"regexp_replace({span}, '[^\\x00-\\x7F]', '?', 'g')"
+    return f"1e0 - levenshtein({plain}, text) / CAST(greatest(length({span}), length(text), 1) AS DOUBLE)"
+
+
+# A run is compared as words here, where the operator compares hashes.
+@query("op11_license_diagonals", f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+g AS (SELECT t, label, exact, k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws
+  FROM (VALUES {_license_rows()}) AS v(t, label, exact, k, text)),
+tr AS (SELECT t, exact, k, len(ws) AS n, len(ws) - k + 1 AS needed, unnest(range(0, len(ws) - k + 1)) AS pos, ws FROM g),
+tg AS (SELECT t, exact, k, n, needed, pos, array_to_string(ws[pos + 1:pos + k], ' ') AS run FROM tr),
+di AS (SELECT id, ws, k, unnest(range(0, len(ws) - k + 1)) AS place FROM d, (SELECT DISTINCT k FROM g) AS ks WHERE len(ws) >= k),
+dg AS (SELECT id, k, place, array_to_string(ws[place + 1:place + k], ' ') AS run FROM di),
+v AS (SELECT id, t, exact, n, needed, place - pos AS diagonal, count(*) AS votes FROM dg JOIN tg USING (k, run) GROUP BY id, t, exact, n, needed, place - pos),
+m AS (SELECT *, min(diagonal) OVER near AS low, max(diagonal) OVER near AS high, sum(votes) OVER near AS everyone, max(votes * 1000000000000 - diagonal) OVER near AS most
+  FROM v WHERE NOT exact WINDOW near AS (PARTITION BY id, t ORDER BY diagonal RANGE BETWEEN {license_diagonals.DRIFT} PRECEDING AND {license_diagonals.DRIFT} FOLLOWING)),
+p AS (SELECT id, t, n, diagonal AS low, diagonal AS high, diagonal FROM v WHERE exact AND votes = needed
+  UNION ALL SELECT id, t, n, low, high, diagonal FROM m WHERE everyone >= {license_diagonals.VOTES}e0 * needed AND votes * 1000000000000 - diagonal = most),
+c AS (SELECT p.id, t, label, exact, greatest(low, 0) AS start, least(high + n, len(d.ws)) AS stop, array_to_string(g.ws, ' ') AS text,
+  array_to_string(d.ws[greatest(low, 0) + 1:least(high + n, len(d.ws))], ' ') AS wide,
+  array_to_string(d.ws[greatest(diagonal, 0) + 1:least(diagonal + n, len(d.ws))], ' ') AS narrow FROM p JOIN d USING (id) JOIN g USING (t)),
+a AS (SELECT *, CASE WHEN exact THEN CASE WHEN narrow = text THEN 1e0 ELSE 0e0 END ELSE greatest({_likeness("wide")}, {_likeness("narrow")}) END AS likeness FROM c),
+s AS (SELECT *, max(stop) OVER (PARTITION BY id, exact ORDER BY start, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a
+  WHERE likeness >= CASE WHEN exact THEN 1e0 ELSE {license_diagonals.LIKENESS}e0 END),
+i AS (SELECT *, sum(CASE WHEN exact OR reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY id, exact ORDER BY start, t ROWS UNBOUNDED PRECEDING) AS island FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY id, exact, island ORDER BY likeness DESC, t) AS best FROM i),
+r AS (SELECT id, count(*) FILTER (WHERE exact) AS n_base, min(start) FILTER (WHERE exact) AS first_word, max(start) FILTER (WHERE exact) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(likeness) AS score
+  FROM b WHERE best = 1 GROUP BY id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score FROM d LEFT JOIN r USING (id)""")
+def _license_diagonals(spark, folder):
+    return license_diagonals.licenses(table(spark, folder, "documents")).drop("spans")
