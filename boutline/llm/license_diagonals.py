@@ -155,8 +155,10 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     texts = templates.select("template", "label", "exact", "text").distinct()
     spans = _cut(marked, _places(marked, templates)).join(F.broadcast(texts), "template")
     alike = F.greatest(_likeness(F.col("wide"), F.col("text")), _likeness(F.col("narrow"), F.col("text")))
-    good = (spans.withColumn("likeness", F.when(F.col("exact"), (F.col("narrow") == F.col("text")).cast("double")).otherwise(alike))
-            .where(F.col("likeness") >= F.when(F.col("exact"), 1.0).otherwise(LIKENESS)))
+    checked = spans.withColumn("likeness", F.when(F.col("exact"), (F.col("narrow") == F.col("text")).cast("double")).otherwise(alike))
+    # Few and small rows: written, so that comparing spans and choosing among them are stages of their own.
+    good = stored(checked.where(F.col("likeness") >= F.when(F.col("exact"), 1.0).otherwise(LIKENESS))
+                  .select("row", "template", "label", "exact", "start", "stop", "likeness"), "license-spans")
     order = Window.partitionBy("row", "exact").orderBy("start", "template")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = good.withColumn("new", (F.col("exact") | reach.isNull() | (F.col("start") >= reach)).cast("int"))
