@@ -3,9 +3,9 @@
 import pyarrow as pa
 import pytest
 from odd import ROWS
+from test_alike_texts import brute as alike
 from test_byte_pairs import brute as tokens_of
 from test_leaked_questions import brute as leaks_of
-from test_near_copies import fingerprint
 from test_repeated_lines import brute as lines_of
 
 import corpus_pipeline
@@ -27,24 +27,9 @@ def folder(spark, tmp_path_factory):
 
 
 def near(rows):
-    prints = [fingerprint(r[1]) for r in rows]
-    kept = list(range(len(rows)))
-    home = list(range(len(rows)))
-
-    def root(i):
-        while home[i] != i:
-            i = home[i]
-        return i
-
-    for i in kept:
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                home[root(i)] = root(j)
-    least = {}
-    for i in kept:
-        if rows[i][0] is not None:
-            least[root(i)] = min(least.get(root(i), rows[i][0]), rows[i][0])
-    return [rows[i] for i in kept if rows[i][0] is None or rows[i][0] == least[root(i)]]
+    """Without an id a row stays; the others by the similarity of all pairs."""
+    kept = set(alike(rows))
+    return [r for r in rows if r[0] is None or r[0] in kept]
 
 
 def test_every_stage(spark, folder):
