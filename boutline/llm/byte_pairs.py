@@ -17,6 +17,7 @@ import json
 import os
 import re
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from boutline.session import ship
 CHUNK = 32_000_000
 
 
+@cache
 def pattern() -> str:
     """The published splitting pattern of byte-level vocabularies, a fixed form, over the encoder's own character classes.
 
@@ -37,12 +39,17 @@ def pattern() -> str:
     """
     from tokenizers import Regex, pre_tokenizers
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-
     def ranges(kind: str) -> str:
-        runs = pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(every)
-        return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for _, (a, b) in runs)
+        split, runs = pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True), []
+        # A few thousand characters at a time: the encoder holds many bytes for each.
+        for low in range(0, 0x110000, 0x1000):
+            points = [c for c in range(low, low + 0x1000) if not 0xD800 <= c < 0xE000]
+            for _, (a, b) in split.pre_tokenize_str("".join(map(chr, points))):
+                if runs and points[a] == runs[-1][1] + 1:
+                    runs[-1][1] = points[b - 1]
+                else:
+                    runs.append([points[a], points[b - 1]])
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
     letter, number, blank = ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\s")
     return (rf"'(?:[sdmt]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+"
