@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions.features import numeric_columns
 from boutline.functions.odds import logit, normal_wp
-from boutline.operators import evaluate as E, history as H, models as M
+from boutline.operators import evaluate as E, grid as G, history as H, models as M
 from boutline.plans.evaluation import MODELS
 from boutline.plans.history import FORM
 from boutline.plans.modelling import MU, SIGMA, seasons
@@ -50,6 +50,20 @@ def walk_forward_logistic(t):
     return E.score(p, ["season"])
 
 
+#: The settings that are tried: descents as long as with rates of 0.02, 0.03 and 0.05 and 250, 350 and 450 steps, in a fifth of the steps.
+GRID = G.Grid((0.10, 0.15, 0.25), (0.01, 0.03, 0.08, 0.15, 0.30), (50, 70, 90))
+#: The one taken where nothing can be compared.
+USUAL = (0.15, 0.08, 70)
+
+
+@query("logistic_grid", "season:b rate:d penalty:d epochs:b n:b log_loss:d accuracy:d slope:d chosen:b")
+def logistic_grid(t):
+    rows = H.recency_weights(t.games(), 2.0, 5000.0, 0.05).select("game_id", "weight")
+    d = stored(_table(t).join(rows, "game_id"), "weighted")
+    fits = G.fit_grid(d, COLUMNS, "y", seasons(d)[2:], GRID, "weight")
+    return G.choose_setting(G.score_grid(d, fits, "y"), USUAL)
+
+
 @query("walk_forward_boosted", SCORES)
 def walk_forward_boosted(t):
     d = _table(t)
