@@ -4,12 +4,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boutline.functions.odds import clamp, hit, log_loss, logit
+from boutline.operators.isotonic import apply_steps, fit_steps
 from boutline.operators.joins import attach_row
 from boutline.operators.quantiles import quantile_row
 from boutline.operators.timeline import with_running
@@ -107,22 +108,14 @@ def beta_calibration(train: DataFrame, test: DataFrame, p: str = "p", label: str
     return predict(logistic(["b1", "b2"], label, 1e-3).fit(parts(train)), parts(test), "calibrated").drop("b1", "b2")
 
 
-def isotonic(train: DataFrame, test: DataFrame, p: str = "p", label: str = "y", weight: str | None = None) -> DataFrame:
-    """Isotonic fit applied as a step function (the value of the last boundary at or below p, the first one's below all).
+def isotonic(train: DataFrame, test: DataFrame, p: str = "p", label: str = "y", weight: str | None = None,
+             by: Sequence[str] = ()) -> DataFrame:
+    """Isotonic fit (per ``by``) applied as a step function: the value of the last block at or below p, the first one's below all.
 
-    Scores are rounded to 1e-6 first, one weighted row per distinct score, so the fit sees at most a million rows and its
-    boundaries are at most as many, however long the table is.
+    Blocks stay a table, from the fit to the rows that look their value up.
     """
-    grid = F.round(F.col(p), 6)
-    w = F.col(weight) if weight else F.lit(1.0)
-    points = train.groupBy(grid.alias("__x")).agg((F.sum(F.col(label) * w) / F.sum(w)).alias("__y"), F.sum(w).alias("__w"))
-    model = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w").fit(points)
-    # Both ends of a pooled block carry its value; one boundary per distinct score is enough.
-    table = sorted({b: v for b, v in zip(model.boundaries, model.predictions)}.items())
-    splits = [float("-inf"), *[b for b, _ in table[1:]], float("inf")]
-    steps = F.array(*[F.lit(float(v)) for _, v in table])
-    at = Bucketizer(splits=splits, inputCol="__x", outputCol="__at").transform(test.withColumn("__x", grid))
-    return at.withColumn("calibrated", F.element_at(steps, F.col("__at").cast("int") + 1)).drop("__at", "__x")
+    steps = stored(fit_steps(train, by, p, label, weight), "steps")
+    return apply_steps(test, steps, by, p)
 
 
 def stack(train: DataFrame, test: DataFrame, models: Sequence[str], label: str = "y", intercept: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from boutline.functions.features import numeric_columns
 from boutline.functions.odds import logit, normal_wp
 from boutline.operators import evaluate as E, grid as G, history as H, models as M
+from boutline.operators.isotonic import apply_steps, fit_steps, on_grid
 from boutline.plans.evaluation import MODELS
 from boutline.plans.history import FORM
 from boutline.plans.modelling import MU, SIGMA, seasons
@@ -79,17 +80,31 @@ def walk_forward_bagged(t):
 @query("calibrators", "model_id:s method:s n:b accuracy:d log_loss:d brier:d")
 def calibrators(t):
     p = stored(t.preds().withColumn("w", 1.0 + (F.col("season") - 1995) / 10.0), "preds")
+    a, b = p.filter("season < 2000"), p.filter("season >= 2000")
+    parts = [("isotonic", M.isotonic(a, b, weight="w", by=["model_id"]))]  # all models in one fit
+    for model in MODELS:  # a fixed list: two fits for each model
+        own, asked = (df.filter(F.col("model_id") == model) for df in (a, b))
+        parts += [("platt", M.platt(own, asked, weight="w")), ("beta", M.beta_calibration(own, asked))]
     out = None
-    for model in MODELS:  # a fixed list: three fits for each model
-        own = p.filter(F.col("model_id") == model)
-        a, b = own.filter("season < 2000"), own.filter("season >= 2000")
-        parts = {"platt": M.platt(a, b, weight="w"), "isotonic": M.isotonic(a, b, weight="w"), "beta": M.beta_calibration(a, b)}
-        for name, df in parts.items():
-            s = df.select("model_id", F.lit(name).alias("method"), "y", F.col("calibrated").alias("p"))
-            out = s if out is None else out.unionByName(s)
+    for name, df in parts:
+        s = df.select("model_id", F.lit(name).alias("method"), "y", F.col("calibrated").alias("p"))
+        out = s if out is None else out.unionByName(s)
     return E.score(out, ["model_id", "method"])
 
 
+# The greatest, over starts at or below a score, of the least mean, over ends at or above it.
+@query("isotonic_steps", "model_id:s score:d n:b value:d", over("preds", """
+ SELECT model_id, x AS score, n, fitted AS value FROM (
+  SELECT e.model_id, e.x, e.n, MAX(m.least) AS fitted FROM points e JOIN ends m ON m.model_id = e.model_id AND m.j = e.i GROUP BY 1, 2, 3) f""",
+    points="SELECT model_id, x, n, ROW_NUMBER() OVER w AS i, SUM(sy) OVER w AS cy, SUM(sw) OVER w AS cw, sy, sw FROM (SELECT model_id, FLOOR(p * 1e3 + 0.5000001e0) / 1e3 AS x, COUNT(*) AS n, SUM(y * (1 + (season - 1995) / 10e0)) AS sy, SUM(1 + (season - 1995) / 10e0) AS sw FROM preds GROUP BY 1, 2) g WINDOW w AS (PARTITION BY model_id ORDER BY x)",
+    ends="SELECT a.model_id, a.i, b.i AS j, MIN((b.cy - a.cy + a.sy) / (b.cw - a.cw + a.sw)) OVER (PARTITION BY a.model_id, a.i ORDER BY b.i DESC) AS least FROM points a JOIN points b ON b.model_id = a.model_id AND b.i >= a.i"))
+def isotonic_steps(t):
+    p = stored(t.preds().withColumn("w", 1.0 + (F.col("season") - 1995) / 10.0), "preds")
+    steps = stored(fit_steps(p, ["model_id"], weight="w", digits=3), "steps")
+    scores = p.groupBy("model_id", on_grid(F.col("p"), 3).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return apply_steps(scores, steps, ["model_id"], "score", "value", 3)
+
+
 @query("stacking", "method:s n:b accuracy:d log_loss:d brier:d")
 def stacking(t):
     w = _wide(t)
