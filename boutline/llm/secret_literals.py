@@ -1,7 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base spans. Beside them a lexer reads source and configuration syntax into names and literals,
-carries constants from name to name and through concatenation, and scores each literal by the name it ends up in.
+Three fixed patterns give the base spans. Beside them a lexer reads source and configuration syntax into names and literals (pairs on a
+line, strings over several lines, values indented below their key, private keys between their marks), carries constants from name to name
+and through concatenation, and scores each literal by the name it ends up in. Its time grows with a text's length, whatever the text is.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.stored import map_arrow
@@ -30,11 +34,18 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "pass": 2, "passphrase": 3, "
 #: Literals that stand for a secret still to be filled in.
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|change_me|example|placeholder|none|null|true|false|todo|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$[A-Za-z_]\w*)$")
 
-_NAME = r"[A-Za-z_$][\w$.-]*"
-_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`"
+# Names and quoted strings are taken whole or not at all, and a name is tried at its beginning only, so that reading a text of any shape
+# takes time in proportion to its length.
+_NAME = r"[A-Za-z_$][\w$.-]*+"
+_START = r"(?<![\w$.-])(?:(?![A-Za-z_$])[\w$.-])*+"
+_QUOTED = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\\n]++|\\.)*+`"
 _TERM = rf"(?:{_QUOTED}|{_NAME})"
-_PAIR = re.compile(rf"(?P<name>{_NAME})[\"']?\]?[ \t]*(?:\:[ \t]*[A-Za-z_][\w.<>\[\]]*[ \t]*=|\:=|=>|=|\:)(?![=:/])[ \t]*(?P<value>{_TERM}(?:[ \t]*[+.][ \t]*{_TERM})*|[^\s\"'`,;(){{}}\[\]<>]+)")
+_PAIR = re.compile(rf"{_START}(?P<name>{_NAME})[\"']?\]?[ \t]*(?:\:[ \t]*[A-Za-z_][\w.<>\[\]]*+[ \t]*+=|\:=|=>|=|\:)(?![=:/])[ \t]*(?P<value>{_TERM}(?:[ \t]*[+.][ \t]*{_TERM})*|[^\s\"'`,;(){{}}\[\]<>]+)")
 _MARKUP = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s][^<>\n]*)</(?P=name)>")
+#: A string over several lines, a value that stands indented below its key, and a private key between its marks.
+_LONG = re.compile(rf"{_START}(?P<name>{_NAME})[\"']?\]?[ \t]*+(?:\:\=|=|\:)[ \t]*+(?P<mark>\"\"\"|''')(?P<value>(?:(?!(?P=mark))[\s\S])*+)(?P=mark)")
+_BELOW = re.compile(rf"^(?P<indent>[ ]*+)(?:-[ ]++)?[\"']?(?P<name>{_NAME})[\"']?[ ]*+:[ ]*+(?:[|>][-+0-9]*+)?[ ]*+$", re.MULTILINE)
+_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?P<value>[A-Za-z0-9+/=\s]*+)-----END ")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PIECE = re.compile(rf"{_QUOTED}|{_NAME}")
 _LITERAL = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*:-]+")
@@ -63,10 +74,15 @@ def _ordered(spans: list[Span]) -> list[Span]:
     return sorted(set(spans), key=lambda s: (s.start, kinds.index(s.kind), s.end))
 
 
-@lru_cache(1 << 16)
 def name_weight(name: str) -> int:
     """Sum of the weights of a name's parts; its last dotted or dashed component counts, camel case is split."""
-    parts = [p.lower() for p in _PART.findall(name.rsplit(".", 1)[-1])]
+    last = name.rsplit(".", 1)[-1]
+    return _weight(last) if len(last) <= 200 else _weight.__wrapped__(last)
+
+
+@lru_cache(1 << 14)
+def _weight(name: str) -> int:
+    parts = [p.lower() for p in _PART.findall(name)]
     joined = "".join(parts)
     return max(sum(SENSITIVE.get(p, 0) for p in set(parts)), SENSITIVE.get(joined, 0))
 
@@ -77,63 +93,179 @@ def entropy(literal: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
 
 
-def literal_score(name: str, literal: str) -> float:
-    """The name's weight, and up to two more for what looks drawn at random; 0 for placeholders and literals too short."""
+class Value(NamedTuple):
+    """What is known of a value without its text: length, its first ``HEAD`` characters, and how often each ASCII character occurs.
+
+    ``counts`` is None where a character occurs that literals of secrets do not have. Counts of very long values are scaled together.
+    """
+
+    length: int
+    head: str
+    counts: np.ndarray | None
+
+
+HEAD = 64
+#: The most that a value adds to its name's weight.
+RANDOM = 2.0
+_LONGEST = 1 << 40
+
+
+def value_of(literal: str) -> Value:
+    return _value(literal) if len(literal) <= HEAD else _value.__wrapped__(literal)
+
+
+@lru_cache(1 << 12)
+def _value(literal: str) -> Value:
+    if not literal:
+        return Value(0, "", np.zeros(128, np.float32))
+    if not _LITERAL.fullmatch(literal):
+        return Value(len(literal), literal[:HEAD], None)
+    return Value(len(literal), literal[:HEAD], np.bincount(np.frombuffer(literal.encode("ascii"), np.uint8), minlength=128).astype(np.float32))
+
+
+def concatenated(a: Value, b: Value) -> Value:
+    if not a.length or not b.length:
+        return a if a.length else b
+    counts = None if a.counts is None or b.counts is None else a.counts + b.counts
+    if counts is not None and a.length + b.length >= _LONGEST and counts.max() > 1e20:
+        counts = counts / np.float32(1e10)
+    return Value(min(a.length + b.length, _LONGEST), (a.head + b.head)[:HEAD], counts)
+
+
+def _placeholder(value: Value) -> bool:
+    """Whether the whole value stands for a secret still to be filled in."""
+    if value.length <= HEAD:
+        return bool(PLACEHOLDER.match(value.head))
+    chars = {chr(c).lower() for c in np.flatnonzero(value.counts)}
+    variable = re.match(r"\$[A-Za-z_]", value.head) and all(c == "$" or c == "_" or c.isalnum() for c in chars)
+    return len(chars) == 1 and bool(chars & set("x*.-")) or bool(re.match("(?i)your[_-]", value.head)) or bool(variable)
+
+
+def value_score(name: str, value: Value) -> float:
+    """The name's weight, and up to ``RANDOM`` more for what looks drawn at random; 0 for placeholders and values too short."""
     weight = name_weight(name)
-    if not weight or len(literal) < 6 or PLACEHOLDER.match(literal) or not _LITERAL.fullmatch(literal):
+    if not weight or value.length < 6 or value.counts is None or _placeholder(value):
         return 0.0
-    return weight + min(2.0, entropy(literal) * min(len(literal), 16) / 32)
+    share = value.counts[value.counts > 0].astype(float)
+    share /= share.sum()
+    return weight + min(RANDOM, -float((share * np.log2(share)).sum()) * min(value.length, 16) / 32)
 
 
 class Constant(NamedTuple):
-    """Literals that a name was given itself, the constants it took over, and its number in the text."""
+    """Places of the literals that a name was given itself, the constants it took over, and its number in the text."""
 
-    literals: list[tuple[int, int, str]]
+    literals: list[tuple[int, int]]
     sources: list
     number: int
 
 
-def reached(constant: Constant, taken: set[int]) -> tuple[list[tuple[int, int, str]], set[int]]:
-    """Literals that reach a constant by way of others, in text order, but for those that ``taken`` constants gave already."""
-    literals, through, left = [], set(), [constant]
+def _given(constant: Constant, taken: set[int]) -> list[tuple[int, int]]:
+    """Literals that reach a constant by way of others, but for those already taken; every constant is walked to once in a text."""
+    literals, left = [], [constant]
     while left:
         c = left.pop()
-        if c.number not in through and c.number not in taken:
-            through.add(c.number)
+        if c.number not in taken:
+            taken.add(c.number)
             literals += c.literals
             left += c.sources
-    return sorted(set(literals)), through
+    return literals
 
 
-def literal_spans(text: str, least: float = 4.0) -> list[Span]:
-    """Literals whose name, or a name that a constant is handed on to, makes them likely secrets."""
-    known: dict[str, Constant] = {}
-    taken: set[int] = set()
+def _lines(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """Places of the lines between two places, without the blanks around them and without empty ones."""
     out = []
+    for line in text[begin:end].split("\n"):
+        bare = line.strip()
+        if bare:
+            at = begin + line.index(bare)
+            out.append((at, at + len(bare)))
+        begin += len(line) + 1
+    return out
+
+
+def _below(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
+    """(place, name, literals) of keys whose value stands on the lines below, indented further; lines that are pairs themselves are none.
+
+    Keys over keys do not read each other's lines: what begins with another key ends the value.
+    """
+    out = []
+    for m in _BELOW.finditer(text):
+        at, found = m.end() + 1, []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            line = text[at:end]
+            bare = line.strip()
+            if not bare or len(line) - len(line.lstrip(" ")) <= len(m["indent"]) or " " in bare or not _LITERAL.fullmatch(bare.strip("\"'")) \
+                    or bare.endswith(":") or _PAIR.match(bare):
+                break
+            inner = bare.strip("\"'")
+            begin = at + line.index(inner)
+            found.append((begin, begin + len(inner)))
+            at = end + 1
+        if found:
+            out.append((m.start("name"), m["name"], found))
+    return out
+
+
+def _assignments(text: str) -> list[tuple[int, str, int, str | list[tuple[int, int]]]]:
+    """(place, name, where the value begins, its source text or the places of its lines), in text order.
+
+    Strings over several lines are read first; nothing inside of them is an assignment.
+    """
+    out, inside = [], []
+    if "\"\"\"" in text or "'''" in text:
+        for m in _LONG.finditer(text):
+            inside.append((m.start("value"), m.end("value")))
+            out.append((m.start("name"), m["name"], m.start("value"), _lines(text, *inside[-1])))
+    if "PRIVATE KEY-----" in text:
+        out += [(m.start(), "private_key_secret", m.start("value"), _lines(text, m.start("value"), m.end("value"))) for m in _PEM.finditer(text)]
+    if ":" in text:
+        out += [(at, name, places[0][0], places) for at, name, places in _below(text)]
+    begins = [a for a, _ in inside]
     at = 0
-    pairs = []
     for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            pairs += [(at + m.start(), at, m) for m in _PAIR.finditer(line)]
-        if "</" in line:
-            pairs += [(at + m.start(), at, m) for m in _MARKUP.finditer(line)]
+        pairs = list(_PAIR.finditer(line)) if "=" in line or ":" in line else []
+        pairs += _MARKUP.finditer(line) if "</" in line else []
+        for m in pairs:
+            start = at + m.start("name")
+            k = bisect_right(begins, start) - 1
+            if k < 0 or start >= inside[k][1]:
+                out.append((start, m["name"], at + m.start("value"), m["value"]))
         at += len(line) + 1
-    for number, (_, shift, m) in enumerate(sorted(pairs, key=lambda p: p[0])):
-        name, value, begin = m["name"], m["value"], shift + m.start("value")
-        terms = list(_PIECE.finditer(value))
-        if value[0] in "\"'`" or value in known or any(t[0][0] in "\"'`" for t in terms):
-            quoted = [t for t in terms if t[0][0] in "\"'`"]
-            own = Constant([(begin + t.start() + 1, begin + t.end() - 1, t[0][1:-1]) for t in quoted],
-                           [known[t[0]] for t in terms if t[0][0] not in "\"'`" and t[0] in known], number)
+    return sorted(out, key=lambda a: a[0])
+
+
+def literal_spans(text: str, least: float = 4.0) -> list[Span]:
+    """Literals whose name, or a name that a constant is handed on to, makes them likely secrets.
+
+    A concatenation is scored as a whole, by what is known of its parts' values; texts are never joined, and a literal is given once.
+    """
+    known: dict[str, tuple[Constant, Value]] = {}
+    taken: set[int] = set()
+    out = []
+    for number, (_, name, begin, value) in enumerate(_assignments(text)):
+        literals, sources, whole = [], [], value_of("")
+        if isinstance(value, list):
+            literals = value
+            whole = value_of("".join(text[a:b] for a, b in value))
         else:
-            own = Constant([(begin, begin + len(value), value)], [], number)
-        known[name] = own
-        if name_weight(name):
-            literals, through = reached(own, taken)
-            if literal_score(name, "".join(v for _, _, v in literals)) >= least:
-                taken |= through
-                out += [Span("literal", a, b) for a, b, _ in literals if b > a]
-    return out
+            terms = list(_PIECE.finditer(value))
+            if value in known or any(t[0][0] in "\"'`" for t in terms) or " + " in value and all(t[0] in known for t in terms):
+                for t in terms:
+                    if t[0][0] in "\"'`":
+                        literals.append((begin + t.start() + 1, begin + t.end() - 1))
+                        whole = concatenated(whole, value_of(t[0][1:-1]))
+                    elif t[0] in known:
+                        sources.append(known[t[0]][0])
+                        whole = concatenated(whole, known[t[0]][1])
+            else:
+                literals, whole = [(begin, begin + len(value))], value_of(value)
+        own = Constant(literals, sources, number)
+        known[name] = own, whole
+        if name_weight(name) + RANDOM >= least and value_score(name, whole) >= least:
+            out += [Span("literal", a, b) for a, b in _given(own, taken) if b > a]
+    return _ordered(out)
 
 
 def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -141,8 +273,13 @@ def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if "=" not in text and ":" not in text and "</" not in text:
         return base, base
-    more = [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
-    return base, _ordered(base + more)
+    starts, reach = [b.start for b in base], list(accumulate((b.end for b in base), max))
+
+    def covered(s: Span) -> bool:
+        k = bisect_right(starts, s.start)
+        return k > 0 and reach[k - 1] >= s.end
+
+    return base, _ordered(base + [s for s in literal_spans(text) if not covered(s)])
 
 
 def _joined(spans: list[Span]) -> str:
