@@ -271,7 +271,7 @@ def literal_spans(text: str, least: float = 4.0) -> list[Span]:
 def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): a literal inside a base span adds nothing and is left out."""
     base = base_spans(text)
-    if "=" not in text and ":" not in text and "</" not in text:
+    if not any(mark in text for mark in ("=", ":", "</", "PRIVATE KEY-----")):
         return base, base
     starts, reach = [b.start for b in base], list(accumulate((b.end for b in base), max))
 
