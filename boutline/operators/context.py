@@ -4,6 +4,7 @@ import heapq
 from collections.abc import Mapping, Sequence
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,6 +12,7 @@ from boutline.functions.odds import clamp
 from boutline.operators.fold import MAX_ROWS, chunked_fold
 from boutline.operators.history import DAY, TIE, ewm_of
 from boutline.operators.timeline import (asof_running, mean_of, run_max, run_sum, with_running, with_trailing)
+from boutline.session import stored
 
 
 def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFrame:
@@ -42,34 +44,98 @@ def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFr
     return rows.drop("met", "coming", "w0", "opp_after").join(totals, ["season", "entity", "game_id"], "left")
 
 
+#: Rates count as equal if they agree in these many places; a bucket holds 2^24 of the 10^9 + 1 such rates.
+PLACES, BUCKET = 9, 24
+
+
+def counts_below(day: np.ndarray, value: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """For every row, the sum of ``delta`` over rows of the same or an earlier day whose value is at most the row's.
+
+    Values are ranked and read bit by bit: at each bit, a row that has it adds the running sum of the rows with the same higher bits that
+    lack it. That is one stable sort and one running sum per bit, without a loop over rows.
+    """
+    if not len(day):
+        return np.zeros(0, np.int64)
+    rank = np.unique(value, return_inverse=True)[1]
+    # Changes of a day stand before what is asked on that day; a row that asks has delta 0.
+    at = np.lexsort((delta == 0, day))
+    rank, change = rank[at], delta[at]
+    total = np.zeros(len(day), np.int64)
+
+    def running(group: np.ndarray, amount: np.ndarray) -> np.ndarray:
+        order = np.argsort(group, kind="stable")
+        upto = np.cumsum(amount[order])
+        first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+        before = np.repeat(upto[first] - amount[order][first], np.diff(np.append(first, len(group))))
+        out = np.empty(len(group), np.int64)
+        out[order] = upto - before
+        return out
+
+    for bit in range(int(rank.max()).bit_length()):
+        has = (rank >> bit) & 1
+        total += np.where(has == 1, running(rank >> (bit + 1), np.where(has == 0, change, 0)), 0)
+    total += running(rank, change)
+    out = np.empty(len(day), np.int64)
+    out[at] = total
+    return out
+
+
+def _asked(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group..., __day, __v, __at_most): counts for the rows that ask, each group in one task."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in group)
+
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
+        frame["__at_most"] = counts_below(*(frame[c].to_numpy() for c in ("__day", "__v", "__delta")))
+        return frame.loc[frame["__delta"] == 0, [*group, "__day", "__v", "__at_most"]]
+
+    return rows.groupBy(*group).applyInPandas(task, f"{kinds}, __day int, __v long, __at_most long")
+
+
 def day_percentiles(log: DataFrame, requests: DataFrame, values: Mapping[str, str]) -> DataFrame:
     """Where values stand among all entities' season win rates at the start of the day.
 
-    Adds ``<name>`` = share (0..100) of entities whose rate is <= the request's value.  An entity's rate
-    holds from the day after a contest day until its next one; the rates of a day are counted per
-    distinct value before anything is ordered.  Rates equal to nine places are equal, since sums taken
-    in a different order differ in the last bits.
+    Adds ``<name>`` = share (0..100) of entities whose rate is <= the request's value; null without a value or before any entity has a
+    rate. Rates equal to nine places are equal, since sums taken in a different order differ in the last bits.
+
+    A contest day changes an entity's rate from the next day on: one more at the new rate, one less at the old. Changes are added up per
+    (season, day, rate). What lies in lower rate buckets is counted over changes per bucket, at most 60 a day whatever the number of
+    entities; what lies in the value's own bucket over that bucket's changes, at most one per day and rate, and rates are fractions with the
+    number of an entity's contests below them.
     """
     keys = ["season", "entity"]
     per_day = log.filter("win is not null").groupBy(*keys, DAY).agg(F.sum("win").alias("w"), F.count("win").alias("g"))
     w = Window.partitionBy(*keys).orderBy(DAY)
-    last = log.groupBy("season").agg(F.max(DAY).alias("season_end"))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    held = per_day.select(*keys, F.round(F.sum("w").over(run) / F.sum("g").over(run), 9).alias("pct"),
-                          F.date_add(DAY, 1).alias("since"), F.lead(DAY).over(w).alias("until"))
-    held = held.join(last, "season").withColumn("until", F.coalesce("until", "season_end")).filter("since <= until")
-    counts = (held.withColumn(DAY, F.explode(F.sequence("since", "until"))).groupBy("season", DAY, "pct")
-              .agg(F.count(F.lit(1)).alias("k")))
-    out = requests
+
+    def place(rate: Column) -> Column:
+        return F.round(F.round(rate, PLACES) * 10.0 ** PLACES).cast("long")
+
+    held = per_day.withColumn("v", place(F.sum("w").over(run) / F.sum("g").over(run))).withColumn("old", F.lag("v").over(w))
+    one = F.array(F.struct(F.col("v").alias("__v"), F.lit(1).alias("d")), F.struct(F.col("old").alias("__v"), F.lit(-1).alias("d")))
+    changes = held.select("season", (F.unix_date(F.col(DAY)) + 1).alias("__day"), F.inline(one)).filter("__v is not null")
+    changes = changes.groupBy("season", "__day", "__v").agg(F.sum("d").alias("__delta")).filter("__delta <> 0")
+    day = F.unix_date(F.col(DAY))
+    requests = stored(requests, "requests")  # read once for the values asked for and once for the answers
+    wanted = None
+    for value in values.values():
+        part = requests.filter(F.col(value).isNotNull()).select("season", day.alias("__day"), place(F.col(value)).alias("__v"))
+        wanted = part if wanted is None else wanted.unionByName(part)
+    wanted = stored(wanted.distinct().withColumn("__b", F.shiftright("__v", BUCKET)), "asked")
+    changes = stored(changes.withColumn("__b", F.shiftright("__v", BUCKET)), "changes")
+    zero, highest = F.lit(0).cast("long").alias("__delta"), F.lit((10 ** PLACES >> BUCKET) + 1).cast("long")
+    coarse = changes.groupBy("season", "__day", F.col("__b").alias("__v")).agg(F.sum("__delta").alias("__delta")).filter("__delta <> 0")
+    coarse = coarse.unionByName(wanted.select("season", "__day", (F.col("__b") - 1).alias("__v"), zero).distinct())
+    coarse = _asked(coarse.unionByName(wanted.select("season", "__day", highest.alias("__v"), zero).distinct()), ["season"])
+    fine = changes.unionByName(wanted.select("season", "__day", "__v", "__b", zero))
+    fine = _asked(fine, ["season", "__b"])
+    lower = coarse.filter(F.col("__v") < highest).select("season", "__day", (F.col("__v") + 1).alias("__b"), F.col("__at_most").alias("lower"))
+    every = coarse.filter(F.col("__v") == highest).select("season", "__day", F.col("__at_most").alias("all"))
+    share = fine.join(lower, ["season", "__day", "__b"]).join(every, ["season", "__day"])
+    share = stored(share.select("season", "__day", "__v", F.try_divide(100.0 * (F.col("lower") + F.col("__at_most")), F.col("all")).alias("share")), "shares")
+    out = requests.withColumn("__day", day)
     for name, value in values.items():
-        rounded = F.round(F.col(value), 9)
-        asked = requests.filter(F.col(value).isNotNull()).select("season", DAY, rounded.alias("pct")).distinct()
-        both = counts.unionByName(asked.withColumn("k", F.lit(0).cast("long"))).groupBy("season", DAY, "pct").agg(F.sum("k").alias("k"))
-        upto = Window.partitionBy("season", DAY).orderBy("pct").rangeBetween(Window.unboundedPreceding, 0)
-        share = both.withColumns({"upto": F.sum("k").over(upto), "all": F.sum("k").over(Window.partitionBy("season", DAY))})
-        share = share.select("season", DAY, F.col("pct").alias("__v"), F.try_divide(100.0 * F.col("upto"), F.col("all")).alias(name))
-        out = out.withColumn("__v", rounded).join(share, ["season", DAY, "__v"], "left").drop("__v")
-    return out
+        out = out.withColumn("__v", place(F.col(value))).join(share.withColumnRenamed("share", name), ["season", "__day", "__v"], "left").drop("__v")
+    return out.drop("__day")
 
 
 def pitcher_prior(logs: DataFrame, starters: DataFrame) -> DataFrame:
