@@ -2,7 +2,7 @@
 
 import math
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boutline.functions.odds import brier, confidence, hit, log_loss, normal_cdf, wilson
 from boutline.operators.joins import attach_row
+from boutline.session import stored
 
 Z95 = 1.959963984540054
 
@@ -198,29 +199,42 @@ def slice_override(pred: DataFrame, rule: Column, alternative: Column) -> DataFr
     return pred.withColumn("p", F.when(F.coalesce(rule, F.lit(False)), alternative).otherwise(F.col("p")))
 
 
+_PRIME = (1 << 31) - 1
+#: Cumulative Poisson(1) probabilities of the counts 0, 1, ... 10.
+_POISSON = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(11)))
+_SLICE = 2048
+
+
+def bootstrap_counts(block: np.ndarray, draws: int) -> np.ndarray:
+    """(block x draw): how often each draw takes a block, a Poisson(1) count out of whole-number arithmetic on both."""
+    mixed = np.fmod(np.fmod(block.astype(np.int64), _PRIME)[:, None] * 2654435761 + np.arange(draws) * 40503 + 12345, _PRIME)
+    for _ in range(3):
+        mixed = np.fmod(mixed * 48271 + 11, _PRIME)
+    return np.searchsorted(_POISSON, mixed / _PRIME, side="right")
+
+
 def block_bootstrap(pred_wide: DataFrame, a: str, b: str, draws: int, block: str = "game_id") -> DataFrame:
     """Bootstrap of the log-loss difference (a minus b), resampling whole contests.
 
-    Contests are summed first; each draw weights a contest by a Poisson(1) count derived from whole-number
-    arithmetic on (contest, draw), so a rerun of any task, or another engine, gives the same draw.  The
-    draws of a contest are summed in the stage that makes them.
+    Contests are summed first; each draw weights a contest by a count that depends on (contest, draw) alone, so a rerun of any task, or
+    another engine, gives the same draw. A task adds its contests up into one array for all draws; those arrays are all that is shuffled.
+    Contests without a number or without a loss are left out.
     """
-    sums = pred_wide.groupBy(block).agg(
-        F.sum(log_loss(f"p_{a}", "y") - log_loss(f"p_{b}", "y")).alias("d"), F.count(F.lit(1)).alias("k"))
-    prime = F.lit((1 << 31) - 1)
-    mixed = (F.col(block) % prime * F.lit(2654435761) + F.col("draw") * F.lit(40503) + F.lit(12345)) % prime
-    for _ in range(3):
-        mixed = (mixed * F.lit(48271) + F.lit(11)) % prime
-    u = mixed / float((1 << 31) - 1)
-    # Cumulative Poisson(1) probabilities for counts 0, 1, 2, ...
-    weight, total, term = F.lit(0), 0.0, 2.718281828459045 ** -1
-    for k in range(1, 12):
-        total += term
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    per_draw = each.groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum(F.col("w") * F.col("k"))).alias("diff"))
-    point = sums.agg((F.sum("d") / F.sum("k")).alias("point"))
+    sums = pred_wide.groupBy(F.col(block).cast("long").alias("__block")).agg(
+        F.sum(log_loss(f"p_{a}", "y") - log_loss(f"p_{b}", "y")).alias("d"), F.count(F.lit(1)).cast("double").alias("k"))
+    sums = stored(sums.filter("__block is not null and d is not null"), "blocks")
+
+    def task(batches):
+        total = np.zeros((2, draws))
+        for batch in batches:
+            for at in range(0, len(batch), _SLICE):
+                part = batch.iloc[at:at + _SLICE]
+                total += part[["d", "k"]].to_numpy().T @ bootstrap_counts(part["__block"].to_numpy(), draws)
+        yield pd.DataFrame({"draw": np.arange(draws), "d": total[0], "k": total[1]})
+
+    arrays = sums.mapInPandas(task, "draw long, d double, k double")
+    per_draw = arrays.groupBy("draw").agg(F.try_divide(F.sum("d"), F.sum("k")).alias("diff"))
+    point = sums.agg(F.try_divide(F.sum("d"), F.sum("k")).alias("point"))
     spread = per_draw.agg(F.count(F.lit(1)).alias("draws"), F.avg("diff").alias("mean"),
                           F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"))
     return attach_row(spread, point)

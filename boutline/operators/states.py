@@ -1,6 +1,7 @@
 """In-contest states: analytic win probability, monotone surfaces, audits."""
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -120,21 +121,34 @@ def row_envelope(states: DataFrame, extra: Sequence[str], grid: Sequence[float],
     """Per-state monotone envelope of a model that uses extra state columns.
 
     Candidate margins m-back..m and the state's own time plus later grid times are scored; a lead takes
-    the maximum over time, a deficit the minimum, and the best candidate margin is kept.
+    the maximum over time, a deficit the minimum, a tie its own time, and the best candidate margin is kept.
+
+    The grid is scored once per distinct (margin, extra): for every candidate margin a row of the table holds the maxima (minima) over
+    the rest of the grid from each of its times on. States look their rest up and score their own time in place, so none is copied.
+    States without margin are dropped.
     """
-    key = ["margin", "frac", *extra]
-    distinct = states.select(*key).distinct()
-    times = F.array_union(F.array("frac"), F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g >= F.col("frac") - 1e-12))
-    cand = distinct.withColumn("m", F.explode(F.sequence(F.col("margin") - back, F.col("margin"))))
-    cand = cand.withColumn("f", F.explode(F.when(F.col("m") == 0, F.array("frac")).otherwise(times)))
-    cand = cand.withColumn("q", model(F.col("m"), F.col("f")))
-    timed = cand.groupBy(*key, "m").agg(F.when(F.col("m") >= 0, F.max("q")).otherwise(F.min("q")).alias("q"))
-    best = timed.groupBy(*key).agg(F.max("q").alias("p_envelope"))
-    cond = [states[c].eqNullSafe(best[c]) for c in key]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    return states.join(best, on).select(states["*"], best["p_envelope"])
+    key, times = ["margin", *extra], sorted(float(g) for g in grid)
+    cells = states.select(*key).distinct().withColumn("__back", F.explode(F.sequence(F.lit(0), F.lit(back))))
+    cells = cells.withColumns({"__m": F.col("margin") - F.col("__back"), "__t": F.explode(F.array(*map(F.lit, range(len(times)))))})
+    cells = cells.withColumn("__q", model(F.col("__m"), F.element_at(F.array(*map(F.lit, times)), F.col("__t") + 1)))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("__t", "__q"))), lambda c: c["__q"])
+    lines = cells.groupBy(*key, "__back", "__m").agg(line.alias("__line"))
+    rest = F.transform("__line", lambda _, i: F.slice("__line", i + 1, len(times)))
+    lines = lines.withColumn("__rest", F.when(F.col("__m") > 0, F.transform(rest, F.array_max)).when(F.col("__m") < 0, F.transform(rest, F.array_min)))
+    table = lines.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__back", "__rest"))).alias("__rests"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]
+    found = states.alias("s").join(table.alias("t"), reduce(Column.__and__, same)).select("s.*", "t.__rests")
+    found = found.withColumn("__at", sum((F.coalesce(F.lit(g) < F.col("frac") - 1e-12, F.lit(True)).cast("int") for g in times), F.lit(1)))
+
+    def best(k: Column) -> Column:
+        m = F.col("margin") - k
+        own, later = model(m, F.col("frac")), F.get(F.col("__rests")[k], F.col("__at") - 1)
+        both = F.array(own, later)
+        return F.when(m > 0, F.array_max(both)).when(m < 0, F.array_min(both)).otherwise(own)
+
+    # A loop over the candidates inside of the row: written out for each of them, a long model is too much code to compile.
+    envelope = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(back)), best))
+    return found.filter("margin is not null").select(*states.columns, envelope.alias("p_envelope"))
 
 
 def snapshots(plays: DataFrame, league: str) -> DataFrame:
