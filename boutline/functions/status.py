@@ -5,6 +5,10 @@ from pyspark.sql import Column, functions as F
 # Status type names of contests that will not be played as scheduled.
 POSTPONED_NAMES = ["STATUS_POSTPONED", "STATUS_CANCELED", "STATUS_SUSPENDED", "STATUS_DELAYED", "STATUS_RAIN_DELAY"]
 
+# Notes on contests that need care.
+NOTES = {"unplayed": "unplayed_or_missing_score", "tie": "tie_excluded_from_binary_home_win", "unknown": "unknown_team_alias",
+         "preseason": "preseason_flagged_exclude_from_training"}
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -60,10 +64,8 @@ def classify(game_type, home_score, away_score, known) -> dict[str, Column]:
     return {
         "phase": phase, "played": has.cast("int"), "unplayed": (~has).cast("int"), "tie": tie.cast("int"),
         "home_win": F.when(has & ~tie, (hs > as_).cast("int")),
-        "notes": F.nullif(F.concat_ws(
-            ";", F.when(~has, "unplayed_or_missing_score"), F.when(tie, "tie_excluded_from_binary_home_win"),
-            F.when(~_c(known), "unknown_team_alias"),
-            F.when(phase == "PRE", "preseason_flagged_exclude_from_training")), F.lit(""))}
+        "notes": F.nullif(F.concat_ws(";", *[F.when(when, F.lit(NOTES[kind])) for kind, when in (
+            ("unplayed", ~has), ("tie", tie), ("unknown", ~_c(known)), ("preseason", phase == "PRE"))]), F.lit(""))}
 
 
 def situation_flags(rest, roof, temp, wind, hour, weekday) -> dict[str, Column]:

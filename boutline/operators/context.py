@@ -191,23 +191,29 @@ def infer_starter(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return best.select(*group, F.col("r.member").alias("member"), source.alias("source"), conf.alias("confidence"))
 
 
+# The weights of a likely starter's evidence, what rest adds after back-to-back days, and the usual quality of the others.
+STARTER_WEIGHTS = {"role": 0.48, "api": 0.20, "source": 0.12, "rate10": 0.12, "rate5": 0.06, "rested": 0.10}
+TIRED = {"one day": -0.18, "two days": 0.10, "unknown": -0.05}
+USUAL_QUALITY = 0.905
+
+
 def starter_certainty(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     """Likely starter per group, its softmax certainty and its quality gap to the others.
 
     Columns: member, role, api, source (0/1), rate5, rate10, rest_days, back_to_back, quality.
     """
     rest = F.col("rest_days")
-    tired = F.when(rest <= 1, -0.18).when(rest >= 2, 0.10).otherwise(-0.05)
-    raw = (0.48 * F.col("role") + 0.20 * F.col("api") + 0.12 * F.col("source") + 0.12 * F.coalesce("rate10", F.lit(0.0))
-           + 0.06 * F.coalesce("rate5", F.lit(0.0)) + 0.10 * F.coalesce(clamp(rest / 4.0, 0.0, 1.0), F.lit(0.0))
-           + F.when(F.col("back_to_back") >= 1, tired).otherwise(0.0))
+    tired = F.when(rest <= 1, TIRED["one day"]).when(rest >= 2, TIRED["two days"]).otherwise(TIRED["unknown"])
+    given = {"role": F.col("role"), "api": F.col("api"), "source": F.col("source"), "rate10": F.coalesce("rate10", F.lit(0.0)),
+             "rate5": F.coalesce("rate5", F.lit(0.0)), "rested": F.coalesce(clamp(rest / 4.0, 0.0, 1.0), F.lit(0.0))}
+    raw = sum((STARTER_WEIGHTS[c] * v for c, v in given.items()), F.lit(0.0)) + F.when(F.col("back_to_back") >= 1, tired).otherwise(0.0)
     scored = rows.withColumn("score", clamp(raw, 0.0, 1.0))
     top = F.max(F.struct("score", (-F.col("member")).alias("m"), "quality")).alias("top")
     out = scored.groupBy(*group).agg(top, F.sum(F.exp("score")).alias("z"), F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"))
     others = F.try_divide(F.col("q") - F.col("top.quality"), F.col("n") - 1)
     return out.select(*group, (-F.col("top.m")).alias("member"), F.col("top.score").alias("score"),
                       (F.exp("top.score") / F.col("z")).alias("certainty"),
-                      (F.col("top.quality") - F.coalesce(others, F.lit(0.905))).alias("quality_gap"))
+                      (F.col("top.quality") - F.coalesce(others, F.lit(USUAL_QUALITY))).alias("quality_gap"))
 
 
 def weighted_index(df: DataFrame, weights: Mapping[str, tuple[float, float]], name: str) -> DataFrame:

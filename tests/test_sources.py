@@ -55,18 +55,17 @@ def test_split_valid_reasons(spark):
     assert good.count() == 1 and {r.reason for r in bad.collect()} == {"positive"}
 
 
-def event(state="pre", name="STATUS_SCHEDULED", kind="STD", when="2025-01-16T00:00:00Z", sides=("home", "away"), score="0"):
-    return {"id": "g", "date": when, "competitions": [{
-        "type": {"abbreviation": kind}, "status": {"type": {"state": state, "name": name, "shortDetail": ""}},
-        "competitors": [{"homeAway": s, "score": score, "team": {"abbreviation": s[:1], "displayName": s}} for s in sides]}]}
-
-
 def test_scoreboard_cases(spark):
-    docs = [event(), event("post"), event("post", kind="ALLSTAR"), event("pre", "STATUS_POSTPONED"), event(sides=("home",))]
-    df = spark.createDataFrame([(json.dumps({"events": [e]}),) for e in docs], "doc string")
-    rows = D.flatten_scoreboard(df).collect()
-    assert [(r.status, r.home_score) for r in rows] == [("scheduled", None), ("final", 0), ("postponed", None)]
-    assert rows[0].game_date == date(2025, 1, 15)
+    cases = spark.createDataFrame(
+        [("1", "pre", "STATUS_SCHEDULED", "STD", ["home", "away"]), ("2", "post", "STATUS_SCHEDULED", "STD", ["home", "away"]),
+         ("3", "post", "STATUS_SCHEDULED", "ALLSTAR", ["home", "away"]), ("4", "pre", "STATUS_POSTPONED", "STD", ["home", "away"]),
+         ("5", "pre", "STATUS_SCHEDULED", "STD", ["home"])], "id string, state string, name string, kind string, sides array<string>")
+    lines = F.transform("sides", lambda side: F.struct(side, F.lit("0"), F.struct(F.substring(side, 1, 1), side)))
+    contest = F.struct(F.struct("kind"), F.struct(F.struct("state", "name", F.lit(""))), lines)
+    whole = F.struct(F.array(F.struct("id", F.lit("2025-01-16T00:00:00Z"), F.array(contest))))
+    rows = D.flatten_scoreboard(cases.select(F.to_json(whole.cast(f"struct<{D.SCOREBOARD.replace(' ', ':', 1)}>")).alias("doc"))).collect()
+    assert {r.game_id: (r.status, r.home_score) for r in rows} == {"1": ("scheduled", None), "2": ("final", 0), "4": ("postponed", None)}
+    assert {r.game_date for r in rows} == {date(2025, 1, 15)}
 
 
 def test_plays_top_level_or_drives(spark):
