@@ -132,14 +132,3 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     owner = group.join(named, "component").select("fingerprint", "component_id")
     return prints.join(owner, "fingerprint").select(
         F.col("doc_id").alias(doc_id), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that with the smallest id; documents without an id stay.
-
-    Only ids travel: groups are found on fingerprints, and the ids to drop are joined back. Texts without a word all share
-    fingerprint 0 and are one group. Rows that share the kept id all stay. All columns pass unchanged, whatever their names.
-    """
-    found = near_copies(docs.select(doc_id, text), doc_id, text, size, radius)
-    drop = found.where(F.col(doc_id) > F.col("component_id")).select(F.col(doc_id).alias("__doc")).distinct()
-    return docs.join(drop, F.col(doc_id).cast("long") == F.col("__doc"), "left_anti")
