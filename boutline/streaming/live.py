@@ -12,10 +12,12 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from boutline.operators.ratings import EloParams, Ratings
 from boutline.operators.states import surface_score
-from boutline.session import scratch_path, stored
+from boutline.session import scratch_path
+from boutline.streaming.ledger import Ledger
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -26,14 +28,20 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parque
 
 @contextmanager
 def state_partitions(spark: SparkSession):
-    """Size a new query's state by the cluster's parallelism: it is fixed at the first start and never coalesced."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, spark.sparkContext.defaultParallelism)
+    """Size a new query's state by the cluster's parallelism: it is fixed at the first start and never coalesced.
+
+    The state lies in RocksDB, which lists, maps and timers need and which keeps it out of the executor's heap.
+    """
+    wanted = {"spark.sql.shuffle.partitions": spark.sparkContext.defaultParallelism,
+              "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_append(stream: DataFrame, path: str) -> DataFrame:
@@ -82,23 +90,23 @@ def progress(status: str) -> Column:
 def run_latest(rows: DataFrame, label: str, key: str, ts: str, status: str, values: Sequence[str]) -> DataFrame:
     """Most-progressed row per contest, whatever the batches and their order.
 
-    The maximum by (progress, time, values) is the same in any order and for repeated rows, so no state is kept and none has to
-    expire: a batch writes its own maxima, and reading takes the maximum of those. The least values win a tie in time.
+    The maximum by (progress, time, values) is the same in any order and for repeated rows, so no state has to be kept or to
+    expire: a batch adds its own maxima to a ledger, whose compaction bounds what a reader goes through. The least values win
+    a tie in time.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, label)
+    rows = rows.select(key, status, ts, *values)
 
     def best(df: DataFrame) -> DataFrame:
         rank = F.struct(progress(status), F.col(ts), *[-F.col(v) for v in values])
         return df.groupBy(key).agg(F.max_by(F.struct(status, ts, *values), rank).alias("r")).select(key, "r.*")
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        best(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    query = (rows.select(key, ts, status, *values).writeStream.option("checkpointLocation", path + "-progress").foreachBatch(write)
+    ledger = Ledger(spark, path, best)
+    query = (rows.writeStream.option("checkpointLocation", path + "-progress").foreachBatch(ledger.append)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return best(spark.read.option("basePath", path).parquet(path).drop("epoch"))
+    return ledger.read(rows.schema)
 
 
 def stream_windows(rows: DataFrame, key: str, ts: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -180,70 +188,113 @@ def stream_elo(finals: DataFrame, params: EloParams, late_days: int = 400) -> Da
     return finals.groupBy("league").applyInPandasWithState(step, ELO_OUT, ELO_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+DAY_MS = 86_400_000
+EPOCH = date(1970, 1, 1)
 FORM_OUT = "entity long, game_id long, form double, played long, late boolean"
-FORM_STATE = "recent array<double>, played long, closed date, game_date array<date>, game_id array<long>, win array<double>"
+FORM_COLUMNS = [c.split()[0] for c in FORM_OUT.split(", ")]
+
+
+def _midnight(day: date) -> int:
+    return (day - EPOCH).days * DAY_MS
+
+
+class FormState(StatefulProcessor):
+    """One entity: its number of results and the last n of closed days, a map of its open days, and a timer on the first of these."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.played = handle.getValueState("played", "played long")
+        self.recent = handle.getListState("recent", "win double")
+        self.open = handle.getMapState("open", "game_date date", "game_id array<long>, win array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        days = {day: dict(zip(games, wins)) for (day,), (games, wins) in self.open.iterator()}
+        out, changed = [], set()
+        for batch in rows:
+            for day, game, win in zip(batch["game_date"].tolist(), batch["game_id"].tolist(), batch["win"].tolist()):
+                if _midnight(day) <= closed:
+                    out.append((key[0], game, None, None, True))
+                else:
+                    days.setdefault(day, {})[game] = float(win)
+                    changed.add(day)
+        for day in changed:
+            self.open.updateValue((day,), (list(days[day]), list(days[day].values())))
+        if changed and min(days) in changed:
+            self.handle.registerTimer(_midnight(min(days)))
+        recent, played = self._base()
+        for day in sorted(days) if changed else ():
+            for game, win in sorted(days[day].items()):
+                if day >= min(changed):
+                    out.append((key[0], game, sum(recent) / len(recent) if recent else None, played, False))
+                recent, played = (recent + [win])[-self.n:], played + 1
+        yield pd.DataFrame(out, columns=FORM_COLUMNS).astype({"played": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        recent, played = self._base()
+        days = sorted(day for (day,) in self.open.keys())
+        over = [day for day in days if _midnight(day) <= closed]
+        if len(over) < len(days):
+            self.handle.registerTimer(_midnight(days[len(over)]))
+        for day in over:
+            wins = [win for _, win in sorted(zip(*self.open.getValue((day,))))]
+            recent, played = (recent + wins)[-self.n:], played + len(wins)
+            self.open.removeKey((day,))
+        if over:
+            self.recent.put([(win,) for win in recent])
+            self.played.update((played,))
+        return iter(())
+
+    def _base(self) -> tuple[list[float], int]:
+        return [win for (win,) in self.recent.get()], self.played.get()[0] if self.played.exists() else 0
+
+    def close(self) -> None:
+        pass
 
 
 def stream_form(log: DataFrame, n: int, late_days: int = 400) -> DataFrame:
     """Mean of the last n results before each contest, per entity; the newest output per contest counts.
 
-    The state holds the last n results of closed days, and the rows after the closed day, which are gone through again whenever
-    rows arrive. So the answer does not depend on batches; what comes more than ``late_days`` behind the entity's newest day is
-    flagged ``late`` and changes nothing.
+    A day closes when the newest day of all earlier batches is ``late_days`` ahead of it. The state of an entity holds the last
+    n results of closed days and the rows of open ones; rows of an open day are given out again from the first changed day on.
+    So the answer does not depend on how open days are cut into batches. What comes for a closed day is given out flagged ``late``
+    and changes nothing. A repeated row counts once.
     """
+    # The watermark's column is left out below it: rows behind it are to be flagged, and Spark would drop them.
+    timed = log.withColumn("at", F.timestamp_seconds(F.unix_date("game_date").cast("long") * 86_400)).withWatermark("at", f"{late_days} days")
+    rows = timed.select("entity", "game_date", "game_id", "win")
+    return rows.groupBy("entity").transformWithStateInPandas(FormState(n), FORM_OUT, "Update", "EventTime")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        columns = ["game_date", "game_id", "win"]
-        recent, played, closed, held = [], 0, None, pd.DataFrame(columns=columns)
-        if state.exists:
-            recent, played, closed, *own = state.get
-            recent, held = list(recent), _held(own, columns)
-        new = pd.concat(list(batches), ignore_index=True)[columns]
-        rows, late, closing, closed = _window(held, new, closed, late_days, ["game_date", "game_id"])
-        out = [(key[0], row.game_id, None, None, True) for row in late.itertuples(index=False)]
-        base = recent, played
-        for i, row in enumerate(rows.itertuples(index=False)):
-            out.append((key[0], row.game_id, sum(recent) / len(recent) if recent else None, played, False))
-            recent, played = (recent + [float(row.win)])[-n:], played + 1
-            if i < len(closing):
-                base = recent, played
-        left = rows.iloc[len(closing):]
-        state.update((base[0], int(base[1]), closed, list(left["game_date"]), [int(x) for x in left["game_id"]], [float(x) for x in left["win"]]))
-        yield pd.DataFrame(out, columns=["entity", "game_id", "form", "played", "late"]).astype({"played": "Int64"})
 
-    return log.groupBy("entity").applyInPandasWithState(step, FORM_OUT, FORM_STATE, "update", GroupStateTimeout.NoTimeout)
+def newest_deliveries(key: str, version: str):
+    """All rows of each contest's newest delivery, repeated ones once."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy(key).agg(F.max(version).alias(version))
+        return rows.join(newest, [key, version]).distinct().select(*rows.columns)
 
+    return merge
 
-def ingest_increment(stream: DataFrame, path: str, key: str, progress: str, buckets: int = 16) -> None:
-    """Land a stream so that the newest delivery of a contest replaces the older ones.
 
-    The table is cut into buckets by the key's hash. A batch reads and replaces the buckets it touches and no others; a repeated
-    batch finds its own rows and writes the same again. Readers see one table without older deliveries.
+def ingest_increment(stream: DataFrame, path: str, key: str, progress: str, version: str | None = None, every: int = 8) -> DataFrame:
+    """Land a stream so that a contest's newest delivery replaces the older ones; the table is returned.
+
+    Rows name their delivery in column ``version``; one delivery may then come in any number of batches. Without it a batch is
+    a delivery. A batch appends what is newest in itself and touches nothing that lies there; a repeated batch or run adds nothing.
     """
+    name, schema = version or "__epoch", stream.schema if version else stream.withColumn("__epoch", F.lit(0).cast("long")).schema
+    ledger = Ledger(stream.sparkSession, path, newest_deliveries(key, name), every)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = stored(batch.withColumns({"epoch": F.lit(epoch), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")}), "delivery")
-        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most the number of buckets
-        if not touched:
-            return
-        if epoch and exists(spark, path):
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)))
-        newest = rows.groupBy(key).agg(F.max("epoch").alias("epoch"))
-        merged = stored(rows.join(newest, [key, "epoch"]).distinct(), "merged")
-        (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        ledger.append(batch if version else batch.withColumn(name, F.lit(epoch).cast("long")), epoch)
 
     (stream.writeStream.option("checkpointLocation", progress).foreachBatch(write)
      .trigger(availableNow=True).start().awaitTermination())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def read_ingested(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("epoch", "bucket")
+    return ledger.read(schema).drop("__epoch")
 
 
 def live_features(events: DataFrame, margin: Column, frac: Column) -> DataFrame:

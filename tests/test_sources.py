@@ -96,8 +96,8 @@ def test_ingest_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "game_id long, seq int, v int")
     df.coalesce(1).write.parquet(feed)
     for _ in range(2):
-        live.ingest_increment(live.file_stream(spark, feed, df.schema), land, "game_id", land + "-p")
-    assert live.read_ingested(spark, land).count() == 3
+        landed = live.ingest_increment(live.file_stream(spark, feed, df.schema), land, "game_id", land + "-p")
+    assert landed.count() == 3
     spark.createDataFrame([(1, 1, 50)], df.schema).coalesce(1).write.mode("append").parquet(feed)
-    live.ingest_increment(live.file_stream(spark, feed, df.schema), land, "game_id", land + "-p")
-    assert sorted((r.game_id, r.seq, r.v) for r in live.read_ingested(spark, land).collect()) == [(1, 1, 50), (2, 1, 7)]
+    landed = live.ingest_increment(live.file_stream(spark, feed, df.schema), land, "game_id", land + "-p")
+    assert sorted((r.game_id, r.seq, r.v) for r in landed.collect()) == [(1, 1, 50), (2, 1, 7)]
