@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from boutline.llm.stored import stored
+from boutline.llm.stored import spread_join, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _star(edges: DataFrame, least: DataFrame, which, own: bool = False) -> DataFrame:
-    out = edges.where(which).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # A star's centre may hold a large share of all edges.
+    out = spread_join(edges, least, ["u"], "v").where(which).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if own:
         out = out.union(least.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") != F.col("v")).distinct()

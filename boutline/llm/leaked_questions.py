@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from boutline.llm.stored import arrow_schema, map_arrow, stored
+from boutline.llm.stored import arrow_schema, map_arrow, spread_join, stored
 from boutline.llm.text import PUNCTUATION, fold_latin, pieces, windows, words
 from boutline.session import ship
 
@@ -28,6 +28,7 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles met
 #: Bits of the filter that lets a document's windows through to the join: 8 MB whatever the benchmark's size.
 FILTER_BITS = 1 << 26
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1B873593CC9E2D51, 0x38495AB5E6546B64, 0x85EBCA6B52DCE729))
+_LITERAL = np.uint64(0x52DCE729D1B54A33)
 _DIGIT = np.array([chr(b).isdigit() and b < 0x80 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LOWER = np.array([97 <= b <= 122 for b in range(256)])
@@ -48,22 +49,27 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(words(data, np.array([0, len(data)]), PUNCTUATION).hash)
 
 
-def template(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> Template:
-    """Numbers are words that begin with a digit (``1,000`` and ``2.5`` are one); units are listed words after a number.
-
-    Names are words with small letters that begin with a capital and do not begin a sentence, and the same words wherever else they stand
-    capitalised in the text. Neighbouring names are one name.
-    """
+def _words(data: np.ndarray, offsets: np.ndarray):
+    """Words in small letters; a point or comma between two digits belongs to its number."""
     n = len(data)
+    also = None
     if n > 2:
         also = np.zeros(n, bool)
         also[1:-1] = _POINT[data[1:-1]] & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
         cut = offsets[(offsets > 0) & (offsets < n)]
         also[cut] = False
         also[cut - 1] = False
-    else:
-        also = None
-    found = words(fold_latin(data), offsets, PUNCTUATION, also=also)
+    return words(fold_latin(data), offsets, PUNCTUATION, also=also)
+
+
+def template(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> Template:
+    """Numbers are words that begin with a digit (``1,000`` and ``2.5`` are one); units are listed words after a number.
+
+    Names are words with small letters that begin with a capital and do not begin a sentence, and the same words wherever else they stand
+    capitalised in the text. Neighbouring names are one name.
+    """
+    n = len(data)
+    found = _words(data, offsets)
     if not len(found.start):
         return Template(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64)))
     head = data[found.start]
@@ -119,6 +125,42 @@ def _windowed(rows: DataFrame, size: int, plain: int, bitmap=None) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _literal(rows: DataFrame, size: int, lengths, bitmap=None) -> DataFrame:
+    """(id, pos, h, slots, k) of windows of k literal words, for k in ``lengths``; the slots are empty.
+
+    Without a bitmap a text gives windows of ``size`` words, or if it has fewer, one of all its words. With one, it gives the windows
+    that the bitmap has.
+    """
+    schema = "id long, pos int, h long, slots array<long>, k int"
+    ship(rows.sparkSession)
+
+    def run(batches):
+        bits = None if bitmap is None else bitmap.value
+        for batch in batches:
+            ids = batch.column(0)
+            for first, data, offsets in pieces(batch.column(1)):
+                found = _words(data, offsets)
+                begin = np.searchsorted(found.doc, np.arange(len(offsets)))
+                count = np.diff(np.append(begin, len(found.doc)))
+                for k in lengths:
+                    at, h = windows(found.hash, found.doc, k)
+                    h = h ^ _LITERAL
+                    if bits is None:
+                        own = count[found.doc[at]]
+                        keep = own == k if k < size else own >= size
+                    else:
+                        low = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+                        keep = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                    at, h = at[keep], h[keep]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(first + found.doc[at])), pa.array((at - begin[found.doc[at]]).astype(np.int32)), pa.array(h.view(np.int64)),
+                             pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * size + 1, size, dtype=np.int32)), pa.array(np.zeros(len(at) * size, np.int64))),
+                             pa.array(np.full(len(at), k, np.int32))], schema=arrow_schema(schema))
+
+    return rows.mapInArrow(run, schema)
+
+
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """One bit for each hash, combined by Spark; at most ``bits`` / 8 bytes come to the driver."""
     low = F.col("h").bitwiseAND(F.lit(bits - 1))
@@ -168,33 +210,45 @@ def occurrence(h: np.ndarray, pos: np.ndarray, at: np.ndarray, slots: np.ndarray
 
 
 def leaked_questions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-                     size: int = 5, coverage: float = 0.8, agreement: float = 0.8, plain: int = 2, bits: int = FILTER_BITS) -> DataFrame:
+                     size: int = 5, coverage: float = 0.8, agreement: float = 0.8, plain: int = 2, bits: int = FILTER_BITS,
+                     shortest: int = 4) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, coverage, n_slots, agreement, first, last) for each document that holds a question.
 
     A pair is given if one occurrence in the document holds at least ``coverage`` of the question's distinct template windows
     (``size`` template words with at least ``plain`` plain ones among them), and at least ``agreement`` of the placeholders in
     these windows stand for the value that the question's value most often becomes in that occurrence. The figures are those of
-    the best occurrence; ``first`` and ``last`` are template word numbers. A question with fewer than ``size`` template words has no window and is never found. Rows with a null id or
-    null or empty text give nothing; rows that share an id count as one text; other columns are ignored.
+    the best occurrence; ``first`` and ``last`` are template word numbers.
+
+    A question without such a window, because it is short or mostly numbers and names, is looked for word for word, numbers and names
+    included: windows of ``size`` literal words, or all its words at once if it has fewer; ``first`` and ``last`` are then literal word
+    numbers and there are no slots. Only questions of fewer than ``shortest`` words are never found: they stand everywhere. Rows with a
+    null id or null or empty text give nothing; rows that share an id count as one text; other columns are ignored.
     """
     spark = docs.sparkSession
-    asked = stored(_windowed(benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text)).where("id is not null"), size, plain), "asked")
+    items, texts = (df.select(F.col(c).cast("long").alias("id"), F.col(text)).where("id is not null") for df, c in ((benchmark, item_id), (docs, doc_id)))
+    shapes = stored(_windowed(items, size, plain), "shapes")
+    bare = items.join(shapes.select("id").distinct(), "id", "left_anti")
+    word_for_word = stored(_literal(bare, size, range(min(shortest, size), size + 1)), "literal")
+    lengths = [r.k for r in word_for_word.select("k").distinct().collect()]  # at most ``size`` numbers
+    asked = shapes.unionByName(word_for_word.drop("k"))
     shared = spark.sparkContext.broadcast(_bitmap(asked, bits))
-    hits = stored(_windowed(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text)).where("id is not null"), size, plain, shared)
-                  .withColumnsRenamed({"id": "doc", "pos": "at", "slots": "given"}), "hits")
+    met = _windowed(texts, size, plain, shared)
+    if lengths:
+        met = met.unionByName(_literal(texts, size, lengths, shared).drop("k"))
+    hits = stored(met.withColumnsRenamed({"id": "doc", "pos": "at", "slots": "given"}), "hits")
     once = asked.select("id", "h").distinct().withColumn("items", F.count("*").over(Window.partitionBy("h")))
     place = Window.partitionBy("id")
     # A pair with that coverage shares one of the question's rarest windows: only those look for candidates, so a phrase that
     # many questions and many documents have in common does not pair them all.
     ranked = once.withColumns({"n": F.count("*").over(place), "rank": F.row_number().over(place.orderBy("items", "h"))})
     probe = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * coverage - 1e-9) + 1).select("h", "id")
-    pairs = hits.select("doc", "h").distinct().join(probe, "h").select("doc", "id").distinct()
+    pairs = spread_join(hits.select("doc", "h").distinct(), probe, ["h"], "doc").select("doc", "id").distinct()
     whole = ranked.select("id", "h", "n")
     # What one occurrence has to hold, the document holds.
-    met = (pairs.join(whole, "id").join(hits.select("doc", "h").distinct(), ["doc", "h"]).groupBy("doc", "id")
+    met = (spread_join(pairs, whole, ["id"], "doc").join(hits.select("doc", "h").distinct(), ["doc", "h"]).groupBy("doc", "id")
            .agg(F.first("n").alias("n"), F.count("*").alias("matched")).where(F.col("matched") >= F.col("n") * coverage - 1e-9))
     met = stored(met.drop("matched"), "met")
-    held = (met.join(asked, "id").join(hits, ["doc", "h"]).groupBy("doc", "id")
+    held = (spread_join(met, asked, ["id"], "doc").join(hits, ["doc", "h"]).groupBy("doc", "id")
             .agg(F.first("n").alias("n"), F.collect_list("h").alias("h"), F.collect_list("pos").alias("pos"), F.collect_list("at").alias("at"),
                  F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("given")).alias("given")))
     schema = f"{doc_id} long, {item_id} long, n_windows long, matched long, coverage double, n_slots long, agreement double, first int, last int"

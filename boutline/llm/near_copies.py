@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.components import components
-from boutline.llm.stored import arrow_schema, stored
+from boutline.llm.stored import arrow_schema, spread_join, stored
 from boutline.session import ship
 
 _LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
@@ -130,5 +130,6 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
              .select("fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least"))
     named = group.groupBy("component").agg(F.min("least").alias("component_id"))
     owner = group.join(named, "component").select("fingerprint", "component_id")
-    return prints.join(owner, "fingerprint").select(
+    # Empty texts and mass copies share one fingerprint.
+    return spread_join(prints, owner, ["fingerprint"], "doc_id").select(
         F.col("doc_id").alias(doc_id), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -68,7 +68,7 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, salts: int = 8, how: str = "inner") -> DataFrame:
-    """Inner or left join of ``many`` with ``one``, which has a row per key: a frequent key's rows of ``many`` go to ``salts``
-    partitions by their column ``by``, and each of them gets a copy of the key's row. The result is the plain join's."""
+    """Inner or left join of ``many`` with ``one``, which has few rows per key: a frequent key's rows of ``many`` go to ``salts``
+    partitions by their column ``by``, and each of them gets a copy of the key's rows. The result is the plain join's."""
     copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -119,3 +119,16 @@ def test_variants_in_one_document(spark):
     found = {(r.doc_id, r.item_id): r for r in lq.leaked_questions(docs(spark, rows), benchmark(spark, ITEMS[:2])).collect()}
     assert set(found) == {(n, 1) for n in range(1, 6)} | {(10, 2)}
     assert all(r.agreement == 1 and r.last - r.first < 30 for r in found.values())
+
+
+BARE = [(1, "3 + 4 * 12 = 51 and 7 - 2 = 5"), (2, "Paris London Berlin 1987 Rome 42"), (3, "Solve 3.5 by 20"), (4, "no it is"), (5, "1 2 3 4 5 6 7 8 9 10 11 12")]
+
+
+def test_questions_without_windows(spark):
+    """Short and numeric questions are found word for word, other numbers are other questions, a third of all texts hold one of them."""
+    rows = [(n, f"Page {n} begins here. {BARE[1][1]}. It goes on with other things.") for n in range(10, 40)]
+    rows += [(1, "so: 3 + 4 * 12 = 51 and 7 - 2 = 5, they said"), (2, "so: 3 + 4 * 13 = 55 and 9 - 2 = 7, they said"), (3, "we solve 3.5 BY 20 today"),
+             (4, "we solve 35 by 20 today"), (5, "no it is not"), (6, LONG + " 1 2 3 4 5 6 7 8 9 10 11 13 " + LONG), (7, "1 2 3 4 5 and 6 7 8 9 10"), (8, "Paris London Berlin 1988 Rome 42")]
+    got = {(r.doc_id, r.item_id): r for r in lq.leaked_questions(docs(spark, rows), benchmark(spark, BARE + [(n + 10, t) for n, t in ITEMS[:2]])).collect()}
+    assert set(got) == {(n, 2) for n in range(10, 40)} | {(1, 1), (3, 3), (6, 5)}
+    assert all(r.n_slots == 0 for r in got.values()) and got[6, 5].matched == 7 and got[6, 5].n_windows == 8
