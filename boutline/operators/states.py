@@ -1,9 +1,10 @@
 """In-contest states: analytic win probability, monotone surfaces, audits."""
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from boutline.functions.odds import brier, log_loss, normal_wp
 from boutline.operators.folds import with_grid
@@ -23,23 +24,63 @@ def ols_normal_wp(states: DataFrame) -> DataFrame:
     return s.select(mu.alias("mu"), F.sqrt(var).alias("sigma"), "n")
 
 
-def fit_normal_wp(states: DataFrame, objective: str = "log_loss", rounds: int = 5) -> tuple[float, float]:
-    """Drift and spread with the lowest loss, by a grid refined around its best point.
+#: Drift and spread each descent begins from.
+STARTS = [(mu, sigma) for mu in (-5.0, 0.0, 5.0) for sigma in (4.0, 12.0)]
 
-    States are counted per distinct (margin, time, outcome) first; each round brings one row to the driver.
+
+def fit_normal_wp(states: DataFrame, objective: str = "log_loss", buckets: int = 3600, steps: int = 40,
+                  starts: Sequence[tuple[float, float]] = STARTS) -> tuple[float, float]:
+    """Drift and spread with the lowest loss (``log_loss`` or ``brier``), by scoring steps from several starts.
+
+    States are counted per (margin, bucket of the fraction left, outcome), each bucket with its own mean fraction. A step takes loss,
+    slope and curvature of all starts from one aggregate over these counts; one row per start comes to the driver. A step that raises
+    the loss is taken back and damped. States without time left do not depend on either number.
     """
-    counts = states.groupBy("margin", "frac", F.col("home_won").alias("y")).agg(F.count(F.lit(1)).alias("k")).persist()
-    mu, sigma, dmu, ds = 0.0, 10.0, 9.0, 9.0
-    for _ in range(rounds):
-        grid = [{"mu": mu + dmu * i / 3, "sigma": max(0.05, sigma + ds * j / 3)} for i in range(-3, 4) for j in range(-3, 4)]
-        rows = with_grid(counts, grid)
-        rows = rows.withColumn("p", _normal_at(F.col("margin"), F.col("frac"), F.col("mu"), F.col("sigma")))
-        loss = log_loss("p", "y") if objective == "log_loss" else brier("p", "y")
-        best = (rows.groupBy("mu", "sigma").agg((F.sum(loss * F.col("k")) / F.sum("k")).alias("loss"))
-                .agg(F.min(F.struct("loss", "mu", "sigma")).alias("b")).first()["b"])
-        mu, sigma, dmu, ds = best["mu"], best["sigma"], dmu / 2.5, ds / 2.5
-    counts.unpersist()
-    return mu, sigma
+    live = states.filter((F.col("frac") > 1e-6) & F.col("home_won").isNotNull())
+    counts = (live.groupBy("margin", F.ceil(F.col("frac") * buckets).alias("cell"), F.col("home_won").cast("double").alias("y"))
+              .agg(F.count(F.lit(1)).alias("k"), F.avg("frac").alias("frac")).persist())
+    root = F.sqrt("frac")
+    p = _normal_at(F.col("margin"), F.col("frac"), F.col("mu"), F.col("sigma"))
+    z = (F.col("margin") + F.col("mu") * F.col("frac")) / (F.col("sigma") * root)
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    if objective == "log_loss":
+        room = F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6))
+        slope, bend, loss = (F.col("p") - F.col("y")) * density / room, density * density / room, log_loss("p", "y")
+    else:
+        slope, bend, loss = 2 * (F.col("p") - F.col("y")) * density, 2 * density * density, brier("p", "y")
+    by_mu, by_log_sigma = root / F.col("sigma"), -z
+
+    def at(points: list[tuple[float, float]]) -> dict[int, Row]:
+        rows = with_grid(counts, [{"start": i, "mu": mu, "sigma": sigma} for i, (mu, sigma) in enumerate(points)]).withColumn("p", p)
+        sums = {"loss": loss, "g1": slope * by_mu, "g2": slope * by_log_sigma, "h11": bend * by_mu * by_mu,
+                "h12": bend * by_mu * by_log_sigma, "h22": bend * by_log_sigma * by_log_sigma}
+        return {r.start: r for r in rows.groupBy("start").agg(*[(F.sum(v * F.col("k")) / F.sum("k")).alias(n) for n, v in sums.items()]).collect()}
+
+    points = list(starts)
+    now, damp = at(points), [1e-3] * len(points)
+    try:
+        for _ in range(steps if now else 0):
+            tried = []
+            for i, (mu, sigma) in enumerate(points):
+                r, d = now[i], damp[i]
+                a, c = r.h11 * (1 + d) + 1e-12, r.h22 * (1 + d) + 1e-12
+                wide = a * c - r.h12 * r.h12
+                step = (r.h12 * r.g2 - c * r.g1) / wide, (r.h12 * r.g1 - a * r.g2) / wide
+                tried.append((mu + max(-5.0, min(5.0, step[0])), sigma * math.exp(max(-1.0, min(1.0, step[1])))))
+            then, moved = at(tried), 0.0
+            for i, point in enumerate(tried):
+                if then[i].loss <= now[i].loss:
+                    moved = max(moved, abs(point[0] - points[i][0]), abs(point[1] - points[i][1]))
+                    points[i], now[i], damp[i] = point, then[i], damp[i] / 5
+                else:
+                    damp[i], moved = damp[i] * 10, max(moved, 1.0 if damp[i] < 1e6 else 0.0)
+            if moved < 1e-9:
+                break
+    finally:
+        counts.unpersist()
+    if not now:
+        return points[0]
+    return points[min(now, key=lambda i: (now[i].loss, i))]
 
 
 def _normal_at(m: Column, f: Column, mu: Column, sigma: Column) -> Column:

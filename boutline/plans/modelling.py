@@ -211,7 +211,13 @@ def ols_normal_wp(t):
 
 @query("fit_normal_wp", "mu:d sigma:d")
 def fit_normal_wp(t):
-    mu, sigma = X.fit_normal_wp(t.states().filter("home_won is not null"))
+    mu, sigma = X.fit_normal_wp(t.states())
+    return t.spark.range(1).select(F.lit(mu).alias("mu"), F.lit(sigma).alias("sigma"))
+
+
+@query("fit_normal_wp_brier", "mu:d sigma:d")
+def fit_normal_wp_brier(t):
+    mu, sigma = X.fit_normal_wp(t.states(), "brier")
     return t.spark.range(1).select(F.lit(mu).alias("mu"), F.lit(sigma).alias("sigma"))
 
 

@@ -111,6 +111,12 @@ def test_fit_normal_wp(spark):
     df = spark.createDataFrame([(int(m), float(round(f, 2)), int(w)) for m, f, w in zip(margin, frac, won)], "margin int, frac double, home_won int")
     m, s = X.fit_normal_wp(df)
     assert abs(m - mu) < 1.2 and abs(s - sigma) < 1.5
+    # No neighbour of the found point has a lower loss, whichever the objective.
+    z = lambda a, b: np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in (margin + a * np.round(frac, 2)) / (b * np.sqrt(np.round(frac, 2)))])
+    for objective, loss in (("log_loss", lambda p: -np.mean(np.log(np.where(won, p, 1 - p).clip(1e-6, 1 - 1e-6)))), ("brier", lambda p: np.mean((p - won) ** 2))):
+        m, s = X.fit_normal_wp(df, objective)
+        least = loss(z(m, s))
+        assert all(loss(z(m + dm, s + ds)) > least for dm, ds in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02), (3, 3), (-3, 3), (3, -3)))
 
 
 def test_bootstrap_and_permutation(tables):
