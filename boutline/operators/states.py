@@ -73,8 +73,10 @@ def fit_normal_wp(states: DataFrame, objective: str = "log_loss", buckets: int =
                     moved = max(moved, abs(point[0] - points[i][0]), abs(point[1] - points[i][1]))
                     points[i], now[i], damp[i] = point, then[i], damp[i] / 5
                 else:
-                    damp[i], moved = damp[i] * 10, max(moved, 1.0 if damp[i] < 1e6 else 0.0)
-            if moved < 1e-9:
+                    # A rise within rounding means that the start has arrived.
+                    risen = then[i].loss - now[i].loss > 1e-12
+                    damp[i], moved = damp[i] * 10, max(moved, 1.0 if risen and damp[i] < 1e6 else 0.0)
+            if moved < 1e-7:
                 break
     finally:
         counts.unpersist()
