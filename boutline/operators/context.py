@@ -6,20 +6,82 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from boutline.functions.odds import clamp
 from boutline.operators.fold import MAX_ROWS, chunked_fold
 from boutline.operators.history import DAY, TIE, ewm_of
-from boutline.operators.timeline import (asof_running, mean_of, run_max, run_sum, with_running, with_trailing)
+from boutline.operators.timeline import mean_of, run_max, run_sum, stretched, with_running, with_trailing
 from boutline.session import stored
 
 
+def _prefix(group: np.ndarray, day: np.ndarray, game: np.ndarray, wins: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(wins, contests) of the asked groups before the asked (day, contest); contests are in order by group, day and contest."""
+    of, on, before = asked
+    place, wanted = (group << 33) + (day + (1 << 31)), (of << 33) + (on + (1 << 31))
+    low, high = np.searchsorted(place, wanted), np.searchsorted(place, wanted, "right")
+    # Contests of the same day come before the asked one if their number is lower.
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        less = game[middle] < before[open_]
+        low[open_] = np.where(less, middle + 1, low[open_])
+        high[open_] = np.where(less, high[open_], middle)
+    first, total = np.searchsorted(group, of), np.concatenate([[0.0], np.cumsum(wins)])
+    return total[low] - total[first], low - first
+
+
+def _rates_at(won: DataFrame, meetings: DataFrame) -> DataFrame:
+    """``meetings`` with ``__rates``: the opponent's win rate before each of the times (``__days``, ``__games``), null before its first contest.
+
+    A task reads an opponent's contests of a season in order, and then, a batch at a time, the rows that ask for its rate. It keeps the
+    contests of one opponent and season: a day, a number and a result each.
+    """
+    schema = T.StructType([*meetings.schema.fields, T.StructField("__rates", T.ArrayType(T.DoubleType()))])
+    names, kinds = meetings.columns, to_arrow_schema(schema)
+
+    def run(batches):
+        last, kept = None, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = dict(zip(batch.schema.names, batch.columns))
+            season, other = (column[c].to_numpy(zero_copy_only=False) for c in ("season", "opponent"))
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (season[1:] != season[:-1]) | (other[1:] != other[:-1])
+            new[0] = last != (season[0], other[0])
+            group, last = np.cumsum(new), (season[-1], other[-1])
+            asks = column["__asks"].to_numpy(zero_copy_only=False)
+            fact = ~asks
+            own = [column[DAY].cast(pa.int32()).to_numpy(zero_copy_only=False)[fact].astype(np.int64), column["game_id"].to_numpy(zero_copy_only=False)[fact],
+                   column["win"].cast(pa.float64()).to_numpy(zero_copy_only=False)[fact]]
+            facts = [np.concatenate(both) for both in zip(kept, own)]
+            of = np.concatenate([np.zeros(len(kept[0]), np.int64), group[fact]])
+            kept = [c[of == group[-1]] for c in facts]
+            if not asks.any():
+                continue
+            rows = [column[c].filter(pa.array(asks)) for c in names]
+            days, games = (rows[names.index(c)] for c in ("__days", "__games"))
+            size = days.value_lengths().to_numpy(zero_copy_only=False)
+            wins, count = _prefix(of, *facts, (np.repeat(group[asks], size), days.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+                                               games.flatten().to_numpy(zero_copy_only=False)))
+            rates = pa.array(wins / np.maximum(count, 1), mask=count == 0)
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*rows, pa.ListArray.from_arrays(ends, rates)], schema=kinds)
+
+    facts = won.select("season", F.col("entity").alias("opponent"), DAY, "game_id", "win", F.lit(False).alias("__asks"))
+    both = meetings.withColumn("__asks", F.lit(True)).unionByName(facts.dropna(subset=["season", "opponent", DAY, "game_id"]), allowMissingColumns=True)
+    return (both.repartition("season", "opponent").sortWithinPartitions("season", "opponent", "__asks", DAY, "game_id")
+            .mapInArrow(run, schema))
+
+
 def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFrame:
     """Current win rate of the opponents already met and of those still to come, per contest.
 
-    The opponents' rates are those of this contest's moment, not of the meeting.  Lists hold at most
-    ``past`` (``ahead``) names; their rates come from running totals as of the contest.
+    The opponents' rates are those of this contest's moment, not of the meeting.  A contest is among the last ``past`` of the
+    entity's next contests and among the next ``ahead`` of its earlier ones.  So each contest takes the times of these to its
+    opponent, in two arrays, and brings the opponent's rates back; no row stands for a single pair of contest and opponent.
     """
     keys = ["season", "entity"]
     won = log.filter("win is not null").select("season", "entity", "opponent", DAY, "game_id", "win")
@@ -27,21 +89,28 @@ def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFr
     # Rate of the opponent right after the last meeting, from the opponent's own row of that contest.
     after = rows.select("season", F.col("entity").alias("opponent"), "game_id",
                         ((F.coalesce("w0", F.lit(0)) + F.col("win")) / F.col("seq")).alias("opp_after"))
-    rows = rows.join(after, ["season", "opponent", "game_id"])
-    rows = with_trailing(rows, keys, {"met": (past, lambda w: F.collect_list("opponent").over(w)),
-                                      "last_opponent_pct": (1, lambda w: F.first("opp_after").over(w)),
-                                      "coming": (-ahead, lambda w: F.collect_list("opponent").over(w))})
-    wanted = rows.select("season", F.col("entity").alias("me"), DAY, "game_id", F.inline(F.concat(
-        F.transform("met", lambda x, i: F.struct(x.alias("entity"), (F.size("met") - i).alias("back"))),
-        F.transform("coming", lambda x: F.struct(x.alias("entity"), F.lit(0).alias("back"))))))
-    facts = won.withColumn("one", F.lit(1))
-    rated = asof_running(wanted, facts, keys, DAY, TIE, {"w": "win", "g": "one"})
-    pct = F.when(F.col("g") > 0, F.col("w") / F.col("g"))
-    met, soon = F.col("back") > 0, F.col("back") == 0
-    totals = rated.groupBy("season", F.col("me").alias("entity"), "game_id").agg(
-        F.avg(F.when(met, pct)).alias("sos_past"), F.sum(F.when(met, pct)).alias("sos_sum"),
-        F.avg(F.when(F.col("back").between(1, 3), pct)).alias("sos_last3"), F.avg(F.when(soon, pct)).alias("sos_ahead"))
-    return rows.drop("met", "coming", "w0", "opp_after").join(totals, ["season", "entity", "game_id"], "left")
+    rows = rows.join(after, ["season", "opponent", "game_id"]).drop("w0")
+    rows, own = stretched(rows, past, ahead)
+    w = Window.partitionBy(*keys, "__stretch").orderBy("seq")
+    time = F.struct(F.unix_date(DAY).alias("day"), F.col("game_id").alias("game"))
+    rows = rows.withColumns({"__place": F.row_number().over(w), "last_opponent_pct": F.first("opp_after").over(w.rowsBetween(-1, -1)),
+                             "__before": F.collect_list(time).over(w.rowsBetween(-ahead, -1)), "__after": F.collect_list(time).over(w.rowsBetween(1, past))})
+    times = F.concat("__before", "__after")
+    rows = rows.withColumns({"__soon": F.size("__before"), "__days": times["day"], "__games": times["game"]}).drop("__before", "__after", "opp_after")
+    rows = _rates_at(won, rows)
+    w = Window.partitionBy(*keys, "__stretch").orderBy("__place")
+    # A contest k places back brings the rate at its k-th time after itself, one k places ahead that at its k-th time before.
+    met = F.array(*[F.lag(F.get("__rates", F.col("__soon") + (k - 1)), k).over(w) for k in range(1, past + 1)])
+    soon = F.array(*[F.lead(F.get("__rates", F.col("__soon") - k), k).over(w) for k in range(1, ahead + 1)])
+    rows = rows.withColumns({"__met": met, "__next": soon}).filter(own)
+    rates = {"past": F.array_compact("__met"), "last3": F.array_compact(F.slice("__met", 1, 3)), "ahead": F.array_compact("__next")}
+    # Rows that share the contest share its sums.
+    whole = Window.partitionBy(*keys, "game_id")
+    rows = rows.withColumns({f"__s_{n}": F.aggregate(a, F.lit(0.0), lambda x, y: x + y) for n, a in rates.items()} | {f"__n_{n}": F.size(a) for n, a in rates.items()})
+    rows = rows.drop("__days", "__games", "__rates", "__met", "__next", "__soon", "__place", "__stretch")
+    rows = rows.withColumns({f"__{k}_{n}": F.sum(f"__{k}_{n}").over(whole) for n in rates for k in ("s", "n")})
+    rows = rows.withColumns({f"sos_{n}": F.try_divide(f"__s_{n}", f"__n_{n}") for n in rates} | {"sos_sum": F.when(F.col("__n_past") > 0, F.col("__s_past"))})
+    return rows.drop(*[f"__{k}_{n}" for n in rates for k in ("s", "n")])
 
 
 #: Rates count as equal if they agree in these many places; a bucket holds 2^24 of the 10^9 + 1 such rates.
