@@ -1,8 +1,7 @@
 """Schedule strength, roster context, starters and pitcher priors."""
 
 import heapq
-from collections.abc import Mapping, Sequence
-from itertools import groupby
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -311,29 +310,72 @@ CORE_OUT = "game_id long, active int, core int, retained int, key_present int, a
 CORE_STATE = "member long, recent array<double>"
 
 
+class _Core:
+    """Fold of ``core_retention``: the means of members lie in a heap, so a contest costs its core and its rows, not all members.
+
+    An entry of the heap counts if it is the member's mean of now; the heap is made anew when most do not. A member or a value that is
+    null has no place in an order; an entity with one is ranked from all its members.
+    """
+
+    def __init__(self, core: int, keys: int, kept: int, state: Iterable[tuple]):
+        self.core, self.keys, self.kept = core, keys, kept
+        self.recent = {_known(m): list(v) for m, v in state}
+        self.mean = {m: sum(v) / len(v) for m, v in self.recent.items()}
+        self.odd = any(m != m or v != v for m, v in self.mean.items())
+        self.heap, self.game, self.rows = self._heap(), None, []
+
+    def _heap(self) -> list[tuple]:
+        heap = [] if self.odd else [(-v, m) for m, v in self.mean.items()]
+        heapq.heapify(heap)
+        return heap
+
+    def _best(self) -> list:
+        if self.odd:
+            return [m for _, m in heapq.nsmallest(self.core, ((-v, m) for m, v in self.mean.items()))]
+        best, seen = [], set()
+        while self.heap and len(best) < self.core:
+            entry = heapq.heappop(self.heap)
+            if entry[1] not in seen and -entry[0] == self.mean[entry[1]]:
+                best.append(entry)
+                seen.add(entry[1])
+        for entry in best:
+            heapq.heappush(self.heap, entry)
+        return [m for _, m in best]
+
+    def row(self, day, game, member, points):
+        out = self.end() if game != self.game else []
+        self.game = game
+        self.rows.append((_known(member), _known(points)))
+        return out
+
+    def end(self):
+        if not self.rows:
+            return []
+        best, here = self._best(), {m for m, _ in self.rows}
+        held = len(set(best) & here)
+        out = [(self.game, len(here), len(best), held, len(set(best[:self.keys]) & here), len(best) - held)]
+        for m, x in self.rows:
+            past = self.recent.setdefault(m, [])
+            past.append(float(x))
+            del past[:-self.kept]
+            self.mean[m] = mean = sum(past) / len(past)
+            self.odd = self.odd or m != m or mean != mean
+            heapq.heappush(self.heap, (-mean, m))
+        if len(self.heap) > 2 * len(self.mean) + 100:
+            self.heap = self._heap()
+        self.rows = []
+        return out
+
+    def state(self):
+        return [(None if m != m else m, v) for m, v in self.recent.items()]
+
+
+def _known(value):
+    return float("nan") if value is None else value
+
+
 def core_retention(members: DataFrame, core: int = 14, keys: int = 6, kept: int = 8, max_rows: int = MAX_ROWS) -> DataFrame:
     """How much of the expected core (best recent contributors so far) plays in each contest."""
-
-    def step(key, pdf, state):
-        recent = {r.member: list(r.recent) for r in state.itertuples(index=False)}
-        mean = {m: sum(v) / len(v) for m, v in recent.items()}
-        out = []
-        pdf = pdf.sort_values([DAY, "game_id", "member"])
-        played = zip(pdf["game_id"].tolist(), pdf["member"].tolist(), pdf["points"].tolist())
-        for game, rows in groupby(played, key=lambda r: r[0]):
-            rows = list(rows)
-            best = [m for _, m in heapq.nsmallest(core, ((-v, m) for m, v in mean.items()))]
-            here = {m for _, m, _ in rows}
-            held = len(set(best) & here)
-            out.append((int(game), len(here), len(best), held, len(set(best[:keys]) & here), len(best) - held))
-            for _, m, x in rows:
-                past = recent.setdefault(m, [])
-                past.append(float(x))
-                del past[:-kept]
-                mean[m] = sum(past) / len(past)
-        return (pd.DataFrame(out, columns=[c.split()[0] for c in CORE_OUT.split(", ")]),
-                pd.DataFrame({"member": list(recent), "recent": list(recent.values())}))
-
-    out, _ = chunked_fold(members.select("entity", DAY, "game_id", "member", "points"), ["entity"], DAY, step,
-                          CORE_OUT, CORE_STATE, max_rows)
+    out, _ = chunked_fold(members.select("entity", DAY, "game_id", "member", "points"), ["entity"], DAY, [DAY, "game_id", "member"],
+                          lambda state: _Core(core, keys, kept, state), CORE_OUT, CORE_STATE, max_rows)
     return out.withColumn("retention", F.try_divide("retained", "core"))

@@ -1,74 +1,105 @@
 """Order-dependent folds in bounded pieces.
 
 A fold whose next step needs the last step's result cannot be split by rows.  What can be bounded is
-what one task holds: the time line of a group is cut into stretches of whole days with a limited number
-of rows, the stretches run one after another, and only the small state passes between them.  Each
-stretch is checkpointed, so a lost executor repeats one stretch.  Groups (leagues, parameter sets) run
+what one task holds: Spark sorts a group's rows, and the task reads them a batch at a time, so that it keeps the
+group's state and one batch, never the group.  The time line of a group is also cut into stretches of whole days with a limited
+number of rows, the stretches run one after another, and only the state passes between them.  Each
+stretch is written, so a lost executor repeats one stretch.  Groups (leagues, parameter sets) run
 in parallel.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from boutline.session import durable, scratch_path
+from boutline.session import scratch_path, stored
 
 MAX_ROWS = 2_000_000
 
-FoldStep = Callable[[tuple, pd.DataFrame, pd.DataFrame], tuple[pd.DataFrame, pd.DataFrame]]
 
+class Fold(Protocol):
+    """One group's state; it is made from the state's rows."""
 
-def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, step: FoldStep, out: str, state: str,
+    def row(self, *values) -> Iterable[tuple]:
+        """Take the next row; the rows out that are now settled."""
+
+    def end(self) -> Iterable[tuple]:
+        """The rows out that are left after the last row of a stretch."""
+
+    def state(self) -> Iterable[tuple]:
+        """The state's rows."""
+
+
+def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, order: Sequence[str], begin: Callable[[list[tuple]], Fold], out: str, state: str,
                  max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Run ``step(key, rows, state) -> (rows out, state)`` over each group in time order.
+    """Run a fold over each group's rows in the order of ``order``, nulls last; it gets a row's values without the group columns.
 
-    ``out`` and ``state`` are DDL column lists without the group columns.  Returns both tables.
+    ``out`` and ``state`` are DDL column lists without the group columns.  Returns both tables.  Rows without a group or day are left out.
     """
     by = list(by)
     spark = rows.sparkSession
-    keys_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    given = stored(rows.dropna(subset=[*by, day]), "fold")
+    values = [c for c in given.columns if c not in by]
+    keys_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*by).schema)
     out_schema, state_schema = (spark.createDataFrame([], ddl).schema for ddl in (out, state))
     flat = ", ".join([keys_ddl, "__kind string", *_prefixed(out_schema, "o_"), *_prefixed(state_schema, "s_")])
+    kinds = to_arrow_schema(spark.createDataFrame([], flat).schema)
+    no_out, no_state, n_by, n_values = (None,) * len(out_schema), (None,) * len(state_schema), len(by), len(values)
 
-    per_day = rows.groupBy(*by, day).agg(F.count(F.lit(1)).alias("__n"))
+    per_day = given.groupBy(*by, day).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     placed = per_day.select(*by, day, F.floor(F.coalesce(F.sum("__n").over(earlier), F.lit(0)) / max_rows).cast("int").alias("__chunk"))
     last = placed.agg(F.max("__chunk")).first()[0]
     if last is None:
         return spark.createDataFrame([], f"{keys_ddl}, {out}"), spark.createDataFrame([], f"{keys_ddl}, {state}")
 
-    def run(key, pdf, prev):
-        produced, after = step(key, pdf.drop(columns=[c for c in ("__chunk",) if c in pdf]), prev[state_schema.names])
-        parts = []
-        for frame, schema, kind, prefix in ((produced, out_schema, "row", "o_"), (after, state_schema, "state", "s_")):
-            # Nullable integers, since the other half of the rows has no value in these columns.
-            whole = {f.name: "Int64" for f in schema if f.dataType.typeName() in ("long", "integer")}
-            part = frame[schema.names].astype(whole).add_prefix(prefix)
-            part.insert(0, "__kind", kind)
-            parts.append(part)
-        both = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True).reindex(columns=names)
-        for c in objects:
-            both[c] = both[c].astype(object).where(both[c].notna(), None)
-        for name, value in zip(by, key):
-            both[name] = value
-        return both[[*by, *names]]
-
-    names = ["__kind", *[f"o_{c}" for c in out_schema.names], *[f"s_{c}" for c in state_schema.names]]
-    numbers = ("long", "integer", "double")
-    objects = [p + f.name for p, schema in (("o_", out_schema), ("s_", state_schema))
-               for f in schema if f.dataType.typeName() not in numbers]
-    state_df = spark.createDataFrame([], f"{keys_ddl}, {state}")
-    pieces = []
-    # Written once, one folder per stretch, so each step reads only its own rows.
-    path = scratch_path(spark, "fold")
-    rows.join(placed, [*by, day]).write.partitionBy("__chunk").parquet(path)
-    parts = spark.read.parquet(path)
+    def run(batches):
+        key, fold, before, made = None, None, [], []
+
+        def close():
+            if key is not None:
+                whole = fold or begin(before)
+                made.extend((*key, "row", *r, *no_state) for r in whole.end())
+                made.extend((*key, "state", *no_out, *r) for r in whole.state())
+
+        def written():
+            columns = list(zip(*made)) or [()] * len(kinds)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[:n_by] != key:
+                    close()
+                    key, fold, before = r[:n_by], None, []
+                if r[n_by] == 0:
+                    before.append(r[n_by + 1 + n_values:])
+                    continue
+                if fold is None:
+                    fold = begin(before)
+                made.extend((*key, "row", *x, *no_state) for x in fold.row(*r[n_by + 1:n_by + 1 + n_values]))
+            yield written()
+        close()
+        yield written()
+
+    if last:
+        # Written once more, one folder per stretch, so each step reads only its own rows.
+        path = scratch_path(spark, "stretches")
+        given.join(placed, [*by, day]).write.partitionBy("__chunk").parquet(path)
+        parts = spark.read.parquet(path)
+    state_df, pieces = spark.createDataFrame([], f"{keys_ddl}, {state}"), []
     for chunk in range(last + 1):
-        part = parts.filter(F.col("__chunk") == chunk)
-        both_df = durable(part.groupBy(*by).cogroup(state_df.groupBy(*by)).applyInPandas(run, flat))
-        pieces.append(both_df.filter("__kind = 'row'").select(*by, *[F.col(f"o_{c}").alias(c) for c in out_schema.names]))
-        state_df = both_df.filter("__kind = 'state'").select(*by, *[F.col(f"s_{c}").alias(c) for c in state_schema.names])
+        part = parts.filter(F.col("__chunk") == chunk) if last else given
+        own = part.select(*by, F.lit(1).alias("__kind"), *values)
+        old = state_df.select(*by, F.lit(0).alias("__kind"), *[F.col(c).alias(f"s_{c}") for c in state_schema.names])
+        both = own.unionByName(old, allowMissingColumns=True).select(*by, "__kind", *values, *[f"s_{c}" for c in state_schema.names])
+        ready = both.repartition(*by).sortWithinPartitions(*by, "__kind", *[F.asc_nulls_last(c) for c in order])
+        done = stored(ready.mapInArrow(run, flat), "stretch")
+        pieces.append(done.filter("__kind = 'row'").select(*by, *[F.col(f"o_{c}").alias(c) for c in out_schema.names]))
+        state_df = done.filter("__kind = 'state'").select(*by, *[F.col(f"s_{c}").alias(c) for c in state_schema.names])
     result = pieces[0]
     for p in pieces[1:]:
         result = result.unionByName(p)

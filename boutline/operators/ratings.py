@@ -1,11 +1,10 @@
 """Elo ratings and strength models."""
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boutline.functions.odds import clamp, logit, sigmoid
@@ -55,12 +54,12 @@ def _k_scale(p: EloParams, margin: float, winner_gap: float) -> float:
 class Ratings:
     """Ratings of one group; entities regress lazily when they meet a new season."""
 
-    def __init__(self, p: EloParams, state: pd.DataFrame):
+    def __init__(self, p: EloParams, state: Iterable[tuple]):
         self.p = p
+        state = list(state)
         # Seasons the group has seen travel in the state as rows of their own.
-        self.table = {r.entity: [r.rating, int(r.last_season), int(r.games), r.wins, r.margin]
-                      for r in state.itertuples(index=False) if not r.is_season}
-        self.seasons: list[int] = sorted(int(r.last_season) for r in state.itertuples(index=False) if r.is_season)
+        self.table = {entity: [*own] for entity, *own, is_season in state if not is_season}
+        self.seasons: list[int] = sorted(season for _, _, season, *_, is_season in state if is_season)
 
     def at(self, entity: int, season: int) -> list:
         v = self.table.get(entity)
@@ -97,37 +96,45 @@ class Ratings:
             v[4] += m
         return (*before, prob, h[0], a[0], None if margin == 0 else actual)
 
-    def state(self) -> pd.DataFrame:
-        rows = [(e, *v, False) for e, v in self.table.items()]
-        rows += [(0, 0.0, s, 0, 0.0, 0.0, True) for s in self.seasons]
-        return pd.DataFrame(rows, columns=["entity", "rating", "last_season", "games", "wins", "margin", "is_season"])
+    def state(self) -> list[tuple]:
+        """(entity, rating, last_season, games, wins, margin, is_season) of entities, and of the seasons seen."""
+        return [(e, *v, False) for e, v in self.table.items()] + [(0, 0.0, s, 0, 0.0, 0.0, True) for s in self.seasons]
 
 
 def _per(total: float, n: int, empty: float) -> float:
     return total / n if n else empty
 
 
+ORDER = ["season", "game_date", "game_id"]
+
+
+class _Rated:
+    """Fold of ``elo``: a rated contest for each contest."""
+
+    def __init__(self, params: EloParams, state: Iterable[tuple]):
+        self.ratings = Ratings(params, state)
+
+    def row(self, season, day, game, home, away, margin, neutral=False):
+        result = self.ratings.play(season, home, away, float("nan") if margin is None else float(margin), bool(neutral))
+        return [(game, season, day, home, away, *result)]
+
+    def end(self):
+        return []
+
+    def state(self):
+        return self.ratings.state()
+
+
 def elo(games: DataFrame, params: EloParams, by: Sequence[str] = ("league",),
         max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
     """Pregame ratings and probability of every contest, and the final ratings.
 
     ``games`` has season, game_date, game_id, home, away, margin (NULL when unplayed) and optionally neutral.
     """
-    cols = [*by, "season", "game_date", "game_id", "home", "away", "margin"]
+    cols = [*by, *ORDER, "home", "away", "margin"]
     if "neutral" in games.columns:
         cols.append("neutral")
-
-    def step(key, pdf, state):
-        pdf = pdf.sort_values(["season", "game_date", "game_id"])
-        r = Ratings(params, state)
-        neutral = pdf["neutral"].fillna(False).tolist() if "neutral" in pdf else [False] * len(pdf)
-        done = [r.play(int(s), h, a, float("nan") if m is None else float(m), bool(n)) for s, h, a, m, n in zip(
-            pdf["season"].tolist(), pdf["home"].tolist(), pdf["away"].tolist(), pdf["margin"].tolist(), neutral)]
-        out = pdf[["game_id", "season", "game_date", "home", "away"]].reset_index(drop=True)
-        made = pd.DataFrame(done, columns=["home_elo", "away_elo", "prob", "home_post", "away_post", "y"])
-        return pd.concat([out, made], axis=1), r.state()
-
-    rated, state = chunked_fold(games.select(*cols), by, "game_date", step, OUT, STATE, max_rows)
+    rated, state = chunked_fold(games.select(*cols), by, "game_date", ORDER, lambda rows: _Rated(params, rows), OUT, STATE, max_rows)
     return rated, state.filter("not is_season").drop("is_season")
 
 
@@ -135,6 +142,48 @@ GRID_OUT = "config_id int, n long, accuracy double, log_loss double, brier doubl
 GRID_STATE = "entity long, rating array<double>, last_season int, games long, wins double, margin double, is_season boolean"
 
 
+class _Tried:
+    """Fold of ``grid_metrics``: all parameter sets as one vector, and sums per set at the end."""
+
+    def __init__(self, grid: Sequence[EloParams], state: Iterable[tuple]):
+        self.grid, self.first = grid, grid[0]
+        self.k, self.home, self.form_win, self.form_margin = (np.array([getattr(p, f) for p in grid]) for f in ("k", "home", "form_win", "form_margin"))
+        self.ratings = Ratings(self.first, state)
+        for v in self.ratings.table.values():
+            v[0] = np.asarray(v[0])
+        self.n, self.total = 0, np.zeros((3, len(grid)))
+
+    def row(self, s, day, game, hid, aid, m):
+        r, first = self.ratings, self.first
+        if not r.seasons or r.seasons[-1] != s:
+            r.seasons.append(s)
+        h, a = r.at(hid, s), r.at(aid, s)
+        gap = (h[0] - a[0] + self.home + self.form_win * (_per(h[3], h[2], 0.5) - _per(a[3], a[2], 0.5))
+               + self.form_margin * (_per(h[4], h[2], 0.0) - _per(a[4], a[2], 0.0)))
+        p = 1.0 / (1.0 + 10.0 ** (-gap / 400.0))
+        won = 1.0 if m > 0 else 0.0
+        if m != 0:
+            q = np.clip(p if won else 1.0 - p, 1e-6, 1.0 - 1e-6)
+            self.total += np.stack([(p >= 0.5) == bool(won), -np.log(q), (p - won) ** 2])
+            self.n += 1
+        actual = won if m else 0.5
+        scale = _k_scale(first, m, 0.0) if first.margin != "log" else np.array(
+            [_k_scale(first, m, g) for g in ((h[0] - a[0]) if m > 0 else (a[0] - h[0])) + np.zeros(len(self.grid))])
+        change = self.k * scale * (actual - p)
+        h[0], a[0] = h[0] + change, a[0] - change
+        for v, w, d in ((h, actual, m), (a, 1.0 - actual, -m)):
+            v[2] += 1
+            v[3] += w
+            v[4] += d
+        return []
+
+    def end(self):
+        return [(i, self.n, *map(float, self.total[:, i])) for i in range(len(self.grid))]
+
+    def state(self):
+        return [(e, (np.zeros(len(self.grid)) + rating).tolist(), *rest) for e, rating, *rest in self.ratings.state()]
+
+
 def grid_metrics(games: DataFrame, grid: Sequence[EloParams], by: Sequence[str] = ("league",),
                  max_rows: int = MAX_ROWS) -> DataFrame:
     """Metrics of every parameter set; a contest updates all sets at once as one vector.
@@ -144,43 +193,8 @@ def grid_metrics(games: DataFrame, grid: Sequence[EloParams], by: Sequence[str]
     first = grid[0]
     if any((p.margin, p.carry, p.mean) != (first.margin, first.carry, first.mean) for p in grid):
         raise ValueError("a grid varies k, home and the form weights only")
-    k, home, form_win, form_margin = (np.array([getattr(p, f) for p in grid]) for f in ("k", "home", "form_win", "form_margin"))
-
-    def step(key, pdf, state):
-        r = Ratings(first, state)
-        for v in r.table.values():
-            v[0] = np.asarray(v[0])
-        total = np.zeros((3, len(grid)))
-        n = 0
-        pdf = pdf.sort_values(["season", "game_date", "game_id"])
-        for s, hid, aid, m in zip(pdf["season"].tolist(), pdf["home"].tolist(), pdf["away"].tolist(), pdf["margin"].tolist()):
-            if not r.seasons or r.seasons[-1] != s:
-                r.seasons.append(s)
-            h, a = r.at(hid, s), r.at(aid, s)
-            gap = (h[0] - a[0] + home + form_win * (_per(h[3], h[2], 0.5) - _per(a[3], a[2], 0.5))
-                   + form_margin * (_per(h[4], h[2], 0.0) - _per(a[4], a[2], 0.0)))
-            p = 1.0 / (1.0 + 10.0 ** (-gap / 400.0))
-            won = 1.0 if m > 0 else 0.0
-            if m != 0:
-                q = np.clip(p if won else 1.0 - p, 1e-6, 1.0 - 1e-6)
-                total += np.stack([(p >= 0.5) == bool(won), -np.log(q), (p - won) ** 2])
-                n += 1
-            actual = won if m else 0.5
-            scale = _k_scale(first, m, 0.0) if first.margin != "log" else np.array(
-                [_k_scale(first, m, g) for g in ((h[0] - a[0]) if m > 0 else (a[0] - h[0])) + np.zeros(len(grid))])
-            change = k * scale * (actual - p)
-            h[0], a[0] = h[0] + change, a[0] - change
-            for v, w, d in ((h, actual, m), (a, 1.0 - actual, -m)):
-                v[2] += 1
-                v[3] += w
-                v[4] += d
-        after = r.state()
-        after["rating"] = [(np.zeros(len(grid)) + x).tolist() for x in after["rating"]]
-        out = pd.DataFrame({"config_id": range(len(grid)), "n": n, "accuracy": total[0], "log_loss": total[1], "brier": total[2]})
-        return out, after
-
-    cols = [*by, "season", "game_date", "game_id", "home", "away", "margin"]
-    sums, _ = chunked_fold(games.filter("margin is not null").select(*cols), by, "game_date", step, GRID_OUT, GRID_STATE, max_rows)
+    rows = games.filter("margin is not null").select(*by, *ORDER, "home", "away", "margin")
+    sums, _ = chunked_fold(rows, by, "game_date", ORDER, lambda state: _Tried(grid, state), GRID_OUT, GRID_STATE, max_rows)
     n = F.sum("n")
     return sums.groupBy(*by, F.col("config_id").alias("model_id")).agg(
         n.alias("n"), *[(F.sum(c) / n).alias(c) for c in ("accuracy", "log_loss", "brier")])
