@@ -5,13 +5,13 @@ written in, so a repeated batch replaces its own output and the newest value per
 when the output is read.
 """
 
+from array import array
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from boutline.operators.ratings import EloParams, Ratings
@@ -122,110 +122,130 @@ def stream_bursts(rows: DataFrame, key: str, ts: str, gap: str, late: str = "1 h
             .agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "n"))
 
 
-def _held(arrays: Sequence, columns: Sequence[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: list(a) for c, a in zip(columns, arrays)}, columns=list(columns))
+EPOCH = date(1970, 1, 1)
+ELO_OUT = ("league string, game_id long, game_date date, home long, away long, home_elo double, away_elo double, prob double, "
+           "late boolean")
+ELO_COLUMNS = [c.split()[0] for c in ELO_OUT.split(", ")]
+#: Rows that a task collects before it gives them out.
+OUT_ROWS = 20_000
 
 
-def _window(held: pd.DataFrame, new: pd.DataFrame, closed: date | None, late_days: int, order: Sequence[str]):
-    """(rows to fold in order, rows too late, rows of them that close now, new closing day).
+class EloState(StatefulProcessor):
+    """One league: the ratings up to its closed day, and a map of its open days. Of the open days a task holds the changed ones and one more."""
 
-    A row is too late if its day is closed. Days more than ``late_days`` before the newest day seen are closed after the batch;
-    repeated rows count once.
-    """
-    late = new[new["game_date"] <= closed] if closed is not None else new.iloc[:0]
-    fresh = new.drop(late.index)
-    rows = (pd.concat([held, fresh], ignore_index=True) if len(held) else fresh).drop_duplicates(list(order)).sort_values(list(order), ignore_index=True)
-    if not len(rows):
-        return rows, late, rows, closed
-    until = rows["game_date"].max() - timedelta(days=late_days)
-    after = until if closed is None else max(until, closed)
-    return rows, late, rows[rows["game_date"] <= after], after
+    def __init__(self, params: EloParams, late_days: int):
+        self.params, self.late_days = params, late_days
 
+    def init(self, handle) -> None:
+        self.base = handle.getValueState("base", "entities array<long>, ratings array<double>, seasons_of array<int>, games array<long>, "
+                                                 "wins array<double>, margins array<double>, seen array<int>, closed int")
+        self.open = handle.getMapState("open", "season int, day int", "game_id array<long>, home array<long>, away array<long>, margin array<double>")
 
-ELO_OUT = ("league string, game_id long, game_date date, home long, away long, home_elo double, away_elo double, prob double, "
-           "late boolean")
-_ELO_ROW = ["season", "game_date", "game_id", "home", "away", "margin"]
-ELO_STATE = ("entities array<long>, ratings array<double>, seasons_of array<int>, games array<long>, wins array<double>, margins array<double>, "
-             "seen array<int>, closed date, season array<int>, game_date array<date>, game_id array<long>, home array<long>, away array<long>, margin array<double>")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        *old, closed = self.base.get() if self.base.exists() else ([],) * 7 + (None,)
+        days, out = {}, []
+        for batch in rows:
+            for season, day, *row in zip(*(batch[c].tolist() for c in ("season", "game_date", "game_id", "home", "away", "margin"))):
+                if closed is not None and (day - EPOCH).days <= closed:
+                    out.append((key[0], row[0], day, row[1], row[2], None, None, None, True))
+                else:
+                    own = days.setdefault((int(season), (day - EPOCH).days), (array("q"), array("q"), array("q"), array("d")))
+                    for column, value in zip(own, row):
+                        column.append(value)
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=ELO_COLUMNS)
+                out = []
+        if not days:
+            yield pd.DataFrame(out, columns=ELO_COLUMNS)
+            return
+        known = {tuple(k) for k in self.open.keys()}
+        changed = min(days)
+        for at in days:
+            # A repeated contest counts once, as it came first.
+            first = {}
+            for row in [*(zip(*self.open.getValue(at)) if at in known else ()), *zip(*days[at])]:
+                first.setdefault(row[0], row)
+            days[at] = None
+            self.open.updateValue(at, tuple(map(list, zip(*(first[g] for g in sorted(first))))))
+        places = sorted(known | set(days))
+        until = max(day for _, day in places) - self.late_days
+        until = until if closed is None else max(until, closed)
+        entities, ratings, seasons_of, games, wins, margins, seen = old
+        now = Ratings(self.params, [*zip(entities, ratings, seasons_of, games, wins, margins, [False] * len(entities)),
+                                    *((0, 0.0, s, 0, 0.0, 0.0, True) for s in seen)])
+        over = [at for at in places if at[1] <= until]
+        for at in over + [at for at in places if at[1] > until]:
+            season, day = at
+            for game, home, away, margin in zip(*self.open.getValue(at)):
+                h, a, p, *_ = now.play(season, home, away, margin, False)
+                if at >= changed:
+                    out.append((key[0], game, EPOCH + timedelta(days=day), home, away, h, a, p, False))
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=ELO_COLUMNS)
+                out = []
+            if over and at == over[-1]:
+                old = self._columns(now)
+        for at in over:
+            self.open.removeKey(at)
+        self.base.update((*old, until))
+        yield pd.DataFrame(out, columns=ELO_COLUMNS)
+
+    @staticmethod
+    def _columns(now: Ratings) -> list[list]:
+        """The ratings of this moment, as lists that later contests do not change."""
+        columns = [list(c) for c in zip(*((e, *v) for e, v in now.table.items()))]
+        return [*columns, list(now.seasons)]
+
+    def close(self) -> None:
+        pass
 
 
 def stream_elo(finals: DataFrame, params: EloParams, late_days: int = 400) -> DataFrame:
     """Ratings per league as finals arrive, each contest with its pregame values.
 
-    The state holds the ratings up to its closed day and the contests after it. Whenever contests arrive, those after the closed
-    day are rated again in order and given out again, so the newest output per contest does not depend on how finals are batched.
-    A final of a closed day, more than ``late_days`` behind the newest one, is given out flagged ``late`` and rates nothing.
+    The state holds the ratings up to its closed day and the contests after it, by day. Whenever contests arrive, those after the closed
+    day are rated again in order, a day at a time, and given out again from the first changed day on, so the newest output per contest does
+    not depend on how finals are batched. A final of a closed day, more than ``late_days`` behind the newest one of its league, is given out
+    flagged ``late`` and rates nothing. A repeated final counts once.
     """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        columns = ["entity", "rating", "last_season", "games", "wins", "margin", "is_season"]
-        frame, closed, held = pd.DataFrame(columns=columns), None, pd.DataFrame(columns=_ELO_ROW)
-        if state.exists:
-            e, r, s, g, w, m, seen, closed, *own = state.get
-            held = _held(own, _ELO_ROW)
-            frame = pd.DataFrame({"entity": list(e) + [0] * len(seen), "rating": list(r) + [0.0] * len(seen),
-                                  "last_season": list(s) + list(seen), "games": list(g) + [0] * len(seen),
-                                  "wins": list(w) + [0.0] * len(seen), "margin": list(m) + [0.0] * len(seen),
-                                  "is_season": [False] * len(e) + [True] * len(seen)})
-        ratings = Ratings(params, frame)
-        new = pd.concat(list(batches), ignore_index=True)[_ELO_ROW]
-        rows, late, closing, closed = _window(held, new, closed, late_days, ["season", "game_date", "game_id"])
-        out = [(key[0], row.game_id, row.game_date, row.home, row.away, None, None, None, True) for row in late.itertuples(index=False)]
-        kept = None
-        for i, row in enumerate(rows.itertuples(index=False)):
-            if i == len(closing):
-                kept = {k: list(v) for k, v in ratings.table.items()}, list(ratings.seasons)
-            h, a, p, *_ = ratings.play(int(row.season), row.home, row.away, float(row.margin), False)
-            out.append((key[0], row.game_id, row.game_date, row.home, row.away, h, a, p, False))
-        t, seen = kept or (ratings.table, ratings.seasons)
-        left = rows.iloc[len(closing):]
-        state.update((list(t), [float(v[0]) for v in t.values()], [int(v[1]) for v in t.values()], [int(v[2]) for v in t.values()],
-                      [float(v[3]) for v in t.values()], [float(v[4]) for v in t.values()], [int(x) for x in seen], closed,
-                      [int(x) for x in left["season"]], list(left["game_date"]), [int(x) for x in left["game_id"]], [int(x) for x in left["home"]],
-                      [int(x) for x in left["away"]], [float(x) for x in left["margin"]]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ELO_OUT.split(", ")])
-
-    return finals.groupBy("league").applyInPandasWithState(step, ELO_OUT, ELO_STATE, "update", GroupStateTimeout.NoTimeout)
+    return finals.groupBy("league").transformWithStateInPandas(EloState(params, late_days), ELO_OUT, "Update", "None")
 
 
 DAY_MS = 86_400_000
-EPOCH = date(1970, 1, 1)
 FORM_OUT = "entity long, game_id long, form double, played long, late boolean"
 FORM_COLUMNS = [c.split()[0] for c in FORM_OUT.split(", ")]
 
 
-def _midnight(day: date) -> int:
-    return (day - EPOCH).days * DAY_MS
-
-
 class FormState(StatefulProcessor):
-    """One entity: its number of results and the last n of closed days, a map of its open days, and a timer on the first of these."""
+    """One entity: its number of results, the last n of closed days and the rows of its open days, and a timer on the first of these.
+
+    All of it is one value, read once and written once whenever the entity has rows or a day to close: a call for each open day
+    takes longer than the fold.
+    """
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.played = handle.getValueState("played", "played long")
-        self.recent = handle.getListState("recent", "win double")
-        self.open = handle.getMapState("open", "game_date date", "game_id array<long>, win array<double>")
+        self.held = handle.getValueState("held", "recent array<double>, played long, day array<int>, game_id array<long>, win array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs()
-        days = {day: dict(zip(games, wins)) for (day,), (games, wins) in self.open.iterator()}
+        recent, played, days = self._read()
         out, changed = [], set()
         for batch in rows:
-            for day, game, win in zip(batch["game_date"].tolist(), batch["game_id"].tolist(), batch["win"].tolist()):
-                if _midnight(day) <= closed:
+            for date_, game, win in zip(batch["game_date"].tolist(), batch["game_id"].tolist(), batch["win"].tolist()):
+                day = (date_ - EPOCH).days
+                if day * DAY_MS <= closed:
                     out.append((key[0], game, None, None, True))
                 else:
                     days.setdefault(day, {})[game] = float(win)
                     changed.add(day)
-        for day in changed:
-            self.open.updateValue((day,), (list(days[day]), list(days[day].values())))
-        if changed and min(days) in changed:
-            self.handle.registerTimer(_midnight(min(days)))
-        recent, played = self._base()
+        if changed:
+            self._write(recent, played, days)
+            if min(days) in changed:
+                self.handle.registerTimer(min(days) * DAY_MS)
         for day in sorted(days) if changed else ():
             for game, win in sorted(days[day].items()):
                 if day >= min(changed):
@@ -235,22 +255,29 @@ class FormState(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs()
-        recent, played = self._base()
-        days = sorted(day for (day,) in self.open.keys())
-        over = [day for day in days if _midnight(day) <= closed]
-        if len(over) < len(days):
-            self.handle.registerTimer(_midnight(days[len(over)]))
+        recent, played, days = self._read()
+        over = [day for day in sorted(days) if day * DAY_MS <= closed]
         for day in over:
-            wins = [win for _, win in sorted(zip(*self.open.getValue((day,))))]
+            wins = [win for _, win in sorted(days.pop(day).items())]
             recent, played = (recent + wins)[-self.n:], played + len(wins)
-            self.open.removeKey((day,))
+        if days:
+            self.handle.registerTimer(min(days) * DAY_MS)
         if over:
-            self.recent.put([(win,) for win in recent])
-            self.played.update((played,))
+            self._write(recent, played, days)
         return iter(())
 
-    def _base(self) -> tuple[list[float], int]:
-        return [win for (win,) in self.recent.get()], self.played.get()[0] if self.played.exists() else 0
+    def _read(self) -> tuple[list[float], int, dict[int, dict[int, float]]]:
+        if not self.held.exists():
+            return [], 0, {}
+        recent, played, *rows = self.held.get()
+        days: dict[int, dict[int, float]] = {}
+        for day, game, win in zip(*rows):
+            days.setdefault(day, {})[game] = win
+        return list(recent), played, days
+
+    def _write(self, recent: list[float], played: int, days: dict[int, dict[int, float]]) -> None:
+        rows = [(day, game, win) for day, games in days.items() for game, win in games.items()]
+        self.held.update((recent, played, *(list(c) for c in (zip(*rows) if rows else ((), (), ())))))
 
     def close(self) -> None:
         pass
