@@ -161,4 +161,4 @@ def situation_snapshots(docs: DataFrame, league: str = "nfl") -> DataFrame:
 
 def pivot_box(long: DataFrame, keys: list[str], stats: list[str]) -> DataFrame:
     """Long key/value box rows to one column per statistic."""
-    return long.groupBy(*keys).pivot("stat", stats).agg(F.first("value", ignorenulls=True))
+    return long.groupBy(*keys).agg(*[F.first(F.when(F.col("stat") == s, F.col("value")), ignorenulls=True).alias(s) for s in stats])
