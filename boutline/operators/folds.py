@@ -12,6 +12,7 @@ from boutline.functions.odds import brier, clamp, hit, log_loss, logit, sigmoid
 from boutline.operators.joins import attach_row  # noqa: F401
 from boutline.operators.quantiles import quantile_row
 from boutline.operators.timeline import run_count, with_running
+from boutline.session import stored
 
 EARLIER = (Window.unboundedPreceding, -1)
 
@@ -100,16 +101,21 @@ def grouped_calibration(train: DataFrame, test: DataFrame, key: str, min_rows: i
 
 
 def temperature(pred: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Temperature with the lowest log loss: a coarse grid over 0.1..3, then a fine one around the best."""
+    """Temperature with the lowest log loss: a coarse grid over 0.1..3, then a fine one around the best.
+
+    Equal predictions with equal outcomes are one row with their number, worked out once for both grids.
+    """
     by = list(by)
+    counts = stored(pred.groupBy(*by, "p", "y").agg(F.count(F.lit(1)).alias("n")), "scores")
 
     def best(rows, points):
         t = with_grid(rows, points).withColumn("temp", F.round(F.col("centre") + F.col("step"), 2)).filter("temp >= 0.1 and temp <= 3.0")
-        loss = t.groupBy(*by, "temp").agg(F.avg(log_loss(sigmoid(logit("p") / F.col("temp")), "y")).alias("loss"))
+        own = log_loss(sigmoid(logit("p") / F.col("temp")), "y")
+        loss = t.withColumn("own", own).groupBy(*by, "temp").agg(F.try_divide(F.sum(F.col("own") * F.col("n")), F.sum(F.when(F.col("own").isNotNull(), F.col("n")))).alias("loss"))
         return loss.groupBy(*by).agg(F.min_by("temp", F.struct("loss", "temp")).alias("centre"), F.min("loss").alias("loss"))
 
-    coarse = best(pred.withColumn("centre", F.lit(0.0)), [{"step": round(0.1 * i, 2)} for i in range(1, 31)])
-    fine = best(pred.join(coarse.select(*by, "centre"), by), [{"step": round(0.01 * i, 2)} for i in range(-10, 11)])
+    coarse = best(counts.withColumn("centre", F.lit(0.0)), [{"step": round(0.1 * i, 2)} for i in range(1, 31)])
+    fine = best(counts.join(coarse.select(*by, "centre"), by), [{"step": round(0.01 * i, 2)} for i in range(-10, 11)])
     return fine.withColumnRenamed("centre", "temperature")
 
 
