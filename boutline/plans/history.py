@@ -193,7 +193,7 @@ def topk_mean(t):
     c="""SELECT entity, game_date, game_id, LEN(ros) AS active, CASE WHEN pre IS NOT NULL THEN CAST(LEN(LIST_INTERSECT(ros, pre)) AS DOUBLE) / LEN(ros) END AS continuity,
  CASE WHEN pre IS NOT NULL THEN LEN(ros) + LEN(pre) - 2 * LEN(LIST_INTERSECT(ros, pre)) ELSE 0 END AS turnover FROM q"""))
 def set_continuity(t):
-    return H.set_continuity(t.members())
+    return H.set_continuity(t.members(), t.parts("lineitem"))
 
 
 @query("roster_churn", "game_id:b entity:b churn_7d:d churn_14d:d churn_30d:d", over("members", "SELECT * FROM x JOIN y USING (entity, game_date, game_id) JOIN z USING (entity, game_date, game_id)",

@@ -131,3 +131,14 @@ def test_form_state_calls_do_not_grow_with_days():
     rows = pd.DataFrame({"game_date": days, "game_id": range(50), "win": [k % 2 for k in range(50)]})
     out = pd.concat(state.handleInputRows((1,), iter([rows]), handle))
     assert out["played"].tolist() == list(range(50)) and handle.calls <= 4
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in line]
+
+
+def test_continuity_is_dealt_over_the_lines_parts(spark):
+    rows, df = members(spark, 8, 0.0)
+    df = df.withColumn("season", F.year("game_date"))
+    plain, many = H.set_continuity(df), H.set_continuity(df, 23)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, many.select(plain.columns).collect()))
+    assert sum(", 23)" in x and "REPARTITION_BY_NUM" in x for x in exchanges(many)) >= 4
