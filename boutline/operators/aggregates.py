@@ -4,7 +4,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from boutline.operators.timeline import run_count, run_max, with_running
+from boutline.operators.timeline import dealt, run_count, run_max, with_running
 
 DAY, TIE = "game_date", ["game_id"]
 
@@ -17,8 +17,11 @@ def season_summary(log: DataFrame) -> DataFrame:
                       "diff_pg": F.try_divide(F.col("scored") - F.col("allowed"), F.col("games"))}))
 
 
-def play_summary(plays: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
-    """Play aggregates per side; contests are summed first, so nothing distinct is expanded."""
+def play_summary(plays: DataFrame, side: str, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Play aggregates per side; contests are summed first, so nothing distinct is expanded.
+
+    ``parts`` is the number of tasks that the contests' sums are dealt over, for large logs.
+    """
     v, ok = F.col("epa"), (F.col("epa") > 0).cast("int")
     masks = {"": F.lit(True), "pass_": F.col("is_pass"), "rush_": ~F.col("is_pass"),
              "third_": F.col("down") == 3, "red_": F.col("yards") <= 20}
@@ -30,7 +33,7 @@ def play_summary(plays: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
     by = [*keys, F.col(side).alias("entity")]
     game = plays.groupBy(*by, "game_id").agg(*first, F.sum(F.col("turnover").cast("int")).alias("turnovers"),
                                              F.max(DAY).alias(DAY), F.collect_set(other).alias("others"))
-    total = game.groupBy(*keys, "entity").agg(
+    total = dealt(game, parts, *keys, "entity").groupBy(*keys, "entity").agg(
         F.count(F.lit(1)).alias("n_games"), F.max(DAY).alias(DAY), F.sum("turnovers").alias("turnovers"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("others")))).alias("others"),
         *[F.sum(f"{p}{c}").alias(f"{p}{c}") for p in masks for c in ("epa", "plays", "ok")])

@@ -21,8 +21,8 @@ PLAYS = """SELECT l_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date,
 
 
 def _plays(t):
-    for n in ("lineitem", "orders"):
-        t.read(n).createOrReplaceTempView(f"boutline_{n}")
+    t.by_order(["l_suppkey", "l_partkey", "l_returnflag", "l_linenumber", "l_quantity", "l_tax"]).createOrReplaceTempView("boutline_lineitem")
+    t.read("orders").createOrReplaceTempView("boutline_orders")
     return t.spark.sql(PLAYS.format(week="weekofyear(o_orderdate)").replace("FROM lineitem JOIN orders", "FROM boutline_lineitem JOIN boutline_orders"))
 
 
@@ -45,8 +45,8 @@ SIDE_COLS = ["n_games:b", "game_date:t", "turnovers:b", "turnover_rate:d", "oppo
     plays=PLAYS.format(week="WEEKOFYEAR(o_orderdate)"), off=_side("offense", "defense"), **{"def": _side("defense", "offense")}))
 def play_summary(t):
     p = _plays(t)
-    k = ["season", "week"]
-    return A.both_sides(A.play_summary(p, "offense", k), A.play_summary(p, "defense", k), k)
+    k, parts = ["season", "week"], t.parts("lineitem")
+    return A.both_sides(A.play_summary(p, "offense", k, parts), A.play_summary(p, "defense", k, parts), k)
 
 
 @query("member_week_rate", "member:b season:b attempts:d total:d rate:d", over("members", """

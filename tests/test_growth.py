@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from boutline.operators import context as C, folds, history as H, ratings as R
+from boutline.operators import aggregates as A, context as C, folds, history as H, ratings as R
 from boutline.plans.io import D
 from boutline.sources import contests
 from boutline.streaming import live as S
@@ -142,3 +142,18 @@ def test_continuity_is_dealt_over_the_lines_parts(spark):
     plain, many = H.set_continuity(df), H.set_continuity(df, 23)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, many.select(plain.columns).collect()))
     assert sum(", 23)" in x and "REPARTITION_BY_NUM" in x for x in exchanges(many)) >= 4
+
+
+def test_play_summary_is_dealt_over_the_lines_parts(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(30), date(2010, 1, 1), 2010, 1, rng.randrange(3), rng.randrange(4), rng.random() < 0.5, rng.randrange(1, 5), float(rng.randrange(50)),
+             None if rng.random() < 0.1 else rng.random() - 0.5, rng.random() < 0.2) for _ in range(300)]
+    df = spark.createDataFrame(rows, "game_id long, game_date date, season int, week int, offense long, defense long, is_pass boolean, down int, yards double, epa double, turnover boolean")
+    for side in ("offense", "defense"):
+        plain, many = A.play_summary(df, side, ["season", "week"]), A.play_summary(df, side, ["season", "week"], 23)
+        one, two = ({r.entity: r.asDict() for r in x.collect()} for x in (plain, many))
+        assert one.keys() == two.keys()
+        for e in one:
+            assert [two[e][c] for c in ("opponents", "n_games", "plays")] == [one[e][c] for c in ("opponents", "n_games", "plays")]
+            assert two[e]["epa"] == pytest.approx(one[e]["epa"])
+        assert any(", 23)" in x and "REPARTITION_BY_NUM" in x for x in exchanges(many))
