@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from boutline.functions.odds import clamp
 from boutline.operators.fold import MAX_ROWS, chunked_fold
 from boutline.operators.history import DAY, TIE, ewm_of
-from boutline.operators.timeline import mean_of, run_max, run_sum, stretched, with_running, with_trailing
+from boutline.operators.timeline import STRETCH, mean_of, run_max, run_sum, stretched, with_running, with_trailing
 from boutline.session import stored
 
 
@@ -206,37 +206,84 @@ def day_percentiles(log: DataFrame, requests: DataFrame, values: Mapping[str, st
     return out.drop("__day")
 
 
-def pitcher_prior(logs: DataFrame, starters: DataFrame) -> DataFrame:
-    """Cumulative and last-three-starts rates of each starter before the contest.
+STARTS = ("outs", "er", "hits", "walks", "k")
+COUNTED = {"outs": "outs", "er": "er", "hits": "hits", "walks": "walks", "k": "k", "hr": "hr", "starts": "started"}
 
-    ``logs``: member, game_id, game_date, entity, started, outs, er, hits, walks, k, hr;
-    ``starters``: game_id, entity, member.
-    """
-    key, tie = ["member"], [*TIE, "entity"]
-    counted = {"outs": "outs", "er": "er", "hits": "hits", "walks": "walks", "k": "k", "hr": "hr", "starts": "started"}
-    began = with_running(logs.filter("started > 0"), key, DAY, tie)
-    began = with_trailing(began, key, {f"p_{c}": (2, lambda w, c=c: F.sum(c).over(w)) for c in ("outs", "er", "hits", "walks", "k")})
+
+def _last_three(before: Mapping[str, Column]) -> Column:
+    """A start's place and the sums of it and the two before."""
     at = [F.col(DAY).alias("d"), F.col("game_id").alias("g"), F.col("entity").alias("e")]
-    recent = began.select("member", "game_id", "entity", F.struct(*at, *[
-        (F.coalesce(F.col(f"p_{c}"), F.lit(0)) + F.col(c)).alias(c) for c in ("outs", "er", "hits", "walks", "k")]).alias("recent"))
+    return F.struct(*at, *[(F.coalesce(before[c], F.lit(0)) + F.col(c)).alias(c) for c in STARTS])
+
+
+def _long_priors(logs: DataFrame, parts: int | None) -> DataFrame:
+    """Logs with what came before, whatever a member has of them: sums per day, and stretches of starts."""
+    key, tie = ["member"], [*TIE, "entity"]
+    began = with_running(logs.filter("started > 0"), key, DAY, tie, parts=parts)
+    began = with_trailing(began, key, {f"p_{c}": (2, lambda w, c=c: F.sum(c).over(w)) for c in STARTS}, parts=parts)
+    recent = began.select("member", "game_id", "entity", _last_three({c: F.col(f"p_{c}") for c in STARTS}).alias("recent"))
     rows = logs.join(recent, ["member", "game_id", "entity"], "left")
-    rows = with_running(rows, key, DAY, tie, running={
-        **{f"c_{n}": run_sum(c) for n, c in counted.items()}, "last3": run_max("recent")})
+    return with_running(rows, key, DAY, tie, running={**{f"c_{n}": run_sum(c) for n, c in COUNTED.items()}, "last3": run_max("recent")}, parts=parts)
+
+
+def _snapshot() -> dict[str, Column]:
     o, r = F.col("c_outs"), F.col("last3")
     some = F.coalesce(o, F.lit(0)) > 0
 
     def rate(top: Column, scale: float, outs: Column) -> Column:
         return F.when(some & (outs > 0), top * scale / outs)
 
-    snap = rows.select("member", "game_id", "entity", (~some).cast("int").alias("no_prior"),
-                       F.coalesce("c_starts", F.lit(0)).alias("starts_pre"), (F.coalesce(o, F.lit(0)) / 3.0).alias("ip_pre"),
-                       rate(F.col("c_er"), 27.0, o).alias("era_pre"), rate(F.col("c_hits") + F.col("c_walks"), 3.0, o).alias("whip_pre"),
-                       rate(F.col("c_k"), 27.0, o).alias("k9_pre"), rate(F.col("c_walks"), 27.0, o).alias("bb9_pre"), rate(F.col("c_hr"), 27.0, o).alias("hr9_pre"),
-                       F.when(some, F.coalesce(r["outs"], F.lit(0)) / 3.0).otherwise(0.0).alias("recent3_ip_pre"),
-                       rate(r["er"], 27.0, r["outs"]).alias("recent3_era_pre"), rate(r["hits"] + r["walks"], 3.0, r["outs"]).alias("recent3_whip_pre"),
-                       rate(r["k"], 27.0, r["outs"]).alias("recent3_k9_pre"))
-    return starters.select("game_id", "entity", "member").join(snap, ["member", "game_id", "entity"], "left").fillna(
-        {"no_prior": 1, "starts_pre": 0, "ip_pre": 0.0, "recent3_ip_pre": 0.0})
+    return {"no_prior": (~some).cast("int"), "starts_pre": F.coalesce("c_starts", F.lit(0)), "ip_pre": F.coalesce(o, F.lit(0)) / 3.0,
+            "era_pre": rate(F.col("c_er"), 27.0, o), "whip_pre": rate(F.col("c_hits") + F.col("c_walks"), 3.0, o),
+            "k9_pre": rate(F.col("c_k"), 27.0, o), "bb9_pre": rate(F.col("c_walks"), 27.0, o), "hr9_pre": rate(F.col("c_hr"), 27.0, o),
+            "recent3_ip_pre": F.when(some, F.coalesce(r["outs"], F.lit(0)) / 3.0).otherwise(0.0),
+            "recent3_era_pre": rate(r["er"], 27.0, r["outs"]), "recent3_whip_pre": rate(r["hits"] + r["walks"], 3.0, r["outs"]),
+            "recent3_k9_pre": rate(r["k"], 27.0, r["outs"])}
+
+
+def _short_priors(logs: DataFrame, starters: DataFrame, parts: int | None) -> DataFrame:
+    """Starters with what came before; all of a member's logs and starts are in one task, which is dealt them once.
+
+    The starters travel among the logs. Each takes the snapshots of its member's logs of the contest, as a join by equality would.
+    """
+    given = logs.filter(F.col("member").isNotNull() & F.col(DAY).isNotNull()).withColumn("asks", F.lit(False))
+    rows = given.unionByName(starters.select("game_id", "entity", "member", F.lit(True).alias("asks")), allowMissingColumns=True)
+    rows = rows.repartition(parts, "member") if parts else rows.repartition("member")
+    place, began = [DAY, *TIE, "entity"], F.col("started") > 0
+    known = F.col("game_id").isNotNull() & F.col("entity").isNotNull() & F.col("member").isNotNull()
+    starts = Window.partitionBy("member", "began").orderBy(*place)
+    same, earlier = Window.partitionBy("member", "game_id", "entity"), Window.partitionBy("member").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("began", F.coalesce(began, F.lit(False)))
+    rows = rows.withColumn("own", F.when(F.col("began") & known, _last_three({c: F.sum(c).over(starts.rowsBetween(-2, -1)) for c in STARTS})))
+    # A log has a row for each start of its member in the contest.
+    rows = rows.withColumn("starts", F.when(~F.col("asks") & known, F.collect_list("own").over(same)))
+    rows = rows.withColumn("recent", F.explode_outer("starts")).drop("starts", "own")
+    rows = rows.withColumns({**{f"c_{n}": F.sum(c).over(earlier) for n, c in COUNTED.items()}, "last3": F.max("recent").over(earlier)})
+    found = _snapshot()
+    snap = rows.select("member", "game_id", "entity", "asks", F.when(~F.col("asks"), F.struct(*[v.alias(n) for n, v in found.items()])).alias("snap"))
+    asked = snap.withColumn("snaps", F.when(known, F.collect_list("snap").over(same))).filter("asks")
+    return asked.select("member", "game_id", "entity", F.explode_outer("snaps").alias("s")).select(
+        "member", "game_id", "entity", *[F.col(f"s.{n}").alias(n) for n in found])
+
+
+def pitcher_prior(logs: DataFrame, starters: DataFrame, parts: int | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Cumulative and last-three-starts rates of each starter before the contest.
+
+    ``logs``: member, game_id, game_date, entity, started, outs, er, hits, walks, k, hr;
+    ``starters``: game_id, entity, member. Members with up to ``stretch`` logs are dealt by member, once; those of the others,
+    at most one in ``stretch`` logs, go by day. ``parts`` is the number of tasks, for large logs.
+    """
+    logs = stored(logs.select("member", "game_id", DAY, "entity", "started", "outs", "er", "hits", "walks", "k", "hr"), "logs")
+    starters = starters.select("game_id", "entity", "member")
+    long = stored(logs.groupBy("member").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > stretch) & F.col("member").isNotNull()).select("member"), "long")
+    if long.isEmpty():
+        out = _short_priors(logs, starters, parts)
+    else:
+        few, found = F.broadcast(long), _snapshot()
+        snap = _long_priors(logs.join(few, "member", "left_semi"), parts).select("member", "game_id", "entity", *[v.alias(n) for n, v in found.items()])
+        out = _short_priors(logs.join(few, "member", "left_anti"), starters.join(few, "member", "left_anti"), parts).unionByName(
+            starters.join(few, "member", "left_semi").join(snap, ["member", "game_id", "entity"], "left"))
+    return out.fillna({"no_prior": 1, "starts_pre": 0, "ip_pre": 0.0, "recent3_ip_pre": 0.0})
 
 
 def infer_starter(rows: DataFrame, group: Sequence[str]) -> DataFrame:

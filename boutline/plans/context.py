@@ -67,7 +67,7 @@ def pitcher_prior(t):
     m = t.members()
     m.createOrReplaceTempView("boutline_members")
     logs = t.spark.sql(PITCH.format(m="boutline_members"))
-    return C.pitcher_prior(logs, H.primary_member(m))
+    return C.pitcher_prior(logs, H.primary_member(m, history=False), t.parts("lineitem"))
 
 
 KEEPERS = """SELECT game_id, entity, member, CASE WHEN CAST(points AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS api_flag, CASE WHEN points > 12 THEN 1 ELSE 0 END AS played,

@@ -157,3 +157,33 @@ def test_play_summary_is_dealt_over_the_lines_parts(spark):
             assert [two[e][c] for c in ("opponents", "n_games", "plays")] == [one[e][c] for c in ("opponents", "n_games", "plays")]
             assert two[e]["epa"] == pytest.approx(one[e]["epa"])
         assert any(", 23)" in x and "REPARTITION_BY_NUM" in x for x in exchanges(many))
+
+
+def test_pitchers_are_dealt_once(spark):
+    """Members with few logs and with many get what plain Python gives them; logs that come twice count as joins count them."""
+    rng = random.Random(10)
+    logs = []
+    for g in range(80):
+        for m in rng.sample(range(6), 3):
+            m = 0 if rng.random() < 0.3 else m
+            if not any(x[0] == m and x[1] == g for x in logs):
+                logs.append((m, g, date(2010, 1, 1) + timedelta(g // 3), m % 2, rng.randrange(2), *(rng.randrange(5) for _ in range(6))))
+    names = "member long, game_id long, game_date date, entity long, started int, outs long, er long, hits long, walks long, k long, hr long"
+    df = spark.createDataFrame([*logs, (None, 1, date(2010, 1, 1), 1, 1, 1, 1, 1, 1, 1, 1)], names)
+    asked = spark.createDataFrame([(g, e, m) for m, g, _, e, *_ in logs[::2]] + [(1, 1, None), (999, 1, 3)], "game_id long, entity long, member long")
+    got = {n: sorted(map(tuple, C.pitcher_prior(df, asked, stretch=n).collect()), key=str) for n in (0, 20, 4096)}
+    assert got[0] == got[20] == got[4096] and len(got[0]) == asked.count()
+    of = {(r[0], r[1], r[2]): r for r in got[4096]}
+    cols = C.pitcher_prior(df, asked).columns
+    assert cols[:3] == ["member", "game_id", "entity"]
+    for m, g, d, e, *_ in logs[::2]:
+        before = sorted((x[2], x[1], x[3], x) for x in logs if x[0] == m and (x[2], x[1], x[3]) < (d, g, e))
+        row = dict(zip(cols, of[m, g, e]))
+        outs = sum(x[-1][5] for x in before)
+        assert row["starts_pre"] == sum(x[-1][4] for x in before) and row["ip_pre"] == pytest.approx(outs / 3)
+        last = [x[-1] for x in before if x[-1][4]][-3:]
+        assert row["recent3_ip_pre"] == pytest.approx(sum(x[5] for x in last) / 3 if outs else 0.0)
+        assert row["era_pre"] == (pytest.approx(sum(x[-1][6] for x in before) * 27 / outs) if outs else None)
+    twice = df.unionAll(df)
+    assert sorted(map(tuple, C.pitcher_prior(twice, asked, stretch=0).collect()), key=str) == sorted(map(tuple, C.pitcher_prior(twice, asked).collect()), key=str)
+    assert len(exchanges(C.pitcher_prior(df, asked, 23))) <= 2
