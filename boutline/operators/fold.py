@@ -8,7 +8,8 @@ stretch is written, so a lost executor repeats one stretch.  Groups (leagues, pa
 in parallel.
 """
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, groupby, islice
 from typing import Protocol
 
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from boutline.session import scratch_path, stored
 
 MAX_ROWS = 2_000_000
+#: Rows that a task turns into columns at once.
+BATCH = 5_000
 
 
 class Fold(Protocol):
-    """One group's state; it is made from the state's rows."""
+    """One group's state; it is made from the state's rows, all of which it takes, one after the other."""
 
     def row(self, *values) -> Iterable[tuple]:
         """Take the next row; the rows out that are now settled."""
@@ -33,7 +36,7 @@ class Fold(Protocol):
         """The state's rows."""
 
 
-def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, order: Sequence[str], begin: Callable[[list[tuple]], Fold], out: str, state: str,
+def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, order: Sequence[str], begin: Callable[[Iterator[tuple]], Fold], out: str, state: str,
                  max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
     """Run a fold over each group's rows in the order of ``order``, nulls last; it gets a row's values without the group columns.
 
@@ -56,34 +59,31 @@ def chunked_fold(rows: DataFrame, by: Sequence[str], day: str, order: Sequence[s
     if last is None:
         return spark.createDataFrame([], f"{keys_ddl}, {out}"), spark.createDataFrame([], f"{keys_ddl}, {state}")
 
+    def made(rows):
+        for key, group in groupby(rows, key=lambda r: r[:n_by]):
+            first = []
+
+            def before():
+                for r in group:
+                    if r[n_by]:
+                        first.append(r)
+                        return
+                    yield r[n_by + 1 + n_values:]
+
+            old = before()
+            fold = begin(old)
+            if next(old, None) is not None:
+                raise ValueError("a fold is made from all rows of its state")
+            for r in chain(first, group):
+                yield from ((*key, "row", *x, *no_state) for x in fold.row(*r[n_by + 1:n_by + 1 + n_values]))
+            yield from ((*key, "row", *x, *no_state) for x in fold.end())
+            yield from ((*key, "state", *no_out, *x) for x in fold.state())
+
     def run(batches):
-        key, fold, before, made = None, None, [], []
-
-        def close():
-            if key is not None:
-                whole = fold or begin(before)
-                made.extend((*key, "row", *r, *no_state) for r in whole.end())
-                made.extend((*key, "state", *no_out, *r) for r in whole.state())
-
-        def written():
-            columns = list(zip(*made)) or [()] * len(kinds)
-            made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[:n_by] != key:
-                    close()
-                    key, fold, before = r[:n_by], None, []
-                if r[n_by] == 0:
-                    before.append(r[n_by + 1 + n_values:])
-                    continue
-                if fold is None:
-                    fold = begin(before)
-                made.extend((*key, "row", *x, *no_state) for x in fold.row(*r[n_by + 1:n_by + 1 + n_values]))
-            yield written()
-        close()
-        yield written()
+        # The state too comes and goes a batch at a time.
+        out = made(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        while piece := list(islice(out, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*piece), kinds)], schema=kinds)
 
     if last:
         # Written once more, one folder per stretch, so each step reads only its own rows.

@@ -1,7 +1,7 @@
 """Elo ratings and strength models."""
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,10 +56,15 @@ class Ratings:
 
     def __init__(self, p: EloParams, state: Iterable[tuple]):
         self.p = p
-        state = list(state)
+        self.table: dict[int, list] = {}
+        self.seasons: list[int] = []
         # Seasons the group has seen travel in the state as rows of their own.
-        self.table = {entity: [*own] for entity, *own, is_season in state if not is_season}
-        self.seasons: list[int] = sorted(season for _, _, season, *_, is_season in state if is_season)
+        for entity, *own, is_season in state:
+            if is_season:
+                self.seasons.append(own[1])
+            else:
+                self.table[entity] = own
+        self.seasons.sort()
 
     def at(self, entity: int, season: int) -> list:
         v = self.table.get(entity)
@@ -96,9 +101,10 @@ class Ratings:
             v[4] += m
         return (*before, prob, h[0], a[0], None if margin == 0 else actual)
 
-    def state(self) -> list[tuple]:
+    def state(self) -> Iterator[tuple]:
         """(entity, rating, last_season, games, wins, margin, is_season) of entities, and of the seasons seen."""
-        return [(e, *v, False) for e, v in self.table.items()] + [(0, 0.0, s, 0, 0.0, 0.0, True) for s in self.seasons]
+        yield from ((e, *v, False) for e, v in self.table.items())
+        yield from ((0, 0.0, s, 0, 0.0, 0.0, True) for s in self.seasons)
 
 
 def _per(total: float, n: int, empty: float) -> float:
@@ -148,9 +154,8 @@ class _Tried:
     def __init__(self, grid: Sequence[EloParams], state: Iterable[tuple]):
         self.grid, self.first = grid, grid[0]
         self.k, self.home, self.form_win, self.form_margin = (np.array([getattr(p, f) for p in grid]) for f in ("k", "home", "form_win", "form_margin"))
-        self.ratings = Ratings(self.first, state)
-        for v in self.ratings.table.values():
-            v[0] = np.asarray(v[0])
+        # A list of numbers takes four times the memory of an array.
+        self.ratings = Ratings(self.first, ((e, np.asarray(rating), *rest) for e, rating, *rest in state))
         self.n, self.total = 0, np.zeros((3, len(grid)))
 
     def row(self, s, day, game, hid, aid, m):
@@ -181,7 +186,7 @@ class _Tried:
         return [(i, self.n, *map(float, self.total[:, i])) for i in range(len(self.grid))]
 
     def state(self):
-        return [(e, (np.zeros(len(self.grid)) + rating).tolist(), *rest) for e, rating, *rest in self.ratings.state()]
+        return ((e, (np.zeros(len(self.grid)) + rating).tolist(), *rest) for e, rating, *rest in self.ratings.state())
 
 
 def grid_metrics(games: DataFrame, grid: Sequence[EloParams], by: Sequence[str] = ("league",),

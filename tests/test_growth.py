@@ -132,6 +132,22 @@ def test_form_state_calls_do_not_grow_with_days():
     out = pd.concat(state.handleInputRows((1,), iter([rows]), handle))
     assert out["played"].tolist() == list(range(50)) and handle.calls <= 4
 
+def test_state_goes_a_row_at_a_time(spark):
+    """A stretch's state reaches the fold, and leaves it, without a list of it; results do not depend on the stretches."""
+    games = spark.range(60).select(F.lit("x").alias("league"), F.lit(2001).alias("season"), F.date_add(F.lit(date(2001, 1, 1)), F.col("id").cast("int") % 20).alias("game_date"),
+                                   F.col("id").alias("game_id"), (F.col("id") % 5).alias("home"), (F.col("id") % 5 + 5).alias("away"), (F.col("id") % 7 - 3.0).alias("margin"))
+    given = iter([(1, 1510.0, 2001, 3, 1.0, 2.0, False), (0, 0.0, 2001, 0, 0.0, 0.0, True)])
+    now = R.Ratings(R.PLAIN, given)
+    assert now.table == {1: [1510.0, 2001, 3, 1.0, 2.0]} and now.seasons == [2001] and next(given, None) is None
+    assert not isinstance(now.state(), (list, tuple))
+    tried = R._Tried([R.PLAIN, R.EloParams(k=10.0)], iter([(1, [1510.0, 1490.0], 2001, 3, 1.0, 2.0, False)]))
+    assert tried.ratings.table[1][0].tolist() == [1510.0, 1490.0] and not isinstance(tried.state(), list)
+    grid = [R.EloParams(k=k) for k in (10.0, 20.0, 30.0)]
+    for run in (lambda n: R.elo(games, R.PLAIN, max_rows=n)[0], lambda n: R.elo(games, R.PLAIN, max_rows=n)[1], lambda n: R.grid_metrics(games, grid, max_rows=n)):
+        one, many = (sorted(map(tuple, run(n).collect())) for n in (10 ** 6, 7))
+        assert len(one) == len(many) and all(a == pytest.approx(b) for a, b in zip(one, many))
+
+
 def exchanges(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in line]
 
