@@ -245,22 +245,23 @@ def _short_priors(logs: DataFrame, starters: DataFrame, parts: int | None) -> Da
     """Starters with what came before; all of a member's logs and starts are in one task, which is dealt them once.
 
     The starters travel among the logs. Each takes the snapshots of its member's logs of the contest, as a join by equality would.
+    Logs without a day count as earlier than all others, but are no starts and have no snapshot.
     """
-    given = logs.filter(F.col("member").isNotNull() & F.col(DAY).isNotNull()).withColumn("asks", F.lit(False))
+    given = logs.filter(F.col("member").isNotNull()).withColumn("asks", F.lit(False))
     rows = given.unionByName(starters.select("game_id", "entity", "member", F.lit(True).alias("asks")), allowMissingColumns=True)
     rows = rows.repartition(parts, "member") if parts else rows.repartition("member")
-    place, began = [DAY, *TIE, "entity"], F.col("started") > 0
+    place, began, dated = [DAY, *TIE, "entity"], F.col("started") > 0, F.col(DAY).isNotNull()
     known = F.col("game_id").isNotNull() & F.col("entity").isNotNull() & F.col("member").isNotNull()
     starts = Window.partitionBy("member", "began").orderBy(*place)
     same, earlier = Window.partitionBy("member", "game_id", "entity"), Window.partitionBy("member").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("began", F.coalesce(began, F.lit(False)))
+    rows = rows.withColumn("began", F.coalesce(began & dated, F.lit(False)))
     rows = rows.withColumn("own", F.when(F.col("began") & known, _last_three({c: F.sum(c).over(starts.rowsBetween(-2, -1)) for c in STARTS})))
     # A log has a row for each start of its member in the contest.
     rows = rows.withColumn("starts", F.when(~F.col("asks") & known, F.collect_list("own").over(same)))
     rows = rows.withColumn("recent", F.explode_outer("starts")).drop("starts", "own")
     rows = rows.withColumns({**{f"c_{n}": F.sum(c).over(earlier) for n, c in COUNTED.items()}, "last3": F.max("recent").over(earlier)})
     found = _snapshot()
-    snap = rows.select("member", "game_id", "entity", "asks", F.when(~F.col("asks"), F.struct(*[v.alias(n) for n, v in found.items()])).alias("snap"))
+    snap = rows.select("member", "game_id", "entity", "asks", F.when(~F.col("asks") & dated, F.struct(*[v.alias(n) for n, v in found.items()])).alias("snap"))
     asked = snap.withColumn("snaps", F.when(known, F.collect_list("snap").over(same))).filter("asks")
     return asked.select("member", "game_id", "entity", F.explode_outer("snaps").alias("s")).select(
         "member", "game_id", "entity", *[F.col(f"s.{n}").alias(n) for n in found])

@@ -185,12 +185,14 @@ def test_pitchers_are_dealt_once(spark):
             if not any(x[0] == m and x[1] == g for x in logs):
                 logs.append((m, g, date(2010, 1, 1) + timedelta(g // 3), m % 2, rng.randrange(2), *(rng.randrange(5) for _ in range(6))))
     names = "member long, game_id long, game_date date, entity long, started int, outs long, er long, hits long, walks long, k long, hr long"
-    df = spark.createDataFrame([*logs, (None, 1, date(2010, 1, 1), 1, 1, 1, 1, 1, 1, 1, 1)], names)
-    asked = spark.createDataFrame([(g, e, m) for m, g, _, e, *_ in logs[::2]] + [(1, 1, None), (999, 1, 3)], "game_id long, entity long, member long")
+    odd = [(None, 1, date(2010, 1, 1), 1, *[1] * 7), (77, 200, None, 1, *[3] * 7), (77, 201, date(2010, 1, 5), 1, *[2] * 7), (77, 202, date(2010, 1, 4), None, *[1] * 7)]
+    df = spark.createDataFrame([*logs, *odd], names)
+    asked = spark.createDataFrame([(g, e, m) for m, g, _, e, *_ in logs[::2]] + [(1, 1, None), (999, 1, 3), (200, 1, 77), (201, 1, 77), (202, None, 77)], "game_id long, entity long, member long")
     got = {n: sorted(map(tuple, C.pitcher_prior(df, asked, stretch=n).collect()), key=str) for n in (0, 20, 4096)}
     assert got[0] == got[20] == got[4096] and len(got[0]) == asked.count()
     of = {(r[0], r[1], r[2]): r for r in got[4096]}
     cols = C.pitcher_prior(df, asked).columns
+    assert of[77, 201, 1][cols.index("starts_pre")] == 4 and of[77, 200, 1][cols.index("no_prior")] == 1
     assert cols[:3] == ["member", "game_id", "entity"]
     for m, g, d, e, *_ in logs[::2]:
         before = sorted((x[2], x[1], x[3], x) for x in logs if x[0] == m and (x[2], x[1], x[3]) < (d, g, e))
@@ -203,3 +205,13 @@ def test_pitchers_are_dealt_once(spark):
     twice = df.unionAll(df)
     assert sorted(map(tuple, C.pitcher_prior(twice, asked, stretch=0).collect()), key=str) == sorted(map(tuple, C.pitcher_prior(twice, asked).collect()), key=str)
     assert len(exchanges(C.pitcher_prior(df, asked, 23))) <= 2
+
+
+@pytest.mark.parametrize("null", [0.0, 0.1])
+def test_main_members_without_history(spark, null):
+    _, df = members(spark, 11, null)
+    df = df.unionByName(spark.createDataFrame([(1, None, 500, 3, 4.0), (None, date(2010, 1, 2), 501, 3, 4.0)], df.schema))
+    columns = ["game_id", "entity", "member"]
+    whole, main = (H.primary_member(df, history=h).select(columns) for h in (True, False))
+    assert sorted(map(tuple, main.collect())) == sorted(map(tuple, whole.collect()))
+    assert len(exchanges(main)) < len(exchanges(whole))
