@@ -7,6 +7,9 @@
    found in a Fenwick tree.
 4. Chains are aligned on the words themselves, which are fetched in blocks: each block is read once however many chains need
    it. Passages that are long and alike enough are results.
+5. Seeds left outside of all passages meet every earlier document that holds them, by the words around them: places with the
+   same words all around go to the first of them; of the others each two are compared, in blocks, and what agrees without a gap
+   is aligned as above.
 """
 
 from __future__ import annotations
@@ -15,15 +18,25 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from boutline.llm.seen_twice import FILTER_WORDS, seen_twice, suspected
 from boutline.llm.stored import arrow_schema, map_arrow, spread_join, stored
-from boutline.llm.text import PUNCTUATION, pieces, windows, words
+from boutline.llm.text import PUNCTUATION, mix, pieces, windows, words
 from boutline.session import ship
 
 #: Words of one block that is fetched for alignment, and how far a chain is extended beyond its outermost seeds.
 BLOCK, REACH = 64, 64
+#: Bytes of text worked on at once.
+PART = 1 << 19
+#: Words in a row (by `_extend`) in which two texts have to agree around a seed that their first holder did not settle.
+RUN = 16
+#: Places of a seed that are compared with as many others at once, and pairs of them.
+PLACES, PAIRS = 1024, 1 << 20
+#: 64-bit words of the filters of seeds, places and ids that are looked for again, 4 MB.
+NOTED_WORDS = 1 << 19
+#: What an extension may lose before it ends.
+DROP = 6
 
 
 def chosen(h: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
@@ -44,12 +57,10 @@ def chosen(h: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     return np.union1d(at[doc[:n] == doc[window - 1:]], few)
 
 
-def seeds(column: pa.Array, size: int, window: int):
-    """(index of the document, word number, number among words that do not repeat the last, hash) of the chosen windows.
-
-    Windows count a word that repeats at once as one word, so that a long run of one word is not full of equal seeds.
-    """
-    for first, data, offsets in pieces(column):
+def _seeded(column: pa.Array, size: int, window: int):
+    """(index of the piece's first document, words, first word of each document, word, number among words that do not repeat the
+    last, hash) of the chosen windows."""
+    for first, data, offsets in pieces(column, PART):
         found = words(data, offsets, PUNCTUATION)
         new = np.ones(len(found.hash), bool)
         new[1:] = (found.hash[1:] != found.hash[:-1]) | (found.doc[1:] != found.doc[:-1])
@@ -58,9 +69,45 @@ def seeds(column: pa.Array, size: int, window: int):
         pick = chosen(h, found.doc[place][at], window)
         step, h = at[pick], h[pick]
         at = place[step]
-        doc = found.doc[at]
         number = np.arange(len(offsets))
-        yield first + doc, at - np.searchsorted(found.doc, number)[doc], step - np.searchsorted(found.doc[place], number)[doc], h
+        yield first, found, np.searchsorted(found.doc, number), at, step - np.searchsorted(found.doc[place], number)[found.doc[at]], h
+
+
+def seeds(column: pa.Array, size: int, window: int):
+    """(index of the document, word number, number among words that do not repeat the last, hash) of the chosen windows.
+
+    Windows count a word that repeats at once as one word, so that a long run of one word is not full of equal seeds.
+    """
+    for first, found, begin, at, step, h in _seeded(column, size, window):
+        doc = found.doc[at]
+        yield first + doc, at - begin[doc], step, h
+
+
+def around(found, begin: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """16 bits of each of the ``REACH`` words before a seed, outwards, and after it; 0 beyond the text, one row per seed."""
+    doc = found.doc[at]
+    low, high = begin[doc][:, None], begin[doc + 1][:, None]
+    step = np.arange(REACH)
+    place = np.concatenate([at[:, None] - 1 - step, at[:, None] + size + step], 1)
+    inside = (place >= low) & (place < high)
+    return np.where(inside, np.maximum(found.hash[np.where(inside, place, 0)] >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype("<u2")
+
+
+def reached(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, drop: int = DROP) -> tuple[np.ndarray, np.ndarray]:
+    """`_extend` of rows ``i`` of ``a`` beside rows ``j`` of ``b``, all pairs at once: (words, equal words); 0 is no word."""
+    best, matched, live = np.zeros(len(i), np.int16), np.zeros(len(i), np.int16), np.arange(len(i))
+    total, peak, equal = (np.zeros(len(i), np.int16) for _ in range(3))
+    for o in range(a.shape[1]):
+        x, y = a[i[live], o], b[j[live], o]
+        on = (x > 0) & (y > 0) & (peak - total <= drop)
+        live, total, peak, equal, same = live[on], total[on], peak[on], equal[on], (x == y)[on]
+        if not len(live):
+            break
+        total, equal = total + np.where(same, 1, -2).astype(np.int16), equal + same
+        up = total > peak
+        best[live[up]], matched[live[up]] = o + 1, equal[up]
+        peak = np.maximum(peak, total)
+    return best, matched
 
 
 def chains(x: list[int], y: list[int], gain: float, gap: float, least: int) -> list[list[int]]:
@@ -107,7 +154,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
+def _extend(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int]:
     """(words, equal words) by which a match goes on without gaps: equal words count 1, others -2, until ``drop`` is lost."""
     n = min(len(a), len(b))
     equal = a[:n] == b[:n]
@@ -172,11 +219,11 @@ def _chained(matches: DataFrame, gain: float, gap: float, least: int) -> DataFra
 
 def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, block, words): the wanted blocks of texts as 32-bit word hashes. At most a text's own blocks are wanted of it."""
-    lists = wanted.groupBy("id").agg(F.collect_list("block").alias("blocks"))
+    lists = stored(wanted.groupBy("id").agg(F.collect_list("block").alias("blocks")), "wanted")
 
     def task(batch):
         out = {"id": [], "block": [], "words": []}
-        for first, data, offsets in pieces(batch.column(1)):
+        for first, data, offsets in pieces(batch.column(1), PART):
             found = words(data, offsets, PUNCTUATION)
             begin = np.searchsorted(found.doc, np.arange(len(offsets)))
             for i in range(len(offsets) - 1):
@@ -187,42 +234,24 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out["words"].append(own[block * BLOCK:(block + 1) * BLOCK])
         yield out
 
-    return map_arrow(docs.join(lists, "id").select("id", "t", "blocks"), task, "id long, block int, words array<int>")
+    # Of the other texts hardly any is shuffled.
+    noted = docs.sparkSession.sparkContext.broadcast(_noted(lists, "id"))
 
+    def hold(batch):
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        keep = pa.array(suspected(_hashed(ids), noted.value))
+        yield {"id": batch.column(0).filter(keep), "t": batch.column(1).filter(keep)}
 
-def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, window: int = 10, gain: float = 5.0,
-                    gap: float = 0.1, least_seeds: int = 2, least_words: int = 50, alike: float = 0.8, filter_words: int = FILTER_WORDS) -> DataFrame:
-    """(doc_id, first, end, source_id, source_first, source_end, matched, likeness): passages that an earlier document holds too.
-
-    Words are runs of letters, digits and non-ASCII characters, A-Z folded; ``first`` and ``end`` (exclusive) count them. A
-    passage has at least ``least_words`` words in both texts (a mere run of one word is none), and ``likeness``, equal words in the alignment over the longer
-    side's words, is at least ``alike``. ``source_id`` is the smallest id that holds the passage's seeds, so each group of
-    documents that share a passage is a star around its first document; exact copies appear as one whole passage. Rows without
-    an id, and null, empty or short texts, give nothing; rows that share an id are taken for one document; other columns are
-    ignored.
-    """
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-
-    def hashes(batch):
-        for *_, h in seeds(batch.column(0), size, window):
-            yield h
+    own = map_arrow(docs, hold, "id long, t string")
+    return map_arrow(own.join(lists, "id").select("id", "t", "blocks"), task, "id long, block int, words array<int>")
 
-    shared = docs.sparkSession.sparkContext.broadcast(seen_twice(texts.select("t"), hashes, filter_words))
 
-    def task(batch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for doc, at, step, h in seeds(batch.column(1), size, window):
-            hit = suspected(h, shared.value)
-            # Both numbers of a seed's place travel as one long, which sorts by the first.
-            yield {"doc": pa.array(ids[doc[hit]]), "x": pa.array(at[hit] << 32 | step[hit]), "h": pa.array(h[hit].view(np.int64))}
+def _paired(matches: DataFrame) -> DataFrame:
+    return matches.select("doc", "source", "x", "y").repartition("doc", "source").sortWithinPartitions("doc", "source", "x")
 
-    found = stored(map_arrow(texts, task, "doc long, x long, h long"), "seeds")
-    source = (found.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("m"), F.max("doc").alias("last")).where("m.doc <> last")
-              .select("h", F.col("m.doc").alias("source"), F.col("m.x").alias("y")))
-    matches = (spread_join(found, source, ["h"], "doc", salts=2).where("doc <> source").select("doc", "source", "x", "y")
-               .repartition("doc", "source").sortWithinPartitions("doc", "source", "x"))
-    chained = stored(_chained(matches, gain, gap, least_seeds).withColumn("chain", F.monotonically_increasing_id()), "chains")
 
+def _passages(texts: DataFrame, chained: DataFrame, size: int, least_words: int, alike: float, doc_id: str) -> DataFrame:
+    """The result's rows: chains aligned on the words, those that are long and alike enough."""
     def side(owner: str, places: str):
         first = F.greatest(F.element_at(places, 1) - REACH, F.lit(0))
         last = F.element_at(places, -1) + (size + REACH)
@@ -254,3 +283,172 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         yield out
 
     return map_arrow(chained.join(parts, "chain").select("doc", "source", "xs", "ys", "parts"), result, schema)
+
+
+def _noted(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A filter of fixed size of the rows' ``columns`` (long), hashed together."""
+    def hashes(batch):
+        yield np.repeat(_hashed(*[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]), 2)
+
+    return seen_twice(rows.select(*columns), hashes, NOTED_WORDS)
+
+
+def _hashed(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+    return out
+
+
+def _outside(matches: DataFrame, passages: DataFrame, doc_id: str, size: int) -> DataFrame:
+    """(doc, x, h): places of seeds that an earlier document holds, in no passage of their own document."""
+    own = passages.groupBy(F.col(doc_id).alias("doc")).agg(F.collect_set(F.struct("first", "end")).alias("own"))
+    at = F.shiftright("x", 32)
+    inside = F.exists("own", lambda p: (p["first"] <= at) & (p["end"] >= at + size))
+    return matches.select("doc", "x", "h").join(own, "doc", "left").where(~F.coalesce(inside, F.lit(False))).select("doc", "x", "h")
+
+
+def _rest(texts: DataFrame, left: DataFrame, size: int, window: int, least_words: int, alike: float, run: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables (doc, source, x, y) for the places ``left``: sure passages, and what agrees over ``run`` words at least.
+
+    Every earlier place of the same seed is met. What stands beyond ``REACH`` words of a seed plays no part in its alignment, so
+    places with the same words up to there are one: all go to the first of them, once for each block of a document. Of the
+    others each two are compared, ``PLACES`` by ``PLACES`` in a task, and a place with a sure passage keeps the first one.
+    """
+    sc = left.sparkSession.sparkContext
+    wanted, open_ = sc.broadcast(_noted(left, "h")), sc.broadcast(_noted(left, "doc", "x"))
+
+    def task(batch):
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for first, found, begin, at, step, h in _seeded(batch.column(1), size, window):
+            hit = np.flatnonzero(suspected(_hashed(h.view(np.int64)), wanted.value))
+            for s in range(0, len(hit), PLACES):
+                own = hit[s:s + PLACES]
+                words_ = around(found, begin, at[own], size)
+                # No passage grows from a seed with fewer words around it.
+                own, words_ = (v[(words_ > 0).sum(1) + size >= least_words] for v in (own, words_))
+                doc = ids[first + found.doc[at[own]]]
+                x = (at[own] - begin[found.doc[at[own]]]) << 32 | step[own]
+                c = np.zeros(len(own), np.uint64)
+                for k in range(words_.shape[1]):
+                    c = mix(c * np.uint64(0x9E3779B97F4A7C15) + words_[:, k])
+                yield {"h": pa.array(h[own].view(np.int64)), "c": pa.array(c.view(np.int64)), "doc": pa.array(doc), "x": pa.array(x),
+                       "open": pa.array(suspected(_hashed(doc, x), open_.value)), "w": pa.array([w.tobytes() for w in words_], pa.binary())}
+
+    places = stored(map_arrow(texts, task, "h long, c long, doc long, x long, open boolean, w binary"), "places")
+    heads = stored(places.groupBy("h", "c").agg(F.min(F.struct("doc", "x", "open", "w")).alias("m")).select("h", "c", "m.*"), "heads")
+    first = heads.select("h", "c", F.col("doc").alias("source"), F.col("x").alias("y"))
+    block = F.shiftright("x", 32 + BLOCK.bit_length() - 1).alias("block")
+    copies = stored(spread_join(places.where("open").select("h", "c", "doc", "x"), first, ["h", "c"], "doc").where("source < doc")
+                    .groupBy("doc", block).agg(F.min(F.struct("x", "source", "y")).alias("m")).select("doc", "block", "m.*"), "copies")
+    own = stored(places.where("open").select("h", "c", "doc", F.col("x").alias("place")).join(heads.select("h", "c", "doc", "x"), ["h", "c", "doc"])
+                 .withColumn("block", F.shiftright("place", 32 + BLOCK.bit_length() - 1))
+                 .join(copies.select("doc", "block"), ["doc", "block"], "left_anti").select("h", "doc", "x", "place"), "asked")
+    asked = own.select("h", "doc", "x", F.lit(True).alias("asks")).distinct()
+    met = heads.drop("open", "c").join(asked, ["h", "doc", "x"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    by = Window.partitionBy("h")
+    met = (met.withColumns({"n": F.row_number().over(by.orderBy("doc", "x")) - 1})
+           .withColumns({"b": F.floor(F.col("n") / PLACES).cast("int")})
+           .join(met.groupBy("h").agg(F.count("*").alias("total"), F.max("asks").alias("asked")).where("asked and total > 1")
+                 .select("h", F.floor((F.col("total") - 1) / PLACES).cast("int").alias("last")), "h"))
+    held = met.select("h", F.explode(F.sequence("b", "last")).alias("j"), F.col("b").alias("i"), F.lit(False).alias("asks"), "doc", "x", "w")
+    asks = met.where("asks").select("h", F.col("b").alias("j"), F.explode(F.sequence(F.lit(0), "b")).alias("i"), "asks", "doc", "x", "w")
+    groups = held.unionByName(asks).select("h", "i", "j", "asks", "doc", "x", "w").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "asks", "doc", "x")
+    # What holds for a document's first place with certain words around it holds for its other ones.
+    links = stored(_compared(groups, size, least_words, alike, run).join(own.select("doc", "x", "place").distinct(), ["doc", "x"])
+                   .select("doc", F.col("place").alias("x"), "source", "y", "sure"), "links")
+    sure = links.where("sure").groupBy("doc", "x").agg(F.min(F.struct("source", "y")).alias("m")).select("doc", "m.source", "x", "m.y")
+    likely = links.where("not sure").join(sure.select("doc", "x"), ["doc", "x"], "left_anti").select("doc", "source", "x", "y")
+    return copies.select("doc", "source", "x", "y").union(sure), likely
+
+
+def _compared(groups: DataFrame, size: int, least_words: int, alike: float, run: int) -> DataFrame:
+    """(doc, x, source, y, sure) of places that ask and places of earlier documents in the same group (h, i, j), in order."""
+    schema = "doc long, x long, source long, y long, sure boolean"
+    kinds = arrow_schema(schema)
+
+    def compare(asks, doc, x, w):
+        """Of each place that asks the first sure partner, or all that agree over ``run`` words."""
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(a) or not len(b):
+            return
+        before, after = w[:, :REACH], w[:, REACH:]
+        wide = max(1, PAIRS // len(b))
+        for s in range(0, len(a), wide):
+            i, j = (v.reshape(-1) for v in np.meshgrid(a[s:s + wide], b, indexing="ij"))
+            earlier = doc[j] < doc[i]
+            i, j = i[earlier], j[earlier]
+            n, equal = reached(after, after, i, j)
+            m, same = reached(before, before, i, j)
+            n, equal = n.astype(int) + m + size, equal.astype(int) + same + size
+            good = n >= run
+            i, j, sure = i[good], j[good], (n >= least_words)[good] & (equal >= alike * n)[good]
+            done, at = np.unique(i[sure], return_index=True)
+            other = ~np.isin(i, done)
+            for p, q, yes in ((done, j[sure][at], True), (i[other], j[other], False)):
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(x[p]), pa.array(doc[q]), pa.array(x[q]),
+                                                      pa.array(np.full(len(p), yes))], schema=kinds)
+
+    def rows(batches):
+        rest = None
+        for batch in batches:
+            numbers = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
+            w = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(-1, 2 * REACH)
+            columns = [*numbers, w]
+            if rest is not None:
+                columns = [np.concatenate(p) for p in zip(rest, columns)]
+            h, i, j = columns[:3]
+            new = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = [0, *new.tolist()]
+            for s, e in zip(edges, edges[1:]):
+                yield from compare(*[c[s:e] for c in columns[3:]])
+            rest = [c[edges[-1]:] for c in columns]
+        if rest is not None:
+            yield from compare(*rest[3:])
+
+    ship(groups.sparkSession)
+    return groups.mapInArrow(rows, schema)
+
+
+def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, window: int = 10, gain: float = 5.0,
+                    gap: float = 0.1, least_seeds: int = 2, least_words: int = 50, alike: float = 0.8, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """(doc_id, first, end, source_id, source_first, source_end, matched, likeness): passages that an earlier document holds too.
+
+    Words are runs of letters, digits and non-ASCII characters, A-Z folded; ``first`` and ``end`` (exclusive) count them. A
+    passage has at least ``least_words`` words in both texts (a mere run of one word is none), and ``likeness``, equal words in the alignment over the longer
+    side's words, is at least ``alike``. ``source_id`` is the smallest id that holds the passage's seeds, so each group of
+    documents that share a passage is a star around its first document; exact copies appear as one whole passage. Seeds in no
+    such passage meet every earlier document that holds them (`_rest`), and the first one with a passage around them is taken. Rows without
+    an id, and null, empty or short texts, give nothing; rows that share an id are taken for one document; other columns are
+    ignored.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
+
+    def hashes(batch):
+        for *_, h in seeds(batch.column(0), size, window):
+            yield h
+
+    shared = docs.sparkSession.sparkContext.broadcast(seen_twice(texts.select("t"), hashes, filter_words))
+
+    def task(batch):
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for doc, at, step, h in seeds(batch.column(1), size, window):
+            hit = suspected(h, shared.value)
+            # Both numbers of a seed's place travel as one long, which sorts by the first.
+            yield {"doc": pa.array(ids[doc[hit]]), "x": pa.array(at[hit] << 32 | step[hit]), "h": pa.array(h[hit].view(np.int64))}
+
+    found = stored(map_arrow(texts, task, "doc long, x long, h long"), "seeds")
+    shared.unpersist()
+    source = (found.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("m"), F.max("doc").alias("last")).where("m.doc <> last")
+              .select("h", F.col("m.doc").alias("source"), F.col("m.x").alias("y")))
+    matches = stored(spread_join(found, source, ["h"], "doc", salts=2).where("doc <> source").select("doc", "source", "x", "y", "h"), "matches")
+    chained = stored(_chained(_paired(matches), gain, gap, least_seeds).withColumn("chain", F.monotonically_increasing_id()), "chains")
+    passages = stored(_passages(texts, chained, size, least_words, alike, doc_id), "passages")
+    left = stored(_outside(matches, passages, doc_id, size), "left")
+    if left.isEmpty():
+        return passages
+    sure, likely = _rest(texts, left, size, window, least_words, alike, min(RUN, least_words))
+    more = _chained(_paired(sure), gain, gap, 1).union(_chained(_paired(likely), gain, gap, least_seeds))
+    more = stored(more.withColumn("chain", F.monotonically_increasing_id()), "chains")
+    return passages.union(_passages(texts, more, size, least_words, alike, doc_id))

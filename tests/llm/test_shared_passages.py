@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from odd import ROWS, SCHEMA, frame
 
-from boutline.llm.shared_passages import align, chains, chosen, shared_passages
+from boutline.llm.shared_passages import _extend, align, chains, chosen, reached, shared_passages
 
 
 def best_scores(x, y, gain, gap):
@@ -97,3 +97,56 @@ def test_odd_rows(spark):
     assert {(r.doc_id, r.source_id) for r in found} == {(7, 6)}
     assert (min(r.first for r in found), max(r.end for r in found)) == (0, len(re.findall(r"\S+", ROWS[6][1])))
     assert shared_passages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_passages_that_no_first_holder_has(spark):
+    """Two documents share a passage whose halves stand in two earlier ones, exact and with changed words."""
+    rng = random.Random(8)
+    rows, spans = [], {}
+    for group in range(12):
+        a, b = text(rng, 45), text(rng, 45)
+        for k, part in enumerate((a, b, a + b, a + b)):
+            if k == 3 and group % 2:
+                part = [w if i % 15 != 7 else "changed" for i, w in enumerate(part)]
+            doc, before = 100 * k + group, text(rng, 80)
+            spans[doc] = (80, 80 + len(part))
+            rows.append((doc, " ".join(before + part + text(rng, 80))))
+    found = {}
+    for r in shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(found) == {300 + g for g in range(12)}
+    for doc, own in found.items():
+        first, end = spans[doc]
+        assert all(r.source_id == doc - 100 for r in own)
+        assert min(r.first for r in own) <= first + 4 and max(r.end for r in own) >= end - 4
+
+
+def test_every_exact_window_is_covered(spark):
+    """Few lines in many documents: whatever 50 words stand in an earlier document lie in a passage, by comparing all pairs."""
+    rng = random.Random(9)
+    lines = [text(rng, rng.randrange(6, 30)) for _ in range(40)] + [["is", "so"] * 30]
+    rows = [(i, sum((rng.choice(lines) + (text(rng, 1) if rng.random() < 0.3 else []) for _ in range(12)), [])) for i in range(80)]
+    found = {}
+    for r in shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.first, r.end))
+    seen, shared, missed = set(), 0, 0
+    for i, t in rows:
+        own = [tuple(t[k:k + 50]) for k in range(len(t) - 49)]
+        for k, w in enumerate(own):
+            if w in seen:
+                shared += 1
+                missed += not any(a <= k + 7 and e >= k + 43 for a, e in found.get(i, []))
+        seen.update(own)
+    assert shared > 200 and missed == 0
+
+
+def test_pairs_reach_as_one_by_one():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(1, 4, (30, 20)).astype("<u2") for _ in range(2))
+    a[5:9, 7:] = 0
+    b[:15] = np.where(rng.random((15, 20)) < 0.8, a[:15], b[:15])
+    i, j = (v.reshape(-1) for v in np.meshgrid(np.arange(30), np.arange(30), indexing="ij"))
+    n, equal = reached(a, b, i, j)
+    for p, q, k, e in zip(i, j, n, equal):
+        x, y = (v[:int((v > 0).sum())] for v in (a[p], b[q]))
+        assert (int(k), int(e)) == _extend(x, y)
