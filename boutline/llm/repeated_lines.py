@@ -17,6 +17,8 @@ from boutline.llm.seen_twice import FILTER_WORDS, seen_twice, suspected
 from boutline.llm.stored import map_arrow, spread_join, stored
 
 _BLANK = b" \t\n\x0b\x0c\r"
+#: Texts of a batch whose lines a task holds at once.
+TEXTS = 500
 
 
 def line_key(line: bytes) -> bytes:
@@ -43,14 +45,15 @@ def suspects(docs: DataFrame, doc_id: str, text: str, shortest: int, twice: np.n
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def task(batch):
-        owners, keys = [], []
-        for d, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if d is not None:
-                own = long_keys(value.as_py() or b"", shortest)
-                owners.extend([d] * len(own))
-                keys.extend(own)
-        hit = np.flatnonzero(suspected(key_hashes(keys), shared.value))
-        yield {"doc_id": [owners[i] for i in hit], "key": [keys[i].decode() for i in hit]}
+        for s in range(0, batch.num_rows, TEXTS):
+            owners, keys = [], []
+            for d, value in zip(batch.column(0).slice(s, TEXTS).to_pylist(), batch.column(1).slice(s, TEXTS)):
+                if d is not None:
+                    own = long_keys(value.as_py() or b"", shortest)
+                    owners.extend([d] * len(own))
+                    keys.extend(own)
+            hit = np.flatnonzero(suspected(key_hashes(keys), shared.value))
+            yield {"doc_id": [owners[i] for i in hit], "key": [keys[i].decode() for i in hit]}
 
     return map_arrow(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary").alias("t")), task, "doc_id long, key string")
 
@@ -65,7 +68,8 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     other columns pass unchanged, whatever their names; ``n_lines`` and ``n_dropped`` replace columns so named.
     """
     def hashes(batch):
-        yield key_hashes([k for value in batch.column(0) for k in long_keys(value.as_py() or b"", shortest)])
+        for s in range(0, batch.num_rows, TEXTS):
+            yield key_hashes([k for value in batch.column(0).slice(s, TEXTS) for k in long_keys(value.as_py() or b"", shortest)])
 
     twice = seen_twice(docs.select(F.col(text).cast("binary").alias("t")), hashes, words)
     found = stored(suspects(docs, doc_id, text, shortest, twice), "suspects")
@@ -74,22 +78,28 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     drops = (spread_join(found, repeated, ["key"], "doc_id").where("doc_id <> keeper")
              .groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__drop")))
 
-    @F.arrow_udf("struct<t string, n_lines bigint, n_dropped bigint>")
-    def rest(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+    kinds = [pa.string(), pa.int64(), pa.int64()]
+
+    def some(texts: pa.Array, dropped: pa.Array) -> list[pa.Array]:
         out, before, gone = [], [], []
-        for value, keys in zip(texts.to_pylist(), dropped.to_pylist()):
-            lines = (value or "").split("\n")
-            before.append(len(lines))
+        for value, keys in zip(texts, dropped):
+            value, keys = value.as_py() or "", keys.as_py()
+            n = value.count("\n") + 1
+            before.append(n)
             if keys:
                 keys = {k.encode() for k in keys}
-                kept = [x for x in lines if len(x) < shortest or line_key(x.encode()) not in keys]
-                gone.append(len(lines) - len(kept))
+                kept = [x for x in value.split("\n") if len(x) < shortest or line_key(x.encode()) not in keys]
+                gone.append(n - len(kept))
                 value = "\n".join(kept)
             else:
                 gone.append(0)
-            out.append(value or "")
-        kinds = [pa.string(), pa.int64(), pa.int64()]
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((out, before, gone), kinds)], names=["t", "n_lines", "n_dropped"])
+            out.append(value)
+        return [pa.array(x, k) for x, k in zip((out, before, gone), kinds)]
+
+    @F.arrow_udf("struct<t string, n_lines bigint, n_dropped bigint>")
+    def rest(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+        parts = [some(texts.slice(s, TEXTS), dropped.slice(s, TEXTS)) for s in range(0, max(1, len(texts)), TEXTS)]
+        return pa.StructArray.from_arrays([pa.concat_arrays(column) for column in zip(*parts)], names=["t", "n_lines", "n_dropped"])
 
     joined = docs.join(drops, F.col(doc_id).cast("long") == F.col("__doc"), "left").drop("__doc")
     done = joined.withColumn("__rest", rest(F.col(text), F.col("__drop")))

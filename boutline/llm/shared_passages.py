@@ -356,15 +356,21 @@ def _rest(texts: DataFrame, left: DataFrame, size: int, window: int, least_words
     groups = held.unionByName(asks).select("h", "i", "j", "asks", "doc", "x", "w").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "asks", "doc", "x")
     # What holds for a document's first place with certain words around it holds for its other ones.
     links = stored(_compared(groups, size, least_words, alike, run).join(own.select("doc", "x", "place").distinct(), ["doc", "x"])
-                   .select("doc", F.col("place").alias("x"), "source", "y", "sure"), "links")
+                   .select("doc", F.col("place").alias("x"), "source", "y", "before", "sure"), "links")
     sure = links.where("sure").groupBy("doc", "x").agg(F.min(F.struct("source", "y")).alias("m")).select("doc", "m.source", "x", "m.y")
-    likely = links.where("not sure").join(sure.select("doc", "x"), ["doc", "x"], "left_anti").select("doc", "source", "x", "y")
+    # Where two documents agree in one run only, that run is no passage: it was measured already.
+    begin = F.shiftleft(F.shiftright("x", 32) - F.col("before"), 32) + F.shiftright("y", 32) - F.col("before")
+    likely = (links.where("not sure").join(sure.select("doc", "x"), ["doc", "x"], "left_anti")
+              .select("doc", "source", "x", "y", begin.alias("begin")))
+    several = likely.groupBy("doc", "source").agg(F.min("begin").alias("low"), F.max("begin").alias("high")).where("low <> high")
+    likely = likely.join(several.select("doc", "source"), ["doc", "source"]).select("doc", "source", "x", "y")
     return copies.select("doc", "source", "x", "y").union(sure), likely
 
 
 def _compared(groups: DataFrame, size: int, least_words: int, alike: float, run: int) -> DataFrame:
-    """(doc, x, source, y, sure) of places that ask and places of earlier documents in the same group (h, i, j), in order."""
-    schema = "doc long, x long, source long, y long, sure boolean"
+    """(doc, x, source, y, before, sure) of places that ask and places of earlier documents in the same group (h, i, j), in order;
+    ``before`` is how many words before the seed agree."""
+    schema = "doc long, x long, source long, y long, before int, sure boolean"
     kinds = arrow_schema(schema)
 
     def compare(asks, doc, x, w):
@@ -382,13 +388,13 @@ def _compared(groups: DataFrame, size: int, least_words: int, alike: float, run:
             m, same = reached(before, before, i, j)
             n, equal = n.astype(int) + m + size, equal.astype(int) + same + size
             good = n >= run
-            i, j, sure = i[good], j[good], (n >= least_words)[good] & (equal >= alike * n)[good]
+            i, j, m, sure = i[good], j[good], m[good].astype(np.int32), (n >= least_words)[good] & (equal >= alike * n)[good]
             done, at = np.unique(i[sure], return_index=True)
             other = ~np.isin(i, done)
-            for p, q, yes in ((done, j[sure][at], True), (i[other], j[other], False)):
+            for p, q, k, yes in ((done, j[sure][at], m[sure][at], True), (i[other], j[other], m[other], False)):
                 if len(p):
                     yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(x[p]), pa.array(doc[q]), pa.array(x[q]),
-                                                      pa.array(np.full(len(p), yes))], schema=kinds)
+                                                      pa.array(k), pa.array(np.full(len(p), yes))], schema=kinds)
 
     def rows(batches):
         rest = None
