@@ -86,12 +86,11 @@ def _within(values, bits: int, radius: int):
     return F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: values.bitwiseXOR(m))
 
 
-def links(fingerprint: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
-    """(a, b) pairs of distinct values of column ``fingerprint`` that connect all values within ``radius`` bits.
+def meeting(fingerprint: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
+    """(at, members): emitted values at which several distinct values of column ``fingerprint`` meet, and those values.
 
-    At each emitted value every member is paired with the smallest member only: members stand within half the radius of
-    that value, so each pair of them links, and the star connects the same values as all pairs would. With radius 2 the
-    members at a value are kept as one 64-bit mask of the flipped bit and one flag, which Spark combines before the shuffle.
+    With radius 2 the members at a value are kept as one 64-bit mask of the flipped bit and one flag, which Spark combines
+    before the shuffle.
     """
     # Few bytes become 65 rows each: an explicit number of partitions keeps them spread.
     spread = int(fingerprint.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -108,10 +107,18 @@ def links(fingerprint: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
         flips = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.getbit(F.col("mask"), b) == 1)
         members = F.concat(F.transform(flips, lambda b: F.col("at").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))),
                            F.when(F.col("own") == 1, F.array("at")).otherwise(F.array().cast("array<bigint>")))
-        groups = at.select(members.alias("members"))
-    else:
-        groups = (values.select(F.col("fingerprint"), F.explode(_within(F.col("fingerprint"), bits, radius // 2)).alias("at"))
-                  .groupBy("at").agg(F.collect_set("fingerprint").alias("members")).where(F.size("members") > 1))
+        return at.select("at", members.alias("members"))
+    return (values.select(F.col("fingerprint"), F.explode(_within(F.col("fingerprint"), bits, radius // 2)).alias("at"))
+            .groupBy("at").agg(F.collect_set("fingerprint").alias("members")).where(F.size("members") > 1))
+
+
+def links(fingerprint: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
+    """(a, b) pairs of distinct values of column ``fingerprint`` that connect all values within ``radius`` bits.
+
+    At each emitted value every member is paired with the smallest member only: members stand within half the radius of
+    that value, so each pair of them links, and the star connects the same values as all pairs would.
+    """
+    groups = meeting(fingerprint, radius, bits)
     pairs = (groups.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct())
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
