@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.stored import arrow_schema
+from boutline.llm.text import mix
 from boutline.session import ship
 
 #: 64-bit words of each filter: 2^21 words are 2^27 bits, 16 MB.
 FILTER_WORDS = 1 << 21
+#: 64-bit words of the filters of seeds, places and ids that are looked for again, 4 MB.
+NOTED_WORDS = 1 << 19
 #: Parts in which the filters are merged, each by one task.
 SEGMENTS = 64
 
@@ -88,3 +91,30 @@ def seen_twice(rows: DataFrame, hashes, words: int = FILTER_WORDS) -> np.ndarray
     for row in rows.mapInArrow(build, schema).repartition(SEGMENTS, "segment").mapInArrow(merge, merged).collect():
         out[row["segment"] * width + np.frombuffer(row["place"], np.uint32)] = np.frombuffer(row["twice"], np.uint64)
     return out
+
+
+def noted(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A filter of fixed size of the rows' ``columns`` (long), hashed together."""
+    def hashes(batch):
+        yield np.repeat(hashed(*[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]), 2)
+
+    return seen_twice(rows.select(*columns), hashes, NOTED_WORDS)
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+    return out
+
+
+def maybe_in(rows: DataFrame, column: str):
+    """A function of a column (long): false where its value, or null, is surely none of the rows' ``column``."""
+    shared = rows.sparkSession.sparkContext.broadcast(noted(rows, column))
+
+    @F.arrow_udf("boolean")
+    def held(values: pa.Array) -> pa.Array:
+        own = values.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array(suspected(hashed(own), shared.value))
+
+    return lambda value: value.isNotNull() & held(value)

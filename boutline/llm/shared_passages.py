@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from boutline.llm.seen_twice import FILTER_WORDS, seen_twice, suspected
+from boutline.llm.seen_twice import FILTER_WORDS, hashed as _hashed, noted as _noted, seen_twice, suspected
 from boutline.llm.stored import arrow_schema, map_arrow, spread_join, stored
 from boutline.llm.text import PUNCTUATION, mix, pieces, windows, words
 from boutline.session import ship
@@ -33,8 +33,6 @@ PART = 1 << 19
 RUN = 16
 #: Places of a seed that are compared with as many others at once, and pairs of them.
 PLACES, PAIRS = 1024, 1 << 20
-#: 64-bit words of the filters of seeds, places and ids that are looked for again, 4 MB.
-NOTED_WORDS = 1 << 19
 #: What an extension may lose before it ends.
 DROP = 6
 
@@ -285,21 +283,6 @@ def _passages(texts: DataFrame, chained: DataFrame, size: int, least_words: int,
     return map_arrow(chained.join(parts, "chain").select("doc", "source", "xs", "ys", "parts"), result, schema)
 
 
-def _noted(rows: DataFrame, *columns: str) -> np.ndarray:
-    """A filter of fixed size of the rows' ``columns`` (long), hashed together."""
-    def hashes(batch):
-        yield np.repeat(_hashed(*[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]), 2)
-
-    return seen_twice(rows.select(*columns), hashes, NOTED_WORDS)
-
-
-def _hashed(*columns: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
-    return out
-
-
 def _outside(matches: DataFrame, passages: DataFrame, doc_id: str, size: int) -> DataFrame:
     """(doc, x, h): places of seeds that an earlier document holds, in no passage of their own document."""
     own = passages.groupBy(F.col(doc_id).alias("doc")).agg(F.collect_set(F.struct("first", "end")).alias("own"))
