@@ -107,6 +107,61 @@ def test_rounds_shrink(spark, monkeypatch):
     assert nodes[0] == 44 and len(nodes) > 1 and max(nodes[1:]) < 25
 
 
+def meetings(texts):
+    """The values at which each text's sketches meet others, and its fingerprint."""
+    at, prints = [], []
+    for _, _, doc, h in alike_texts.shingles(pa.array(texts), 5):
+        _, begin = np.unique(doc, return_index=True)
+        at += [set(row) for row in alike_texts.ball(np.stack([np.minimum.reduceat(h * m, begin) for m in alike_texts._ODD], 1)).tolist()]
+        prints += alike_texts.majority(h, np.diff(np.append(begin, len(h)))).tolist()
+    return list(zip(at, prints))
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_all_that_meet_are_compared(spark, monkeypatch, tile):
+    """Many texts share most of a passage and are unlike; pairs of them at the limit that meet at one value only are linked all the same."""
+    monkeypatch.setattr(alike_texts, "TILE", tile, raising=False)
+    rng, rows, planted = random.Random(11), [], 0
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    for g in range(400):
+        own = base + [f"o{g}x{k}" for k in range(25)]
+        rows.append((2 * g, " ".join(own)))
+        if planted == 12:
+            continue
+        # A run of nine words changed: 0.806 alike.
+        tries = [" ".join([*own[:k], *(f"e{g}x{k}x{c}x{m}" for m in range(9)), *own[k + 9:]]) for k in range(10, 100) for c in range(3)]
+        (at, first), *others = meetings([rows[-1][1], *tries])
+        one = [t for t, (b, p) in zip(tries, others) if len(at & b) == 1 and (first ^ p).bit_count() > 2]
+        if one:
+            rows.append((2 * g + 1, one[0]))
+            planted += 1
+    assert planted == 12
+    prints, linked = alike_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    node, home = {r.id: r.node for r in prints.collect()}, {}
+
+    def root(n):
+        while home.get(n, n) != n:
+            n = home[n]
+        return n
+
+    for r in linked.collect():
+        home[root(r.a)] = root(r.b)
+    assert [d for d in node if d % 2 and root(node[d]) != root(node[d - 1])] == []
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (30, 20), (30, 200), (400, 390)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        x, y = x[x != y], y[x != y]
+        home, want = list(range(n)), []
+        for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+            a, b = (next(v for v in range(n) if v == home[c]) for c in (a, b))
+            if a != b:
+                home, want = [a if h == b else h for h in home], [*want, k]
+        assert alike_texts.forest(x * 7, y * 7).tolist() == want
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = one_of_alike(docs)
