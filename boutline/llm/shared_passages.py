@@ -18,12 +18,12 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from boutline.llm.seen_twice import FILTER_WORDS, hashed as _hashed, noted as _noted, seen_twice, suspected
-from boutline.llm.stored import arrow_schema, map_arrow, spread_join, stored
+from boutline.llm.stored import arrow_schema, hot_join, map_arrow, spread_join, stored
 from boutline.llm.text import PUNCTUATION, mix, pieces, windows, words
-from boutline.session import ship
+from boutline.session import released, ship
 
 #: Words of one block that is fetched for alignment, and how far a chain is extended beyond its outermost seeds.
 BLOCK, REACH = 64, 64
@@ -31,8 +31,10 @@ BLOCK, REACH = 64, 64
 PART = 1 << 19
 #: Words in a row (by `_extend`) in which two texts have to agree around a seed that their first holder did not settle.
 RUN = 16
-#: Places of a seed that are compared with as many others at once, and pairs of them.
-PLACES, PAIRS = 1024, 1 << 20
+#: Places of a seed that are compared with as many others in a task, and pairs of them at once.
+PLACES, PAIRS = 4096, 1 << 20
+#: Words on a side of two places that are counted before their pair is extended word by word, and places of a group that is laid out pair by pair.
+CLOSE, SMALL = 8, 64
 #: What an extension may lose before it ends.
 DROP = 6
 
@@ -108,6 +110,16 @@ def reached(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, drop: in
     return best, matched
 
 
+def close(run: int, size: int, drop: int = DROP) -> int:
+    """How many of the next ``CLOSE`` words are equal at least, on one side of a seed, where ``reached`` gives ``run`` words with the seed.
+
+    One side then has half of the words outside of the seed. If these are fewer than ``CLOSE``, over two thirds of them are equal; if not, the
+    first ``CLOSE`` words have not lost more than ``drop``.
+    """
+    side = -(-(run - size) // 2)
+    return max(0, min(-(-(2 * CLOSE - drop) // 3), -(-(2 * side + 1) // 3))) if side > 0 else 0
+
+
 def chains(x: list[int], y: list[int], gain: float, gap: float, least: int) -> list[list[int]]:
     """Chains of at least ``least`` matches, as indices; ``x`` rises strictly, and a chain rises in both.
 
@@ -215,9 +227,8 @@ def _chained(matches: DataFrame, gain: float, gap: float, least: int) -> DataFra
     return matches.mapInArrow(run, "doc long, source long, xs array<int>, ys array<int>")
 
 
-def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, block, words): the wanted blocks of texts as 32-bit word hashes. At most a text's own blocks are wanted of it."""
-    lists = stored(wanted.groupBy("id").agg(F.collect_list("block").alias("blocks")), "wanted")
+def _blocks(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, block, words): the wanted blocks (id, blocks) of texts as 32-bit word hashes. At most a text's own blocks are wanted of it."""
 
     def task(batch):
         out = {"id": [], "block": [], "words": []}
@@ -248,8 +259,8 @@ def _paired(matches: DataFrame) -> DataFrame:
     return matches.select("doc", "source", "x", "y").repartition("doc", "source").sortWithinPartitions("doc", "source", "x")
 
 
-def _passages(texts: DataFrame, chained: DataFrame, size: int, least_words: int, alike: float, doc_id: str) -> DataFrame:
-    """The result's rows: chains aligned on the words, those that are long and alike enough."""
+def _passages(texts: DataFrame, chained: DataFrame, size: int, least_words: int, alike: float, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """The result's rows: chains aligned on the words, those that are long and alike enough; and the stored table that they read."""
     def side(owner: str, places: str):
         first = F.greatest(F.element_at(places, 1) - REACH, F.lit(0))
         last = F.element_at(places, -1) + (size + REACH)
@@ -257,8 +268,10 @@ def _passages(texts: DataFrame, chained: DataFrame, size: int, least_words: int,
             F.floor(first / BLOCK).cast("int"), F.floor(last / BLOCK).cast("int"))).alias("block"))
 
     need = side("doc", "xs").union(side("source", "ys"))
-    block = stored(_blocks(texts, need.select("id", "block").distinct()).dropDuplicates(["id", "block"]), "blocks")
-    parts = (spread_join(need, block, ["id", "block"], "chain", salts=4)
+    lists = stored(need.select("id", "block").distinct().groupBy("id").agg(F.collect_list("block").alias("blocks")), "wanted")
+    block = stored(_blocks(texts, lists).dropDuplicates(["id", "block"]), "blocks")
+    released(lists)
+    parts = (hot_join(need, block, ["id", "block"], "chain")
              .groupBy("chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("parts")))
     schema = f"{doc_id} long, first int, end int, source_id long, source_first int, source_end int, matched int, likeness double"
 
@@ -280,7 +293,7 @@ def _passages(texts: DataFrame, chained: DataFrame, size: int, least_words: int,
                     out[n].append(v)
         yield out
 
-    return map_arrow(chained.join(parts, "chain").select("doc", "source", "xs", "ys", "parts"), result, schema)
+    return map_arrow(chained.join(parts, "chain").select("doc", "source", "xs", "ys", "parts"), result, schema), block
 
 
 def _outside(matches: DataFrame, passages: DataFrame, doc_id: str, size: int) -> DataFrame:
@@ -296,7 +309,7 @@ def _rest(texts: DataFrame, left: DataFrame, size: int, window: int, least_words
 
     Every earlier place of the same seed is met. What stands beyond ``REACH`` words of a seed plays no part in its alignment, so
     places with the same words up to there are one: all go to the first of them, once for each block of a document. Of the
-    others each two are compared, ``PLACES`` by ``PLACES`` in a task, and a place with a sure passage keeps the first one.
+    others each that asks is compared with all of earlier documents, up to ``PLACES`` of each in a task, and keeps the first sure one.
     """
     sc = left.sparkSession.sparkContext
     wanted, open_ = sc.broadcast(_noted(left, "h")), sc.broadcast(_noted(left, "doc", "x"))
@@ -319,7 +332,10 @@ def _rest(texts: DataFrame, left: DataFrame, size: int, window: int, least_words
                        "open": pa.array(suspected(_hashed(doc, x), open_.value)), "w": pa.array([w.tobytes() for w in words_], pa.binary())}
 
     places = stored(map_arrow(texts, task, "h long, c long, doc long, x long, open boolean, w binary"), "places")
-    heads = stored(places.groupBy("h", "c").agg(F.min(F.struct("doc", "x", "open", "w")).alias("m")).select("h", "c", "m.*"), "heads")
+    released(left)
+    # A head asks if one of its document's places with these words around it is open.
+    heads = stored(places.groupBy("h", "c").agg(F.min(F.struct("doc", "x", "w")).alias("m"), F.min(F.when(F.col("open"), F.col("doc"))).alias("asker"))
+                   .select("h", "c", "m.*", F.coalesce(F.col("asker") == F.col("m.doc"), F.lit(False)).alias("asks")), "heads")
     first = heads.select("h", "c", F.col("doc").alias("source"), F.col("x").alias("y"))
     block = F.shiftright("x", 32 + BLOCK.bit_length() - 1).alias("block")
     copies = stored(spread_join(places.where("open").select("h", "c", "doc", "x"), first, ["h", "c"], "doc").where("source < doc")
@@ -327,16 +343,17 @@ def _rest(texts: DataFrame, left: DataFrame, size: int, window: int, least_words
     own = stored(places.where("open").select("h", "c", "doc", F.col("x").alias("place")).join(heads.select("h", "c", "doc", "x"), ["h", "c", "doc"])
                  .withColumn("block", F.shiftright("place", 32 + BLOCK.bit_length() - 1))
                  .join(copies.select("doc", "block"), ["doc", "block"], "left_anti").select("h", "doc", "x", "place"), "asked")
-    asked = own.select("h", "doc", "x", F.lit(True).alias("asks")).distinct()
-    met = heads.drop("open", "c").join(asked, ["h", "doc", "x"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    by = Window.partitionBy("h")
-    met = (met.withColumns({"n": F.row_number().over(by.orderBy("doc", "x")) - 1})
-           .withColumns({"b": F.floor(F.col("n") / PLACES).cast("int")})
-           .join(met.groupBy("h").agg(F.count("*").alias("total"), F.max("asks").alias("asked")).where("asked and total > 1")
-                 .select("h", F.floor((F.col("total") - 1) / PLACES).cast("int").alias("last")), "h"))
-    held = met.select("h", F.explode(F.sequence("b", "last")).alias("j"), F.col("b").alias("i"), F.lit(False).alias("asks"), "doc", "x", "w")
-    asks = met.where("asks").select("h", F.col("b").alias("j"), F.explode(F.sequence(F.lit(0), "b")).alias("i"), "asks", "doc", "x", "w")
-    groups = held.unionByName(asks).select("h", "i", "j", "asks", "doc", "x", "w").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "asks", "doc", "x")
+    released(places)
+    # Seeds with more places than a task takes are at most one in ``PLACES`` places: they go to every task.
+    many = (heads.groupBy("h").agg(F.count("*").alias("total"), F.sum(F.col("asks").cast("int")).alias("asked")).where(F.col("total") > PLACES)
+            .select("h", F.ceil(F.col("total") / PLACES).cast("int").alias("rows"), F.ceil(F.col("asked") / PLACES).cast("int").alias("cols")))
+    dealt = heads.select("h", "doc", "x", "asks", "w").join(F.broadcast(many), "h", "left")
+    few = dealt.where("rows is null").select("h", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("asks"), 2).otherwise(0).alias("kind"), "doc", "x", "w")
+    large, turn = dealt.where("cols > 0"), F.xxhash64("doc", "x")
+    row, column = F.pmod(turn, F.col("rows")).cast("int"), F.pmod(turn, F.col("cols")).cast("int")
+    held = large.select("h", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("kind"), "doc", "x", "w")
+    asks = large.where("asks").select("h", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), column.alias("j"), F.lit(1).alias("kind"), "doc", "x", "w")
+    groups = few.union(held).union(asks).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "doc", "x")
     # What holds for a document's first place with certain words around it holds for its other ones.
     links = stored(_compared(groups, size, least_words, alike, run).join(own.select("doc", "x", "place").distinct(), ["doc", "x"])
                    .select("doc", F.col("place").alias("x"), "source", "y", "before", "sure"), "links")
@@ -347,37 +364,69 @@ def _rest(texts: DataFrame, left: DataFrame, size: int, window: int, least_words
               .select("doc", "source", "x", "y", begin.alias("begin")))
     several = likely.groupBy("doc", "source").agg(F.min("begin").alias("low"), F.max("begin").alias("high")).where("low <> high")
     likely = likely.join(several.select("doc", "source"), ["doc", "source"]).select("doc", "source", "x", "y")
+    released(heads, own)
     return copies.select("doc", "source", "x", "y").union(sure), likely
 
 
 def _compared(groups: DataFrame, size: int, least_words: int, alike: float, run: int) -> DataFrame:
-    """(doc, x, source, y, before, sure) of places that ask and places of earlier documents in the same group (h, i, j), in order;
-    ``before`` is how many words before the seed agree."""
+    """(doc, x, source, y, before, sure) of places that ask (``kind`` 1 or 2) and places of earlier documents (``kind`` 0 or 2) in the same group
+    (h, i, j), in order; ``before`` is how many words before the seed agree."""
     schema = "doc long, x long, source long, y long, before int, sure boolean"
     kinds = arrow_schema(schema)
+    least = close(run, size)
 
-    def compare(asks, doc, x, w):
+    def settle(doc, x, before, after, i, j):
         """Of each place that asks the first sure partner, or all that agree over ``run`` words."""
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(a) or not len(b):
-            return
+        n, equal = reached(after, after, i, j)
+        m, same = reached(before, before, i, j)
+        n, equal = n.astype(int) + m + size, equal.astype(int) + same + size
+        good = n >= run
+        i, j, m, sure = i[good], j[good], m[good].astype(np.int32), (n >= least_words)[good] & (equal >= alike * n)[good]
+        done, at = np.unique(i[sure], return_index=True)
+        other = ~np.isin(i, done)
+        for p, q, k, yes in ((done, j[sure][at], m[sure][at], True), (i[other], j[other], m[other], False)):
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(x[p]), pa.array(doc[q]), pa.array(x[q]),
+                                                  pa.array(k), pa.array(np.full(len(p), yes))], schema=kinds)
+
+    def compare(edges, kind, doc, x, w):
+        """Whole groups, which begin and end at ``edges``."""
         before, after = w[:, :REACH], w[:, REACH:]
-        wide = max(1, PAIRS // len(b))
-        for s in range(0, len(a), wide):
-            i, j = (v.reshape(-1) for v in np.meshgrid(a[s:s + wide], b, indexing="ij"))
-            earlier = doc[j] < doc[i]
-            i, j = i[earlier], j[earlier]
-            n, equal = reached(after, after, i, j)
-            m, same = reached(before, before, i, j)
-            n, equal = n.astype(int) + m + size, equal.astype(int) + same + size
-            good = n >= run
-            i, j, m, sure = i[good], j[good], m[good].astype(np.int32), (n >= least_words)[good] & (equal >= alike * n)[good]
-            done, at = np.unique(i[sure], return_index=True)
-            other = ~np.isin(i, done)
-            for p, q, k, yes in ((done, j[sure][at], m[sure][at], True), (i[other], j[other], m[other], False)):
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(x[p]), pa.array(doc[q]), pa.array(x[q]),
-                                                      pa.array(k), pa.array(np.full(len(p), yes))], schema=kinds)
+        begin, ends = np.repeat(edges[:-1], np.diff(edges)), np.diff(edges)
+        # Small groups together, pair by pair: a place that asks with those before it.
+        small = np.flatnonzero((kind > 0) & np.repeat(ends <= SMALL, ends))
+        upto = np.cumsum(small - begin[small])
+        for s in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+            own = small[np.searchsorted(upto, s, "right"):np.searchsorted(upto, s + PAIRS, "right")]
+            size_ = own - begin[own]
+            i = np.repeat(own, size_)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(size_) - size_, size_) + begin[i]
+            good = (doc[j] < doc[i]) & (kind[j] != 1)
+            i, j = i[good], j[good]
+            if least:
+                good = np.zeros(len(i), bool)
+                for side in (before, after):
+                    agree = np.zeros(len(i), np.uint8)
+                    for k in range(CLOSE):
+                        agree += side[i, k] == side[j, k]
+                    good |= agree >= least
+                i, j = i[good], j[good]
+            yield from settle(doc, x, before, after, i, j)
+        for g in np.flatnonzero(ends > SMALL):
+            rows = np.arange(edges[g], edges[g + 1])
+            a, b = rows[kind[rows] > 0], rows[kind[rows] != 1]
+            wide = max(1, PAIRS // max(1, len(b)))
+            sides = [np.ascontiguousarray(side[b, :CLOSE].T) for side in (before, after)]
+            for s in range(0, len(a), wide):
+                own = a[s:s + wide]
+                good = np.zeros((len(own), len(b)), bool) if least else np.ones((len(own), len(b)), bool)
+                for side, words_ in zip((before, after) if least else (), sides):
+                    agree = np.zeros(good.shape, np.uint8)
+                    for k in range(CLOSE):
+                        agree += side[own, k][:, None] == words_[k]
+                    good |= agree >= least
+                i, j = np.nonzero(good & (doc[own][:, None] > doc[b]))
+                yield from settle(doc, x, before, after, own[i], b[j])
 
     def rows(batches):
         rest = None
@@ -388,13 +437,11 @@ def _compared(groups: DataFrame, size: int, least_words: int, alike: float, run:
             if rest is not None:
                 columns = [np.concatenate(p) for p in zip(rest, columns)]
             h, i, j = columns[:3]
-            new = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = [0, *new.tolist()]
-            for s, e in zip(edges, edges[1:]):
-                yield from compare(*[c[s:e] for c in columns[3:]])
+            edges = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
+            yield from compare(edges, *[c[:edges[-1]] for c in columns[3:]])
             rest = [c[edges[-1]:] for c in columns]
         if rest is not None:
-            yield from compare(*rest[3:])
+            yield from compare(np.array([0, len(rest[0])]), *rest[3:])
 
     ship(groups.sparkSession)
     return groups.mapInArrow(rows, schema)
@@ -432,12 +479,16 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = (found.groupBy("h").agg(F.min(F.struct("doc", "x")).alias("m"), F.max("doc").alias("last")).where("m.doc <> last")
               .select("h", F.col("m.doc").alias("source"), F.col("m.x").alias("y")))
     matches = stored(spread_join(found, source, ["h"], "doc", salts=2).where("doc <> source").select("doc", "source", "x", "y", "h"), "matches")
+    released(found)
     chained = stored(_chained(_paired(matches), gain, gap, least_seeds).withColumn("chain", F.monotonically_increasing_id()), "chains")
-    passages = stored(_passages(texts, chained, size, least_words, alike, doc_id), "passages")
+    rows, blocks = _passages(texts, chained, size, least_words, alike, doc_id)
+    passages = stored(rows, "passages")
+    released(chained, blocks)
     left = stored(_outside(matches, passages, doc_id, size), "left")
+    released(matches)
     if left.isEmpty():
         return passages
     sure, likely = _rest(texts, left, size, window, least_words, alike, min(RUN, least_words))
     more = _chained(_paired(sure), gain, gap, 1).union(_chained(_paired(likely), gain, gap, least_seeds))
     more = stored(more.withColumn("chain", F.monotonically_increasing_id()), "chains")
-    return passages.union(_passages(texts, more, size, least_words, alike, doc_id))
+    return passages.union(_passages(texts, more, size, least_words, alike, doc_id)[0])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boutline.session import scratch_path, ship, stored
 
-__all__ = ["arrow_schema", "bounded_sample", "bucketed", "held_out", "map_arrow", "spread_join", "stored", "table"]
+__all__ = ["arrow_schema", "bounded_sample", "bucketed", "held_out", "hot_join", "map_arrow", "spread_join", "stored", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,3 +72,14 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, salts
     partitions by their column ``by``, and each of them gets a copy of the key's rows. The result is the plain join's."""
     copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, most: int = 4096) -> DataFrame:
+    """`spread_join` for wide rows of ``one``: only the keys with over ``most`` rows of ``many`` get copies, one for each ``most`` of them.
+
+    The list of these keys is at most one in ``most`` rows of ``many`` and goes to every task.
+    """
+    hot = F.broadcast(many.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1"))
+    left = many.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")

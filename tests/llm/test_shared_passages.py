@@ -1,12 +1,16 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from odd import ROWS, SCHEMA, frame
 
-from boutline.llm.shared_passages import _extend, align, chains, chosen, reached, shared_passages
+from boutline.llm import shared_passages as module
+from boutline.llm.shared_passages import _extend, align, chains, chosen, close, reached, shared_passages
+from boutline.llm.stored import hot_join, stored
 
 
 def best_scores(x, y, gain, gap):
@@ -150,3 +154,69 @@ def test_pairs_reach_as_one_by_one():
     for p, q, k, e in zip(i, j, n, equal):
         x, y = (v[:int((v > 0).sum())] for v in (a[p], b[q]))
         assert (int(k), int(e)) == _extend(x, y)
+
+
+def test_close_words_lose_no_pair():
+    """Whatever reaches a length has enough equal words beside the seed, on one side."""
+    rng = np.random.default_rng(5)
+    for size, run in ((5, 16), (5, 10), (5, 7), (3, 16)):
+        sides = []
+        for _ in range(2):
+            a = rng.integers(1, 9, (40_000, 20)).astype("<u2")
+            b = np.where(rng.random(a.shape) < rng.choice([0.3, 0.5, 0.6, 0.7], (len(a), 1)), a, rng.integers(1, 9, a.shape)).astype("<u2")
+            b[np.arange(20) >= rng.integers(0, 30, (len(a), 1))] = 0
+            at = np.arange(len(a))
+            sides.append((reached(a, b, at, at)[0].astype(int), (a[:, :module.CLOSE] == b[:, :module.CLOSE]).sum(1)))
+        (n, left), (m, right) = sides
+        good = n + m + size >= run
+        assert 1000 < good.sum() and (np.maximum(left, right)[good] >= close(run, size)).all() and close(run, size) > 0
+    assert close(5, 5) == close(4, 5) == 0
+
+
+def test_shuffles_and_tables_go(spark):
+    """What was shuffled for a written table is deleted with it, and of op1's tables those stay that its result reads."""
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    out = stored(spark.range(20_000).repartition(7, "id"), "ids")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert out.count() == 20_000
+    folder = spark.conf.get("spark.checkpoint.dir")
+    was = set(os.listdir(folder))
+    rng = random.Random(12)
+    lines = [text(rng, 20) for _ in range(12)]
+    rows = [(i, " ".join(sum((rng.choice(lines) for _ in range(6)), []))) for i in range(40)]
+    assert shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    kept = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - was}
+    assert kept and not kept & {"seeds", "matches", "left", "places", "heads", "asked", "wanted"}
+
+
+def test_places_in_small_tiles(spark, monkeypatch):
+    """Few lines in many documents: tiles of three places find the same partners."""
+    rng, found, real = random.Random(13), [], module._rest
+    lines = [text(rng, rng.randrange(8, 30)) for _ in range(15)]
+    rows = [(i, " ".join(sum((rng.choice(lines) + (text(rng, 1) if rng.random() < 0.3 else []) for _ in range(10)), []))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def noted(*given):
+        out = real(*given)
+        found.append([sorted(map(tuple, part.collect())) for part in out])
+        return out
+
+    monkeypatch.setattr(module, "_rest", noted)
+    shared_passages(df)
+    monkeypatch.setattr(module, "PLACES", 3)
+    shared_passages(df)
+    assert all(len(part) > 40 for part in found[0]) and found[0] == found[1]
+
+
+def test_join_with_frequent_keys(spark):
+    many = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(200)] + [(None, 1)], "k int, v int")
+    one = spark.createDataFrame([(k, f"w{k}{c}") for k in range(5) for c in range(1 + k % 2)], "k int, w string")
+    want = sorted(map(tuple, many.join(one, ["k"]).collect()))
+    assert sorted(map(tuple, hot_join(many, one, ["k"], "v", most=9).collect())) == want and len(want) > 100
