@@ -13,7 +13,10 @@ from boutline.functions.odds import clamp
 from boutline.operators.fold import MAX_ROWS, chunked_fold
 from boutline.operators.history import DAY, TIE, ewm_of
 from boutline.operators.timeline import STRETCH, mean_of, run_max, run_sum, stretched, with_running, with_trailing
-from boutline.session import stored
+from boutline.session import released, stored
+
+#: Rows whose times and rates travel at once, and into how many turns they are dealt at most: disk is taken for one turn only.
+TURN_ROWS, TURNS = 1 << 20, 8
 
 
 def _prefix(group: np.ndarray, day: np.ndarray, game: np.ndarray, wins: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -32,13 +35,14 @@ def _prefix(group: np.ndarray, day: np.ndarray, game: np.ndarray, wins: np.ndarr
 
 
 def _rates_at(won: DataFrame, meetings: DataFrame) -> DataFrame:
-    """``meetings`` with ``__rates``: the opponent's win rate before each of the times (``__days``, ``__games``), null before its first contest.
+    """``meetings`` with ``__rates`` instead of the times (``__days``, ``__games``): the opponent's win rate before each, null before its first contest.
 
     A task reads an opponent's contests of a season in order, and then, a batch at a time, the rows that ask for its rate. It keeps the
     contests of one opponent and season: a day, a number and a result each.
     """
-    schema = T.StructType([*meetings.schema.fields, T.StructField("__rates", T.ArrayType(T.DoubleType()))])
-    names, kinds = meetings.columns, to_arrow_schema(schema)
+    names = [c for c in meetings.columns if c not in ("__days", "__games")]
+    schema = T.StructType([*[meetings.schema[c] for c in names], T.StructField("__rates", T.ArrayType(T.DoubleType()))])
+    kinds = to_arrow_schema(schema)
 
     def run(batches):
         last, kept = None, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -60,8 +64,7 @@ def _rates_at(won: DataFrame, meetings: DataFrame) -> DataFrame:
             kept = [c[of == group[-1]] for c in facts]
             if not asks.any():
                 continue
-            rows = [column[c].filter(pa.array(asks)) for c in names]
-            days, games = (rows[names.index(c)] for c in ("__days", "__games"))
+            days, games, *rows = (column[c].filter(pa.array(asks)) for c in ("__days", "__games", *names))
             size = days.value_lengths().to_numpy(zero_copy_only=False)
             wins, count = _prefix(of, *facts, (np.repeat(group[asks], size), days.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
                                                games.flatten().to_numpy(zero_copy_only=False)))
@@ -80,16 +83,35 @@ def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFr
 
     The opponents' rates are those of this contest's moment, not of the meeting.  A contest is among the last ``past`` of the
     entity's next contests and among the next ``ahead`` of its earlier ones.  So each contest takes the times of these to its
-    opponent, in two arrays, and brings the opponent's rates back; no row stands for a single pair of contest and opponent.
+    opponent, in two arrays, and brings the opponent's rates back; no row stands for a single pair of contest and opponent. These arrays
+    are most of what is shuffled, so large logs go in turns, by stretches of entities, each written before the next one begins.
     """
     keys = ["season", "entity"]
-    won = log.filter("win is not null").select("season", "entity", "opponent", DAY, "game_id", "win")
-    rows = with_running(won, keys, DAY, TIE, running={"w0": run_sum("win")})
+    won = stored(log.filter("win is not null").select("season", "entity", "opponent", DAY, "game_id", "win"), "won")
+    placed = stored(with_running(won, keys, DAY, TIE, running={"w0": run_sum("win")}), "placed")
     # Rate of the opponent right after the last meeting, from the opponent's own row of that contest.
-    after = rows.select("season", F.col("entity").alias("opponent"), "game_id",
-                        ((F.coalesce("w0", F.lit(0)) + F.col("win")) / F.col("seq")).alias("opp_after"))
-    rows = rows.join(after, ["season", "opponent", "game_id"]).drop("w0")
-    rows, own = stretched(rows, past, ahead)
+    after = placed.select("season", F.col("entity").alias("opponent"), "game_id",
+                          ((F.coalesce("w0", F.lit(0)) + F.col("win")) / F.col("seq")).alias("opp_after"))
+    met = stored(placed.join(after, ["season", "opponent", "game_id"]).drop("w0"), "met")
+    released(placed)
+    turns, parts = max(1, min(TURNS, -(-met.count() // TURN_ROWS))), None
+    for turn in range(turns):
+        part = stored(_met_rates(won, met, past, ahead, turn, turns), "strength")
+        parts = part if parts is None else parts.union(part)
+    released(won, met)
+    # Rows that share the contest share its sums.
+    names = ("past", "last3", "ahead")
+    whole = Window.partitionBy(*keys, "game_id")
+    rows = parts.withColumns({f"__{k}_{n}": F.sum(f"__{k}_{n}").over(whole) for n in names for k in ("s", "n")})
+    rows = rows.withColumns({f"sos_{n}": F.try_divide(f"__s_{n}", f"__n_{n}") for n in names} | {"sos_sum": F.when(F.col("__n_past") > 0, F.col("__s_past"))})
+    return rows.drop(*[f"__{k}_{n}" for n in names for k in ("s", "n")])
+
+
+def _met_rates(won: DataFrame, met: DataFrame, past: int, ahead: int, turn: int, turns: int) -> DataFrame:
+    """The rows of ``met`` whose stretch has its turn, with the sum and number of their opponents' rates (``__s_``, ``__n_``)."""
+    keys = ["season", "entity"]
+    rows, own = stretched(met, past, ahead)
+    rows = rows.where(F.pmod(F.xxhash64(*keys, "__stretch"), F.lit(turns)) == turn)
     w = Window.partitionBy(*keys, "__stretch").orderBy("seq")
     time = F.struct(F.unix_date(DAY).alias("day"), F.col("game_id").alias("game"))
     rows = rows.withColumns({"__place": F.row_number().over(w), "last_opponent_pct": F.first("opp_after").over(w.rowsBetween(-1, -1)),
@@ -103,13 +125,8 @@ def schedule_strength(log: DataFrame, past: int = 20, ahead: int = 10) -> DataFr
     soon = F.array(*[F.lead(F.get("__rates", F.col("__soon") - k), k).over(w) for k in range(1, ahead + 1)])
     rows = rows.withColumns({"__met": met, "__next": soon}).filter(own)
     rates = {"past": F.array_compact("__met"), "last3": F.array_compact(F.slice("__met", 1, 3)), "ahead": F.array_compact("__next")}
-    # Rows that share the contest share its sums.
-    whole = Window.partitionBy(*keys, "game_id")
     rows = rows.withColumns({f"__s_{n}": F.aggregate(a, F.lit(0.0), lambda x, y: x + y) for n, a in rates.items()} | {f"__n_{n}": F.size(a) for n, a in rates.items()})
-    rows = rows.drop("__days", "__games", "__rates", "__met", "__next", "__soon", "__place", "__stretch")
-    rows = rows.withColumns({f"__{k}_{n}": F.sum(f"__{k}_{n}").over(whole) for n in rates for k in ("s", "n")})
-    rows = rows.withColumns({f"sos_{n}": F.try_divide(f"__s_{n}", f"__n_{n}") for n in rates} | {"sos_sum": F.when(F.col("__n_past") > 0, F.col("__s_past"))})
-    return rows.drop(*[f"__{k}_{n}" for n in rates for k in ("s", "n")])
+    return rows.drop("__rates", "__met", "__next", "__soon", "__place", "__stretch")
 
 
 #: Rates count as equal if they agree in these many places; a bucket holds 2^24 of the 10^9 + 1 such rates.

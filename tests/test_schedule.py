@@ -1,8 +1,10 @@
+import os
 import random
 from datetime import date, timedelta
 
 import pytest
 
+from boutline.operators import context
 from boutline.operators.context import schedule_strength
 
 
@@ -39,3 +41,34 @@ def test_strength_beside_plain_python(spark):
             r = got[s, e, g]
             assert (r.sos_past, r.sos_last3, r.sos_ahead) == (mean(met), mean(met[-3:]), mean(soon))
             assert r.sos_sum == (pytest.approx(sum(v for v in met if v is not None)) if any(v is not None for v in met) else None)
+
+
+def _log(spark, n, seed):
+    rng, start, games = random.Random(seed), date(2003, 1, 1), []
+    for g in rng.sample(range(5000), n):
+        h, a = (0, rng.randrange(1, 9)) if rng.random() < 0.6 else rng.sample(range(9), 2)
+        games.append((2003 + g % 2, start + timedelta(rng.randrange(25)), g, h, a, rng.randrange(2)))
+    log = [(s, d, g, e, o, w) for s, d, g, h, a, y in games for e, o, w in ((h, a, y), (a, h, 1 - y))]
+    return spark.createDataFrame(log, "season int, game_date date, game_id long, entity long, opponent long, win int")
+
+
+def test_strength_in_turns(spark, monkeypatch):
+    """Many rows go in turns, with the same result; times and rates are written by none, and only what the result reads stays."""
+    df, real, kept = _log(spark, 150, 9), context.stored, []
+    columns = ["season", "entity", "game_id", "sos_past", "sos_sum", "sos_last3", "sos_ahead", "last_opponent_pct"]
+    want = sorted(schedule_strength(df, past=4, ahead=3).select(*columns).collect(), key=lambda r: r[:3])
+
+    def noted(part, label):
+        kept.append((label, real(part, label)))
+        return kept[-1][1]
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    was = set(os.listdir(folder))
+    monkeypatch.setattr(context, "stored", noted)
+    monkeypatch.setattr(context, "TURN_ROWS", 60)
+    got = schedule_strength(df, past=4, ahead=3).select(*columns)
+    assert sorted(got.collect(), key=lambda r: r[:3]) == want and len(want) == 300
+    parts = [part for label, part in kept if label == "strength"]
+    assert len(parts) == 5 and sum(p.count() > 0 for p in parts) > 1 and sum(p.count() for p in parts) == 300
+    assert not any(kind.startswith("array") for p in parts for _, kind in p.dtypes)
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - was} == {"strength"}
