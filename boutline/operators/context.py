@@ -217,8 +217,13 @@ def day_percentiles(log: DataFrame, requests: DataFrame, values: Mapping[str, st
     every = coarse.filter(F.col("__v") == highest).select("season", "__day", F.col("__at_most").alias("all"))
     share = fine.join(lower, ["season", "__day", "__b"]).join(every, ["season", "__day"])
     share = stored(share.select("season", "__day", "__v", F.try_divide(100.0 * (F.col("lower") + F.col("__at_most")), F.col("all")).alias("share")), "shares")
+    released(wanted, changes)
     out = requests.withColumn("__day", day)
-    for name, value in values.items():
+    for k, (name, value) in enumerate(values.items()):
+        if k:  # rows travel for one value at a time
+            out = stored(out, "ranked")
+            released(requests)
+            requests = out
         out = out.withColumn("__v", place(F.col(value))).join(share.withColumnRenamed("share", name), ["season", "__day", "__v"], "left").drop("__v")
     return out.drop("__day")
 

@@ -6,6 +6,7 @@ from boutline.operators import context as C, history as H
 from boutline.plans.history import EWM
 from boutline.plans.oracle import over
 from boutline.plans.registry import query
+from boutline.session import stored
 
 PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 SOS = dict(
@@ -38,11 +39,12 @@ def schedule_strength(t):
     hold="""SELECT season, entity, game_date AS since, LEAD(game_date) OVER w AS until, ROUND(CAST(SUM(w) OVER w AS DOUBLE) / SUM(g) OVER w, 9) AS pct FROM
  (SELECT season, entity, game_date, SUM(win) AS w, COUNT(*) AS g FROM d GROUP BY 1, 2, 3) x WINDOW w AS (PARTITION BY season, entity ORDER BY game_date)"""))
 def schedule_percentiles(t):
-    log = t.log()
+    # Read four times: contests are worked out once.
+    log = stored(t.log().select("season", "entity", "opponent", "game_id", "game_date", "win"), "log")
     rows = C.schedule_strength(log).select("season", "entity", "game_id", "game_date", "sos_past")
     own = H.with_running(log.filter("win is not null"), ["season", "entity"], H.DAY, H.TIE, strict_day=True,
                          running={"w": H.run_sum("win"), "g": H.run_count("win")})
-    own = own.select("season", "entity", "game_id", F.try_divide("w", "g").alias("own"))
+    own = stored(own.select("season", "entity", "game_id", F.try_divide("w", "g").alias("own")), "own")
     return C.day_percentiles(log, rows.join(own, ["season", "entity", "game_id"]), {"sos_rank": "sos_past", "own_rank": "own"})
 
 

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 
 from boutline.operators import context
-from boutline.operators.context import schedule_strength
+from boutline.operators.context import day_percentiles, schedule_strength
 
 
 def test_strength_beside_plain_python(spark):
@@ -72,3 +72,15 @@ def test_strength_in_turns(spark, monkeypatch):
     assert len(parts) == 5 and sum(p.count() > 0 for p in parts) > 1 and sum(p.count() for p in parts) == 300
     assert not any(kind.startswith("array") for p in parts for _, kind in p.dtypes)
     assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - was} == {"strength"}
+
+
+def test_percentiles_keep_what_is_read(spark):
+    """Two values are looked up one after the other; what was written for the first is gone then."""
+    df = _log(spark, 60, 10)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    was = set(os.listdir(folder))
+    asked = df.selectExpr("season", "game_date", "game_id", "entity", "game_id % 10 / 10D as a", "entity / 9D as b")
+    both = day_percentiles(df, asked, {"x": "a", "y": "b"})
+    one = [{tuple(r) for r in day_percentiles(df, asked, {"x": c}).select("game_id", "entity", "x").collect()} for c in ("a", "b")]
+    assert [{tuple(r) for r in both.select("game_id", "entity", c).collect()} for c in ("x", "y")] == one
+    assert not {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - was} & {"asked", "changes"}
