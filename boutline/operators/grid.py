@@ -6,10 +6,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from boutline.operators.models import fold_stats
+from boutline.session import ship
 
 #: Values added up beyond which a logistic curve is flat, and the least and greatest probability that is scored.
 FLAT, LEAST = 35.0, 1e-6
@@ -32,8 +34,18 @@ def _design(x: np.ndarray, stats: np.ndarray) -> np.ndarray:
     return np.concatenate([filled, np.ones((len(x), 1))], 1)
 
 
-def _probability(design: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(design @ weights.T, -FLAT, FLAT)))
+def _probabilities(logits: np.ndarray) -> np.ndarray:
+    """The logistic curve, in place."""
+    np.clip(logits, -FLAT, FLAT, out=logits)
+    np.negative(logits, out=logits)
+    np.exp(logits, out=logits)
+    logits += 1.0
+    return np.divide(1.0, logits, out=logits)
+
+
+def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Columns as numbers; null is NaN."""
+    return [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
 
 
 class Fits(NamedTuple):
@@ -53,6 +65,9 @@ def fit_grid(df: DataFrame, columns: Sequence[str], label: str, folds: Sequence[
     Fold f learns from the rows with ``season`` below f, scaled by their own medians, means and spreads; without such rows its weights stay
     0. Rows without label or season are no examples. A step sums one table (fold x setting x column) over blocks of a persisted table in a
     tree; that table's size is that of the grid, whatever the rows are.
+
+    A block is scaled once, as for the last fold, with its gaps apart and its seasons in order. Another fold's scaling is a factor and a
+    shift of that, which go into the weights before a step and into the sums after it.
     """
     grid, folds, columns = Grid(*map(tuple, grid)), sorted(folds), list(columns)
     found = {r.fold: r for r in fold_stats(df.where("season is not null"), columns, folds).collect()}  # one row per fold
@@ -61,36 +76,69 @@ def fit_grid(df: DataFrame, columns: Sequence[str], label: str, folds: Sequence[
     rows = df.where(F.col(label).isNotNull() & F.col("season").isNotNull()).select(
         *[F.col(c).cast("double") for c in columns], F.col(label).cast("double").alias("__y"), F.col("season").cast("double"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__w"))
-
-    def block(part):
-        table = np.array([tuple(np.nan if v is None else v for v in r) for r in part], float).reshape(-1, len(columns) + 3)
-        yield table
+    ship(df.sparkSession)
+    med, mu, sd = stats[:, 0], stats[:, 1], stats[:, 2]
+    base = max([k for k, f in enumerate(folds) if f in found], default=len(folds) - 1)
+    # A value v, scaled as for the last fold, is v * factor + shift in a fold; a gap is 0 there and gap in the fold.
+    factor, shift, gap = sd[base] / sd, (mu[base] - mu) / sd, (med - mu) / sd
+
+    def tables(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"t": [np.stack(_numbers(batch)).tobytes()]}, schema=pa.schema([("t", pa.binary())]))
+
+    def block(row):
+        """(columns, gaps or None, labels, weights, rows below each fold) of rows in order of their seasons."""
+        table = np.frombuffer(row[0], float).reshape(len(columns) + 3, -1)
+        table = table[:, np.argsort(table[-2], kind="stable")]
+        x, seasons = (table[:-3] - mu[base][:, None]) / sd[base][:, None], table[-2]
+        gaps = np.isnan(x)
+        x[gaps] = 0.0
+        return np.ascontiguousarray(x), gaps.astype(float) if gaps.any() else None, table[-3].copy(), table[-1].copy(), np.searchsorted(seasons, folds)
 
     # Blocks of numbers stay with their executors from step to step: this is what a row-wise DataFrame cannot hold. A lost block is made again.
-    blocks = rows.rdd.mapPartitions(block).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = rows.mapInArrow(tables, "t binary").rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = list(product(grid.rates, grid.penalties))
     depth = 1 if blocks.getNumPartitions() <= 32 else 2 if blocks.getNumPartitions() <= 1024 else 3
     rate, penalty = (np.array([p[k] for p in pairs])[None, :, None] for k in (0, 1))
-    width = len(columns) + 1
+    width, n = len(columns) + 1, len(columns)
+
+    def weight_sums(part):
+        yield sum((np.array([w[:m].sum() for m in upto]) for *_, w, upto in part), np.zeros(len(folds)))
 
     def slope(weights):
-        def own(table):
-            out = np.zeros((len(folds), len(pairs) + 1, width))
-            for k, f in enumerate(folds):
-                part = table[table[:, -2] < f]
-                if len(part):
-                    x = _design(part[:, :-3], stats[k])
-                    out[k, :-1] = ((_probability(x, weights[k]) - part[:, -3:-2]) * part[:, -1:]).T @ x
-                    out[k, -1, 0] = part[:, -1].sum()
-            return out
-
-        return blocks.map(own).treeAggregate(np.zeros((len(folds), len(pairs) + 1, width)), np.add, np.add, depth)
+        """Gradient sums of every fold and setting, in the fold's own scale."""
+        of_x = weights[:, :, :-1] * factor[:, None]
+        of_gap = weights[:, :, :-1] * (gap - shift)[:, None]
+        always = (weights[:, :, :-1] * shift[:, None]).sum(2) + weights[:, :, -1]
+
+        def own(part):
+            out = np.zeros((len(folds), len(pairs), 2 * n + 1))
+            for x, gaps, y, w, upto in part:
+                for k, m in enumerate(upto):
+                    if not m:
+                        continue
+                    z = of_x[k] @ x[:, :m]
+                    if gaps is not None:
+                        z += of_gap[k] @ gaps[:, :m]
+                    z += always[k][:, None]
+                    z = _probabilities(z)
+                    z -= y[:m]
+                    z *= w[:m]
+                    out[k, :, :n] += z @ x[:, :m].T
+                    if gaps is not None:
+                        out[k, :, n:-1] += z @ gaps[:, :m].T
+                    out[k, :, -1] += z.sum(1)
+            yield out
+
+        sums = blocks.mapPartitions(own).treeAggregate(np.zeros((len(folds), len(pairs), 2 * n + 1)), np.add, np.add, depth)
+        one = sums[:, :, -1:]
+        return np.concatenate([sums[:, :, :n] * factor[:, None] + sums[:, :, n:-1] * (gap - shift)[:, None] + one * shift[:, None], one], 2)
 
     try:
         now, kept, slopes = np.zeros((len(folds), len(pairs), width)), {}, {}
+        total = np.maximum(blocks.mapPartitions(weight_sums).treeAggregate(np.zeros(len(folds)), np.add, np.add, depth), 1e-12)[:, None, None]
         for epoch in range(1, max(grid.epochs) + 1):
-            total = slope(now)
-            gradient = total[:, :-1] / np.maximum(total[:, -1:, :1], 1e-12)
+            gradient = slope(now) / total
             gradient[:, :, :-1] += penalty * now[:, :, :-1]
             now = now - rate * gradient
             if epoch in grid.epochs:
@@ -110,18 +158,27 @@ def score_grid(df: DataFrame, fits: Fits, label: str) -> DataFrame:
     settings, place = fits.grid.settings(), {f: k for k, f in enumerate(fits.folds)}
     flat = fits.weights.reshape(len(fits.folds), len(settings), -1)
 
-    def task(frames):
-        for pdf in frames:
-            for season, part in pdf.groupby("season"):
-                k = place[int(season)]
-                p = np.clip(_probability(_design(part[fits.columns].to_numpy(float), fits.stats[k]), flat[k]), LEAST, 1 - LEAST)
-                y = part["__y"].to_numpy(float)[:, None]
-                yield pd.DataFrame({"season": int(season), "setting": range(len(settings)), "n": len(part),
-                                    "loss": -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum(0), "hits": ((p >= 0.5) == (y == 1)).sum(0)})
+    kinds = pa.schema([("season", pa.int64()), ("setting", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("hits", pa.int64())])
+    ship(df.sparkSession)
+
+    def task(batches):
+        sums = {}
+        for batch in batches:
+            seasons, y, *x = _numbers(batch)
+            for season in np.unique(seasons).astype(int).tolist():
+                at, k = seasons == season, place[season]
+                p, label_ = _probabilities(flat[k] @ _design(np.stack(x, 1)[at], fits.stats[k]).T), y[at]
+                np.clip(p, LEAST, 1 - LEAST, out=p)
+                loss = -(np.log(p) * label_ + np.log(1 - p) * (1 - label_)).sum(1)
+                n, lost, hits = sums.get(season, (0, 0.0, 0))
+                sums[season] = n + len(label_), lost + loss, hits + ((p >= 0.5) == (label_ == 1)).sum(1)
+        for season, (n, lost, hits) in sums.items():
+            yield pa.RecordBatch.from_pydict({"season": [season] * len(settings), "setting": list(range(len(settings))), "n": [n] * len(settings),
+                                              "loss": lost, "hits": hits}, schema=kinds)
 
     own = df.where(F.col(label).isNotNull() & F.col("season").isin(fits.folds)).select(
         F.col("season").cast("long"), F.col(label).cast("double").alias("__y"), *[F.col(c).cast("double") for c in fits.columns])
-    sums = own.mapInPandas(task, "season long, setting int, n long, loss double, hits long").groupBy("season", "setting").agg(
+    sums = own.mapInArrow(task, "season long, setting int, n long, loss double, hits long").groupBy("season", "setting").agg(
         F.sum("n").alias("n"), (F.sum("loss") / F.sum("n")).alias("log_loss"), (F.sum("hits") / F.sum("n")).alias("accuracy"))
     # As many rows as the grid has fits.
     named = pd.DataFrame([(f, i, *s, float(fits.slopes.reshape(len(fits.folds), -1)[k, i])) for k, f in enumerate(fits.folds) for i, s in enumerate(settings)],

@@ -1,5 +1,6 @@
 """Grid fits beside plain gradient descent, one fit at a time."""
 
+import inspect
 import math
 import random
 
@@ -83,3 +84,20 @@ def test_nothing_to_learn_from(spark):
     assert {(r.season, r.n, r.accuracy) for r in score_grid(df, fits, "y").collect()} == {(5, 1, 1.0)}
     empty = df.where("false")
     assert score_grid(empty, fit_grid(empty, COLUMNS, "y", [5], GRID), "y").collect() == []
+
+
+def test_folds_of_other_scales(spark):
+    """A column that is far wider and elsewhere in later seasons, and one with gaps, give each fold's own fit."""
+    rng = random.Random(2)
+    rows = [(s, rng.gauss(100.0 * s, 10.0 ** s), None if rng.random() < 0.2 * s else rng.gauss(-s, 1), rng.randrange(2), 1.0) for s in (0, 1, 2, 3) for _ in range(60)]
+    df = spark.createDataFrame(rows, "season long, a double, b double, y int, w double").repartition(7)
+    fits = fit_grid(df, COLUMNS, "y", [1, 2, 3], GRID, "w")
+    for k, fold in enumerate(fits.folds):
+        design = scaled(rows, fold)
+        train = [(design(r), r[3], r[4]) for r in rows if r[0] < fold]
+        assert np.allclose(fits.weights[k, 1, 1, 1], descend(train, 0.4, 0.2, 9), atol=1e-9)
+
+
+def test_blocks_are_scaled_once():
+    """No step makes a fold's design of the rows again (its figures are those of ``test_every_fit``)."""
+    assert "_design" not in inspect.getsource(fit_grid)
